@@ -196,20 +196,35 @@ def _bounded(boundary: int):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        s = [shingle_hashes(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in s], pa.binary())], names=["sig", "items"])
+def _sets(half: bool):
+    """Whole sets as 64-bit hashes, or 32 bits of those in the lower half of the hash range with the set's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = [shingle_hashes(t) for t in b.column(1).to_pylist()]
+            low = lambda x: (x[: np.searchsorted(x, np.uint64(1 << 63))] >> np.uint64(31)).astype(np.uint32)
+            items = [(low(x) if half else x).tobytes() for x in s]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in s], pa.int64()), pa.array(items, pa.binary())], names=["sig", "n", "items"])
+
+    return run
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column("ia").to_pylist(), b.column("ib").to_pylist()):
-            u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            keep.append(100 * both >= 75 * (len(u) + len(v) - both))
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _verify(half: bool):
+    """Pairs that reach the threshold; by halves, those that may: the rest of the sets is taken as common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y, nx, ny in zip(*(b.column(c).to_pylist() for c in ("ia", "ib", "na", "nb"))):
+                if half:
+                    u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                    common = int(np.isin(u, v).sum()) + min(nx - len(u), ny - len(v))
+                else:
+                    common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                keep.append(100 * common >= 75 * (nx + ny - common))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 class NearJoin:
@@ -219,14 +234,14 @@ class NearJoin:
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def _verified(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        """Those of the candidate ``pairs`` (a, b) that reach the threshold, by their whole sets."""
-        pairs = cut(pairs)
+    def _verified(self, pairs: DataFrame, reps: DataFrame, half: bool = False) -> DataFrame:
+        """Those of the written candidate ``pairs`` (a, b) that reach the threshold, by their whole sets."""
         want = cut(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(reps, "sig"))
         texts = self.docs.join(small(want, 500_000), "doc_id").select("sig", "text").dropDuplicates(["sig"])
-        sets = cut(texts.mapInArrow(_sets, "sig long, items binary"))
-        both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("sig").alias("b"), F.col("items").alias("ib")), "b")
-        return cut(both.select("a", "b", "ia", "ib").mapInArrow(_verify, "a long, b long"))
+        sets = cut(texts.mapInArrow(_sets(half), "sig long, n long, items binary"))
+        side = lambda x: sets.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"i{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return cut(both.select("a", "b", "na", "nb", "ia", "ib").mapInArrow(_verify(half), "a long, b long"))
 
     def result(self) -> DataFrame:
         spark, docs = self.spark, self.docs
@@ -254,6 +269,9 @@ class NearJoin:
                 pairs = self._stars(at, salt)
             else:
                 pairs = at.withColumn("part", F.pmod(F.hash("list"), F.lit(spread))).groupBy("part").applyInArrow(_cross(spread), "part int, x binary, y binary, nx binary, ny binary").groupBy("part").applyInArrow(_bounded(boundary), "a long, b long")
+            pairs = cut(pairs)
+            if salt == STAR_ROUNDS:  # most of these are just below the threshold: half of the bits settle them
+                pairs = self._verified(pairs, reps, half=True)
             found = self._verified(pairs, reps)
             links = found if links is None else links.union(found)
             comp = components(links) if salt == STAR_ROUNDS else cut(components(links))
@@ -271,7 +289,10 @@ class NearJoin:
         rank = F.xxhash64(F.col("sig"), F.lit(salt))
         pivot = at.groupBy("list").agg(F.min(F.struct(rank.alias("r"), "sig", "n", "comp")).alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
         pairs = at.join(pivot, "list").where((F.col("comp") != F.col("p.comp")) & (F.least("n", "p.n") * DEN >= F.greatest("n", "p.n") * NUM))
-        best = pairs.groupBy("sig", F.col("p.sig").alias("q")).agg(F.count("*").alias("k")).groupBy("sig").agg(F.max(F.struct("k", "q")).alias("m"))
+        counted = pairs.groupBy("sig", F.col("p.sig").alias("q")).agg(F.count("*").alias("k"), F.min("n").alias("n"), F.min("p.n").alias("m"))
+        # A link shares need - rest prefix elements; a quarter of them with this pivot makes it worth a look in a star round.
+        least = (F.col("n") + F.col("m")) * NUM / (NUM + DEN) - F.greatest("n", "m") * NUM / DEN
+        best = counted.where(F.col("k") * 4 >= least).groupBy("sig").agg(F.max(F.struct("k", "q")).alias("m"))
         return best.select(F.least("sig", "m.q").alias("a"), F.greatest("sig", "m.q").alias("b")).distinct()
 
     @staticmethod
