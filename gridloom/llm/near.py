@@ -35,7 +35,7 @@ from gridloom.llm.common import components, cut, gather, mix, n_ranges, scatter,
 
 #: Most frequent shingles that are broadcast (8 bytes each); documents that a shingle must be in to be one of them.
 HOT, HOT_DF = 1 << 20, 24
-STAR_ROUNDS = 3
+STAR_ROUNDS, PIVOTS = 2, 4
 NUM, DEN = 3, 4  # the similarity threshold as a fraction
 
 
@@ -173,8 +173,22 @@ def _cross(ranges: int):
     return run
 
 
-def _bounded(boundary: int):
-    """Pairs whose count of shared prefix elements allows the threshold."""
+def _cell(a: np.ndarray, b: np.ndarray, grid: int) -> np.ndarray:
+    """The cell of a grid x grid square that a pair falls in; a node's pairs fall in 2 * grid cells at most."""
+    row, col = mix(a.view(np.uint64) + np.uint64(1)), mix(b.view(np.uint64) + np.uint64(2))
+    return (row % np.uint64(grid)) * np.uint64(grid) + col % np.uint64(grid)
+
+
+def _dealt(a: np.ndarray, b: np.ndarray, grid: int) -> dict[str, pa.Array]:
+    cell = _cell(a, b, grid).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    cells, at = np.unique(cell[order], return_index=True)
+    ends = [*at[1:], len(order)]
+    return {"part": pa.array(cells, pa.int32()), "a": pa.array([a[order[i:j]].tobytes() for i, j in zip(at, ends)], pa.binary()), "b": pa.array([b[order[i:j]].tobytes() for i, j in zip(at, ends)], pa.binary())}
+
+
+def _bounded(boundary: int, grid: int):
+    """Pairs whose count of shared prefix elements allows the threshold, as blocks for the cells of the grid."""
 
     def run(t: pa.Table) -> pa.Table:
         x, y = gather(t.column("x"), np.int64), gather(t.column("y"), np.int64)
@@ -191,40 +205,55 @@ def _bounded(boundary: int):
         rest = np.maximum(-(-NUM * nx // DEN), -(-NUM * ny // DEN)) - 1
         both_listed = np.minimum(nx, ny) >= boundary  # where small sets met on subsets, elements were not counted
         ok = ~both_listed | (count + rest >= need)
-        return pa.table({"a": x[ok], "b": y[ok]})
+        return pa.table(_dealt(x[ok], y[ok], grid))
 
     return run
 
 
-def _sets(half: bool):
-    """Whole sets as 64-bit hashes, or 32 bits of those in the lower half of the hash range with the set's size."""
-
+def _blocks(grid: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [shingle_hashes(t) for t in b.column(1).to_pylist()]
-            low = lambda x: (x[: np.searchsorted(x, np.uint64(1 << 63))] >> np.uint64(31)).astype(np.uint32)
-            items = [(low(x) if half else x).tobytes() for x in s]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in s], pa.int64()), pa.array(items, pa.binary())], names=["sig", "n", "items"])
+            made = _dealt(b.column(0).to_numpy(), b.column(1).to_numpy(), grid)
+            yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
     return run
 
 
-def _verify(half: bool):
-    """Pairs that reach the threshold; by halves, those that may: the rest of the sets is taken as common."""
+def _nodes(t: pa.Table) -> pa.Table:
+    part = t.column("part")[0].as_py()
+    sig = np.unique(np.concatenate([gather(t.column("a"), np.int64), gather(t.column("b"), np.int64)]))
+    return pa.table({"part": pa.array(np.full(len(sig), part), pa.int32()), "sig": sig})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y, nx, ny in zip(*(b.column(c).to_pylist() for c in ("ia", "ib", "na", "nb"))):
-                if half:
-                    u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                    common = int(np.isin(u, v).sum()) + min(nx - len(u), ny - len(v))
-                else:
-                    common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                keep.append(100 * common >= 75 * (nx + ny - common))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        items = [shingle_hashes(t).tobytes() for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.binary())], names=["sig", "items"])
+
+
+def _verify(sets: pa.Table, blocks: pa.Table) -> pa.Table:
+    """Links of a cell that reach the threshold, without those whose ends are joined by other links of the cell."""
+    a, b = gather(blocks.column("a"), np.int64).tolist(), gather(blocks.column("b"), np.int64).tolist()
+    own = {s: np.frombuffer(x, np.uint64) for s, x in zip(sets.column("sig").to_pylist(), sets.column("items").to_pylist())}
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (r := root.get(x, x)) != x:
+            root[x] = root.get(r, r)
+            x = r
+        return x
+
+    out = []
+    for p, q in zip(a, b):
+        u, v = own.get(p), own.get(q)
+        if u is None or v is None or (rp := find(p)) == (rq := find(q)):
+            continue
+        at = np.searchsorted(v, u)
+        common = int((v[np.minimum(at, len(v) - 1)] == u).sum())
+        if 100 * common >= 75 * (len(u) + len(v) - common):
+            root[max(rp, rq)] = min(rp, rq)
+            out.append((p, q))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 class NearJoin:
@@ -234,14 +263,13 @@ class NearJoin:
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def _verified(self, pairs: DataFrame, reps: DataFrame, half: bool = False) -> DataFrame:
-        """Those of the written candidate ``pairs`` (a, b) that reach the threshold, by their whole sets."""
-        want = cut(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(reps, "sig"))
+    def _verified(self, blocks: DataFrame, reps: DataFrame) -> DataFrame:
+        """The links among written candidate pairs, by whole sets: each set goes once to each cell that needs it."""
+        needs = cut(blocks.groupBy("part").applyInArrow(_nodes, "part int, sig long"))
+        want = cut(needs.select("sig").distinct().join(reps, "sig"))
         texts = self.docs.join(small(want, 500_000), "doc_id").select("sig", "text").dropDuplicates(["sig"])
-        sets = cut(texts.mapInArrow(_sets(half), "sig long, n long, items binary"))
-        side = lambda x: sets.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"i{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        return cut(both.select("a", "b", "na", "nb", "ia", "ib").mapInArrow(_verify(half), "a long, b long"))
+        sets = texts.mapInArrow(_sets, "sig long, items binary").join(needs, "sig").select("part", "sig", "items")
+        return cut(sets.groupBy("part").cogroup(blocks.groupBy("part")).applyInArrow(_verify, "a long, b long"))
 
     def result(self) -> DataFrame:
         spark, docs = self.spark, self.docs
@@ -262,17 +290,19 @@ class NearJoin:
         posts = docs.select("text").mapInArrow(_postings(spread, hot, boundary), "part int, key binary, sig binary, n binary")
         lists = cut(posts.groupBy("part").applyInArrow(_shared, "list long, sig long, n int"))
         reps = meta.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-        links, comp = None, None
+        grid = max(4, int(np.ceil(spread**0.5 / 2)))
+        links, comp, tried = None, None, None
         for salt in range(STAR_ROUNDS + 1):
             at = lists.withColumn("comp", F.col("sig")) if comp is None else lists.join(comp, lists.sig == comp.id, "left").select("list", "sig", "n", F.coalesce("component", "sig").alias("comp"))
             if salt < STAR_ROUNDS:
-                pairs = self._stars(at, salt)
+                pairs = self._stars(at, salt, links)
+                pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+                tried = pairs if tried is None else tried.union(pairs)
+                blocks = cut(pairs.mapInArrow(_blocks(grid), "part int, a binary, b binary"))
             else:
-                pairs = at.withColumn("part", F.pmod(F.hash("list"), F.lit(spread))).groupBy("part").applyInArrow(_cross(spread), "part int, x binary, y binary, nx binary, ny binary").groupBy("part").applyInArrow(_bounded(boundary), "a long, b long")
-            pairs = cut(pairs)
-            if salt == STAR_ROUNDS:  # most of these are just below the threshold: half of the bits settle them
-                pairs = self._verified(pairs, reps, half=True)
-            found = self._verified(pairs, reps)
+                cross = at.withColumn("part", F.pmod(F.hash("list"), F.lit(spread))).groupBy("part").applyInArrow(_cross(spread), "part int, x binary, y binary, nx binary, ny binary")
+                blocks = cut(cross.groupBy("part").applyInArrow(_bounded(boundary, grid), "part int, a binary, b binary"))
+            found = self._verified(blocks, reps)
             links = found if links is None else links.union(found)
             comp = components(links) if salt == STAR_ROUNDS else cut(components(links))
         named = meta.join(comp, meta.sig == comp.id, "left").select("doc_id", "n", F.coalesce("component", "sig").alias("node"))
@@ -281,19 +311,27 @@ class NearJoin:
         return named.join(least, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
     @staticmethod
-    def _stars(at: DataFrame, salt: int) -> DataFrame:
-        """For each node the partner that is pivot of most of its lists, of another component; linear in postings.
+    def _stars(at: DataFrame, salt: int, links: DataFrame | None) -> DataFrame:
+        """For each node the ``PIVOTS`` partners that are pivot of most of its lists, of other components.
 
-        The pivot of a list is its least node under a salted hash.
+        The pivot of a list is the node with most links so far, then the least under a salted hash; every node meets
+        the pivot only, so the work is linear in the postings.
         """
         rank = F.xxhash64(F.col("sig"), F.lit(salt))
-        pivot = at.groupBy("list").agg(F.min(F.struct(rank.alias("r"), "sig", "n", "comp")).alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+        if links is None:
+            at = at.withColumn("links", F.lit(0).cast("long"))
+        else:
+            degree = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("links"))
+            at = at.join(degree, "sig", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+        best = F.min(F.struct((-F.col("links")).alias("l"), rank.alias("r"), "sig", "n", "comp"))
+        pivot = at.groupBy("list").agg(best.alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
         pairs = at.join(pivot, "list").where((F.col("comp") != F.col("p.comp")) & (F.least("n", "p.n") * DEN >= F.greatest("n", "p.n") * NUM))
         counted = pairs.groupBy("sig", F.col("p.sig").alias("q")).agg(F.count("*").alias("k"), F.min("n").alias("n"), F.min("p.n").alias("m"))
         # A link shares need - rest prefix elements; a quarter of them with this pivot makes it worth a look in a star round.
         least = (F.col("n") + F.col("m")) * NUM / (NUM + DEN) - F.greatest("n", "m") * NUM / DEN
-        best = counted.where(F.col("k") * 4 >= least).groupBy("sig").agg(F.max(F.struct("k", "q")).alias("m"))
-        return best.select(F.least("sig", "m.q").alias("a"), F.greatest("sig", "m.q").alias("b")).distinct()
+        top = F.slice(F.sort_array(F.collect_list(F.struct("k", "q")), asc=False), 1, PIVOTS)
+        chosen = counted.where(F.col("k") * 4 >= least).groupBy("sig").agg(top.alias("m")).select("sig", F.explode("m.q").alias("q"))
+        return chosen.select(F.least("sig", "q").alias("a"), F.greatest("sig", "q").alias("b")).distinct()
 
     @staticmethod
     def boundary(sizes: dict[int, int], length: float) -> int:
