@@ -4,9 +4,9 @@
 more) gets the log-odds of its document frequencies under the two labels.  Words and stems that are much likelier
 under label 1 form the lexicon, a trie in which stems match all their continuations.
 
-*Matching.*  For every distinct word the Levenshtein automaton of the word is intersected with the trie: the rows of
-the edit table are the automaton's states, branches whose state is dead are cut.  Words of up to seven letters may
-differ by one edit, longer ones by two, the first letter being fixed for the fuzzy matches.
+*Matching.*  A Levenshtein automaton is intersected with the trie: its states are sets of (trie node, edits), made
+deterministic as texts need them, so a word costs one move a letter.  Words of up to seven letters may differ by one
+edit, longer ones by two; the first letter is fixed, and the terms that may be misspelled are the frequent ones.
 
 *Context.*  A match is quoted when quotation marks or reporting cues stand within a window of words around it, and
 repeated abuse raises the score.  The features of a document (exact, stem, fuzzy and quoted matches, their density,
@@ -38,93 +38,171 @@ QUOTES = frozenset("\"“”«»„")
 #: Words that report speech, and words of direct address.
 CUES = frozenset("said says wrote quoted called quote dijo dice escribió dit écrit sagte schrieb zitiert".split())
 ADDRESS = frozenset("you your you're tu vous tú usted du sie ihr".split())
-STEM, WINDOW, MIN_DOCS = 4, 6, 3
+STEM, WINDOW, MIN_DOCS, FUZZY_SHARE = 4, 6, 3, 0.01
 N_FEATURES = 9
 
 
 class Trie:
-    """Lexicon trie; a node's ``end`` is the weight of the term that ends there, ``stem`` that of a stem."""
-
-    __slots__ = ("next", "end", "stem")
-
-    def __init__(self):
-        self.next: dict[str, Trie] = {}
-        self.end = 0.0
-        self.stem = 0.0
-
-    def add(self, term: str, weight: float, stem: bool) -> None:
-        node = self
-        for ch in term:
-            node = node.next.setdefault(ch, Trie())
+    """Lexicon trie in arrays: children, weight of the term and of the stem that end at a node."""
+
+    def __init__(self, terms=()):
+        self.next: list[dict[str, int]] = [{}]
+        self.end, self.stem, self.fuzzy = [0.0], [0.0], [0.0]
+        for term, weight, stem, fuzzy in terms:
+            node = 0
+            for ch in term:
+                child = self.next[node].get(ch)
+                if child is None:
+                    child = self.next[node][ch] = len(self.next)
+                    self.next.append({})
+                    for x in (self.end, self.stem, self.fuzzy):
+                        x.append(0.0)
+                node = child
+            kept = self.stem if stem else self.end
+            kept[node] = max(kept[node], weight)
+            if fuzzy:
+                self.fuzzy[node] = weight
+        # Nodes on the way to a term that may be misspelled; the automaton walks these only.
+        self.leads = [bool(x) for x in self.fuzzy]
+        for node in range(len(self.next) - 1, -1, -1):
+            self.leads[node] |= any(self.leads[c] for c in self.next[node].values())
+
+
+class Automaton:
+    """Intersection of the Levenshtein automaton of ``limit`` edits with the trie, made deterministic as it is used.
+
+    A state is a set of (trie node, edits so far); it is built once and its moves are remembered.  The first letter
+    is fixed.  A state without members is dead and ends the walk.
+    """
+
+    MAX_STATES = 200_000
+
+    def __init__(self, trie: Trie, limit: int):
+        self.trie, self.limit = trie, limit
+        self._reset()
+
+    def _reset(self) -> None:
+        self.ids: dict[frozenset, int] = {}
+        self.sets: list[dict[int, int]] = []
+        self.moves: list[dict[str, int]] = []
+        self.found: list[float] = []
+        self.first: dict[str, int] = {}
+        for ch, child in self.trie.next[0].items():
+            if self.trie.leads[child]:
+                self.first[ch] = self._state({child: 0})
+
+    def _state(self, nodes: dict[int, int]) -> int:
+        t, todo = self.trie, list(nodes.items())
+        while todo:  # letters of the term that the word leaves out
+            node, e = todo.pop()
+            if e < self.limit:
+                for c in t.next[node].values():
+                    if t.leads[c] and nodes.get(c, 9) > e + 1:
+                        nodes[c] = e + 1
+                        todo.append((c, e + 1))
+        if not nodes:
+            return -1
+        key = frozenset(nodes.items())
+        got = self.ids.get(key)
+        if got is None:
+            got = self.ids[key] = len(self.sets)
+            self.sets.append(nodes)
+            self.moves.append({})
+            self.found.append(max((t.fuzzy[n] / (1 + e) for n, e in nodes.items() if t.fuzzy[n]), default=0.0))
+        return got
+
+    def _step(self, state: int, ch: str) -> int:
+        t, out = self.trie, {}
+        for node, e in self.sets[state].items():
+            child = t.next[node].get(ch)
+            if child is not None and t.leads[child] and out.get(child, 9) > e:
+                out[child] = e
+            if e < self.limit:
+                if out.get(node, 9) > e + 1:  # a letter too many
+                    out[node] = e + 1
+                for c in t.next[node].values():  # another letter
+                    if t.leads[c] and out.get(c, 9) > e + 1:
+                        out[c] = e + 1
+        return self._state(out)
+
+    def weight(self, word: str) -> float:
+        if len(self.sets) > self.MAX_STATES:
+            self._reset()
+        state = self.first.get(word[0], -1)
+        for ch in word[1:]:
+            if state < 0:
+                return 0.0
+            new = self.moves[state].get(ch)
+            if new is None:
+                new = self.moves[state][ch] = self._step(state, ch)
+            state = new
+        return self.found[state] if state >= 0 else 0.0
+
+
+class Matcher:
+    """(kind, weight) of a word: kind 0 none, 1 a term, 2 a continuation of a stem, 3 a misspelled term."""
+
+    def __init__(self, terms):
+        self.trie = Trie(terms)
+        self.one, self.two = Automaton(self.trie, 1), Automaton(self.trie, 2)
+        self.known: dict[str, tuple[int, float]] = {}
+
+    def __call__(self, word: str) -> tuple[int, float]:
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) > 400_000:
+                self.known.clear()
+            got = self.known[word] = self._match(word)
+        return got
+
+    def _match(self, word: str) -> tuple[int, float]:
+        t, node, stem = self.trie, 0, 0.0
+        for ch in word:
+            node = t.next[node].get(ch, -1)
+            if node < 0:
+                break
+            if t.stem[node] > stem:
+                stem = t.stem[node]
+        if node > 0 and t.end[node]:
+            return 1, t.end[node]
         if stem:
-            node.stem = max(node.stem, weight)
-        else:
-            node.end = max(node.end, weight)
+            return 2, stem
+        if len(word) < 5:
+            return 0, 0.0
+        w = (self.one if len(word) < 8 else self.two).weight(word)
+        return (3, w) if w else (0, 0.0)
 
 
-def match(trie: Trie, word: str) -> tuple[int, float]:
-    """(kind, weight): kind 0 none, 1 the term, 2 continuation of a stem, 3 a misspelling."""
-    node, stem = trie, 0.0
-    for ch in word:
-        node = node.next.get(ch)
-        if node is None:
-            break
-        stem = max(stem, node.stem)
-    if node is not None and node.end:
-        return 1, node.end
-    if stem:
-        return 2, stem
-    if len(word) < 5 or word[0] not in trie.next:
-        return 0, 0.0
-    limit = 1 if len(word) < 8 else 2
-    best = 0.0
-    n = len(word)
-    todo = [(trie.next[word[0]], [1, *range(n)])]  # automaton state after the first letter
-    while todo:
-        node, row = todo.pop()
-        if node.end and row[n] <= limit:
-            best = max(best, node.end / (1 + row[n]))
-        for ch, child in node.next.items():
-            new = [row[0] + 1]
-            low = new[0]
-            for i in range(1, n + 1):
-                cost = min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (word[i - 1] != ch))
-                new.append(cost)
-                if cost < low:
-                    low = cost
-            if low <= limit:
-                todo.append((child, new))
-    return (3, best) if best else (0, 0.0)
-
-
-def lexicon(rows: list[tuple[str, int]]) -> list[tuple[str, float, bool]]:
-    """Terms and stems much likelier under label 1."""
+def lexicon(rows: list[tuple[str, int]]) -> list[tuple[str, float, bool, bool]]:
+    """(term, weight, is a stem, may be misspelled): much likelier under label 1; frequent terms may be misspelled."""
     n = Counter(y for _, y in rows)
     words, stems = (Counter(), Counter()), (Counter(), Counter())
     for text, y in rows:
         seen = {w for w in WORD.findall(text.lower()) if w not in QUOTES}
         words[y].update(seen)
         stems[y].update({w[:k] for w in seen for k in range(STEM, min(len(w), 12))})
-    out = []
+    out, bar = [], math.log(max(len(words[1]) + len(stems[1]), 2))
     for kind, (neg, pos) in ((False, words), (True, stems)):
         for w, c in pos.items():
             if c < MIN_DOCS:
                 continue
+            # Log-likelihood ratio against equal shares; the bar follows the number of terms that are tried.
+            m, share = neg[w], n[1] / (n[0] + n[1])
+            gain = c * math.log(c / ((c + m) * share)) + (m * math.log(m / ((c + m) * (1 - share))) if m else 0)
+            if gain < bar:
+                continue
             odds = math.log((c + 0.5) / (n[1] + 1)) - math.log((neg[w] + 0.5) / (n[0] + 1))
             if odds > 2.5 and c > 4 * neg[w]:
-                out.append((w, odds, kind))
+                out.append((w, odds, kind, not kind and len(w) >= 5 and c >= max(MIN_DOCS, FUZZY_SHARE * n[1])))
     return out
 
 
-def features(trie: Trie, text: str | None, known: dict[str, tuple[int, float]]) -> list[float]:
+def features(match: Matcher, text: str | None) -> list[float]:
     words = WORD.findall(text.lower()) if text else []
     got, quoted, kinds, terms, total = [], 0, [0, 0, 0, 0], set(), 0.0
+    known = match.known
     for i, w in enumerate(words):
-        k = known.get(w)
-        if k is None:
-            if len(known) > 400_000:
-                known.clear()
-            k = known[w] = match(trie, w) if w not in QUOTES else (0, 0.0)
+        k = known.get(w) or match(w)
         if k[0]:
             got.append((i, w, k))
     addressed = 0
@@ -170,23 +248,16 @@ class ToxicityModel:
         x, y = [], []
         for a, b in ((rows[::2], rows[1::2]), (rows[1::2], rows[::2])):
             if len({y for _, y in a}) == 2:
-                trie, known = build(lexicon(a)), {}
-                x += [features(trie, t, known) for t, _ in b]
+                match = Matcher(lexicon(a))
+                x += [features(match, t) for t, _ in b]
                 y += [v for _, v in b]
         terms = lexicon(rows)
         if not x:
-            trie, known = build(terms), {}
-            x, y = [features(trie, t, known) for t, _ in rows], [v for _, v in rows]
+            match = Matcher(terms)
+            x, y = [features(match, t) for t, _ in rows], [v for _, v in rows]
         return cls(terms, logistic(np.array(x), np.array(y, float)), n1 / len(rows))
 
 
-def build(terms) -> Trie:
-    trie = Trie()
-    for w, odds, stem in terms:
-        trie.add(w, odds, stem)
-    return trie
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, folds: int = 5) -> list[tuple[str, int]]:
     """At most ``max_rows`` texts for each label outside the held-out fold, taken in the order of a hash of the id."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -212,12 +283,12 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, w, prior = sent.value
-        trie, known = build(terms), {}
+        match = Matcher(terms)
         for b in batches:
             if w is None:
                 s = [prior] * b.num_rows
             else:
-                x = np.array([features(trie, t, known) for t in b.column(1).to_pylist()]).reshape(-1, N_FEATURES)
+                x = np.array([features(match, t) for t in b.column(1).to_pylist()]).reshape(-1, N_FEATURES)
                 s = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
