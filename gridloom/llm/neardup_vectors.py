@@ -4,7 +4,8 @@ A structured rotation (random signs and Hadamard steps) is followed by a random
 into ``BLOCKS`` blocks with ``b`` random unit codewords each, and every combination of codewords is a filter
 direction.  A vector is list-decoded to all directions whose inner product reaches a threshold; sums of two sorted
 blocks are cut by bounds, so that only combinations near the threshold are looked at.  ``b`` follows the number of
-vectors, so filters stay selective, and the threshold is set so that a vector gets ``LIST`` filters on average.
+vectors, so filters stay selective.  The threshold is that which ``LIST`` Gaussian directions reach; a vector that
+fewer than ``LEAST`` directions reach takes its best ``LEAST``.
 
 Vectors that share a filter (and the label and length) are compared in double precision by blocked matrix products.
 A pair that shares several filters is counted in the smallest common one only, found by an incidence product, so
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import components, cut, mix, n_ranges
 
-BLOCKS, LIST, CHUNK = 4, 24, 2048
+BLOCKS, LIST, LEAST, CHUNK = 4, 24, 16, 2048
 
 
 def rotation(d: int, seed: int = 7) -> np.ndarray:
@@ -58,13 +59,18 @@ def threshold(d: int, b: int) -> float:
 
 
 def decode(scores: np.ndarray, t: float) -> np.ndarray:
-    """All combinations (as numbers in base b) whose sum of block scores reaches ``t``; at least the best one."""
+    """All combinations (as numbers in base b) whose sum of block scores reaches ``t``, and the best LEAST at any rate.
+
+    Where few directions point a vector's way its threshold is that of its own LEAST best directions.
+    """
     b = scores.shape[1]
     left = (scores[0][:, None] + scores[1][None, :]).ravel()
     right = (scores[2][:, None] + scores[3][None, :]).ravel()
-    t = min(t, left.max() + right.max())
     order = np.argsort(-right)
     tail = right[order]
+    k = min(LEAST, len(left))
+    best = np.sort((-np.sort(-left)[:k, None] + tail[None, :k]).ravel())[-k]  # the k best sums are among these
+    t = min(t, best)
     near = np.flatnonzero(left >= t - tail[0] - 1e-12)
     count = np.searchsorted(-tail, left[near] - t + 1e-12, side="right")
     a = np.repeat(near, count)
