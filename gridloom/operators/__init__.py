@@ -1,0 +1 @@
+"""Operators of the sparse linear algebra engine."""

@@ -1,0 +1 @@
+"""Sources of the sparse linear algebra engine."""

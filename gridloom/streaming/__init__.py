@@ -1,0 +1 @@
+"""Streaming of the sparse linear algebra engine."""
