@@ -1,6 +1,556 @@
-def queries():
-    return {}
+"""Registered queries of the linear algebra part, each with its SQL where SQL expresses it.
 
+Floating point results are rounded: sums depend on the order of rows.
+"""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions.coefficients import SETS_2D
+from gridloom.operators import aggregate, blas, graph
+from gridloom.operators.local import Block
+from gridloom.operators.smooth import BlockJacobi, Jacobi, Schwarz, make
+from gridloom.plans import sql as q
+from gridloom.plans.preconditioner import Preconditioner, solve
+from gridloom.sources import generators, tables
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+THETA = 0.01
+
+
+def query(statement: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if statement:
+            _SQL[f.__name__] = statement
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int) -> DataFrame:
+    return df.withColumn("v", F.round("v", digits))
+
+
+def parts4(a: DataFrame) -> DataFrame:
+    """Partition of the nodes of a matrix to four blocks by number modulo 4."""
+    return a.select("i").distinct().withColumn("blk", F.pmod("i", F.lit(4)).cast("int"))
+
+
+def pairs4(a: DataFrame) -> DataFrame:
+    """A deterministic aggregation: four consecutive numbers."""
+    return aggregate.tentative(a.select("i").distinct().withColumn("agg", F.expr("i div 4 + 1")))
+
+
+def A(spark, d):
+    return tables.laplacian(spark, d)
+
+
+def x_of(spark, d):
+    return tables.part_prices(spark, d)
+
+
+# Products and vectors
+
+
+@query(q.with_(*q.LAP, q.X, q.spmv("y", "a", "x")) + q.vector("y"))
+def spmv_n(spark, d):
+    return rounded(blas.spmv(A(spark, d), x_of(spark, d)), 4)
+
+
+@query(q.with_(q.S, q.cte("u", "SELECT s_suppkey AS i, s_acctbal AS v FROM supplier"), q.spmv("y", "s", "u", True)) + q.vector("y"))
+def spmv_t(spark, d):
+    u = tables.read(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("v"))
+    return rounded(blas.spmv(tables.supplier_parts(spark, d), u, trans="T"), 4)
+
+
+@query(q.with_(q.B, q.spgemm("c", "bm", "bm", True)) + q.matrix("c"))
+def spgemm_btb(spark, d):
+    b = tables.order_parts(spark, d)
+    return rounded(blas.spgemm(blas.transpose(b), b), 6)
+
+
+@query(q.with_(q.S) + "SELECT j AS i, i AS j, v FROM s")
+def transpose(spark, d):
+    return blas.transpose(tables.supplier_parts(spark, d))
+
+
+@query(q.with_(*q.LAP, q.X, q.spmv("p", "a", "x"), q.lin("y", (2, "p"), (-3, "x"))) + q.vector("y"))
+def axpby(spark, d):
+    return rounded(blas.axpby(2.0, blas.spmv(A(spark, d), x_of(spark, d)), -3.0, x_of(spark, d)), 4)
+
+
+@query(q.with_(q.X) + "SELECT round(sum(v * v), 2) AS dot, round(sqrt(sum(v * v)), 4) AS nrm2, round(max(abs(v)), 6) AS amax FROM x")
+def vector_norms(spark, d):
+    x = x_of(spark, d)
+    y = x.select("i", F.col("v").alias("w"))
+    return x.join(y, "i").agg(F.round(F.sum(F.col("v") * F.col("w")), 2).alias("dot"), F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 4).alias("nrm2"), F.round(F.max(F.abs("v")), 6).alias("amax"))
+
+
+@query(q.with_(*q.LAP, q.D, q.X, q.mlt("y", "d", "x")) + q.vector("y"))
+def elementwise_multiply(spark, d):
+    return rounded(blas.mlt(blas.diag(A(spark, d)), x_of(spark, d)), 4)
+
+
+@query(q.with_(*q.LAP, q.X, q.spmv("p", "a", "x"), q.cte("b", "SELECT i, 1.0 AS v FROM x"), q.lin("r", (1, "b"), (-1, "p"))) + "SELECT round(sqrt(sum(v * v)), 2) AS nrm2, round(max(abs(v)), 3) AS amax FROM r")
+def residual_report(spark, d):
+    x = x_of(spark, d)
+    r = blas.residual(A(spark, d), x, x.select("i", F.lit(1.0).alias("v")))
+    return r.agg(F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 2).alias("nrm2"), F.round(F.max(F.abs("v")), 3).alias("amax"))
+
+
+
+
+@query(q.with_(*q.LAP, q.X) + "SELECT m.i, round(sum(m.v * x.v), 4) AS re, round(sum(2 * m.v * x.v), 4) AS im FROM a m JOIN x ON x.i = m.j GROUP BY m.i")
+def complex_spmv(spark, d):
+    a = A(spark, d).withColumn("v", F.struct(F.col("v").alias("re"), (F.col("v") * 2).alias("im")))
+    x = x_of(spark, d).withColumn("v", F.struct(F.col("v").alias("re"), F.lit(0.0).alias("im")))
+    return blas.complex_spmv(a, x).select("i", F.round("v.re", 4).alias("re"), F.round("v.im", 4).alias("im"))
+
+
+# Projections and filters
+
+
+@query(q.with_(*q.LAP, q.D) + q.vector("d"))
+def diagonal(spark, d):
+    return rounded(blas.diag(A(spark, d)), 4)
+
+
+@query(q.with_(*q.T, q.cte("a", "SELECT * FROM t"), q.D, q.DI) + q.vector("di", 9))
+def inverse_diagonal(spark, d):
+    return rounded(blas.inv_diag(tables.transitions(spark, d)), 9)
+
+
+@query(q.with_(*q.LAP) + "SELECT i, round(sum(abs(v)), 4) AS v FROM a GROUP BY i")
+def absolute_row_sum(spark, d):
+    return rounded(blas.arwsum(A(spark, d)), 4)
+
+
+@query(q.with_(*q.LAP) + "SELECT i, round(sum(CASE WHEN i = j THEN v ELSE abs(v) END), 4) AS v FROM a GROUP BY i")
+def l1_diagonal(spark, d):
+    return rounded(blas.l1_diag(A(spark, d)), 4)
+
+
+@query(q.with_(*q.LAP, q.D, q.DI) + "SELECT a.i, a.j, round(a.v * di.v, 9) AS v FROM a JOIN di ON di.i = a.i")
+def row_scaling(spark, d):
+    a = A(spark, d)
+    return rounded(blas.row_scale(a, blas.inv_diag(a)), 9)
+
+
+@query(q.with_(*q.LAP) + "SELECT i, j, round(v, 6) AS v FROM a WHERE i % 4 = j % 4")
+def block_clip_inside(spark, d):
+    a = A(spark, d)
+    return rounded(blas.block_clip(a, parts4(a)), 6)
+
+
+@query(q.with_(*q.LAP) + "SELECT i, j, round(v, 6) AS v FROM a WHERE i % 4 <> j % 4")
+def block_clip_outside(spark, d):
+    a = A(spark, d)
+    return rounded(blas.block_clip(a, parts4(a), inside=False), 6)
+
+
+@query(q.with_(q.S) + "SELECT i, j, v FROM s WHERE j <= i")
+def lower_triangle(spark, d):
+    return blas.tril(tables.supplier_parts(spark, d))
+
+
+@query(q.with_(q.S) + "SELECT i, j, v FROM s WHERE j > i")
+def upper_triangle(spark, d):
+    return blas.triu(tables.supplier_parts(spark, d))
+
+
+@query(q.with_(*q.LAP, q.cte("r", "SELECT i, min(j) AS lo, max(j) AS hi FROM a GROUP BY i")) + "SELECT max(greatest(i - lo, 0)) AS lower, max(greatest(hi - i, 0)) AS upper, sum(greatest(i - lo, 0))::BIGINT AS profile FROM r")
+def bandwidth(spark, d):
+    return blas.bandwidth(A(spark, d))
+
+
+@query(q.with_(*q.LAP) + "SELECT round(sqrt(sum(v * v)), 4) AS frobenius, count(*) AS nnz, count(DISTINCT i) AS n FROM a")
+def frobenius(spark, d):
+    return A(spark, d).agg(F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 4).alias("frobenius"), F.count("*").alias("nnz"), F.countDistinct("i").alias("n"))
+
+
+@query(q.with_(q.S) + "SELECT i, j, v - 1 AS v FROM s WHERE v - 1 <> 0")
+def clean_zeros(spark, d):
+    s = tables.supplier_parts(spark, d)
+    return blas.clean_zeros(s.withColumn("v", F.col("v") - 1))
+
+
+@query("SELECT l_suppkey AS i, l_partkey AS j, round(sum(l_quantity), 4) AS v FROM lineitem GROUP BY ALL")
+def assemble_duplicates(spark, d):
+    e = tables.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").alias("v"))
+    return rounded(blas.assemble(e), 4)
+
+
+@query(q.with_(*q.T) + "SELECT 101 - i AS i, 101 - j AS j, v FROM t")
+def renumbering(spark, d):
+    t = tables.transitions(spark, d)
+    perm = t.select("i").union(t.select("j")).distinct().select(F.col("i").alias("old"), (101 - F.col("i")).alias("new"))
+    return blas.renumber(t, perm)
+
+
+@query(q.with_(*q.LAP) + "SELECT i AS old, row_number() OVER (ORDER BY i % 4, i) AS new FROM (SELECT DISTINCT i FROM a)")
+def block_renumbering(spark, d):
+    return blas.block_renumbering(parts4(A(spark, d)))
+
+
+@query(q.with_(*q.T) + "SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM t UNION ALL SELECT j, i, v FROM t) GROUP BY ALL")
+def symmetrize(spark, d):
+    return blas.symmetrize(tables.transitions(spark, d))
+
+
+@query(q.with_(*q.LAP) + "SELECT DISTINCT (i % 4)::INTEGER AS blk, j AS i FROM a WHERE i % 4 <> j % 4")
+def halo(spark, d):
+    a = A(spark, d)
+    return blas.halo(a, parts4(a))
+
+
+@query(q.with_(*q.LAP) + "SELECT DISTINCT (i % 4)::INTEGER AS blk, j AS i FROM a")
+def overlap_extension(spark, d):
+    a = A(spark, d)
+    return blas.overlap(a, parts4(a), 1)
+
+
+@query(q.with_(*q.LAP, q.cte("g", "SELECT i, count(*) AS degree FROM a GROUP BY i")) + "SELECT i, (i % 4)::INTEGER AS blk, degree, (row_number() OVER (PARTITION BY i % 4 ORDER BY degree DESC, i))::INTEGER AS rank FROM g")
+def degree_order(spark, d):
+    a = A(spark, d)
+    return graph.degree_order(a, parts4(a)).select("i", "blk", "degree", "rank")
+
+
+# Strength, filter, smoothing weight
+
+
+@query(q.with_(*q.LAP, q.D, q.SC) + f"SELECT i, j, round(v, 6) AS v FROM sc WHERE abs(v) > s * {THETA}")
+def strength_soc1(spark, d):
+    return rounded(graph.strong1(A(spark, d), THETA), 6)
+
+
+@query(q.with_(*q.LAP, q.D, q.SC) + f"SELECT i, j, round(abs(v) / s, 9) AS v, abs(v) / s >= {THETA} AND i % 4 = j % 4 AS strong FROM sc WHERE s > 0")
+def strength_soc2(spark, d):
+    a = A(spark, d)
+    return rounded(graph.mu(a, THETA, parts4(a)), 9)
+
+
+_FILTERED = (q.D, q.SC, q.cte("f", f"SELECT i, j, v FROM sc WHERE i <> j AND abs(v) >= s * {THETA} UNION ALL SELECT i, i, sum(CASE WHEN i = j THEN v ELSE 0 END) - sum(CASE WHEN i <> j AND abs(v) < s * {THETA} THEN v ELSE 0 END) FROM sc GROUP BY i"))
+
+
+@query(q.with_(*q.LAP, *_FILTERED) + q.matrix("f"))
+def filtered_matrix(spark, d):
+    return rounded(graph.filtered(A(spark, d), THETA), 6)
+
+
+_OMEGA = (q.DI, q.cte("om", "SELECT 4.0 / (3.0 * max(abs(di.v * r.s))) AS w FROM (SELECT i, sum(abs(v)) AS s FROM a GROUP BY i) r JOIN di ON di.i = r.i"))
+
+
+@query(q.with_(*q.LAP, q.D, *_OMEGA) + "SELECT round(w, 9) AS omega FROM om")
+def omega_estimate(spark, d):
+    return graph.omega(A(spark, d)).select(F.round("omega", 9).alias("omega"))
+
+
+_SMOOTHER = q.cte("sm", "SELECT f.i, f.j, (CASE WHEN f.i = f.j THEN 1 ELSE 0 END) - 0.5 * f.v / fd.v AS v FROM f JOIN (SELECT i, v FROM f WHERE i = j) fd ON fd.i = f.i")
+
+
+@query(q.with_(*q.LAP, *_FILTERED, _SMOOTHER) + q.matrix("sm", 9))
+def omega_smoother(spark, d):
+    a = A(spark, d)
+    return rounded(graph.smoother_matrix(a, 0.5, graph.filtered(a, THETA)), 9)
+
+
+# Matching
+
+_EDGES = (
+    q.D,
+    q.cte("c0", "SELECT a.i, a.j, CASE WHEN di0.v + dj0.v <= 2.220446049250313e-16 THEN 2.220446049250313e-16 ELSE 1 - 2 * a.v / (di0.v + dj0.v) END AS c FROM a JOIN d di0 ON di0.i = a.i JOIN d dj0 ON dj0.i = a.j WHERE a.i < a.j"),
+    q.cte("ew", "SELECT i, j, round(ln(abs(c) / (0.999 * (SELECT min(abs(c)) FROM c0))), 8) AS v FROM c0"),
+    q.cte("eb", "SELECT i, j, v FROM ew UNION ALL SELECT j, i, v FROM ew"),
+    q.cte("best", "SELECT i, arg_max(j, v * 1e8 * 1e7 + j) AS mate FROM (SELECT i, j, round(v * 1e8) / 1e8 AS v FROM eb) GROUP BY i"),
+)
+
+
+@query(q.with_(*q.LAP, *_EDGES) + "SELECT i, j, v FROM ew")
+def edge_weights(spark, d):
+    return rounded(graph.edge_weights(A(spark, d)), 8)
+
+
+@query(q.with_(*q.LAP, *_EDGES[:-1], q.cte("r", "SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY v DESC, j DESC) AS k FROM eb")) + "SELECT x.i, x.j FROM r x JOIN r y ON x.j = y.i AND y.j = x.i WHERE x.k = 1 AND y.k = 1 AND x.i < x.j")
+def matching_first_round(spark, d):
+    w = rounded(graph.edge_weights(A(spark, d)), 8)
+    return graph.mutual_round(w.union(w.select("j", "i", "v")))
+
+
+@query()
+def matching_full(spark, d):
+    return graph.matching(rounded(graph.edge_weights(A(spark, d)), 8))
+
+
+@query()
+def matching_statistics(spark, d):
+    a = blas.cut(A(spark, d))
+    return graph.matching_statistics(a, graph.matching(rounded(graph.edge_weights(a), 8)))
+
+
+# Aggregation and transfer
+
+
+@query()
+def soc1_aggregates(spark, d):
+    a = blas.cut(A(spark, d))
+    return aggregate.soc_aggregates(a, parts4(a), THETA, "SOC1")
+
+
+@query()
+def soc1_aggregates_degree(spark, d):
+    a = blas.cut(A(spark, d))
+    return aggregate.soc_aggregates(a, parts4(a), THETA, "SOC1", "DEGREE")
+
+
+@query()
+def soc2_aggregates(spark, d):
+    a = blas.cut(A(spark, d))
+    return aggregate.soc_aggregates(a, parts4(a), THETA, "SOC2")
+
+
+@query()
+def soc1_roots(spark, d):
+    a, _ = generators.poisson(spark, 2, 16)
+    a = blas.cut(a)
+    return aggregate.soc_roots(a, generators.blocks((spark, 256), 4))
+
+
+@query()
+def aggregate_sizes(spark, d):
+    a = blas.cut(A(spark, d))
+    return aggregate.soc_aggregates(a, parts4(a), THETA).groupBy("agg").agg(F.count("*").alias("size"))
+
+
+@query()
+def coupled_prolongator(spark, d):
+    a, _ = generators.poisson(spark, 2, 12)
+    return rounded(aggregate.Coupled(size=4).tentative(blas.cut(a), None, None), 9)
+
+
+@query(q.with_(*q.LAP, q.D, q.PT) + q.matrix("pt"))
+def tentative_prolongator(spark, d):
+    return pairs4(A(spark, d))
+
+
+_SMOOTHED = (*_FILTERED, q.PT, _SMOOTHER, q.spgemm("pm", "sm", "pt"))
+
+
+@query(q.with_(*q.LAP, *_SMOOTHED) + "SELECT i, j, round(v, 8) AS v FROM pm WHERE abs(v) > 1e-7")
+def smoothed_prolongator(spark, d):
+    a = A(spark, d)
+    return rounded(aggregate.smoothed(a, pairs4(a), THETA, True, 0.5), 8).where("abs(v) > 1e-7")
+
+
+@query(q.with_(*q.LAP, q.D, q.PT, q.X, q.spmv("y", "pt", "x", True)) + q.vector("y"))
+def restriction(spark, d):
+    return rounded(blas.spmv(pairs4(A(spark, d)), x_of(spark, d), trans="T"), 4)
+
+
+@query(q.with_(*q.LAP, q.D, q.PT, q.cte("u", "SELECT j AS i, j * 0.5 AS v FROM pt GROUP BY j"), q.spmv("y", "pt", "u")) + q.vector("y"))
+def prolongation(spark, d):
+    pt = pairs4(A(spark, d))
+    u = pt.select(F.col("j").alias("i")).distinct().withColumn("v", F.col("i") * 0.5)
+    return rounded(blas.spmv(pt, u), 4)
+
+
+_RAP = (q.D, q.PT, q.spgemm("ap", "a", "pt"), q.spgemm("ac", "pt", "ap", True))
+
+
+@query(q.with_(*q.LAP, *_RAP) + q.matrix("ac", 4))
+def galerkin_product(spark, d):
+    a = A(spark, d)
+    return rounded(aggregate.rap(a, pairs4(a)), 4)
+
+
+@query(q.with_(*q.LAP, *_RAP) + "SELECT round((SELECT count(*) FROM ac) / (SELECT count(*) FROM a)::DOUBLE + 1, 6) AS complexity, round((SELECT count(*) FROM d) / (SELECT count(DISTINCT j) FROM pt)::DOUBLE, 6) AS coarsening")
+def hierarchy_metrics(spark, d):
+    a = A(spark, d)
+    pre = Preconditioner("ML").set_hierarchy(a, parts4(a), [(pairs4(a), None)])
+    return spark.createDataFrame([(round(pre.operator_complexity(), 6), round(pre.average_coarsening(), 6))], "complexity double, coarsening double")
+
+
+# Smoothers and cycles
+
+
+@query(q.with_(*q.LAP, q.D, q.DI, q.X, *q.jacobi("y", "a", "di", "x", 3)) + q.vector("y3", 6))
+def jacobi_3(spark, d):
+    a = A(spark, d)
+    return rounded(Jacobi().build(a, None).apply(x_of(spark, d).join(a.select("i").distinct(), "i", "left_semi"), sweeps=3), 6)
+
+
+@query(q.with_(*q.LAP, q.X, q.cte("di", "SELECT i, 1 / sum(CASE WHEN i = j THEN v ELSE abs(v) END) AS v FROM a GROUP BY i"), *q.jacobi("y", "a", "di", "x", 3)) + q.vector("y3", 6))
+def l1_jacobi_3(spark, d):
+    a = A(spark, d)
+    return rounded(Jacobi(l1=True).build(a, None).apply(x_of(spark, d).join(a.select("i").distinct(), "i", "left_semi"), sweeps=3), 6)
+
+
+_N = q.cte("nn", "SELECT * FROM a WHERE i % 4 <> j % 4")
+
+
+@query(q.with_(*q.LAP, q.D, q.DI, q.X, _N, q.mlt("y1", "di", "x"), q.spmv("p", "nn", "y1"), q.lin("r", (1, "x"), (-1, "p")), q.mlt("y2", "di", "r")) + q.vector("y2", 6))
+def block_jacobi_diag(spark, d):
+    a = A(spark, d)
+    x = x_of(spark, d).join(a.select("i").distinct(), "i", "left_semi")
+    return rounded(BlockJacobi(Block("DIAG")).build(a, parts4(a)).apply(x, sweeps=2), 6)
+
+
+def _two_level(spark, d, cycle):
+    a = A(spark, d)
+    pre = Preconditioner("ML").set("ML_CYCLE", cycle).set("SMOOTHER_TYPE", "JACOBI").set("COARSE_SOLVE", "JACOBI").set("COARSE_SWEEPS", 1)
+    pre.set_hierarchy(a, parts4(a), [(pairs4(a), None)]).smoothers_build()
+    return rounded(pre.apply(x_of(spark, d).join(a.select("i").distinct(), "i", "left_semi")), 6)
+
+
+_COARSE = (*_RAP, q.DI, q.X, q.cte("dc", "SELECT i, 1 / v AS v FROM ac WHERE i = j"), q.mlt("y1", "di", "x"))
+
+
+@query(q.with_(*q.LAP, *_COARSE, q.spmv("rc", "pt", "x", True), q.mlt("zc", "dc", "rc"), q.spmv("up", "pt", "zc"), q.lin("y", (1, "y1"), (1, "up"))) + q.vector("y", 6))
+def two_level_additive(spark, d):
+    return _two_level(spark, d, "ADD")
+
+
+@query(q.with_(*q.LAP, *_COARSE, q.spmv("p1", "a", "y1"), q.lin("r1", (1, "x"), (-1, "p1")), q.spmv("rc", "pt", "r1", True), q.mlt("zc", "dc", "rc"), q.spmv("up", "pt", "zc"), q.lin("y2", (1, "y1"), (1, "up")), *q.jacobi("z", "a", "di", "x", 1, "y2")) + q.vector("z1", 6))
+def two_level_v_cycle(spark, d):
+    return _two_level(spark, d, "VCYCLE")
+
+
+def jacobi_history(spark: SparkSession, d: str, sweeps: int = 4) -> DataFrame:
+    """Residual norms of weighted Jacobi (weight 2/3) on the co-purchase Laplacian with the parts' prices."""
+    a = blas.cut(A(spark, d))
+    x = blas.cut(x_of(spark, d).join(a.select("i").distinct(), "i", "left_semi"))
+    inv = blas.cut(blas.inv_diag(a))
+    y, out = x.withColumn("v", F.lit(0.0)), None
+    for k in range(sweeps + 1):
+        r = blas.cut(blas.axpby(1.0, x, -1.0, blas.spmv(a, y)))
+        one = r.agg(F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 4).alias("nrm2")).select(F.lit(k).alias("sweep"), "nrm2")
+        out = one if out is None else out.union(one)
+        y = blas.axpby(1.0, y, 2.0 / 3.0, blas.mlt(inv, r))
+    return out
+
+
+def _history_sql(sweeps: int = 4) -> str:
+    parts, rows, y = [*q.LAP, q.D, q.DI, q.X, q.cte("y0", "SELECT i, 0.0::DOUBLE AS v FROM x")], [], "y0"
+    for k in range(sweeps + 1):
+        parts += [q.spmv(f"p{k}", "a", y), q.lin(f"r{k}", (1, "x"), (-1, f"p{k}")), q.mlt(f"c{k}", "di", f"r{k}"), q.lin(f"y{k + 1}", (1, y), (2.0 / 3.0, f"c{k}"))]
+        rows.append(f"SELECT {k}::INTEGER AS sweep, round(sqrt(sum(v * v)), 4) AS nrm2 FROM r{k}")
+        y = f"y{k + 1}"
+    return q.with_(*parts) + " UNION ALL ".join(rows)
+
+
+_QUERIES["weighted_jacobi_history"] = jacobi_history
+_SQL["weighted_jacobi_history"] = _history_sql()
+
+
+# Generated problems
+
+for _dim, _n in ((2, 20), (3, 8)):
+    for _kind in SETS_2D:
+        _m, _r = q.stencil(_dim, _n, _kind)
+        _QUERIES[f"poisson{_dim}d_{_kind}"] = lambda spark, d, dim=_dim, n=_n, kind=_kind: rounded(generators.poisson(spark, dim, n, kind)[0], 6)
+        _QUERIES[f"rhs{_dim}d_{_kind}"] = lambda spark, d, dim=_dim, n=_n, kind=_kind: rounded(generators.poisson(spark, dim, n, kind)[1], 6)
+        _SQL[f"poisson{_dim}d_{_kind}"], _SQL[f"rhs{_dim}d_{_kind}"] = _m, _r
+
+
+@query(q.with_(q.cte("e", "SELECT vec_id AS i, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0")) + "SELECT x.vec_id AS i, e.i AS j, round(list_dot_product(x.embedding::DOUBLE[], e.e), 5) AS v FROM embeddings x JOIN e ON x.vec_id <> e.i WHERE list_dot_product(x.embedding::DOUBLE[], e.e) > 0.25 * sqrt(list_dot_product(e.e, e.e) * list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[]))")
+def embedding_graph(spark, d):
+    """Rows against the stated query set (ids divisible by 50): entries above a cosine of 0.25."""
+    e = tables.read(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "v"))
+    s = e.where("i % 50 = 0").select(F.col("i").alias("j"), "k", F.col("v").alias("w"))
+    norm = e.groupBy("i").agg(F.sum(F.col("v") * F.col("v")).alias("n"))
+    dots = e.join(s, "k").where("i <> j").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    both = dots.join(norm, "i").join(norm.select(F.col("i").alias("j"), F.col("n").alias("m")), "j")
+    return both.where(F.col("v") > 0.25 * F.sqrt(F.col("n") * F.col("m"))).select("i", "j", F.round("v", 5).alias("v"))
+
+
+# Blocks, cycles and solvers without SQL
+
+_SUB = {"gs": "FWGS", "bwgs": "BWGS", "ilu0": "ILU", "milu": "MILU", "ilut": "ILUT", "invk": "INVK", "invt": "INVT", "ainv": "AINV", "lu": "LU", "krm": "KRM"}
+
+
+def _block_query(solver: str):
+    def run(spark, d):
+        a, b = generators.poisson(spark, 2, 12, "box")
+        more = {"tol": 1e-3} if solver in ("ILUT", "INVT", "AINV") else {}
+        s = BlockJacobi(Block(solver, fill=2 if solver == "ILUT" else 0, **more)).build(blas.cut(a), generators.blocks((spark, 144), 4))
+        return rounded(s.apply(b, sweeps=2), 8)
+
+    return run
+
+
+for _name, _solver in _SUB.items():
+    _QUERIES[f"block_{_name}"] = _block_query(_solver)
+
+
+@query()
+def l1_block_gs(spark, d):
+    a, b = generators.poisson(spark, 2, 12)
+    return rounded(make("L1-GS").build(blas.cut(a), generators.blocks((spark, 144), 4)).apply(b, sweeps=2), 8)
+
+
+@query()
+def schwarz_as(spark, d):
+    a, b = generators.poisson(spark, 2, 12)
+    return rounded(Schwarz(Block("ILU"), 1, "HALO", "SUM").build(blas.cut(a), generators.blocks((spark, 144), 4)).apply(b), 8)
+
+
+@query()
+def schwarz_ras(spark, d):
+    a, b = generators.poisson(spark, 2, 12)
+    return rounded(Schwarz(Block("ILU"), 1, "HALO", "NONE").build(blas.cut(a), generators.blocks((spark, 144), 4)).apply(b), 8)
+
+
+def _cycle_query(cycle: str):
+    def run(spark, d):
+        a, b = generators.poisson(spark, 2, 16)
+        pre = Preconditioner("ML").set("ML_CYCLE", cycle).set("SMOOTHER_TYPE", "L1-JACOBI").set("MIN_COARSE_SIZE", 8)
+        return rounded(pre.build(blas.cut(a), n_blocks=2).apply(b), 8)
+
+    return run
+
+
+for _c in ("ADD", "VCYCLE", "WCYCLE", "KCYCLE", "KCYCLESYM"):
+    _QUERIES[f"cycle_{_c.lower()}"] = _cycle_query(_c)
+
+
+def _solve_query(method: str):
+    def run(spark, d):
+        a, b = generators.poisson(spark, 2, 12)
+        a = blas.cut(a)
+        pre = Preconditioner("L1-JACOBI").build(a, n_blocks=2)
+        got = solve(a, blas.cut(b), pre, method, eps=1e-3, itmax=6)
+        return spark.createDataFrame([(int(i), float(e)) for i, e in got.history], "iteration int, error double")
+
+    return run
+
+
+for _m in ("CG", "BICGSTAB"):
+    _QUERIES[f"solve_{_m.lower()}"] = _solve_query(_m)
+
+
+@query()
+def solve_pcg_multigrid(spark, d):
+    a, b = generators.poisson(spark, 2, 24)
+    a = blas.cut(a)
+    pre = Preconditioner("ML").set("MIN_COARSE_SIZE", 60).build(a, n_blocks=4)
+    got = solve(a, blas.cut(b), pre, "CG", eps=1e-6, itmax=30)
+    return spark.createDataFrame([(int(i), float(e)) for i, e in got.history], "iteration int, error double")
+
+
+@query()
+def hierarchy_dump(spark, d):
+    a, _ = generators.poisson(spark, 2, 16)
+    return Preconditioner("ML").set("MIN_COARSE_SIZE", 20).hierarchy_build(a, n_blocks=2).dump()
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
