@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def _lines(spark: SparkSession, path: str) -> tuple[DataFrame, str, int]:
     """Data lines with their number in the file, the banner, and the number of the size line."""
-    raw = spark.read.option("wholetext", "false").text(path).select(F.col("value").alias("line"))
+    raw = spark.read.text(path).select(F.col("value").alias("line"))
     raw = raw.withColumn("seq", F.monotonically_increasing_id())
     banner = raw.where("seq = 0").first()["line"]
     size = raw.where(~F.col("line").startswith("%") & (F.trim("line") != "")).orderBy("seq").limit(1).first()
@@ -86,7 +86,7 @@ def parse_harwell_boeing(text: str) -> dict:
 
 def read_harwell_boeing(spark: SparkSession, path: str) -> dict:
     """The parts of a Harwell-Boeing file as DataFrames; the format is one sequential file of bounded size."""
-    p = parse_harwell_boeing(spark.read.option("wholetext", "true").text(path).first()[0])
+    p = parse_harwell_boeing(spark.read.text(path, wholetext=True).first()[0])
     vec = lambda x: None if x is None else spark.createDataFrame(list(enumerate(x, 1)), "i long, v double")
     return {"matrix": spark.createDataFrame(p["entries"], "i long, j long, v double"), "rhs": vec(p["rhs"]), "guess": vec(p["guess"]), "solution": vec(p["solution"])}
 
