@@ -118,17 +118,19 @@ def _postings(ranges: int, hot, boundary: int):
 
 
 def _shared(t: pa.Table) -> pa.Table:
-    """Lists of two nodes at least, as rows (list, sig, n)."""
+    """Lists of two nodes at least whose sizes fit, as rows (list, sig, n)."""
     k, s, n = gather(t.column("key"), np.uint64), gather(t.column("sig"), np.int64), gather(t.column("n"), np.int32)
     o = np.lexsort((s, k))
     k, s, n = k[o], s[o], n[o]
     first = np.ones(len(k), bool)
     first[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
     k, s, n = k[first], s[first], n[first]
-    same = k[1:] == k[:-1]
+    o = np.lexsort((n, k))  # by size in each list: a node whose neighbours do not fit has no partner there
+    k, s, n = k[o], s[o], n[o]
+    near = (k[1:] == k[:-1]) & _fits(n[1:], n[:-1])
     keep = np.zeros(len(k), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
+    keep[1:] |= near
+    keep[:-1] |= near
     return pa.table({"list": k[keep].view(np.int64), "sig": s[keep], "n": n[keep]})
 
 
@@ -293,14 +295,19 @@ class NearJoin:
         grid = max(4, int(np.ceil(spread**0.5 / 2)))
         links, comp, tried = None, None, None
         for salt in range(STAR_ROUNDS + 1):
-            at = lists.withColumn("comp", F.col("sig")) if comp is None else lists.join(comp, lists.sig == comp.id, "left").select("list", "sig", "n", F.coalesce("component", "sig").alias("comp"))
+            if comp is None:
+                at = lists.select("list", "sig", "n", F.col("sig").alias("comp"), F.lit(0).cast("long").alias("links"))
+            else:
+                degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+                known = comp.join(degree, "id", "left")
+                at = lists.join(known, lists.sig == known.id, "left").select("list", "sig", "n", F.coalesce("component", "sig").alias("comp"), F.coalesce("links", F.lit(0)).alias("links"))
             if salt < STAR_ROUNDS:
-                pairs = self._stars(at, salt, links)
+                pairs = self._stars(at.repartition("list"), salt)
                 pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
                 tried = pairs if tried is None else tried.union(pairs)
                 blocks = cut(pairs.mapInArrow(_blocks(grid), "part int, a binary, b binary"))
             else:
-                cross = at.withColumn("part", F.pmod(F.hash("list"), F.lit(spread))).groupBy("part").applyInArrow(_cross(spread), "part int, x binary, y binary, nx binary, ny binary")
+                cross = at.drop("links").withColumn("part", F.pmod(F.hash("list"), F.lit(spread))).groupBy("part").applyInArrow(_cross(spread), "part int, x binary, y binary, nx binary, ny binary")
                 blocks = cut(cross.groupBy("part").applyInArrow(_bounded(boundary, grid), "part int, a binary, b binary"))
             found = self._verified(blocks, reps)
             links = found if links is None else links.union(found)
@@ -311,18 +318,13 @@ class NearJoin:
         return named.join(least, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
     @staticmethod
-    def _stars(at: DataFrame, salt: int, links: DataFrame | None) -> DataFrame:
+    def _stars(at: DataFrame, salt: int) -> DataFrame:
         """For each node the ``PIVOTS`` partners that are pivot of most of its lists, of other components.
 
         The pivot of a list is the node with most links so far, then the least under a salted hash; every node meets
         the pivot only, so the work is linear in the postings.
         """
         rank = F.xxhash64(F.col("sig"), F.lit(salt))
-        if links is None:
-            at = at.withColumn("links", F.lit(0).cast("long"))
-        else:
-            degree = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("links"))
-            at = at.join(degree, "sig", "left").withColumn("links", F.coalesce("links", F.lit(0)))
         best = F.min(F.struct((-F.col("links")).alias("l"), rank.alias("r"), "sig", "n", "comp"))
         pivot = at.groupBy("list").agg(best.alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
         pairs = at.join(pivot, "list").where((F.col("comp") != F.col("p.comp")) & (F.least("n", "p.n") * DEN >= F.greatest("n", "p.n") * NUM))
