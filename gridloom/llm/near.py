@@ -35,7 +35,7 @@ from gridloom.llm.common import components, cut, gather, mix, n_ranges, scatter,
 
 #: Most frequent shingles that are broadcast (8 bytes each); documents that a shingle must be in to be one of them.
 HOT, HOT_DF = 1 << 20, 24
-STAR_ROUNDS, PIVOTS = 2, 4
+STAR_ROUNDS, PIVOTS = 2, 3
 NUM, DEN = 3, 4  # the similarity threshold as a fraction
 
 
@@ -269,8 +269,8 @@ class NearJoin:
         """The links among written candidate pairs, by whole sets: each set goes once to each cell that needs it."""
         needs = cut(blocks.groupBy("part").applyInArrow(_nodes, "part int, sig long"))
         want = cut(needs.select("sig").distinct().join(reps, "sig"))
-        texts = self.docs.join(small(want, 500_000), "doc_id").select("sig", "text").dropDuplicates(["sig"])
-        sets = texts.mapInArrow(_sets, "sig long, items binary").join(needs, "sig").select("part", "sig", "items")
+        texts = self.docs.join(small(want, 500_000), "doc_id").select("sig", "text")
+        sets = texts.mapInArrow(_sets, "sig long, items binary").dropDuplicates(["sig"]).join(needs, "sig").select("part", "sig", "items")
         return cut(sets.groupBy("part").cogroup(blocks.groupBy("part")).applyInArrow(_verify, "a long, b long"))
 
     def result(self) -> DataFrame:
@@ -329,10 +329,10 @@ class NearJoin:
         pivot = at.groupBy("list").agg(best.alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
         pairs = at.join(pivot, "list").where((F.col("comp") != F.col("p.comp")) & (F.least("n", "p.n") * DEN >= F.greatest("n", "p.n") * NUM))
         counted = pairs.groupBy("sig", F.col("p.sig").alias("q")).agg(F.count("*").alias("k"), F.min("n").alias("n"), F.min("p.n").alias("m"))
-        # A link shares need - rest prefix elements; a quarter of them with this pivot makes it worth a look in a star round.
+        # A link shares need - rest prefix elements; half of them with this pivot make it worth a look in a star round.
         least = (F.col("n") + F.col("m")) * NUM / (NUM + DEN) - F.greatest("n", "m") * NUM / DEN
         top = F.slice(F.sort_array(F.collect_list(F.struct("k", "q")), asc=False), 1, PIVOTS)
-        chosen = counted.where(F.col("k") * 4 >= least).groupBy("sig").agg(top.alias("m")).select("sig", F.explode("m.q").alias("q"))
+        chosen = counted.where(F.col("k") * 2 >= least).groupBy("sig").agg(top.alias("m")).select("sig", F.explode("m.q").alias("q"))
         return chosen.select(F.least("sig", "q").alias("a"), F.greatest("sig", "q").alias("b")).distinct()
 
     @staticmethod
