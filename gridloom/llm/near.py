@@ -9,8 +9,10 @@ another shares at least k elements of its first n - ceil(0.75 n) + k elements in
   lists of the elements of their prefix (k = 1), which are scanned.
 * The *boundary* minimises the cost estimated from the histogram of sizes and the mean length of a list.
 
-The common order puts frequent shingles last.  The frequencies are counted over all documents; the most frequent
-``HOT`` ones (bounded) are broadcast, and any order gives right results.
+The common order is by hash, with frequent shingles last.  Frequencies are counted over all documents, but only for
+shingles whose highest hash bit is unset: these come first, and a prefix seldom reaches the others, which keep their
+place by hash.  The most frequent ``HOT`` of them (bounded) are broadcast.  Any order gives right results; a document
+whose prefix is mostly made of uncounted frequent shingles only costs more.
 
 Long lists (groups of near copies) do not emit their pairs: star rounds first verify one pair for each document,
 with the list's pivot, and join components; the last round takes pairs from different components only, counts the
@@ -227,8 +229,13 @@ def _nodes(t: pa.Table) -> pa.Table:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        items = [shingle_hashes(t).tobytes() for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.binary())], names=["sig", "items"])
+        sigs, items = [], []
+        for sig, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            s = shingle_hashes(t)
+            if len(s) and _sig(s) == sig:  # another row of the same doc_id may hold another text
+                sigs.append(sig)
+                items.append(s.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(items, pa.binary())], names=["sig", "items"])
 
 
 def _verify(sets: pa.Table, blocks: pa.Table) -> pa.Table:
@@ -267,7 +274,7 @@ class NearJoin:
         """The links among written candidate pairs, by whole sets: each set goes once to each cell that needs it."""
         needs = cut(blocks.groupBy("part").applyInArrow(_nodes, "part int, sig long"))
         want = cut(needs.select("sig").distinct().join(reps, "sig"))
-        texts = self.docs.join(small(want, 500_000), "doc_id").select("sig", "text").dropDuplicates(["sig"])
+        texts = self.docs.join(small(want, 500_000), "doc_id").select("sig", "text").distinct()
         sets = texts.mapInArrow(_sets, "sig long, items binary").join(needs, "sig").select("part", "sig", "items")
         return cut(sets.groupBy("part").cogroup(blocks.groupBy("part")).applyInArrow(_verify, "a long, b long"))
 
