@@ -58,6 +58,14 @@ def _drop_scratch() -> None:
             return
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a hash of (doc_id, text) in a column of an unused name: decisions on texts also reach rows without an id."""
+    name = "__key"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))), name
+
+
 def n_ranges(spark: SparkSession, total_bytes: int, per_task: int = 24 << 20) -> int:
     """How many hash ranges keep a task's share of ``total_bytes`` near ``per_task`` bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes) // per_task), 1)

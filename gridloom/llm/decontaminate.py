@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut
+from gridloom.llm.common import cut, keyed
 
 WIDTH, MAX_BENCHMARK_BYTES = 10, 8 << 20
 #: Bytes of words: digits, letters (lower-cased) and all bytes of characters beyond ASCII; others become spaces.
@@ -172,6 +172,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = M
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a window of the benchmark; all others stay as they are."""
-    bad = cut(find_contamination(docs, benchmark).where("contaminated").select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that hold a window of the benchmark, those without a doc_id included; others stay as they are."""
+    rows, key = keyed(docs)
+    found = find_contamination(rows.select(F.col(key).alias("doc_id"), "text"), benchmark)
+    bad = cut(found.where("contaminated").select(F.col("doc_id").alias(key)).distinct())
+    return rows.join(bad, key, "left_anti").select(*docs.columns)

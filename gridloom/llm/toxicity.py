@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import cut, keyed
+
 MAX_TRAIN = 3000
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[\"“”«»„]")
 QUOTES = frozenset("\"“”«»„")
@@ -302,8 +304,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> D
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are predicted toxic."""
-    from gridloom.llm.common import cut
-
-    bad = cut(toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that are predicted toxic, those without a doc_id included."""
+    model = ToxicityModel.fit(training_rows(docs, labels))
+    rows, key = keyed(docs)
+    bad = cut(score(rows.select(F.col(key).alias("doc_id"), "text"), model).where("score >= 0.5").select(F.col("doc_id").alias(key)).distinct())
+    return rows.join(bad, key, "left_anti").select(*docs.columns)

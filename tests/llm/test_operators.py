@@ -68,6 +68,15 @@ def test_near_join_equals_brute_force(spark, docs):
     assert keep_one(docs).columns == docs.columns
 
 
+def test_near_join_keeps_apart_texts_of_one_doc_id(spark):
+    from gridloom.llm.near import jaccard_components
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (1, "another text that shares nothing with its twin at all"), (2, " ".join([*words, "x"]))]
+    got = {(d, n): c for d, n, c in plain(jaccard_components(frame(spark, rows)))}
+    assert got == {(1, 56): 1, (1, 6): 1, (2, 57): 1}
+
+
 @pytest.mark.parametrize("seed", [11, 12])
 def test_near_join_on_sets_around_the_threshold(spark, seed):
     from gridloom.llm.near import jaccard_components
@@ -114,6 +123,8 @@ def test_contamination_equals_brute_force_both_ways(spark, docs):
         assert plain(find_contamination(docs, bench, limit).select(cols)) == want
     clean = {r.doc_id for r in drop_contaminated(docs, bench).collect()}
     assert clean == {r[0] for r in want if not r[5]}
+    nameless = frame(spark, [(None, texts[12 * 7 + 14]), (None, "zq zr")])
+    assert [r.text for r in drop_contaminated(nameless, bench).collect()] == ["zq zr"]
     got = find_contamination(docs, bench).where("n_hit > 0").collect()
     assert all(0 <= s.start < s.end <= len(texts[r.doc_id]) for r in got for s in r.spans)
 
@@ -248,7 +259,7 @@ def test_toxicity_learns_and_leaves_edges_alone(spark):
     assert right == sum(r.held_out for i, r in got.items() if i is not None and i < 400)
     assert got[1000].predicted == 1 and got[1001].score == got[1002].score < 0.5 and got[None].predicted == 1
     kept = drop_toxic(frame(spark, rows), lab)
-    assert kept.columns == frame(spark, rows).columns and kept.where("doc_id = 1").count() == 1 and kept.where("doc_id = 1000").count() == 0
+    assert kept.columns == frame(spark, rows).columns and kept.where("doc_id = 1").count() == 1 and kept.where("doc_id = 1000 or doc_id is null").count() == 0
     none = toxicity(frame(spark, rows), lab.limit(0)).agg(F.max("score")).first()[0]
     assert none == 0.0
     trie = Trie([("wretched", 3.0, False, True)])
