@@ -326,6 +326,27 @@ def test_license_scan_and_inheritance(spark):
     assert {k: (r.license, r.inherited_from) for k, r in got.items()} == want
 
 
+def test_license_scan_finds_short_spdx_and_wrapped_statements(spark):
+    from gridloom.llm.license_scan import license_scan
+
+    texts = {
+        "All rights reserved.": "Proprietary",
+        "prose\nCopyright (c) 2020 Acme Inc. All rights reserved.\nprose": "Proprietary",
+        "# SPDX-License-Identifier: MIT": "MIT",
+        "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0",
+        "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "GPL-3.0",
+        "Copyright 2020 Acme. All rights reserved.\nSPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+        "A long line of prose about many other matters. Released under the MIT License. And more prose after it.": "MIT",
+        "Copyright (c) 2020 Acme Inc.": None,
+        "all the rights reserved for the king were lost": None,
+        "You need permission to fish here.": None,
+    }
+    rows = [(i, f"{i}/LICENSE", t) for i, t in enumerate(texts)] + [(100, "m/LICENSE", "Released under the MIT License."), (101, "m/p.txt", "All rights reserved.")]
+    got = {r.file_id: r.license for r in license_scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert got == dict(enumerate(texts.values())) | {100: "MIT", 101: "Proprietary"}
+
+
 def test_empty_tables(spark):
     from gridloom.llm import chat, decontaminate, license_scan, masked_lm, near, neardup_vectors, packing, pii, repeats, toxicity
 
