@@ -59,7 +59,7 @@ def passes(kind: str, v: Column) -> Column:
     if kind == "email":
         return F.lit(True)
     if kind == "ip":
-        return F.forall(F.split(v, r"\."), lambda p: F.when(F.length(F.ltrim(F.lit("0"), p)) <= 3, F.coalesce(p.cast("long"), F.lit(0)) <= 255).otherwise(False))
+        return F.forall(F.split(v, r"\."), lambda p: F.when(F.length(F.ltrim(p, F.lit("0"))) <= 3, F.coalesce(F.ltrim(p, F.lit("0")).try_cast("int"), F.lit(0)) <= 255).otherwise(False))
     n = F.length(_digits(v))
     if kind == "card":
         return F.when((n >= 13) & (n <= 19), luhn(_digits(v))).otherwise(False)

@@ -150,6 +150,15 @@ def test_pii_base_spans_equal_brute_force(spark):
     assert got == sorted(((i, *brute.pii_digest(t)) for i, t in PII), key=str)
 
 
+def test_pii_ip_parts_of_any_length(spark):
+    from gridloom.llm.pii import mask_pii, pii_digest
+
+    rows = [(1, "ip " + "1234567890" * 2 + "12345.1.1.1 end"), (2, "ip " + "0" * 25 + "7.1.1." + "0" * 25 + " end"), (3, "ip 0000.00256.1.1 00255.0.0.0 end"), (4, "ip " + "9" * 400 + ".1.1.1")]
+    got = sorted((tuple(r)[:6] for r in pii_digest(frame(spark, rows)).collect()), key=str)
+    assert got == sorted(((i, *brute.pii_digest(t)) for i, t in rows), key=str)
+    assert {r.doc_id: r.text for r in mask_pii(frame(spark, rows)).collect()}[2] == "ip [IP] end"
+
+
 def test_pii_patterns_discover_and_masking_replaces(spark):
     from gridloom.llm.pii import find_pii, mask_pii
 
