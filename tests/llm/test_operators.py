@@ -317,6 +317,34 @@ def test_language_model_gradient_and_scores(spark):
     assert abs(np.log(p[np.arange(20), x]).sum() - lm.log_prob(m, x)) < 1e-2
 
 
+@pytest.mark.parametrize("local", [0, 150, 100_000])
+def test_language_model_scores_words_within_their_class(spark, monkeypatch, local):
+    import math
+    import zlib
+    from collections import Counter
+
+    from gridloom.llm import masked_lm as lm
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 900}" for _ in range(80)) for _ in range(40)]
+    rows = [*enumerate(texts), (7, texts[3]), (None, "w1 once"), (90, None)]
+    trained = lm.train(frame(spark, rows))
+    monkeypatch.setattr(lm, "LOCAL", local)
+    n = Counter(w for _, t in rows for w in lm.words_of(t))
+    kind = lambda w: zlib.crc32(w) % lm.BUCKETS
+    size = Counter()
+    for w, k in n.items():
+        size[kind(w)] += k if w not in trained[0] else 0
+    assert len(n) > 2 * lm.VOCAB
+    want = []
+    for i, t in rows:
+        w = lm.words_of(t)
+        inside = sum(math.log(n[x] / size[kind(x)]) for x in w if x not in trained[0])
+        want.append((str(i), len(w), lm.log_prob(trained[1], lm.Coder(trained[0])(w)) + inside if w else 0.0))
+    got = sorted((str(r.doc_id), r.n_words, r.pll) for r in lm.lm_scores(frame(spark, rows), trained).collect())
+    assert all(g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-3 for g, w in zip(got, sorted(want), strict=True))
+
+
 def test_license_scan_and_inheritance(spark):
     from gridloom.llm.license_scan import license_scan
 
