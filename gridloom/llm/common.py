@@ -9,6 +9,7 @@ the amount of data, so a range fits in a task's memory at any size.
 from __future__ import annotations
 
 import atexit
+import itertools
 import tempfile
 import uuid
 
@@ -155,15 +156,18 @@ def small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """Smallest id reachable by undirected ``links`` (a, b): rows (id, component) for every id that has a link.
 
     Alternating large-star and small-star steps; each step is a grouped minimum and one join, written to scratch
-    space so that lineage stays short.  Nothing is collected but one row of counts a round.
+    space so that lineage stays short.  Nothing is collected but one row of counts a round.  The steps go on until
+    nothing changes; with ``rounds`` it is an error if something still does after them.
     """
     e = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     last = None
-    for _ in range(rounds):
+    for done in itertools.count():
+        if done == rounds:
+            raise RuntimeError(f"components: not settled after {rounds} rounds")
         both = e.union(e.select("v", "u"))
         m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from abc import ABC, abstractmethod
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.blas import block_of, cut, diag, spgemm, spmv, symmetrize, transpose
-from gridloom.operators.graph import edge_weights, filtered, matching, omega, smoother_matrix
+from gridloom.operators.graph import FOLD, edge_weights, filtered, matching, omega, smoother_matrix
 
 UNSET = -1
 
@@ -97,23 +98,28 @@ def number_blocks(m: DataFrame) -> DataFrame:
     return m.join(base, "blk").select("i", (F.col("k") + F.col("base") + 1).alias("agg"))
 
 
-def soc_roots(a: DataFrame, p: DataFrame, theta: float = 0.01, max_rounds: int = 100) -> DataFrame:
+def soc_roots(a: DataFrame, p: DataFrame, theta: float = 0.01, max_rounds: int | None = None) -> DataFrame:
     """Phase-one roots as the lexicographically first independent set on "shares a strong neighbour", in rounds.
 
     The same roots as the sequential rule, without a task for each block: a node is settled as root when it is least
-    in its undecided neighbourhood.
+    in its undecided neighbourhood.  Each round settles the least undecided node, so the rounds end; with
+    ``max_rounds`` it is an error if some are undecided after them.
     """
     s = with_self(block_clip_strong(a, p, theta))
     conflict = cut(s.select("i", "j").join(s.select(F.col("i").alias("k"), "j"), "j").where("i <> k").select("i", "k").distinct())
-    todo = cut(a.select("i").distinct())
+    todo = cut(a.select("i").where("i is not null").distinct())
     roots = None
-    for _ in range(max_rounds):
+    for done in itertools.count():
         if not todo.limit(1).count():
             break
+        if done == max_rounds:
+            raise RuntimeError(f"soc_roots: nodes are undecided after {max_rounds} rounds")
         live = conflict.join(todo, "i", "left_semi").join(todo.select(F.col("i").alias("k")), "k", "left_semi")
         low = live.groupBy("i").agg(F.min("k").alias("m"))
         new = cut(todo.join(low, "i", "left").where("m is null or i < m").select("i"))
         roots = new if roots is None else roots.union(new)
+        if done % FOLD == FOLD - 1:
+            roots = cut(roots)
         out = new.union(conflict.join(new, "i").select("k"))
         todo = cut(todo.join(out.distinct(), "i", "left_anti"))
     return roots

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.blas import arwsum, axpby, cut, diag, symmetrize, transpose  # noqa: F401
 
+#: Rounds after which the results of rounds are written as one table.
+FOLD = 20
+
 
 def with_diagonals(a: DataFrame) -> DataFrame:
     """Entries with |a_ii| and |a_jj|: (i, j, v, scale = sqrt|a_ii a_jj|)."""
@@ -86,15 +91,23 @@ def mutual_round(both: DataFrame) -> DataFrame:
     return best.where("i < mate").join(best.select(F.col("i").alias("mate"), F.col("mate").alias("back")), "mate").where("back = i").select("i", F.col("mate").alias("j"))
 
 
-def matching(weights: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """Half-approximate maximum weight matching by locally dominant edges: rounds until no edge is left."""
-    both = cut(weights.select("i", "j", "v").union(transpose(weights).select("i", "j", "v")))
+def matching(weights: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """Half-approximate maximum weight matching by locally dominant edges: rounds until no edge is left.
+
+    Each round takes an edge of the largest weight, so the rounds end; with ``max_rounds`` it is an error if edges are
+    left after them.
+    """
+    both = cut(weights.select("i", "j", "v").union(transpose(weights).select("i", "j", "v")).where("i <> j"))
     pairs = None
-    for _ in range(max_rounds):
+    for done in itertools.count():
         if not both.limit(1).count():
             break
+        if done == max_rounds:
+            raise RuntimeError(f"matching: edges are left after {max_rounds} rounds")
         new = cut(mutual_round(both))
         pairs = new if pairs is None else pairs.union(new)
+        if done % FOLD == FOLD - 1:
+            pairs = cut(pairs)
         used = new.select("i").union(new.select("j"))
         both = cut(both.join(used, "i", "left_anti").join(used.select(F.col("i").alias("j")), "j", "left_anti").select("i", "j", "v"))
     return cut(pairs) if pairs is not None else weights.select("i", "j").limit(0)
