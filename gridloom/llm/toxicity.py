@@ -5,8 +5,9 @@ more) gets the log-odds of its document frequencies under the two labels.  Words
 under label 1 form the lexicon, a trie in which stems match all their continuations.
 
 *Matching.*  A Levenshtein automaton is intersected with the trie: its states are sets of (trie node, edits), made
-deterministic as texts need them, so a word costs one move a letter.  Words of up to seven letters may differ by one
-edit, longer ones by two; the first letter is fixed, and the terms that may be misspelled are the frequent ones.
+deterministic as texts need them, so a word costs one move a letter.  Words of three to seven letters may differ by one
+edit, longer ones by two, the first letter included; a swap of two neighbours is one edit.  All words of the lexicon
+of four letters or more may be misspelled (stems match their continuations only).
 
 *Context.*  A match is quoted when quotation marks or reporting cues stand within a window of words around it, and
 repeated abuse raises the score.  The features of a document (exact, stem, fuzzy and quoted matches, their density,
@@ -40,7 +41,7 @@ QUOTES = frozenset("\"“”«»„")
 #: Words that report speech, and words of direct address.
 CUES = frozenset("said says wrote quoted called quote dijo dice escribió dit écrit sagte schrieb zitiert".split())
 ADDRESS = frozenset("you your you're tu vous tú usted du sie ihr".split())
-STEM, WINDOW, MIN_DOCS, FUZZY_SHARE = 4, 6, 3, 0.01
+STEM, WINDOW, MIN_DOCS = 4, 6, 3
 N_FEATURES = 9
 
 
@@ -73,8 +74,9 @@ class Trie:
 class Automaton:
     """Intersection of the Levenshtein automaton of ``limit`` edits with the trie, made deterministic as it is used.
 
-    A state is a set of (trie node, edits so far); it is built once and its moves are remembered.  The first letter
-    is fixed.  A state without members is dead and ends the walk.
+    A state is a set of (trie node, edits so far), where ((trie node, letter), edits) stands for the first half of a
+    swap that reaches the node with that letter; it is built once and its moves are remembered.  A state without members
+    is dead and ends the walk.
     """
 
     MAX_STATES = 200_000
@@ -85,16 +87,13 @@ class Automaton:
 
     def _reset(self) -> None:
         self.ids: dict[frozenset, int] = {}
-        self.sets: list[dict[int, int]] = []
+        self.sets: list[dict] = []
         self.moves: list[dict[str, int]] = []
         self.found: list[float] = []
-        self.first: dict[str, int] = {}
-        for ch, child in self.trie.next[0].items():
-            if self.trie.leads[child]:
-                self.first[ch] = self._state({child: 0})
+        self.first = self._state({0: 0} if self.trie.leads[0] else {})
 
-    def _state(self, nodes: dict[int, int]) -> int:
-        t, todo = self.trie, list(nodes.items())
+    def _state(self, nodes: dict) -> int:
+        t, todo = self.trie, [x for x in nodes.items() if type(x[0]) is int]
         while todo:  # letters of the term that the word leaves out
             node, e = todo.pop()
             if e < self.limit:
@@ -110,28 +109,36 @@ class Automaton:
             got = self.ids[key] = len(self.sets)
             self.sets.append(nodes)
             self.moves.append({})
-            self.found.append(max((t.fuzzy[n] / (1 + e) for n, e in nodes.items() if t.fuzzy[n]), default=0.0))
+            self.found.append(max((t.fuzzy[n] / (1 + e) for n, e in nodes.items() if type(n) is int and t.fuzzy[n]), default=0.0))
         return got
 
     def _step(self, state: int, ch: str) -> int:
         t, out = self.trie, {}
         for node, e in self.sets[state].items():
+            if type(node) is tuple:
+                if node[1] == ch and out.get(node[0], 9) > e:  # second half of a swap
+                    out[node[0]] = e
+                continue
             child = t.next[node].get(ch)
             if child is not None and t.leads[child] and out.get(child, 9) > e:
                 out[child] = e
             if e < self.limit:
                 if out.get(node, 9) > e + 1:  # a letter too many
                     out[node] = e + 1
-                for c in t.next[node].values():  # another letter
-                    if t.leads[c] and out.get(c, 9) > e + 1:
-                        out[c] = e + 1
+                for x, c in t.next[node].items():  # another letter, or the first half of a swap
+                    if t.leads[c]:
+                        if out.get(c, 9) > e + 1:
+                            out[c] = e + 1
+                        c = t.next[c].get(ch)
+                        if c is not None and x != ch and t.leads[c] and out.get((c, x), 9) > e + 1:
+                            out[c, x] = e + 1
         return self._state(out)
 
     def weight(self, word: str) -> float:
         if len(self.sets) > self.MAX_STATES:
             self._reset()
-        state = self.first.get(word[0], -1)
-        for ch in word[1:]:
+        state = self.first
+        for ch in word:
             if state < 0:
                 return 0.0
             new = self.moves[state].get(ch)
@@ -169,14 +176,14 @@ class Matcher:
             return 1, t.end[node]
         if stem:
             return 2, stem
-        if len(word) < 5:
+        if len(word) < 3:
             return 0, 0.0
         w = (self.one if len(word) < 8 else self.two).weight(word)
         return (3, w) if w else (0, 0.0)
 
 
 def lexicon(rows: list[tuple[str, int]]) -> list[tuple[str, float, bool, bool]]:
-    """(term, weight, is a stem, may be misspelled): much likelier under label 1; frequent terms may be misspelled."""
+    """(term, weight, is a stem, may be misspelled): much likelier under label 1; words of four letters or more may be misspelled."""
     n = Counter(y for _, y in rows)
     words, stems = (Counter(), Counter()), (Counter(), Counter())
     for text, y in rows:
@@ -195,7 +202,7 @@ def lexicon(rows: list[tuple[str, int]]) -> list[tuple[str, float, bool, bool]]:
                 continue
             odds = math.log((c + 0.5) / (n[1] + 1)) - math.log((neg[w] + 0.5) / (n[0] + 1))
             if odds > 2.5 and c > 4 * neg[w]:
-                out.append((w, odds, kind, not kind and len(w) >= 5 and c >= max(MIN_DOCS, FUZZY_SHARE * n[1])))
+                out.append((w, odds, kind, not kind and len(w) >= 4))
     return out
 
 

@@ -279,6 +279,37 @@ def test_toxicity_learns_and_leaves_edges_alone(spark):
     assert Matcher([("verm", 2.0, True, False)])("vermin") == (2, 2.0)
 
 
+def test_toxicity_misspellings():
+    from itertools import permutations, product
+
+    from gridloom.llm.toxicity import Automaton, Matcher, Trie, lexicon
+
+    match = Matcher([(w, 3.0, False, True) for w in ("idiot", "stupid", "scum", "disgusting")])
+    for w in ("1diot", "diot", "idoit", "ztupid", "sutpid", "scumm", "scm", "csum", "idsgustnig", "xdisgusting"):
+        assert match(w)[0] == 3, w
+    for w in ("xdyot", "stpuidx", "su", "sum's", "idsgustnigx"):
+        assert match(w)[0] == 0, w
+    words = ["".join(x) for n in (1, 2, 3, 4, 5) for x in product("abc", repeat=n)] + ["".join(x) for x in permutations("abcde")]
+    terms = ["abca", "abcde", "bacb", "ccba"]
+    for limit in (1, 2):
+        a = Automaton(Trie([(t, 6.0, False, True) for t in terms]), limit)
+        for w in words:
+            least = min(swap_distance(t, w) for t in terms)
+            assert a.weight(w) == (6.0 / (1 + least) if least <= limit else 0.0), w
+    rows = [(f"plain words number{i}", 0) for i in range(2000)] + [(f"foul words{' scum' if i % 50 == 0 else ''}", 1) for i in range(2000)] + [("rarer words", 1)] * 15
+    assert {w: fuzzy for w, _, stem, fuzzy in lexicon(rows) if not stem} == {"foul": True, "scum": True, "rarer": True}
+
+
+def swap_distance(a, b):
+    d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
