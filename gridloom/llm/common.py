@@ -59,11 +59,17 @@ def _drop_scratch() -> None:
             return
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a hash of (doc_id, text) in a column of an unused name: decisions on texts also reach rows without an id."""
-    name = "__key"
-    while name in docs.columns:
-        name += "_"
+    name = unused(docs, "__key")
     return docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))), name
 
 
@@ -156,6 +162,24 @@ def small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def join_one(left: DataFrame, right: DataFrame, key: str, rows: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Left join to ``right``, which has one row for a key; no task gets all rows of a frequent key.
+
+    Keys that more than 1000 rows and a ten thousandth of all rows hold (so 10,000 keys at most) are joined by
+    broadcast, rows without a key by none.  ``left`` is read several times; ``counts`` may give its rows (key, c).
+    """
+    rows = left.count() if rows is None else rows
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("c")) if counts is None else counts
+    heavy = cut(counts.where(F.col("c") > max(1000, rows // 10_000)).select(key))
+    none = left.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key])
+    if not heavy.limit(1).count():
+        return left.where(F.col(key).isNotNull()).join(right, key, "left").unionByName(none)
+    heavy = F.broadcast(heavy)
+    some = left.join(heavy, key, "left_semi").join(F.broadcast(right.join(heavy, key, "left_semi")), key, "left")
+    rest = left.where(F.col(key).isNotNull()).join(heavy, key, "left_anti").join(right, key, "left")
+    return some.unionByName(rest).unionByName(none)
+
+
 def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """Smallest id reachable by undirected ``links`` (a, b): rows (id, component) for every id that has a link.
 
@@ -164,14 +188,15 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     nothing changes; with ``rounds`` it is an error if something still does after them.
     """
     e = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    last = None
+    state = last = None
     for done in itertools.count():
         if done == rounds:
             raise RuntimeError(f"components: not settled after {rounds} rounds")
         both = e.union(e.select("v", "u"))
-        m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(m.where("m < u")).where("u <> v").distinct()
+        m = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c")))
+        near = join_one(both, m.select("u", "m"), "u", rows=2 * state[0] if state else None, counts=m.select("u", "c"))
+        large = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.union(m.where("m < u").select("u", "m")).where("u <> v").distinct()
         m2 = large.groupBy("u").agg(F.min("v").alias("m"))
         e = cut(large.join(m2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m2.select("u", "m")).where("u <> v").distinct())
         state = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()

@@ -9,15 +9,16 @@ another shares at least k elements of its first n - ceil(0.75 n) + k elements in
   lists of the elements of their prefix (k = 1), which are scanned.
 * The *boundary* minimises the cost estimated from the histogram of sizes and the mean length of a list.
 
-The common order is by hash, with frequent shingles last.  Frequencies are counted over all documents, but only for
-shingles whose highest hash bit is unset: these come first, and a prefix seldom reaches the others, which keep their
-place by hash.  The most frequent ``HOT`` of them (bounded) are broadcast.  Any order gives right results; a document
-whose prefix is mostly made of uncounted frequent shingles only costs more.
+The common order is by hash, with frequent shingles last.  Frequencies are counted over all shingles of all documents,
+by a part of the hash that widens with the input; the most frequent ``HOT`` of them (bounded) are broadcast.  Any order
+gives right results.
 
-Long lists (groups of near copies) do not emit their pairs: star rounds first verify one pair for each document,
-with the list's pivot, and join components; the last round takes pairs from different components only, counts the
-prefix elements they share, and verifies those whose bound can reach the threshold.  No link that joins two
-components is lost.
+Lists do not emit all their pairs.  Each list has a *home*: short ones that of their least node, so that the lists two
+documents share mostly meet in one task and a pair leaves it once with its count; long ones a home of their own.
+Star rounds pair each node with the pivots of its lists and join components; the last round takes the pairs of
+different components only, whose count of shared prefix elements can reach the threshold.  Every candidate then meets
+the *parity sketch* of its partner (one bit a shingle; the bits that differ are at most the elements that differ), which
+never rejects a link, and the few that pass are verified by whole sets.  No link that joins two components is lost.
 
 Edge cases: null or empty text or text without words: empty set, linked with nothing; null doc_id: a row of its own
 with null component; fewer than five words: the whole sequence is the one shingle; repeated rows stay rows; an
@@ -33,55 +34,125 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, cut, gather, mix, n_ranges, scatter, shingle_hashes, small
+from gridloom.llm.common import components, cut, gather, join_one, keyed, mix, n_ranges, scatter, shingle_hashes, small
 
-#: Most frequent shingles that are broadcast (8 bytes each); documents that a shingle must be in to be one of them.
+#: Most frequent shingles that are broadcast (16 bytes each); documents that a shingle must be in to be one of them.
 HOT, HOT_DF = 1 << 20, 24
 STAR_ROUNDS, PIVOTS = 2, 4
 NUM, DEN = 3, 4  # the similarity threshold as a fraction
+#: Nodes of a list that still goes to the home of its least node.
+SHORT = 64
+POSTING = np.dtype([("key", "<u4"), ("key2", "<u2"), ("n", "<u2"), ("sig", "<i8")])
+ENTRY = np.dtype([("list", "<u8"), ("sig", "<i8"), ("n", "<u2")])
+PAIR = np.dtype([("x", "<i8"), ("y", "<i8"), ("nx", "<u2"), ("ny", "<u2"), ("k", "<u4")])
+
+
+def size_code(n: int) -> int:
+    """A set size in 16 bits: exact below 1024, ten leading bits above."""
+    s = max(int(n).bit_length() - 10, 0)
+    return (s << 10) + (n >> s)
+
+
+def size_low(code: np.ndarray) -> np.ndarray:
+    code = code.astype(np.int64)
+    return (code & 1023) << (code >> 10)
+
+
+def size_high(code: np.ndarray) -> np.ndarray:
+    code = code.astype(np.int64)
+    return (((code & 1023) + 1) << (code >> 10)) - 1
 
 
 def _sig(s: np.ndarray) -> int:
     return int(mix(np.array([np.add.reduce(mix(s)) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def _profiles(ranges: int):
-    """One pass over the texts: (doc_id, n, sig) of each, and blocks of 32-bit shingle hashes for counting."""
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of elements in each of 64 or more cells (a power of two, the size of the set at least)."""
+    cells = 64
+    while cells < len(s):
+        cells *= 2
+    return np.packbits((np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """At most the number of elements that only one of two sketched sets has."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) > len(x):  # cells that fall together
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _encoded(x: np.ndarray, kind: type) -> bytes:
+    """Sorted values as the first one and gaps of ``kind``; the largest gap stands for a step without an element."""
+    top = np.iinfo(kind).max
+    gap = np.diff(x)
+    skips = (gap // np.uint64(top)).astype(np.int64)
+    out = np.full(len(gap) + int(skips.sum()), top, kind)
+    out[np.cumsum(skips + 1) - 1] = (gap % np.uint64(top)).astype(kind)
+    return x[:1].tobytes() + out.tobytes()
+
+
+def _decoded(block: bytes, kind: type) -> np.ndarray:
+    first, gap = np.frombuffer(block[:8], np.uint64), np.frombuffer(block[8:], kind)
+    return np.concatenate([first, first + np.cumsum(gap, dtype=np.uint64)[gap != np.iinfo(kind).max]])
+
+
+def _profiles(ranges: int, bits: int, kind: type):
+    """One pass over the texts: (doc_id, n, sig, sketch) of each, and blocks of shingle hashes for counting."""
+    drop = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, ns, sigs, light = [], [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ids, ns, sigs, drawn, sets = b.column(0).to_pylist(), [], [], [], [np.zeros(0, np.uint64)]
+            for text in b.column(1).to_pylist():
                 s = shingle_hashes(text)
-                ids.append(doc)
                 ns.append(len(s))
                 sigs.append(_sig(s) if len(s) else None)
-                light.append(s[: np.searchsorted(s, np.uint64(1 << 63))])
-            x = np.concatenate([*light, np.zeros(0, np.uint64)])
-            parts, (blocks,) = scatter(mix(x), ranges, (x >> np.uint64(31)).astype(np.uint32))
-            k = len(parts)
+                drawn.append(sketch(s) if len(s) else None)
+                sets.append(s)
+            x = np.sort(np.concatenate(sets))
+            part = ((x >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(x)]]) if len(x) else np.zeros(1, np.int64)
+            x >>= drop
+            parts = [int(part[a]) for a in cuts[:-1]]
+            blocks = [_encoded(x[a:e], kind) for a, e in zip(cuts[:-1], cuts[1:])]
+            k, m = len(parts), len(ids)
+            home = (mix(np.array([s or 0 for s in sigs], np.int64).view(np.uint64) + np.arange(m, dtype=np.uint64)) % np.uint64(ranges)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None] * len(ids) + parts, pa.int32()), pa.array(ids + [None] * k, pa.int64()), pa.array(ns + [None] * k, pa.int64()), pa.array(sigs + [None] * k, pa.int64()), pa.array([None] * len(ids) + blocks, pa.binary())],
-                names=["part", "doc_id", "n", "sig", "block"],
+                [pa.array(home.tolist() + parts, pa.int32()), pa.array(ids + [None] * k, pa.int64()), pa.array(ns + [None] * k, pa.int64()), pa.array(sigs + [None] * k, pa.int64()), pa.array(drawn + [None] * k, pa.binary()), pa.array([None] * m + blocks, pa.binary())],
+                names=["part", "doc_id", "n", "sig", "sketch", "block"],
             )
 
     return run
 
 
-def _frequent(t: pa.Table) -> pa.Table:
-    x, n = np.unique(gather(t.column("block"), np.uint32), return_counts=True)
-    hot = n >= HOT_DF
-    rest = n[~hot].astype(float)
-    return pa.table({"h": pa.array([*x[hot].tolist(), -1], pa.int64()), "df": pa.array([*n[hot].tolist(), int(rest.sum())], pa.int64()), "df2": pa.array([*[0] * int(hot.sum()), int((rest**2).sum())], pa.int64())})
+def _frequent(kind: type):
+    """Frequent hashes of a range with their counts, and the profiles unchanged; the other counts only as sums."""
+
+    def run(t: pa.Table) -> pa.Table:
+        own = t.filter(t.column("n").is_valid())
+        blocks = [_decoded(b, kind) for b in t.column("block").to_pylist() if b is not None]
+        x, n = np.unique(np.concatenate([*blocks, np.zeros(0, np.uint64)]), return_counts=True)
+        hot = n >= HOT_DF
+        rest = n[~hot].astype(float)
+        h = pa.array([*x[hot].view(np.int64).tolist(), -1], pa.int64())
+        made = {"h": h, "df": pa.array([*n[hot].tolist(), int(rest.sum())], pa.int64()), "df2": pa.array([*[0] * int(hot.sum()), int((rest**2).sum())], pa.int64())}
+        return pa.concat_tables([own.select(["doc_id", "n", "sig", "sketch"]), pa.table(made)], promote_options="default")
+
+    return run
 
 
-def prefix(s: np.ndarray, hot: np.ndarray, k: int) -> np.ndarray:
+def prefix(s: np.ndarray, hot, k: int) -> np.ndarray:
     """The first n - ceil(0.75 n) + k elements in the common order: rare ones by hash, then hot ones by frequency."""
     n = len(s)
     p = min(n, n - -(-NUM * n // DEN) + k)
     if len(hot):
-        at = np.searchsorted(hot[0], s >> np.uint64(31))
-        found = (at < len(hot[0])) & (hot[0][np.minimum(at, len(hot[0]) - 1)] == (s >> np.uint64(31)))
+        h = s >> hot[2]
+        at = np.searchsorted(hot[0], h)
+        found = (at < len(hot[0])) & (hot[0][np.minimum(at, len(hot[0]) - 1)] == h)
         if found.any():
             cold = s[~found]
             if len(cold) < p:
@@ -111,120 +182,210 @@ def _postings(ranges: int, hot, boundary: int):
                 key = np.concatenate(got)
                 keys.append(key)
                 sigs.append(np.full(len(key), _sig(s), np.int64))
-                ns.append(np.full(len(key), n, np.int32))
-            key = np.concatenate(keys)
-            parts, (a, c, d) = scatter(mix(key), ranges, key, np.concatenate(sigs), np.concatenate(ns))
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(a, pa.binary()), pa.array(c, pa.binary()), pa.array(d, pa.binary())], names=["part", "key", "sig", "n"])
+                ns.append(np.full(len(key), size_code(n), np.uint16))
+            key = mix(np.concatenate(keys))
+            x = np.empty(len(key), POSTING)
+            x["key"], x["key2"] = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), (key >> np.uint64(48)).astype(np.uint16)
+            x["sig"], x["n"] = np.concatenate(sigs), np.concatenate(ns)
+            parts, (blocks,) = scatter(key, ranges, x)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blocks, pa.binary())], names=["part", "block"])
+
+    return run
+
+
+def _shared(ranges: int):
+    """Lists of two nodes at least, dealt to their homes."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x = gather(t.column("block"), POSTING)
+        key = x["key"].astype(np.uint64) | x["key2"].astype(np.uint64) << np.uint64(32)
+        o = np.lexsort((x["sig"], key))
+        key, x = key[o], x[o]
+        first = np.ones(len(x), bool)
+        first[1:] = (key[1:] != key[:-1]) | (x["sig"][1:] != x["sig"][:-1])
+        key, x = key[first], x[first]
+        at, count = _runs(key)
+        keep = np.repeat(count >= 2, count)
+        # Sorted by node within a list, so the first is the least.
+        home = np.where(count <= SHORT, mix(x["sig"][at].view(np.uint64)), mix(key[at] + np.uint64(9)))
+        home = np.repeat(home, count)[keep]
+        out = np.empty(int(keep.sum()), ENTRY)
+        out["list"], out["sig"], out["n"] = key[keep], x["sig"][keep], x["n"][keep]
+        out["list"] |= np.uint64(t.column("part")[0].as_py() & 0xFFFF) << np.uint64(48)
+        parts, (blocks,) = scatter(home, ranges, out)
+        return pa.table({"home": pa.array(parts, pa.int32()), "block": pa.array(blocks, pa.binary())})
 
     return run
 
 
-def _shared(t: pa.Table) -> pa.Table:
-    """Lists of two nodes at least, as rows (list, sig, n)."""
-    k, s, n = gather(t.column("key"), np.uint64), gather(t.column("sig"), np.int64), gather(t.column("n"), np.int32)
-    o = np.lexsort((s, k))
-    k, s, n = k[o], s[o], n[o]
-    first = np.ones(len(k), bool)
-    first[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-    k, s, n = k[first], s[first], n[first]
-    same = k[1:] == k[:-1]
-    keep = np.zeros(len(k), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    return pa.table({"list": k[keep].view(np.int64), "sig": s[keep], "n": n[keep]})
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal neighbours."""
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return at, np.diff(np.append(at, len(key)))
 
 
 def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return DEN * np.minimum(a, b).astype(np.int64) >= NUM * np.maximum(a, b).astype(np.int64)
+    """Whether sets of these size codes can link."""
+    return (DEN * size_high(a) >= NUM * size_low(b)) & (DEN * size_high(b) >= NUM * size_low(a))
 
 
-def _cross(ranges: int):
-    """Pairs of nodes in one list that are of different components and whose sizes fit, as blocks by pair."""
+def _counted(x: np.ndarray) -> np.ndarray:
+    """One record for each pair of ``x``, with the sum of the counts."""
+    x = x[np.lexsort((x["y"], x["x"]))]
+    if not len(x):
+        return x
+    at = np.flatnonzero(np.concatenate([[True], (x["x"][1:] != x["x"][:-1]) | (x["y"][1:] != x["y"][:-1])]))
+    out = x[at]
+    out["k"] = np.add.reduceat(x["k"], at)
+    return out
+
+
+def _entries(t: pa.Table) -> np.ndarray:
+    x = gather(t.column("block"), ENTRY)
+    return x[np.argsort(x["list"], kind="stable")]
+
+
+def _known(x: np.ndarray, nodes: pa.Table | None) -> tuple[np.ndarray, np.ndarray]:
+    """Component (itself where it has none) and number of links of the nodes of ``x``."""
+    comp, links = x["sig"].copy(), np.zeros(len(x), np.int64)
+    if nodes is not None and nodes.num_rows:
+        sig = nodes.column("sig").to_numpy()
+        o = np.argsort(sig)
+        sig = sig[o]
+        at = np.minimum(np.searchsorted(sig, x["sig"]), len(sig) - 1)
+        hit = sig[at] == x["sig"]
+        comp[hit] = nodes.column("component").to_numpy()[o][at[hit]]
+        links[hit] = nodes.column("links").to_numpy()[o][at[hit]]
+    return comp, links
+
+
+def _dealt(pairs: np.ndarray, ranges: int, by: np.ndarray) -> tuple[list[int], list[bytes]]:
+    parts, (blocks,) = scatter(by, ranges, pairs)
+    return parts, blocks
+
+
+def _starred(ranges: int, salt: int):
+    """Each node with the pivot of each of its lists, counted by pair; the nodes of the home too where ``salt`` is 0.
+
+    The pivot of a list is the node with most links so far, then the least under a salted hash; every node meets the
+    pivot only, so the work is linear in the postings.
+    """
+
+    def run(t: pa.Table, nodes: pa.Table) -> pa.Table:
+        x = _entries(t)
+        comp, links = _known(x, nodes)
+        rank = mix(x["sig"].view(np.uint64) + np.uint64(salt))
+        o = np.lexsort((rank, -links, x["list"]))
+        at, count = _runs(x["list"][o])
+        pivot = np.repeat(o[at], count)
+        ok = (comp[o] != comp[pivot]) & _fits(x["n"][o], x["n"][pivot])
+        o, pivot = o[ok], pivot[ok]
+        pairs = np.empty(len(o), PAIR)
+        pairs["x"], pairs["nx"], pairs["k"] = x["sig"][o], x["n"][o], 1
+        pairs["y"], pairs["ny"] = x["sig"][pivot], x["n"][pivot]
+        pairs = _counted(pairs)
+        parts, blocks = _dealt(pairs, ranges, mix(pairs["x"].view(np.uint64)))
+        here = np.unique(x["sig"]).tolist() if salt == 0 else []
+        home = t.column("home")[0].as_py()
+        k, m = len(parts), len(here)
+        return pa.table({"part": pa.array(parts + [home] * m, pa.int32()), "block": pa.array(blocks + [None] * m, pa.binary()), "sig": pa.array([None] * k + here, pa.int64())})
+
+    return run if salt else lambda t: run(t, None)
+
+
+def _chosen(t: pa.Table) -> pa.Table:
+    """For each node the ``PIVOTS`` partners that are pivot of most of its lists."""
+    x = _counted(gather(t.column("block"), PAIR))
+    low = np.stack([size_low(x["nx"]), size_low(x["ny"])])
+    # A link shares need - rest prefix elements; a quarter of them with this pivot makes it worth a look in a star round.
+    least = low.sum(axis=0) * NUM / (NUM + DEN) - np.maximum(size_high(x["nx"]), size_high(x["ny"])) * NUM / DEN
+    x = x[x["k"] * 4.0 >= least]
+    x = x[np.lexsort((x["y"], -x["k"].astype(np.int64), x["x"]))]
+    at, count = _runs(x["x"])
+    x = x[np.arange(len(x)) - np.repeat(at, count) < PIVOTS]
+    return pa.table({"a": np.minimum(x["x"], x["y"]), "b": np.maximum(x["x"], x["y"]), "q": x["y"].copy()})
 
-    def run(t: pa.Table) -> pa.Table:
-        k, s, n, c = (t.column(x).to_numpy() for x in ("list", "sig", "n", "comp"))
-        o = np.lexsort((n, k))
-        k, s, n, c = k[o], s[o], n[o], c[o]
-        ends = np.searchsorted(k, k, side="right")
+
+def _cross(ranges: int):
+    """Pairs of nodes in one list that are of different components and whose sizes fit, counted, as blocks by pair."""
+
+    def run(t: pa.Table, nodes: pa.Table) -> pa.Table:
+        x = _entries(t)
+        comp, _ = _known(x, nodes)
+        o = np.lexsort((x["n"], x["list"]))
+        x, comp = x[o], comp[o]
+        at, count = _runs(x["list"])
+        # Lists of one component have no pair to give.
+        if len(x):
+            mixed = np.repeat(np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at), count)
+            x, comp = x[mixed], comp[mixed]
+            at, count = _runs(x["list"])
+        n = x["n"].astype(np.int64)
         # Partners follow in the list while their size fits: a range of positions for each node.
-        stop = np.empty(len(k), np.int64)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]]).astype(np.int64)
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            stop[a:b] = a + np.searchsorted(n[a:b], n[a:b].astype(np.int64) * DEN // NUM, side="right")
-        count = np.maximum(np.minimum(stop, ends) - np.arange(len(k)) - 1, 0)
-        out: dict[int, list[list[bytes]]] = {}
-        budget, i = 2_000_000, 0
-        while i < len(k):  # in blocks of bounded size
-            j = max(i + 1, int(np.searchsorted(np.cumsum(count[i:]), budget)) + i)
-            left = np.repeat(np.arange(i, j), count[i:j])
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count[i:j]) - count[i:j], count[i:j])
-            ok = c[left] != c[right]
+        # Codes rise with the size, so one search over (list number, code) finds the ends of all lists.
+        number = np.repeat(np.arange(len(at)), count)
+        limit = size_high(x["n"]) * DEN // NUM
+        shift = np.maximum(np.floor(np.log2(np.maximum(limit, 1))).astype(np.int64) - 9, 0)
+        stop = np.searchsorted(number * 65536 + n, number * 65536 + np.minimum((shift << 10) + (limit >> shift), 65535), side="right")
+        partners = np.maximum(stop - np.arange(len(x)) - 1, 0)
+        done = np.cumsum(partners)
+        out: list[np.ndarray] = [np.zeros(0, PAIR)]
+        kept, budget, i = 0, 2_000_000, 0
+        made: dict[int, list[bytes]] = {}
+
+        def flush() -> None:
+            pairs = _counted(np.concatenate(out))
+            key = mix(pairs["x"].view(np.uint64) * np.uint64(5) + mix(pairs["y"].view(np.uint64)))
+            for p, block in zip(*_dealt(pairs, ranges, key)):
+                made.setdefault(p, []).append(block)
+            out[:] = [np.zeros(0, PAIR)]
+
+        while i < len(x):  # in blocks of bounded size
+            before = int(done[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(done, before + budget)))
+            left = np.repeat(np.arange(i, j), partners[i:j])
+            right = left + 1 + np.arange(len(left)) - np.repeat(done[i:j] - partners[i:j] - before, partners[i:j])
+            ok = comp[left] != comp[right]
             left, right = left[ok], right[ok]
-            x, y = np.minimum(s[left], s[right]), np.maximum(s[left], s[right])
-            flip = s[left] > s[right]
-            nx, ny = np.where(flip, n[right], n[left]), np.where(flip, n[left], n[right])
-            pair = mix(x.view(np.uint64) * np.uint64(5) + mix(y.view(np.uint64)))
-            parts, cols = scatter(pair, ranges, x, y, nx, ny)
-            for q, p in enumerate(parts):
-                out.setdefault(p, []).append([col[q] for col in cols])
+            flip = x["sig"][left] > x["sig"][right]
+            left, right = np.where(flip, right, left), np.where(flip, left, right)
+            pairs = np.empty(len(left), PAIR)
+            pairs["x"], pairs["y"], pairs["k"] = x["sig"][left], x["sig"][right], 1
+            pairs["nx"], pairs["ny"] = x["n"][left], x["n"][right]
+            out.append(_counted(pairs))
+            kept += len(out[-1])
+            if kept > budget:
+                flush()
+                kept = 0
             i = j
-        parts = sorted(out)
-        cols = [[b"".join(x[q] for x in out[p]) for p in parts] for q in range(4)]
-        return pa.table({"part": pa.array(parts, pa.int32()), **{m: pa.array(v, pa.binary()) for m, v in zip(("x", "y", "nx", "ny"), cols)}})
+        flush()
+        parts = sorted(made)
+        return pa.table({"part": pa.array(parts, pa.int32()), "block": pa.array([b"".join(made[p]) for p in parts], pa.binary())})
 
     return run
 
 
-def _cell(a: np.ndarray, b: np.ndarray, grid: int) -> np.ndarray:
-    """The cell of a grid x grid square that a pair falls in; a node's pairs fall in 2 * grid cells at most."""
-    row, col = mix(a.view(np.uint64) + np.uint64(1)), mix(b.view(np.uint64) + np.uint64(2))
-    return (row % np.uint64(grid)) * np.uint64(grid) + col % np.uint64(grid)
-
-
-def _dealt(a: np.ndarray, b: np.ndarray, grid: int) -> dict[str, pa.Array]:
-    cell = _cell(a, b, grid).astype(np.int64)
-    order = np.argsort(cell, kind="stable")
-    cells, at = np.unique(cell[order], return_index=True)
-    ends = [*at[1:], len(order)]
-    return {"part": pa.array(cells, pa.int32()), "a": pa.array([a[order[i:j]].tobytes() for i, j in zip(at, ends)], pa.binary()), "b": pa.array([b[order[i:j]].tobytes() for i, j in zip(at, ends)], pa.binary())}
-
-
-def _bounded(boundary: int, grid: int):
-    """Pairs whose count of shared prefix elements allows the threshold, as blocks for the cells of the grid."""
+def _bounded(boundary: int):
+    """Pairs whose count of shared prefix elements allows the threshold."""
 
     def run(t: pa.Table) -> pa.Table:
-        x, y = gather(t.column("x"), np.int64), gather(t.column("y"), np.int64)
-        nx, ny = gather(t.column("nx"), np.int32).astype(np.int64), gather(t.column("ny"), np.int32).astype(np.int64)
-        o = np.lexsort((y, x))
-        x, y, nx, ny = x[o], y[o], nx[o], ny[o]
-        first = np.ones(len(x), bool)
-        first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        at = np.flatnonzero(first)
-        count = np.diff(np.append(at, len(x)))
-        x, y, nx, ny = x[at], y[at], nx[at], ny[at]
-        need = -(-NUM * (nx + ny) // (NUM + DEN))
+        x = _counted(gather(t.column("block"), PAIR))
+        need = -(-NUM * (size_low(x["nx"]) + size_low(x["ny"])) // (NUM + DEN))
         # Common elements up to the end of the prefix that ends first are in both prefixes; the others are in its rest.
-        rest = np.maximum(-(-NUM * nx // DEN), -(-NUM * ny // DEN)) - 1
-        both_listed = np.minimum(nx, ny) >= boundary  # where small sets met on subsets, elements were not counted
-        ok = ~both_listed | (count + rest >= need)
-        return pa.table(_dealt(x[ok], y[ok], grid))
-
-    return run
-
-
-def _blocks(grid: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = _dealt(b.column(0).to_numpy(), b.column(1).to_numpy(), grid)
-            yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+        rest = -(-NUM * np.maximum(size_high(x["nx"]), size_high(x["ny"])) // DEN) - 1
+        both_listed = np.minimum(size_low(x["nx"]), size_low(x["ny"])) >= boundary  # where small sets met on subsets, elements were not counted
+        x = x[~both_listed | (x["k"] + rest >= need)]
+        return pa.table({"a": x["x"].copy(), "b": x["y"].copy(), "q": x["x"].copy()})
 
     return run
 
 
-def _nodes(t: pa.Table) -> pa.Table:
-    part = t.column("part")[0].as_py()
-    sig = np.unique(np.concatenate([gather(t.column("a"), np.int64), gather(t.column("b"), np.int64)]))
-    return pa.table({"part": pa.array(np.full(len(sig), part), pa.int32()), "sig": sig})
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates that their sketches do not rule out."""
+    for b in batches:
+        n, m = b.column("n").to_numpy(), b.column("m").to_numpy()
+        d = np.array([differing(x, y) for x, y in zip(b.column("sx").to_pylist(), b.column("sy").to_pylist())], np.int64)
+        yield b.select(["a", "b", "q"]).filter(pa.array((NUM + DEN) * d <= n + m))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,9 +399,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(items, pa.binary())], names=["sig", "items"])
 
 
-def _verify(sets: pa.Table, blocks: pa.Table) -> pa.Table:
-    """Links of a cell that reach the threshold, without those whose ends are joined by other links of the cell."""
-    a, b = gather(blocks.column("a"), np.int64).tolist(), gather(blocks.column("b"), np.int64).tolist()
+def _verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Links of a part that reach the threshold, without those whose ends are joined by other links of the part."""
     own = {s: np.frombuffer(x, np.uint64) for s, x in zip(sets.column("sig").to_pylist(), sets.column("items").to_pylist())}
     root: dict[int, int] = {}
 
@@ -251,7 +411,7 @@ def _verify(sets: pa.Table, blocks: pa.Table) -> pa.Table:
         return x
 
     out = []
-    for p, q in zip(a, b):
+    for p, q in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
         u, v = own.get(p), own.get(q)
         if u is None or v is None or (rp := find(p)) == (rq := find(q)):
             continue
@@ -270,75 +430,72 @@ class NearJoin:
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def _verified(self, blocks: DataFrame, reps: DataFrame) -> DataFrame:
-        """The links among written candidate pairs, by whole sets: each set goes once to each cell that needs it."""
-        needs = cut(blocks.groupBy("part").applyInArrow(_nodes, "part int, sig long"))
-        want = cut(needs.select("sig").distinct().join(reps, "sig"))
-        texts = self.docs.join(small(want, 500_000), "doc_id").select("sig", "text").distinct()
-        sets = texts.mapInArrow(_sets, "sig long, items binary").join(needs, "sig").select("part", "sig", "items")
-        return cut(sets.groupBy("part").cogroup(blocks.groupBy("part")).applyInArrow(_verify, "a long, b long"))
+    def _verified(self, candidates: DataFrame, reps: DataFrame, parts: int) -> DataFrame:
+        """The links among candidate pairs (a, b, q), by sketches and then by whole sets.
+
+        A pair is verified in the part of its end ``q`` and, where ``q`` has many partners, of a share of them: no more
+        than two sets travel for a pair, and no task gets all partners of one node.
+        """
+        a = reps.select(F.col("sig").alias("a"), "n", F.col("sketch").alias("sx"))
+        b = reps.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("sy"))
+        pairs = candidates.join(a, "a").join(b, "b").select("a", "b", "q", "n", "m", "sx", "sy").mapInArrow(_similar, "a long, b long, q long")
+        other = F.pmod(F.xxhash64(F.when(F.col("q") == F.col("a"), F.col("b")).otherwise(F.col("a"))), F.lit(parts))
+        pairs = cut(pairs.select("a", "b", F.pmod(F.xxhash64("q", other), F.lit(parts)).cast("int").alias("part")))
+        needs = cut(pairs.select("part", F.explode(F.array("a", "b")).alias("sig")).distinct())
+        want = cut(needs.select("sig").distinct().join(reps.select("sig", "doc_id"), "sig"))
+        texts = self.docs.join(small(want, 500_000), "doc_id").select("sig", "text")
+        sets = texts.mapInArrow(_sets, "sig long, items binary").groupBy("sig").agg(F.first("items").alias("items"))
+        sets = sets.join(needs, "sig").select("part", "sig", "items")
+        return cut(sets.groupBy("part").cogroup(pairs.groupBy("part")).applyInArrow(_verify, "a long, b long"))
 
     def result(self) -> DataFrame:
         spark, docs = self.spark, self.docs
-        ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        seen = cut(docs.mapInArrow(_profiles(ranges * 4), "part int, doc_id long, n long, sig long, block binary"))
-        meta = seen.where("part is null").select("doc_id", "n", "sig")
+        size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+        shingles = (size[0] or 0) // 5 + size[1] + 1  # about: words are longer than four bytes with their blanks
+        ranges = n_ranges(spark, shingles * 3, 8 << 20)
+        # The hash for counting has eight times as many values as there are shingles; a gap takes two bytes until
+        # batches of 1000 texts leave larger ones.
+        bits = min(max(32, shingles.bit_length() + 3), 60)
+        kind = np.uint16 if (1 << bits) / 300_000 < 32768 else np.uint32
+        seen = docs.mapInArrow(_profiles(ranges, bits, kind), "part int, doc_id long, n long, sig long, sketch binary, block binary")
+        seen = cut(seen.groupBy("part").applyInArrow(_frequent(kind), "doc_id long, n long, sig long, sketch binary, h long, df long, df2 long"))
+        meta = seen.where("n is not null").select("doc_id", "n", "sig")
         # Bounded: one number for each size up to 4096 and one for what is above.
         sizes = {r[0]: r[1] for r in meta.where("n > 0").groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count("*")).collect()}
         total = meta.agg(F.sum("n")).first()[0] or 0
-        freq = cut(seen.where("part is not null").groupBy("part").applyInArrow(_frequent, "h long, df long, df2 long"))
-        df, df2 = freq.where("h < 0").agg(F.sum("df"), F.sum("df2")).first()
-        top = freq.where("h >= 0").orderBy(F.desc("df"), "h").limit(HOT).select("h", "df").toArrow()
+        df, df2 = seen.where("h < 0").agg(F.sum("df"), F.sum("df2")).first()
+        top = seen.where("h >= 0").orderBy(F.desc("df"), "h").limit(HOT).select("h", "df").toArrow()
         h, d = top.column("h").to_numpy().astype(np.uint64), top.column("df").to_numpy()
         o = np.argsort(h)
-        hot = spark.sparkContext.broadcast((h[o], d[o]) if len(h) else ())
+        hot = spark.sparkContext.broadcast((h[o], d[o], np.uint64(64 - bits)) if len(h) else ())
         boundary = self.boundary(sizes, (df2 or 0) / max(df or 0, 1))
-        spread = n_ranges(spark, total * 6, 24 << 20)
-        posts = docs.select("text").mapInArrow(_postings(spread, hot, boundary), "part int, key binary, sig binary, n binary")
-        lists = cut(posts.groupBy("part").applyInArrow(_shared, "list long, sig long, n int"))
-        reps = meta.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-        grid = max(4, int(np.ceil(spread**0.5 / 2)))
+        spread = n_ranges(spark, total * 5, 24 << 20)
+        posts = docs.select("text").mapInArrow(_postings(spread, hot, boundary), "part int, block binary")
+        lists = cut(posts.groupBy("part").applyInArrow(_shared(spread), "home int, block binary"))
+        reps = cut(seen.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+        starred = "part int, block binary, sig long"
+        first = cut(lists.groupBy("home").applyInArrow(_starred(spread, 0), starred))
+        homes = first.where("sig is not null").select(F.col("part").alias("home"), "sig")
         links, comp, tried = None, None, None
         for salt in range(STAR_ROUNDS + 1):
-            at = lists.withColumn("comp", F.col("sig")) if comp is None else lists.join(comp, lists.sig == comp.id, "left").select("list", "sig", "n", F.coalesce("component", "sig").alias("comp"))
+            if salt:
+                degree = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("links"))
+                nodes = homes.join(comp.withColumnRenamed("id", "sig").join(degree, "sig", "left"), "sig").select("home", "sig", "component", F.coalesce("links", F.lit(0)).alias("links"))
+                both = lists.groupBy("home").cogroup(nodes.groupBy("home"))
             if salt < STAR_ROUNDS:
-                pairs = self._stars(at, salt, links)
+                stars = both.applyInArrow(_starred(spread, salt), starred) if salt else first
+                pairs = stars.where("block is not null").groupBy("part").applyInArrow(_chosen, "a long, b long, q long").dropDuplicates(["a", "b"])
                 pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-                tried = pairs if tried is None else tried.union(pairs)
-                blocks = cut(pairs.mapInArrow(_blocks(grid), "part int, a binary, b binary"))
+                tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
             else:
-                cross = at.withColumn("part", F.pmod(F.hash("list"), F.lit(spread))).groupBy("part").applyInArrow(_cross(spread), "part int, x binary, y binary, nx binary, ny binary")
-                blocks = cut(cross.groupBy("part").applyInArrow(_bounded(boundary, grid), "part int, a binary, b binary"))
-            found = self._verified(blocks, reps)
+                cross = both.applyInArrow(_cross(spread), "part int, block binary")
+                pairs = cut(cross.groupBy("part").applyInArrow(_bounded(boundary), "a long, b long, q long"))
+            found = self._verified(pairs, reps, spread)
             links = found if links is None else links.union(found)
-            comp = components(links) if salt == STAR_ROUNDS else cut(components(links))
-        named = meta.join(comp, meta.sig == comp.id, "left").select("doc_id", "n", F.coalesce("component", "sig").alias("node"))
-        named = cut(named)
+            comp = cut(components(links))
+        named = cut(join_one(meta, comp.withColumnRenamed("id", "sig"), "sig").select("doc_id", "n", F.coalesce("component", "sig").alias("node")))
         least = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-        return named.join(least, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
-
-    @staticmethod
-    def _stars(at: DataFrame, salt: int, links: DataFrame | None) -> DataFrame:
-        """For each node the ``PIVOTS`` partners that are pivot of most of its lists, of other components.
-
-        The pivot of a list is the node with most links so far, then the least under a salted hash; every node meets
-        the pivot only, so the work is linear in the postings.
-        """
-        rank = F.xxhash64(F.col("sig"), F.lit(salt))
-        if links is None:
-            at = at.withColumn("links", F.lit(0).cast("long"))
-        else:
-            degree = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("links"))
-            at = at.join(degree, "sig", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-        best = F.min(F.struct((-F.col("links")).alias("l"), rank.alias("r"), "sig", "n", "comp"))
-        pivot = at.groupBy("list").agg(best.alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        pairs = at.join(pivot, "list").where((F.col("comp") != F.col("p.comp")) & (F.least("n", "p.n") * DEN >= F.greatest("n", "p.n") * NUM))
-        counted = pairs.groupBy("sig", F.col("p.sig").alias("q")).agg(F.count("*").alias("k"), F.min("n").alias("n"), F.min("p.n").alias("m"))
-        # A link shares need - rest prefix elements; a quarter of them with this pivot makes it worth a look in a star round.
-        least = (F.col("n") + F.col("m")) * NUM / (NUM + DEN) - F.greatest("n", "m") * NUM / DEN
-        top = F.slice(F.sort_array(F.collect_list(F.struct("k", "q")), asc=False), 1, PIVOTS)
-        chosen = counted.where(F.col("k") * 4 >= least).groupBy("sig").agg(top.alias("m")).select("sig", F.explode("m.q").alias("q"))
-        return chosen.select(F.least("sig", "q").alias("a"), F.greatest("sig", "q").alias("b")).distinct()
+        return join_one(named, least, "node").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
     @staticmethod
     def boundary(sizes: dict[int, int], length: float) -> int:
@@ -361,6 +518,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row for each class of near copies (the least doc_id; of repeated rows of it one)."""
-    kept = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """``docs`` with one row for each class of near copies.
+
+    The row kept is the one of the least doc_id and then of the least hash of its text.  Rows of one doc_id with
+    unrelated texts are documents of their own, and so are rows without a doc_id: the join sees each distinct
+    (doc_id, text) under a number of its own, and equal rows once.
+    """
+    rows, key = keyed(docs)
+    classes = jaccard_components(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), F.col("component_id").alias("class"))
+    ids = rows.groupBy(key).agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.count("*").alias("c"))
+    classes = cut(classes.distinct().join(ids, key))
+    first = classes.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(key).alias("k"))).alias("o")).select(F.col("o.k").alias(key))
+    gone = small(cut(classes.join(first, key, "left_anti").select(key)), 1_000_000)
+    again = small(cut(classes.where("c > 1").join(first, key, "left_semi").select(key)), 1_000_000)
+    left = rows.join(gone, key, "left_anti")
+    once = left.join(again, key, "left_semi").dropDuplicates([key])
+    return left.join(again, key, "left_anti").unionByName(once).select(*docs.columns)
