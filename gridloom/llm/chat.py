@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import let, running
+
 #: The control strings of the template.
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -80,12 +82,14 @@ def format_chats(rows: DataFrame) -> DataFrame:
 def loss_mask(formatted: DataFrame) -> DataFrame:
     """Adds ``mask``: code point spans of the assistants' bodies in ``formatted``, computed from the parsed turns."""
     width = lambda t: F.length(role_out(t.role)) + F.length(t.body) + len(START) + len(END) + 2
-    step = lambda acc, t: F.struct(
-        (acc.pos + width(t)).alias("pos"),
-        F.when(t.role == "assistant", F.concat(acc.mask, F.array(F.struct((acc.pos + len(START) + F.length(role_out(t.role)) + 1).alias("start"), (acc.pos + width(t) - len(END) - 1).alias("end"))))).otherwise(acc.mask).alias("mask"),
-    )
-    zero = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("mask"))
-    return formatted.withColumn("mask", F.aggregate("parsed", zero, step, lambda acc: acc.mask))
+
+    def spans(turns: Column) -> Column:
+        start = lambda z: z.at + len(START) + F.length(role_out(z.turn.role)) + 1
+        zipped = F.arrays_zip(turns.alias("turn"), running(F.transform(turns, width), lambda a, b: a + b).alias("at"))
+        said = F.filter(zipped, lambda z: z.turn.role == "assistant")
+        return F.transform(said, lambda z: F.struct(start(z).alias("start"), (start(z) + F.length(z.turn.body)).alias("end")))
+
+    return formatted.withColumn("mask", let(F.col("parsed"), spans))
 
 
 def chat_digest(formatted: DataFrame) -> DataFrame:

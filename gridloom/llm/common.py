@@ -15,7 +15,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A 64-bit odd multiplier of the splitmix finaliser.
@@ -28,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where it is unset (tests) a local one is made and set."""
+    """The shared folder that the cluster names; only where it is unset on a single machine (tests) one is made and set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -73,6 +75,33 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))), name
 
 
+#: Entries of a chunk in running totals.
+CHUNK = 64
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, op) -> Column:
+    """For each entry of an array of ints, 0 and all entries before it under ``op``.
+
+    In chunks of ``CHUNK``: appending to one array would copy it for each entry of a long text.
+    """
+    start = lambda z: F.struct(z.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    step = lambda acc, v: F.struct(op(acc.at, v).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out"))
+    total = lambda x: F.aggregate(x, F.lit(0), op)
+    n = F.floor((F.size(values) + CHUNK - 1) / CHUNK).cast("int")
+    chunks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda c: F.slice(values, c * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.expr("cast(array() as array<array<int>>)"))
+
+    def joined(x: Column) -> Column:
+        firsts = F.aggregate(F.transform(x, total), start(F.lit(0)), step, lambda acc: acc.out)
+        return F.flatten(F.transform(F.arrays_zip(x.alias("x"), firsts.alias("first")), lambda z: F.aggregate(z.x, start(z.first), step, lambda acc: acc.out)))
+
+    return let(chunks, joined)
+
+
 def n_ranges(spark: SparkSession, total_bytes: int, per_task: int = 24 << 20) -> int:
     """How many hash ranges keep a task's share of ``total_bytes`` near ``per_task`` bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes) // per_task), 1)
