@@ -13,7 +13,8 @@ pairs are never written out: a filter gives counts for each vector and a spannin
 vectors are split to pairs of chunks.  Equal vectors of a label are one weighted vector.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label,
-link with nothing; vectors of different lengths are never compared; null vec_id gives a row with null component;
+link with nothing; labels are compared as they are, of any type; components of any size up to the largest double;
+vectors of different lengths are never compared; null vec_id gives a row with null component;
 repeated rows are copies of each other; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -92,12 +93,24 @@ def _codes(b: int):
                 y = (x / np.linalg.norm(x)) @ r
                 f = decode(np.einsum("ks,kbs->kb", y.reshape(BLOCKS, -1), c), t)
                 nodes.append(node)
-                keys.append(np.sort(mix(f.astype(np.uint64) * np.uint64(31) + mix(np.array([label * 4099 + d], np.int64).view(np.uint64))).view(np.int64)))
+                keys.append(np.sort(mix(f.astype(np.uint64) * np.uint64(31) + mix(np.array([label], np.int64).view(np.uint64) + np.uint64(d))).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([k.tolist() for k in keys], pa.list_(pa.int64()))], names=["node", "keys"])
 
     return run
 
 
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the classes of the pairs (a, b) in ``root``, which holds the least member of each member's class."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return
+        np.minimum.at(root, np.maximum(x[apart], y[apart]), np.minimum(x[apart], y[apart]))
+        while (next_ := root[root]).tobytes() != root.tobytes():
+            root[:] = next_
+
+
 def _compare(limit: float):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("bucket", "ascending"), ("ci", "ascending"), ("cj", "ascending"), ("node", "ascending")])
@@ -114,13 +127,6 @@ def _compare(limit: float):
             if len(left) == 0 or len(right) == 0 or b - a < 2:
                 continue
             links, root = np.zeros(b - a), np.arange(b - a)
-
-            def find(x):
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
             x = np.stack([np.frombuffer(vecs[i], np.float64) for i in rows])
             norm = np.linalg.norm(x, axis=1)
             lower = [[k for k in keys[i] if k < bucket[a]] for i in rows]
@@ -149,19 +155,11 @@ def _compare(limit: float):
                     first = ~shared[i, j]
                     np.add.at(links, u[i[first]], weight[rows[v[j[first]]]])
                     np.add.at(links, v[j[first]], weight[rows[u[i[first]]]])
-                    tied = set()
-                    for m, k in zip(u[i].tolist(), v[j].tolist()):
-                        if (m, k) in tied or root[m] == root[k]:
-                            continue
-                        rm, rk = find(m), find(k)
-                        if rm != rk:
-                            root[max(rm, rk)] = min(rm, rk)
-            for k in range(b - a):
-                r = find(k)
-                if links[k] or r != k:
-                    out_n.append(int(node[a + k]))
-                    out_c.append(int(links[k]))
-                    out_l.append(int(node[a + r]))
+                    joined(root, u[i], v[j])
+            for k in np.flatnonzero((links > 0) | (root != np.arange(b - a))).tolist():
+                out_n.append(int(node[a + k]))
+                out_c.append(int(links[k]))
+                out_l.append(int(node[a + root[k]]))
         return pa.table({"node": pa.array(out_n, pa.int64()), "n": pa.array(out_c, pa.int64()), "to": pa.array(out_l, pa.int64())})
 
     return run
@@ -170,7 +168,7 @@ def _compare(limit: float):
 def vector_components(vectors: DataFrame, min_cosine: float = 0.98) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept) of ``vectors`` (vec_id, embedding, label)."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("long").alias("label"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.when(F.col("label").isNotNull(), F.xxhash64(F.col("label"))).alias("label"))
     fine = F.coalesce((F.size("e") > 0) & F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0), F.lit(False)) & F.col("label").isNotNull()
     rows = rows.withColumn("node", F.when(fine, F.xxhash64("label", "e")))
     rows = cut(rows)
@@ -183,8 +181,10 @@ def vector_components(vectors: DataFrame, min_cosine: float = 0.98) -> DataFrame
     sizes = at.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     spots = cut(at.join(sizes, "bucket"))
     width = rows.agg(F.max(F.size("e"))).first()[0] or 1
-    parts = n_ranges(spark, spots.count() * (8 * max(width, 1) + 300))
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    # A vector goes to a task once for each chunk of its filter.
+    copies = spots.agg(F.sum(chunks)).first()[0] or 0
+    parts = n_ranges(spark, copies * (8 * max(width, 1) + 300))
     dealt = spots.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.hash("node", "bucket"), F.col("chunks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("node", "bucket", "chunk", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"))
     data = packed.join(coded, "node").join(reps.select("node", "weight"), "node").select("node", "vec", "keys", "weight")
@@ -203,5 +203,6 @@ def vector_components(vectors: DataFrame, min_cosine: float = 0.98) -> DataFrame
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        vec = [np.array(x, np.float64).tobytes() for x in b.column("e").to_pylist()]
+        # Scaled by a power of two, which changes no cosine, so that no square overflows or vanishes.
+        vec = [np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])).tobytes() for x in (np.array(e, np.float64) for e in b.column("e").to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column("node"), b.column("label"), pa.array(vec, pa.binary())], names=["node", "label", "vec"])
