@@ -14,7 +14,7 @@ repeated abuse raises the score.  The features of a document (exact, stem, fuzzy
 distinct terms, address words near matches) enter a logistic regression fitted in numpy on the training rows.
 
 The fit takes at most ``MAX_TRAIN`` labelled rows for each label (the bound is this parameter; rows are taken in the
-order of a hash of their id); scores cover every whole text.
+order of a hash of their id) and of these the texts of ``MAX_TRAIN_BYTES`` at most; scores cover every whole text.
 
 Edge cases: null and empty texts get the score of a document without any match; null labels are not used; without
 labels of both kinds every score is the prior (0 without any label); null doc_id is scored and not held out;
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import cut, keyed
 
-MAX_TRAIN = 3000
+MAX_TRAIN, MAX_TRAIN_BYTES = 3000, 50_000
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[\"“”«»„]")
 QUOTES = frozenset("\"“”«»„")
 #: Words that report speech, and words of direct address.
@@ -276,7 +276,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN,
         one = y.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         picked = one if picked is None else picked.union(one)
     picked = F.broadcast(picked)  # at most 2 * max_rows rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TRAIN_BYTES).join(picked, "doc_id")
     rows = texts.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y")
     t = rows.toArrow()
     return list(zip(t.column("text").to_pylist(), t.column("y").to_pylist()))
