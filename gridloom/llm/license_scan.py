@@ -22,6 +22,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import cut, join_one
+
 #: Licence statements.  Each licence has its short statements, its title, its SPDX line (made from its name)
 #: and the lines of its full header that name it.
 TEMPLATES = {
@@ -46,6 +48,8 @@ TEMPLATES = {
     "Proprietary": ("All rights reserved. No part may be reproduced without permission.", "All rights reserved.", "Copyright. All rights reserved.", "No part may be reproduced without permission.", "Proprietary and confidential. Unauthorized copying without permission is prohibited."),
 }
 RESERVED = "Proprietary"
+#: LICENSE, COPYING and the like, with a name or a text suffix; no program files.
+LICENSE_FILE = r"(?i)^(?:un)?(?:licen[cs]es?|copying)(?:-[A-Za-z0-9.-]+|\.(?:txt|md|rst|html))?$"
 CUE = r"(?i)licen[cs]e|copyright|spdx|redistribut|permission|rights reserved|creative commons"
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 #: Years and holder of a copyright notice, which are no words of the statement that follows it.
@@ -104,23 +108,23 @@ def license_scan(files: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     depth = F.size(parts) - 1
     base = F.element_at(parts, -1)
-    named = named.withColumn("dir", F.array_join(F.slice(parts, 1, F.greatest(depth, F.lit(0))), "/"))
-    owned = named.where(F.col("license").isNotNull() & base.rlike("(?i)^(licen[cs]e|copying)")).groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("dir", F.col("b.license").alias("dir_license"))
+    named = cut(named.withColumn("dir", F.array_join(F.slice(parts, 1, F.greatest(depth, F.lit(0))), "/")))
+    owned = named.where(F.col("license").isNotNull() & base.rlike(LICENSE_FILE)).groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("dir", F.col("b.license").alias("dir_license"))
     # Directories are looked up once each, not once for each of their files.
     places = named.where("license is null and dir is not null").select("dir").distinct()
     pieces = F.split("dir", "/")
     up = F.when(F.col("dir") == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("up")))).otherwise(F.transform(F.sequence(F.lit(0), F.size(pieces)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(pieces, 1, i), "/").alias("up"))))
     near = places.select("dir", F.explode(up).alias("a")).select("dir", "a.depth", "a.up").join(owned.select(F.col("dir").alias("up"), "dir_license"), "up").groupBy("dir").agg(F.max(F.struct("depth", "up", "dir_license")).alias("b"))
-    out = named.join(near, "dir", "left")
+    out = join_one(named, near, "dir")
     inherits = F.col("license").isNull()
     return out.select("file_id", F.col("license").alias("own_license"), F.col("score").alias("own_score"), F.coalesce("license", "b.dir_license").alias("license"), F.when(inherits, F.col("b.up")).alias("inherited_from"))
 
 
 def document_files(docs: DataFrame) -> DataFrame:
-    """The documents as files: source/lang/<64 ids>/<id>.txt, short ones with a statement as LICENSE-<id>."""
+    """The documents as files: source/lang/<64 ids>/<id>.txt; those whose first line has a cue as LICENSE-<id>."""
     text = F.col("text").cast("string")
-    short = F.coalesce((F.length(text) < 1000) & text.rlike(CUE), F.lit(False))
-    name = F.when(short, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    headed = F.coalesce(F.regexp_extract(text, r"^\s*([^\r\n]*)", 1).rlike(CUE), F.lit(False))
+    name = F.when(headed, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 64).cast("string"), name)
     return docs.select(F.col("doc_id").cast("long").alias("file_id"), path.alias("path"), text.alias("text"))
 
