@@ -133,21 +133,49 @@ def vectors(rows, limit=0.98):
     return [(i, len(links[i]), comp[i], comp[i] == i) for i, _, _ in rows]
 
 
-def best_fit(lengths, capacities, overhead):
+def best_fit(lengths, capacities, overhead, quadratic=8192):
     """Item by item, longest first."""
-    caps, bins, left = sorted(capacities), [], sum(lengths)
+    caps, bins = sorted(capacities), []
     todo = sorted((x for x in lengths if x), reverse=True)
     k = 0
     while k < len(todo):
         n = todo[k]
         fits = [b for b in bins if b[0] - b[1] >= n]
         if not fits:
-            cap = min((c for c in caps if c >= n), key=lambda c: ((overhead + c) / min(c, max(left, n)), c))
             same = sum(x == n for x in todo[k:])
+            costs = {}
+            for c in caps:
+                if c >= n:
+                    per = min(c // n, same)
+                    count = -(-same // per)
+                    small = sum(x for x in todo[k:] if x < n and x <= c - per * n)
+                    held = min(same * n + min(count * (c - per * n), small), count * c)
+                    costs[c] = count * (overhead + c + c * c / quadratic) / held
+            cap = min(costs, key=lambda c: (costs[c], c))
             bins += [[cap, 0] for _ in range(-(-same // (cap // n)))]
             continue
         b = min(fits, key=lambda b: b[0] - b[1])
         b[1] += n
-        left -= n
         k += 1
     return sorted((b[1], next(c for c in caps if c >= b[1])) for b in bins)
+
+
+def cheapest_packing(lengths, capacities, cost):
+    """The least total cost of bins that hold all items: every partition is tried."""
+    caps = sorted(capacities)
+    best = [float("inf")]
+
+    def place(k, bins):
+        total = sum(cost(next(c for c in caps if c >= b)) for b in bins)
+        if total >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = total
+            return
+        for i in range(len(bins)):
+            if bins[i] + lengths[k] <= caps[-1]:
+                place(k + 1, [*bins[:i], bins[i] + lengths[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, lengths[k]])
+
+    place(0, [])
+    return best[0]
