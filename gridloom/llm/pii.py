@@ -1,16 +1,18 @@
 """Personal data: base patterns and bootstrapped contextual extraction, in DataFrame operations only.
 
 *Seeds* are the matches of four base patterns (email, ip, card with Luhn check, phone), leftmost and not overlapping
-for each kind; failing matches are dropped without retries.  *Candidates* are other tokens that look like
-identifiers (an @ or five digits).  Every occurrence has two lexical patterns: the word before and the word after.
+for each kind; failing matches are dropped without retries.  *Candidates* are other identifiers: words with an @ or five
+digits, and runs of digit groups with single blanks between (with dots, dashes and parentheses) of five digits or more.
+Every occurrence has two lexical patterns: the word before and the word after, unless that is a match itself.
 
 The pattern-instance graph is scored iteratively: a pattern's confidence for a kind is the smoothed share of its
 occurrences whose instances are believed to be of the kind, and the belief in an unlabelled instance is the noisy-or
 of the confidence of its patterns.  Patterns that end above ``CONFIDENT`` with ``SUPPORT`` distinct seeds extract
 candidates as further spans of kind ``x_email``, ``x_ip``, ``x_card`` or ``x_phone``; base spans always stay.
 
-Positions are code points; they come from the pieces between matches, so a text is scanned once for each pattern
-and texts without an @ or a digit are not scanned at all.
+Positions are code points; they come from the pieces between matches by running totals in chunks, so the work is linear
+in the text, a text is scanned once or twice for each pattern, and texts without an @ or a digit are not scanned at all.
+Patterns and instances that many occurrences share are joined by broadcast (``join_one``).
 
 Edge cases: null text is empty; null doc_id is a row of its own; repeated rows give repeated results; an empty table
 gives an empty result; very long runs of digits or word characters cannot backtrack (possessive quantifiers); other
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut
+from gridloom.llm.common import cut, join_one, keyed, let, running, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's expressions with possessive quantifiers; a start inside a run is only tried where a match ended.
@@ -33,8 +35,15 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 GUARDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){12}", "phone": r"\+[0-9]"}
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Stand-ins for a digit and an @ of a base match, so that candidates of a text with base matches struck out are the same.
+STRUCK = ("\ue000", "\ue001")
+#: Two or more groups of digits with single blanks between, or else a word with a digit or an @.
+CANDIDATE = r"(?<!\S)(?:[().+-]*+[0-9][0-9().+-]*+(?: [().+-]*+[0-9][0-9().+-]*+)++(?!\S)|[^\s0-9@]*+[0-9@]\S*+)"
 CONFIDENT, SUPPORT, SMOOTH, ROUNDS = 0.8, 5, 1.0, 2
+#: Code points of a piece of text.
+PIECE = 1024
+#: Spans (of 12 bytes) that masking sends to every task; more are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 SPAN = "array<struct<kind:int,start:int,end:int,value:string,prev:string,next:string>>"
 
 
@@ -66,22 +75,38 @@ def passes(kind: str, v: Column) -> Column:
     return (n >= 9) & (n <= 15)
 
 
-def located(text: Column, pattern: str, guard: str, kind: int) -> Column:
+def pieces(text: Column, pattern: str, guard: str) -> Column:
+    """Struct of the matches of ``pattern`` and the texts between them."""
+    found = text.rlike(guard)
+    none = F.expr("cast(array() as array<string>)")
+    return F.struct(F.when(found, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none).alias("hits"), F.when(found, F.split(text, pattern, -1)).otherwise(none).alias("gaps"))
+
+
+def located(parts: Column, kind: int) -> Column:
     """Array of spans (kind, start, end, value, prev, next) of all matches; prev and next are the words around."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.expr(f"cast(array() as {SPAN})")
 
-    def step(acc: Column, i: Column) -> Column:
-        gap, v, after = F.get(acc.gaps, i), F.get(acc.hits, i), F.get(acc.gaps, i + 1)
-        start = acc.pos + F.length(gap)
-        prev = F.lower(F.regexp_extract(F.right(gap, F.lit(64)), r"(\S+)\s*$", 1))
-        nxt = F.lower(F.regexp_extract(F.left(after, F.lit(64)), r"^\s*(\S+)", 1))
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value"), prev.alias("prev"), nxt.alias("next"))
-        return F.struct((start + F.length(v)).alias("pos"), F.concat(acc.out, F.array(span)).alias("out"), acc.hits.alias("hits"), acc.gaps.alias("gaps"))
+    def spans(p: Column) -> Column:
+        lens = F.transform(p.hits, lambda v, i: F.length(v) + F.length(F.get(p.gaps, i)))
+
+        def one(z: Column) -> Column:
+            start = z.at + F.length(z.gap)
+            prev = F.reverse(F.regexp_extract(F.reverse(z.gap), r"^\s*(\S+)", 1))
+            nxt = F.regexp_extract(z.after, r"^\s*(\S+)", 1)
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(z.hit)).alias("end"), z.hit.alias("value"), F.lower(prev).alias("prev"), F.lower(nxt).alias("next"))
+
+        zipped = F.arrays_zip(p.hits.alias("hit"), F.slice(p.gaps, 1, F.size(p.hits)).alias("gap"), F.slice(p.gaps, 2, F.size(p.hits)).alias("after"), running(lens, lambda a, b: a + b).alias("at"))
+        return F.transform(zipped, one)
+
+    return F.when(F.size(parts.hits) > 0, let(parts, spans)).otherwise(F.expr(f"cast(array() as {SPAN})"))
+
 
-    zero = F.struct(F.lit(0).alias("pos"), empty.alias("out"), hits.alias("hits"), gaps.alias("gaps"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), zero, step, lambda a: a.out)
-    return F.when(text.rlike(guard) & (F.size(hits) > 0), found).otherwise(empty)
+def struck(parts: Column, kind: str) -> Column:
+    """The text with the digits and @ of passing matches struck out."""
+
+    def out(v: Column) -> Column:
+        return F.when(passes(kind, v), F.replace(F.regexp_replace(v, "[0-9]", STRUCK[0]), F.lit("@"), F.lit(STRUCK[1]))).otherwise(v)
+
+    return F.array_join(F.transform(parts.gaps, lambda g, i: F.concat(g, F.coalesce(out(F.get(parts.hits, i)), F.lit("")))), "")
 
 
 def _passing(spans: Column, kind: str) -> Column:
@@ -96,10 +121,15 @@ def scan(docs: DataFrame) -> DataFrame:
     """One pass: rows (doc_id, key, base, more) with the base spans and the candidates outside them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    base = [_passing(located(F.col("text"), PATTERNS[k], GUARDS[k], i), k) for i, k in enumerate(KINDS)]
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.concat(*base).alias("base"), located(F.col("text"), CANDIDATE, r"[0-9@]", -1).alias("more"))
-    strong = F.filter("more", lambda s: (F.length(_digits(s.value)) >= 5) | s.value.contains("@"))
-    return rows.select("doc_id", "key", "base", F.filter(strong, lambda s: ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end))).alias("more"))
+    rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), *[pieces(F.col("text"), PATTERNS[k], GUARDS[k]).alias(f"p{i}") for i, k in enumerate(KINDS)], pieces(F.col("text"), CANDIDATE, r"[0-9@]").alias("pc"))
+    base = [_passing(located(F.col(f"p{i}"), i), k) for i, k in enumerate(KINDS)]
+    rows = rows.select("doc_id", "key", F.concat(*base).alias("base"), *[f"p{i}" for i in range(len(KINDS))], "pc", located(F.col("pc"), -1).alias("more"))
+    # The same candidates of the text with the base matches of one kind struck out tell which ones meet such a match.
+    again = [F.when(F.exists("base", lambda s: s.kind == F.lit(i)), F.regexp_extract_all(struck(F.col(f"p{i}"), k), F.lit(CANDIDATE), F.lit(0))).alias(f"h{i}") for i, k in enumerate(KINDS)]
+    rows = rows.select("doc_id", "key", "base", "more", *again)
+    alike = [F.coalesce(F.col(f"h{i}"), F.transform("more", lambda s: s.value)).alias(f"h{i}") for i in range(len(KINDS))]
+    strong = F.filter(F.arrays_zip(F.col("more").alias("s"), *alike), lambda z: ((F.length(_digits(z.s.value)) >= 5) | z.s.value.contains("@")) & ~F.concat(*[z[f"h{i}"] for i in range(len(KINDS))]).rlike("[" + "".join(STRUCK) + "]"))
+    return rows.select("doc_id", "key", "base", F.transform(strong, lambda z: z.s).alias("more"))
 
 
 def bootstrap(scanned: DataFrame) -> DataFrame:
@@ -113,20 +143,21 @@ def bootstrap(scanned: DataFrame) -> DataFrame:
     seeds, loose = occurrences("base"), occurrences("more")
     edges = cut(seeds.groupBy("pattern", "inst", "kind").agg(F.count("*").alias("n")).union(loose.groupBy("pattern", "inst", "kind").agg(F.count("*").alias("n"))))
     total = edges.groupBy("pattern").agg(F.sum("n").alias("total"), *[F.count_if(F.col("kind") == i).alias(f"d{i}") for i in range(len(KINDS))])
-    belief = None
+    open_edges, belief = edges.where("kind < 0"), None
     for _ in range(ROUNDS):
         known = edges.where("kind >= 0").groupBy("pattern").agg(*[F.sum(F.when(F.col("kind") == i, F.col("n")).otherwise(0)).cast("double").alias(f"k{i}") for i in range(len(KINDS))])
         if belief is not None:
-            extra = edges.where("kind < 0").join(belief, "inst").groupBy("pattern").agg(*[F.sum(F.col("n") * F.col(f"b{i}")).alias(f"k{i}") for i in range(len(KINDS))])
+            extra = join_one(open_edges, belief, "inst").where("b0 is not null").groupBy("pattern").agg(*[F.sum(F.col("n") * F.col(f"b{i}")).alias(f"k{i}") for i in range(len(KINDS))])
             known = known.union(extra).groupBy("pattern").agg(*[F.sum(f"k{i}").alias(f"k{i}") for i in range(len(KINDS))])
         conf = total.join(known, "pattern").select("pattern", *[f"d{i}" for i in range(len(KINDS))], *[(F.col(f"k{i}") / (F.col("total") + SMOOTH)).alias(f"c{i}") for i in range(len(KINDS))])
         conf = cut(conf)
-        miss = edges.where("kind < 0").join(conf, "pattern").groupBy("inst").agg(*[F.sum(F.log(F.greatest(1 - F.col(f"c{i}"), F.lit(1e-9)))).alias(f"m{i}") for i in range(len(KINDS))])
+        miss = join_one(open_edges, conf, "pattern").where("c0 is not null").groupBy("inst").agg(*[F.sum(F.log(F.greatest(1 - F.col(f"c{i}"), F.lit(1e-9)))).alias(f"m{i}") for i in range(len(KINDS))])
         belief = cut(miss.select("inst", *[(1 - F.exp(f"m{i}")).alias(f"b{i}") for i in range(len(KINDS))]))
     best = F.array_max(F.array(*[F.struct(F.when(F.col(f"d{i}") >= SUPPORT, F.col(f"c{i}")).otherwise(0.0).alias("c"), F.lit(-i).alias("k")) for i in range(len(KINDS))]))
     sure = conf.select("pattern", best.alias("b")).where(F.col("b.c") >= CONFIDENT).select("pattern", (-F.col("b.k")).alias("found"))
     believed = belief.select("inst", F.array(*[f"b{i}" for i in range(len(KINDS))]).alias("bs"))
-    hit = loose.join(sure, "pattern").join(believed, "inst").where(F.get("bs", F.col("found")) >= CONFIDENT)
+    hit = cut(join_one(loose, cut(sure), "pattern").where("found is not null"))
+    hit = join_one(hit, believed, "inst").where(F.get("bs", F.col("found")) >= CONFIDENT)
     return hit.groupBy("key", "start", "end").agg(F.min("found").alias("found")).select("key", (F.col("found") + len(KINDS)).alias("kind"), "start", "end")
 
 
@@ -148,27 +179,31 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     """Counts and digests of the spans of every row of ``docs``."""
     counts = [_count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     base = F.filter("spans", lambda s: s.kind < len(KINDS))
-    return find_pii(docs).select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return find_pii(docs).select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, and ``n_chars`` (where there is one) brought up to date."""
-    spans = cut(find_pii(docs).where(F.size("spans") > 0).select("key", "spans").dropDuplicates(["key"]))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), text)).join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
+    rows, key = keyed(docs)
+    found = unused(rows, "__spans")
+    spans = cut(find_pii(docs).where(F.size("spans") > 0).select(F.col("key").alias(key), F.col("spans").alias(found)).dropDuplicates([key]))
+    held = spans.agg(F.sum(F.size(found) + 4)).first()[0] or 0
+    rows = rows.join(F.broadcast(spans) if held <= MAX_BROADCAST else spans, key, "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, *KINDS)])
-    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s.start.alias("start"), (-s.end).alias("back"), s.kind.alias("kind"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s.start >= acc.pos
-        piece = F.concat(acc.out, F.col("text").substr(acc.pos + 1, s.start - acc.pos), F.get(names, s.kind))
-        return F.struct(F.greatest(acc.pos, -s.back).alias("pos"), F.when(fresh, piece).otherwise(acc.out).alias("out"))
+    def cut_out(z: Column, a: Column, b: Column) -> Column:
+        """Code points a to b of a text that is held in chunks of ``PIECE``."""
+        first = F.floor(a / PIECE).cast("int")
+        near = F.array_join(F.slice(z.chunks, first + 1, F.floor(b / PIECE).cast("int") - first + 1), "")
+        return near.substr(a - first * PIECE + 1, F.greatest(b - a, F.lit(0)))
 
-    end = lambda acc: F.concat(acc.out, F.substring(F.col("text"), acc.pos + 1, F.length("text")))
-    masked = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.aggregate(ordered, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, end))
-    out = keyed.withColumn("text", masked)
+    def masked(z: Column) -> Column:
+        before = F.transform(F.arrays_zip(z.spans.alias("s"), running(F.transform(z.spans, lambda s: -s.back), lambda a, b: F.greatest(a, b)).alias("upto")), lambda x: F.when(x.s.start >= x.upto, F.concat(cut_out(z, x.upto, x.s.start), F.get(names, x.s.kind))).otherwise(""))
+        return F.concat(F.array_join(before, ""), cut_out(z, F.array_max(F.transform(z.spans, lambda s: -s.back)), z.n))
+
+    ordered = F.array_sort(F.transform(found, lambda s: F.struct(s.start.alias("start"), (-s.end).alias("back"), s.kind.alias("kind"))))
+    held = F.struct(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("chunks"), F.length("text").alias("n"), ordered.alias("spans"))
+    out = rows.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(let(held, masked)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
-
-
