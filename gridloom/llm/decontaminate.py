@@ -4,8 +4,9 @@ Texts are lower-cased (A-Z) and split to words (ASCII letters and digits and eve
 ten consecutive words of an item; an item of fewer, but not none, is one window.  One scan of the normalised text
 finds every occurrence; ends are mapped back to word numbers and to offsets in the original text.
 
-The automaton holds the items, whose size is checked: up to ``MAX_BENCHMARK_BYTES`` it is built once in each worker
-from a broadcast of the windows; a larger benchmark is joined by windows instead, without any broadcast.
+The automaton is built once in each worker from a broadcast of the items, whose size is checked: a benchmark of more
+than ``MAX_BENCHMARK_BYTES`` is dealt to several automata of about that size, one at a time in the driver and in the workers,
+and the texts are scanned once for each.
 
 Edge cases: null or wordless documents have no words and no hits; null item texts have no windows; items with a null
 id hit words but are not listed; repeated items count once; empty tables give no hits or no rows; other columns are
@@ -111,31 +112,47 @@ def scan(token: str, items):
     return run
 
 
-def _tokens(df: DataFrame, id_col: str) -> DataFrame:
-    low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return df.select(F.col(id_col).cast("long").alias(id_col), "text", F.filter(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "").alias("w"))
+def _hits(token: str, items):
+    """Rows (row, hits, ids) of texts with windows of one automaton: the first word and the length of each occurrence."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = automaton(token, items.value)
+        for b in batches:
+            rows, hits, ids = [], [], []
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = words_of(text)
+                if a is None or not words:
+                    continue
+                found, at = set(), []
+                ends = None
+                for end, (n, owners) in a.iter(f" {b' '.join(words).decode('latin-1')} "):
+                    if ends is None:
+                        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                    at.append({"at": int(np.searchsorted(ends, end)) - n + 1, "n": n})
+                    found.update(owners)
+                if at:
+                    rows.append(row)
+                    hits.append(at)
+                    ids.append(sorted(found))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(hits, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))), pa.array(ids, pa.list_(pa.int64()))], names=["row", "hits", "ids"])
 
-def _windows_col(col: str):
-    n = F.size(col)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - WIDTH, F.lit(0))), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(F.col(col), i + 1, WIDTH), " ").alias("window")))).otherwise(F.array())
+    return run
 
 
-def scan_by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The same result for a benchmark of any size: windows of ten words, and of each short length that items have."""
-    items = _tokens(benchmark, "item_id").where(F.size("w") > 0)
-    wins = cut(items.select("item_id", F.size("w").alias("n"), F.explode(_windows_col("w")).alias("x")).select("item_id", F.least("n", F.lit(WIDTH)).alias("n"), "x.window").distinct())
+def scan_in_parts(docs: DataFrame, benchmark: DataFrame, size: int, max_bytes: int) -> DataFrame:
+    """The same result for a benchmark of ``size`` bytes, by automata over parts of it."""
+    spark = docs.sparkSession
+    parts = -(-size // max_bytes) + 1
+    benchmark = cut(benchmark.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int")))
     d = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
-    toks = _tokens(d.select("row", "text"), "row")
     hits = None
-    for (n,) in wins.select("n").distinct().collect():  # at most ten lengths
-        n = int(n)
-        at = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i + 1, n), " ").alias("window"))))
-        one = toks.select("row", F.explode(at).alias("x")).select("row", "x.at", "x.window").join(wins.where(F.col("n") == n), "window").select("row", "at", "n", "item_id")
+    for p in range(parts):
+        items = [(r[0], r[1]) for r in benchmark.where(F.col("part") == p).select("item_id", "text").collect()]  # max_bytes, about
+        sent = spark.sparkContext.broadcast(items)
+        one = cut(d.select("row", "text").mapInArrow(_hits(f"{id(sent)}-{p}-{len(items)}", sent), "row long, hits array<struct<at:int,n:int>>, ids array<long>"))
+        sent.unpersist()
         hits = one if hits is None else hits.union(one)
-    if hits is None:
-        hits = toks.select("row", F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("item_id")).limit(0)
-    per = hits.groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("hits"), F.collect_set("item_id").alias("ids"))
+    per = hits.groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
     joined = d.join(per, "row", "left").select("doc_id", "text", "hits", "ids")
 
     def run(batches):
@@ -163,7 +180,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = M
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     size = benchmark.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     if size > max_bytes:
-        out = scan_by_join(docs, benchmark)
+        out = scan_in_parts(docs, benchmark, size, max_bytes)
     else:
         items = [(r[0], r[1]) for r in benchmark.collect()]
         token = hashlib.sha256(repr(sorted(items, key=str)).encode("utf-8", "surrogatepass")).hexdigest()
