@@ -186,6 +186,18 @@ def gather(column: pa.ChunkedArray, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype)
 
 
+def join_classes(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the classes of the pairs (a, b) in ``root``, which holds the least member of each member's class."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return
+        np.minimum.at(root, np.maximum(x[apart], y[apart]), np.minimum(x[apart], y[apart]))
+        while (next_ := root[root]).tobytes() != root.tobytes():
+            root[:] = next_
+
+
 def small(df: DataFrame, limit: int) -> DataFrame:
     """Broadcast hint for a written table whose row count is checked to be at most ``limit``; else unchanged."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -14,11 +14,12 @@ by a part of the hash that widens with the input; the most frequent ``HOT`` of t
 gives right results.
 
 Lists do not emit all their pairs.  Each list has a *home*: short ones that of their least node, so that the lists two
-documents share mostly meet in one task and a pair leaves it once with its count; long ones a home of their own.
-Star rounds pair each node with the pivots of its lists and join components; the last round takes the pairs of
-different components only, whose count of shared prefix elements can reach the threshold.  Every candidate then meets
-the *parity sketch* of its partner (one bit a shingle; the bits that differ are at most the elements that differ), which
-never rejects a link, and the few that pass are verified by whole sets.  No link that joins two components is lost.
+documents share mostly meet in one task and a pair leaves it once with its count; long ones are spread over several by their length.
+Every candidate meets the *parity sketch* of its partner (one bit a shingle; the bits that differ are at most the
+elements that differ), which never rejects a link, and those that pass are verified by whole sets.  Star rounds pair each
+node with the pivots of its lists and join components.  Then each home looks at all pairs of different components that
+were not tried yet: first it hands on ``FORESTS`` spanning forests of them, so that a large group gives as many candidates
+as nodes, and after their links have joined components all that are left.  No link that joins two components is lost.
 
 Edge cases: null or empty text or text without words: empty set, linked with nothing; null doc_id: a row of its own
 with null component; fewer than five words: the whole sequence is the one shingle; repeated rows stay rows; an
@@ -34,16 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, cut, gather, join_one, keyed, mix, n_ranges, scatter, shingle_hashes, small
+from gridloom.llm.common import components, cut, gather, join_classes, join_one, keyed, mix, n_ranges, scatter, shingle_hashes, small
 
 #: Most frequent shingles that are broadcast (16 bytes each); documents that a shingle must be in to be one of them.
 HOT, HOT_DF = 1 << 20, 24
-STAR_ROUNDS, PIVOTS = 2, 4
+STAR_ROUNDS, PIVOTS, FORESTS = 2, 4, 4
 NUM, DEN = 3, 4  # the similarity threshold as a fraction
 #: Nodes of a list that still goes to the home of its least node.
 SHORT = 64
 POSTING = np.dtype([("key", "<u4"), ("key2", "<u2"), ("n", "<u2"), ("sig", "<i8")])
 ENTRY = np.dtype([("list", "<u8"), ("sig", "<i8"), ("n", "<u2")])
+#: Pairs that are looked at together.
+BLOCK = 300_000
 PAIR = np.dtype([("x", "<i8"), ("y", "<i8"), ("nx", "<u2"), ("ny", "<u2"), ("k", "<u4")])
 
 
@@ -68,16 +71,16 @@ def _sig(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity of the number of elements in each of 64 or more cells (a power of two, the size of the set at least)."""
+    """Parity of the number of elements in each of 64 or more cells (a power of two, four times the size of the set at least)."""
     cells = 64
-    while cells < len(s):
+    while cells < 4 * len(s):
         cells *= 2
     return np.packbits((np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
 
 
 def differing(a: bytes, b: bytes) -> int:
     """At most the number of elements that only one of two sketched sets has."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if len(x) > len(y):
         x, y = y, x
     if len(y) > len(x):  # cells that fall together
@@ -207,7 +210,8 @@ def _shared(ranges: int):
         at, count = _runs(key)
         keep = np.repeat(count >= 2, count)
         # Sorted by node within a list, so the first is the least.
-        home = np.where(count <= SHORT, mix(x["sig"][at].view(np.uint64)), mix(key[at] + np.uint64(9)))
+        salt = np.where(count <= SHORT, 0, key[at] % np.maximum(count // 1024, 4).astype(np.uint64))
+        home = mix(x["sig"][at].view(np.uint64) + mix(salt.astype(np.uint64)))
         home = np.repeat(home, count)[keep]
         out = np.empty(int(keep.sum()), ENTRY)
         out["list"], out["sig"], out["n"] = key[keep], x["sig"][keep], x["n"][keep]
@@ -306,76 +310,127 @@ def _chosen(t: pa.Table) -> pa.Table:
     return pa.table({"a": np.minimum(x["x"], x["y"]), "b": np.maximum(x["x"], x["y"]), "q": x["y"].copy()})
 
 
-def _cross(ranges: int):
-    """Pairs of nodes in one list that are of different components and whose sizes fit, counted, as blocks by pair."""
+class Sketches:
+    """Sketches of the nodes of a home: for each number of cells a matrix, larger sketches folded into the smaller."""
+
+    def __init__(self, nodes: pa.Table):
+        drawn = nodes.column("sketch").to_pylist()
+        self.bytes = np.array([len(x) for x in drawn], np.int64)
+        self.at, self.bits = {}, {}
+        held = np.zeros(0, np.int64)
+        rows: np.ndarray | None = None
+        for size in sorted(set(self.bytes.tolist()), reverse=True):
+            own = np.flatnonzero(self.bytes == size)
+            fresh = np.frombuffer(b"".join(drawn[i] for i in own), np.uint64).reshape(len(own), -1)
+            if rows is not None:
+                while rows.shape[1] > fresh.shape[1]:  # the cells of the upper half fall on those of the lower
+                    rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+                fresh, own = np.concatenate([rows, fresh]), np.concatenate([held, own])
+            held, rows = own, fresh
+            self.at[size] = np.full(len(drawn), -1, np.int64)
+            self.at[size][own] = np.arange(len(own))
+            self.bits[size] = rows
+
+    def differing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """At most the number of elements that only one set of a pair of nodes (by their rows) has."""
+        out, size = np.zeros(len(i), np.int64), np.minimum(self.bytes[i], self.bytes[j])
+        for s in np.unique(size):
+            here, m = np.flatnonzero(size == s), self.bits[int(s)]
+            step = max(1, (32 << 20) // int(s))
+            for k in range(0, len(here), step):
+                w = here[k : k + step]
+                out[w] = np.bitwise_count(m[self.at[int(s)][i[w]]] ^ m[self.at[int(s)][j[w]]]).sum(axis=1)
+        return out
+
+
+def forest(u: np.ndarray, v: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which edges (u, v) are in the spanning forest of least weight; ties go to the earlier edge."""
+    n = int(max(u.max(initial=-1), v.max(initial=-1))) + 1
+    rank = np.empty(len(u), np.int64)
+    rank[np.argsort(weight, kind="stable")] = np.arange(len(u))
+    edge = np.argsort(rank)
+    root, chosen, live = np.arange(n), np.zeros(len(u), bool), np.arange(len(u))
+    while len(live):
+        best = np.full(n, len(u))
+        np.minimum.at(best, root[u[live]], rank[live])
+        np.minimum.at(best, root[v[live]], rank[live])
+        new = edge[np.unique(best[best < len(u)])]
+        chosen[new] = True
+        join_classes(root, u[new], v[new])
+        live = live[root[u[live]] != root[v[live]]]
+    return chosen
+
+
+def forests(u: np.ndarray, v: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """Which edges are in ``k`` spanning forests, each of the edges that the ones before have left."""
+    chosen = np.zeros(len(u), bool)
+    for _ in range(k):
+        rest = np.flatnonzero(~chosen)
+        if not len(rest):
+            break
+        chosen[rest[forest(u[rest], v[rest], weight[rest])]] = True
+    return chosen
+
+
+def _cross(k: int | None):
+    """Untried pairs of one list that are of different components, whose sizes fit and whose sketches allow a link.
+
+    With ``k`` only that many spanning forests of the components of the home, the likeliest pairs first.
+    """
 
     def run(t: pa.Table, nodes: pa.Table) -> pa.Table:
+        own = nodes.filter(nodes.column("other").is_null()).sort_by("sig")
+        sig = own.column("sig").to_numpy()
         x = _entries(t)
-        comp, _ = _known(x, nodes)
+        x = x[np.isin(x["sig"], sig)]  # the others are sets without a doc_id
+        drawn, at = Sketches(own), np.searchsorted(sig, x["sig"])
+        _, klass = np.unique(own.column("component").to_numpy(), return_inverse=True)
+        big = np.int64(max(len(sig), 1))
+        done = nodes.filter(nodes.column("other").is_valid())
+        left, right = done.column("sig").to_numpy(), done.column("other").to_numpy()
+        here = np.isin(left, sig) & np.isin(right, sig)
+        tried = np.unique(np.searchsorted(sig, left[here]) * big + np.searchsorted(sig, right[here]))
         o = np.lexsort((x["n"], x["list"]))
-        x, comp = x[o], comp[o]
-        at, count = _runs(x["list"])
+        x, at = x[o], at[o]
+        begin, count = _runs(x["list"])
         # Lists of one component have no pair to give.
         if len(x):
-            mixed = np.repeat(np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at), count)
-            x, comp = x[mixed], comp[mixed]
-            at, count = _runs(x["list"])
+            mixed = np.repeat(np.minimum.reduceat(klass[at], begin) != np.maximum.reduceat(klass[at], begin), count)
+            x, at = x[mixed], at[mixed]
+            begin, count = _runs(x["list"])
         n = x["n"].astype(np.int64)
+        size = np.zeros(len(sig), np.uint16)
+        size[at] = x["n"]
+        high = size_high(size)
         # Partners follow in the list while their size fits: a range of positions for each node.
         # Codes rise with the size, so one search over (list number, code) finds the ends of all lists.
-        number = np.repeat(np.arange(len(at)), count)
+        number = np.repeat(np.arange(len(begin)), count)
         limit = size_high(x["n"]) * DEN // NUM
         shift = np.maximum(np.floor(np.log2(np.maximum(limit, 1))).astype(np.int64) - 9, 0)
         stop = np.searchsorted(number * 65536 + n, number * 65536 + np.minimum((shift << 10) + (limit >> shift), 65535), side="right")
         partners = np.maximum(stop - np.arange(len(x)) - 1, 0)
-        done = np.cumsum(partners)
-        out: list[np.ndarray] = [np.zeros(0, PAIR)]
-        kept, budget, i = 0, 2_000_000, 0
-        made: dict[int, list[bytes]] = {}
-
-        def flush() -> None:
-            pairs = _counted(np.concatenate(out))
-            key = mix(pairs["x"].view(np.uint64) * np.uint64(5) + mix(pairs["y"].view(np.uint64)))
-            for p, block in zip(*_dealt(pairs, ranges, key)):
-                made.setdefault(p, []).append(block)
-            out[:] = [np.zeros(0, PAIR)]
-
+        upto = np.cumsum(partners)
+        kept, weight, i = np.zeros(0, np.int64), np.zeros(0), 0
         while i < len(x):  # in blocks of bounded size
-            before = int(done[i - 1]) if i else 0
-            j = max(i + 1, int(np.searchsorted(done, before + budget)))
-            left = np.repeat(np.arange(i, j), partners[i:j])
-            right = left + 1 + np.arange(len(left)) - np.repeat(done[i:j] - partners[i:j] - before, partners[i:j])
-            ok = comp[left] != comp[right]
-            left, right = left[ok], right[ok]
-            flip = x["sig"][left] > x["sig"][right]
-            left, right = np.where(flip, right, left), np.where(flip, left, right)
-            pairs = np.empty(len(left), PAIR)
-            pairs["x"], pairs["y"], pairs["k"] = x["sig"][left], x["sig"][right], 1
-            pairs["nx"], pairs["ny"] = x["n"][left], x["n"][right]
-            out.append(_counted(pairs))
-            kept += len(out[-1])
-            if kept > budget:
-                flush()
-                kept = 0
+            before = int(upto[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(upto, before + BLOCK)))
+            p = np.repeat(np.arange(i, j), partners[i:j])
+            q = p + 1 + np.arange(len(p)) - np.repeat(upto[i:j] - partners[i:j] - before, partners[i:j])
+            p, q = at[p], at[q]
+            apart = klass[p] != klass[q]
+            code = np.setdiff1d(np.unique(np.minimum(p, q)[apart] * big + np.maximum(p, q)[apart]), tried, assume_unique=True)
+            p, q = code // big, code % big
+            d, both = drawn.differing(p, q), high[p] + high[q]
+            fine = (NUM + DEN) * d <= both
+            # The same in all homes: by the share that differs, then by the names.
+            kept, first = np.unique(np.concatenate([kept, code[fine]]), return_index=True)
+            weight = np.concatenate([weight, (d / np.maximum(both, 1))[fine]])[first]
+            if len(kept) and k:
+                least = forests(klass[kept // big], klass[kept % big], weight, k)
+                kept, weight = kept[least], weight[least]
             i = j
-        flush()
-        parts = sorted(made)
-        return pa.table({"part": pa.array(parts, pa.int32()), "block": pa.array([b"".join(made[p]) for p in parts], pa.binary())})
-
-    return run
-
-
-def _bounded(boundary: int):
-    """Pairs whose count of shared prefix elements allows the threshold."""
-
-    def run(t: pa.Table) -> pa.Table:
-        x = _counted(gather(t.column("block"), PAIR))
-        need = -(-NUM * (size_low(x["nx"]) + size_low(x["ny"])) // (NUM + DEN))
-        # Common elements up to the end of the prefix that ends first are in both prefixes; the others are in its rest.
-        rest = -(-NUM * np.maximum(size_high(x["nx"]), size_high(x["ny"])) // DEN) - 1
-        both_listed = np.minimum(size_low(x["nx"]), size_low(x["ny"])) >= boundary  # where small sets met on subsets, elements were not counted
-        x = x[~both_listed | (x["k"] + rest >= need)]
-        return pa.table({"a": x["x"].copy(), "b": x["y"].copy(), "q": x["x"].copy()})
+        a, b = sig[kept // big], sig[kept % big]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "q": pa.array(a, pa.int64())})
 
     return run
 
@@ -448,6 +503,10 @@ class NearJoin:
         sets = sets.join(needs, "sig").select("part", "sig", "items")
         return cut(sets.groupBy("part").cogroup(pairs.groupBy("part")).applyInArrow(_verify, "a long, b long"))
 
+    @staticmethod
+    def _partners(stars: DataFrame) -> DataFrame:
+        return stars.where("block is not null").groupBy("part").applyInArrow(_chosen, "a long, b long, q long").dropDuplicates(["a", "b"])
+
     def result(self) -> DataFrame:
         spark, docs = self.spark, self.docs
         size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
@@ -477,21 +536,24 @@ class NearJoin:
         first = cut(lists.groupBy("home").applyInArrow(_starred(spread, 0), starred))
         homes = first.where("sig is not null").select(F.col("part").alias("home"), "sig")
         links, comp, tried = None, None, None
-        for salt in range(STAR_ROUNDS + 1):
+        for salt in range(STAR_ROUNDS + 2):
             if salt:
                 degree = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("links"))
-                nodes = homes.join(comp.withColumnRenamed("id", "sig").join(degree, "sig", "left"), "sig").select("home", "sig", "component", F.coalesce("links", F.lit(0)).alias("links"))
-                both = lists.groupBy("home").cogroup(nodes.groupBy("home"))
-            if salt < STAR_ROUNDS:
-                stars = both.applyInArrow(_starred(spread, salt), starred) if salt else first
-                pairs = stars.where("block is not null").groupBy("part").applyInArrow(_chosen, "a long, b long, q long").dropDuplicates(["a", "b"])
-                pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-                tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+                linked = comp.withColumnRenamed("id", "sig").join(degree, "sig", "left").select("sig", "component", F.coalesce("links", F.lit(0)).alias("links"))
+            if salt == 0:
+                pairs = self._partners(first)
+            elif salt < STAR_ROUNDS:
+                stars = lists.groupBy("home").cogroup(homes.join(linked, "sig").groupBy("home")).applyInArrow(_starred(spread, salt), starred)
+                pairs = self._partners(stars).join(tried, ["a", "b"], "left_anti")
             else:
-                cross = both.applyInArrow(_cross(spread), "part int, block binary")
-                pairs = cut(cross.groupBy("part").applyInArrow(_bounded(boundary), "a long, b long, q long"))
+                drawn = homes.join(reps.select("sig", "sketch").join(linked, "sig", "left").select("sig", "sketch", F.coalesce("component", "sig").alias("component")), "sig")
+                known = homes.join(tried.select(F.col("a").alias("sig"), F.col("b").alias("other")), "sig")
+                nodes = drawn.withColumn("other", F.lit(None).cast("long")).unionByName(known, allowMissingColumns=True)
+                pairs = lists.groupBy("home").cogroup(nodes.groupBy("home")).applyInArrow(_cross(FORESTS if salt == STAR_ROUNDS else None), "a long, b long, q long").distinct()
+            pairs = cut(pairs)
             found = self._verified(pairs, reps, spread)
             links = found if links is None else links.union(found)
+            tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
             comp = cut(components(links))
         named = cut(join_one(meta, comp.withColumnRenamed("id", "sig"), "sig").select("doc_id", "n", F.coalesce("component", "sig").alias("node")))
         least = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))

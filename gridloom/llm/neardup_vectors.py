@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, cut, mix, n_ranges
+from gridloom.llm.common import components, cut, join_classes, mix, n_ranges
 
 BLOCKS, LIST, LEAST, CHUNK = 4, 24, 16, 2048
 
@@ -99,18 +99,6 @@ def _codes(b: int):
     return run
 
 
-def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins the classes of the pairs (a, b) in ``root``, which holds the least member of each member's class."""
-    while True:
-        x, y = root[a], root[b]
-        apart = x != y
-        if not apart.any():
-            return
-        np.minimum.at(root, np.maximum(x[apart], y[apart]), np.minimum(x[apart], y[apart]))
-        while (next_ := root[root]).tobytes() != root.tobytes():
-            root[:] = next_
-
-
 def _compare(limit: float):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("bucket", "ascending"), ("ci", "ascending"), ("cj", "ascending"), ("node", "ascending")])
@@ -155,7 +143,7 @@ def _compare(limit: float):
                     first = ~shared[i, j]
                     np.add.at(links, u[i[first]], weight[rows[v[j[first]]]])
                     np.add.at(links, v[j[first]], weight[rows[u[i[first]]]])
-                    joined(root, u[i], v[j])
+                    join_classes(root, u[i], v[j])
             for k in np.flatnonzero((links > 0) | (root != np.arange(b - a))).tolist():
                 out_n.append(int(node[a + k]))
                 out_c.append(int(links[k]))
