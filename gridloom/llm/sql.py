@@ -66,4 +66,53 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
-ORACLES = {"op1_embedding_neardup": OP1, "op5_chat_format": OP5, "op7_ngram_jaccard": OP7, "op9_decontaminate": OP9}
+
+OP6 = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+ c AS (SELECT r, b, substring(h, 2 * 1024 * b + 1, 2 * (1024 + 199)) AS s FROM (SELECT r, h, unnest(range(0, (n - 200) // 1024 + 1)) AS b FROM d WHERE n >= 200)),
+ w AS MATERIALIZED (SELECT r, 1024 * b + k AS k, hash(substring(s, 2 * k + 1, 400)) AS x FROM (SELECT r, b, s, unnest(range(0, least(1024, length(s) // 2 - 199))) AS k FROM c)),
+ hit AS (SELECT r, k FROM w SEMI JOIN (SELECT x FROM w GROUP BY x HAVING count(*) > 1) t USING (x)),
+ isle AS (SELECT r, k, sum(CASE WHEN k > prev + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY k) AS g FROM (SELECT r, k, lag(k) OVER (PARTITION BY r ORDER BY k) AS prev FROM hit)),
+ span AS (SELECT r, min(k) AS a, max(k) + 200 AS b FROM isle GROUP BY r, g),
+ gone AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last FROM span GROUP BY r),
+ gap AS (SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS f FROM span),
+ kept AS (SELECT gap.r, string_agg(substring(d.h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) AS s FROM gap JOIN d ON d.r = gap.r GROUP BY gap.r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN h ELSE kept.s || substring(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN gone ON gone.r = d.r LEFT JOIN kept ON kept.r = d.r
+"""
+
+
+def license_statement() -> str:
+    """The licence scan: the template weights are a table of values, all else is relational."""
+    from gridloom.llm import license_scan as ls
+
+    rows, idf, rare = ls.weights()
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({text(n)}, {k}, {text(w)}, {u!r}::DOUBLE)" for n, k, w, u in rows)
+    weights = ", ".join(f"({text(w)}, {x!r}::DOUBLE)" for w, x in idf.items())
+    # The end of a holder is consumed and put back, where the engine looks ahead; sentence ends likewise.
+    holder = ls.HOLDER.replace("(?=", "(")
+    return f"""
+WITH tpl(license, k, w, u) AS (VALUES {templates}), idfs(w, idf) AS (VALUES {weights}),
+ f AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || coalesce((doc_id // 64)::VARCHAR || '/', '') AS dir,
+   CASE WHEN coalesce(regexp_matches(regexp_extract(text, '^\s*([^\r\n]*)', 1), {text(ls.CUE)}), false) THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS name FROM documents),
+ n AS MATERIALIZED (SELECT r, doc_id, text, string_split(dir || name, '/') AS parts FROM f),
+ a AS (SELECT r, regexp_split_to_array(text, '[\r\n]+') AS a FROM f WHERE regexp_matches(text, {text(ls.CUE)})),
+ c AS (SELECT r, a[i] AS t, concat_ws(' ', a[i], a[i + 1]) AS two FROM (SELECT r, a, unnest(range(1, len(a) + 1)) AS i FROM a) WHERE regexp_matches(a[i], {text(ls.CUE)})),
+ p AS (SELECT DISTINCT r, t FROM (SELECT r, t FROM c UNION ALL SELECT r, two FROM c UNION ALL
+   SELECT r, s FROM (SELECT r, unnest(string_split(regexp_replace(t, '([.;!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM c) WHERE regexp_matches(s, {text(ls.CUE)}))),
+ w AS (SELECT r, t, unnest(regexp_extract_all(replace(lower(regexp_replace(t, {text(holder)}, 'copyright \1', 'g')), 'licence', 'license'), {text(ls.WORD)})) AS w FROM p),
+ x AS (SELECT r, t, w.w, count(*) * any_value(coalesce(idf, {rare!r})) AS x FROM w LEFT JOIN idfs ON idfs.w = w.w GROUP BY r, t, w.w),
+ norm AS (SELECT r, t, sqrt(sum(x * x)) AS norm FROM x GROUP BY r, t),
+ cos AS (SELECT d.r, d.license, round(d.dot / norm, 6) AS score FROM (SELECT r, t, license, k, sum(x * u) AS dot FROM x JOIN tpl ON tpl.w = x.w GROUP BY ALL) d JOIN norm ON norm.r = d.r AND norm.t = d.t),
+ best AS (SELECT r, license, score FROM cos WHERE score >= {ls.MIN_SCORE} QUALIFY row_number() OVER (PARTITION BY r ORDER BY license = {text(ls.RESERVED)}, score DESC, license) = 1),
+ named AS MATERIALIZED (SELECT n.r, doc_id, license, score, parts[-1] AS base, parts[:-2] AS dir FROM n LEFT JOIN best USING (r)),
+ owned AS (SELECT dir, license FROM named WHERE license IS NOT NULL AND regexp_matches(base, {text(ls.LICENSE_FILE)}) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
+ up AS (SELECT r, dir[:k] AS dir, k FROM (SELECT r, dir, unnest(range(0, len(dir) + 1)) AS k FROM named WHERE license IS NULL)),
+ near AS (SELECT up.r, owned.license, array_to_string(up.dir, '/') AS inherited FROM up JOIN owned ON owned.dir = up.dir QUALIFY row_number() OVER (PARTITION BY up.r ORDER BY k DESC) = 1)
+SELECT doc_id, named.license AS own_license, score AS own_score, coalesce(named.license, near.license) AS license, inherited AS inherited_from FROM named LEFT JOIN near USING (r)
+"""
+
+
+ORACLES = {"op1_embedding_neardup": OP1, "op2_license_scan": license_statement(), "op5_chat_format": OP5, "op6_suffix_dedup": OP6, "op7_ngram_jaccard": OP7, "op9_decontaminate": OP9}
