@@ -93,6 +93,46 @@ def test_near_join_on_sets_around_the_threshold(spark, seed):
     assert plain(jaccard_components(frame(spark, rows))) == sorted(brute.near(rows), key=str)
 
 
+def test_near_join_on_a_large_group_and_rows_without_an_id(spark):
+    from gridloom.llm.near import jaccard_components, keep_one
+
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(300):  # one group of near copies, linked through the base or through others only
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(80)] = f"z{rng.randrange(500)}"
+        rows.append((i, " ".join(w)))
+    assert plain(jaccard_components(frame(spark, rows))) == sorted(brute.near(rows), key=str)
+    loose = [(None, " ".join(base)), (None, "quite another text that has no copy anywhere in here")]
+    got = plain(jaccard_components(frame(spark, [*rows[:5], *loose])))
+    assert [r for r in got if r[0] is None] == [(None, 6, None), (None, 76, None)]
+    left = keep_one(frame(spark, [*loose, *loose, (1, "alpha beta gamma"), (1, "alpha beta gamma"), (1, "some unrelated words"), (2, "Alpha  beta gamma"), (3, None), (3, ""), (4, None)]))
+    assert sorted((str(r.doc_id), r.text) for r in left.select("doc_id", "text").collect() if r.text) == sorted([("None", loose[0][1]), ("None", loose[1][1]), ("1", "alpha beta gamma"), ("1", "some unrelated words")])
+    assert left.where("coalesce(text, '') = ''").count() == 2
+
+
+def test_sketches_never_rule_out_a_link():
+    import numpy as np
+
+    from gridloom.llm.near import _decoded, _encoded, differing, size_code, size_high, size_low, sketch
+
+    gen = np.random.default_rng(2)
+    fresh = lambda n: np.unique(gen.integers(0, 1 << 63, n).astype(np.uint64))
+    for n in (1, 30, 64, 65, 500, 1100, 3000):
+        for share in (0.5, 0.85, 0.95, 1.0):
+            a = fresh(n)
+            b = np.unique(np.concatenate([a[: int(len(a) * share)], fresh(n // 7)]))
+            d = len(np.setxor1d(a, b))
+            assert differing(sketch(a), sketch(b)) <= d and differing(sketch(b), sketch(a)) <= d
+        low, high = (int(f(np.array([size_code(n)], np.uint16))[0]) for f in (size_low, size_high))
+        assert low <= n <= high and (n >= 1024 or low == high)
+        for kind in (np.uint16, np.uint32):
+            x = np.sort(np.concatenate([a, a[:3]]) >> np.uint64(64 - 36))
+            assert (_decoded(_encoded(x, kind), kind) == x).all()
+
+
 def test_repeats_equal_brute_force(spark, docs):
     from gridloom.llm.repeats import remove_repeats
 
@@ -119,7 +159,7 @@ def test_contamination_equals_brute_force_both_ways(spark, docs):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(brute.decontaminate(corpus(), items), key=str)
     cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    for limit in (1 << 20, 0):
+    for limit in (1 << 20, 300):
         assert plain(find_contamination(docs, bench, limit).select(cols)) == want
     clean = {r.doc_id for r in drop_contaminated(docs, bench).collect()}
     assert clean == {r[0] for r in want if not r[5]}
@@ -174,6 +214,37 @@ def test_pii_patterns_discover_and_masking_replaces(spark):
     assert mask_pii(df).columns == df.columns
 
 
+def test_pii_discovers_groups_of_digits_and_guards_columns(spark):
+    from gridloom.llm.pii import find_pii, mask_pii, scan
+
+    texts = [f"dial +44 20 7946 {i:04d} please" for i in range(40)] + [f"dial 020 7946 {i:04d} please" for i in range(3)] + [f"dial (020) 7946-{i:04d}9 please" for i in range(3)]
+    df = frame(spark, list(enumerate(texts))).withColumn("__key", F.lit("k")).withColumn("__SPANS", F.lit("s"))
+    spans = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in find_pii(df).collect()}
+    assert spans[40] == [(7, "020 7946 0000")] and spans[43] == [(7, "(020) 7946-00009")]
+    masked = {r.doc_id: r for r in mask_pii(df).collect()}
+    assert mask_pii(df).columns == df.columns and masked[0].text == "dial [PHONE] please" == masked[43].text and masked[0]["__key"] == "k"
+    far = "y" * 300
+    got = scan(frame(spark, [(1, f"{far} 12345 {far}\n" + " " * 200 + "10.0.0.1 6 a@b.cd7 99 000")])).first()
+    assert [(s.value, s.prev, s.next) for s in got.more] == [("12345", far, far), ("99 000", "", "")]
+    assert [(s.value, s.prev) for s in got.base] == [("a@b.cd7", "6"), ("10.0.0.1", far)]
+
+
+def test_pii_of_a_long_text_takes_linear_work(spark):
+    import time
+
+    from gridloom.llm.pii import mask_pii, pii_digest
+
+    rng = random.Random(8)
+    kinds = (lambda: f"{rng.randint(10000, 99999)}", lambda: f"w{rng.randint(0, 99)}", lambda: f"u{rng.randint(0, 9)}@x.com", lambda: f"10.0.{rng.randint(0, 255)}.1")
+    text = " ".join(rng.choice(kinds)() for _ in range(40_000))
+    df = frame(spark, [(1, text)])
+    began = time.time()
+    assert tuple(pii_digest(df).first())[:6] == (1, *brute.pii_digest(text))
+    masked = mask_pii(df).first().text
+    assert "@" not in masked and time.time() - began < 120
+    assert masked.count("[IP]") > 9000 and "10.0." not in masked
+
+
 def test_chat_round_trip(spark):
     from gridloom.llm.chat import chat_digest, format_chats, loss_mask
 
@@ -234,6 +305,52 @@ def test_packing_equals_item_by_item_best_fit(spark):
         assert at <= v[0][2]
 
 
+def test_packing_chooses_among_lengths():
+    from gridloom.llm.packing import bin_cost, plan
+
+    rng = random.Random(7)
+    caps = (512, 1024, 2048, 4096)
+    lengths = [rng.choice((rng.randint(1, 600), rng.randint(1, 1500), rng.randint(1, 2500))) for _ in range(5000)]
+    made: dict[int, int] = {}
+    for _, a, b, first, per, _, cap in plan({n: lengths.count(n) for n in set(lengths)}):
+        made.update({first + (r - a) // per: cap for r in range(a, b)})
+    sizes = [list(made.values()).count(c) for c in caps]
+    assert sum(n > 50 for n in sizes) >= 2 and sizes[3] > 0  # several sizes are opened, not the largest only
+    cost, largest = sum(map(bin_cost, made.values())), sum(bin_cost(4096) * n for n in [-(-sum(lengths) // 4096)])
+    assert cost < largest  # less than the largest size without any waste
+    for seed in range(12):
+        rng = random.Random(seed)
+        some = [rng.choice((100, 300, 500, 900, 1000, 1500, 2100, 4000)) for _ in range(7)]
+        bins: dict[int, int] = {}
+        for _, a, b, first, per, _, cap in plan({n: some.count(n) for n in set(some)}):
+            bins.update({first + (r - a) // per: cap for r in range(a, b)})
+        best = brute.cheapest_packing(some, caps, bin_cost)
+        assert best <= sum(map(bin_cost, bins.values())) <= 1.35 * best
+
+
+def test_packed_sequences_hold_the_texts(spark):
+    from gridloom.llm.packing import pack_texts, sequences
+
+    rows = corpus() + [(9003, "a  b"), (9003, "a  b"), (None, "x y\nz"), (77, "c " * 300)]
+    pieces = pack_texts(frame(spark, rows), capacities=(64, 128))
+    got = pieces.collect()
+    for r in got:
+        assert r.n_tokens == len(r.text.split())
+    assert sorted(x for r in got for x in r.text.split()) == sorted(x for _, t in rows for x in (t or "").split())
+    assert {str(i) for i, _ in rows} == {str(r.doc_id) for r in got}
+    for r in sequences(pieces).collect():
+        assert r.n_tokens == len(r.text.split()) <= r.capacity and len(r.doc_ids) >= 1
+
+
+def test_vectors_of_extreme_sizes_and_any_label(spark):
+    from gridloom.llm.neardup_vectors import vector_components
+
+    rows = [(1, [1e200, 2e200, 0.0], "x"), (2, [1e-200, 2e-200, 0.0], "x"), (3, [1.0, 2.0, 1e-3], "x"), (4, [1.0, 2.0, 0.0], "y"), (5, [1.7e308, 1.7e308, 1.7e308], "y"), (6, [5e-324, 5e-324, 5e-324], "y"), (7, [1.0, 2.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_components(df).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True), 5: (1, 5, True), 6: (1, 5, False), 7: (0, 7, True)}
+
+
 def test_vectors_equal_brute_force(spark):
     from gridloom.llm.neardup_vectors import vector_components
 
@@ -376,6 +493,16 @@ def test_language_model_scores_words_within_their_class(spark, monkeypatch, loca
     assert all(g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-3 for g, w in zip(got, sorted(want), strict=True))
 
 
+def test_language_model_does_not_depend_on_partitions(spark, monkeypatch):
+    from gridloom.llm import masked_lm as lm
+
+    monkeypatch.setattr(lm, "GROUP_WORDS", 3000)
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(60))) for i in range(300)]
+    some = [sorted((r.doc_id, r.n_words, round(r.pll, 6)) for r in lm.lm_scores(frame(spark, rows).repartition(n)).collect()) for n in (1, 4, 7)]
+    assert some[0] == some[1] == some[2]
+
+
 def test_license_scan_and_inheritance(spark):
     from gridloom.llm.license_scan import license_scan
 
@@ -439,3 +566,36 @@ def test_pipeline_stages_keep_columns_and_clean_rows(spark, tmp_path):
         assert docs.columns == cols and {r[0] for r in docs.select("doc_id").collect()} <= all_ids
     assert docs.count() > 100
     assert {r[0] for r in cp.run(spark, d).select("doc_id").collect()} == {r[0] for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_equals_the_stages_done_plainly(spark, tmp_path):
+    """Near copies, benchmark and words by brute force; toxic ids and masked texts from the operators themselves."""
+    import corpus_pipeline as cp
+    from gridloom.llm.pii import mask_pii
+    from gridloom.llm.toxicity import toxicity
+
+    rows = corpus(seed=9, n=48) + [(9101, "write to some.one@mail.example.org or 10.1.2.3 today"), (9102, "you utter vermin, you filthy vermin scum"), (None, "a row without any id at all stays here")]
+    marks = [(i, 0, 1 if "vermin" in t else 0) for i, t in [*rows, *((20000 + k, f"you vermin number {k}, filthy vermin") for k in range(20))] if i is not None and t]
+    extra = [(20000 + k, f"you vermin number {k}, filthy vermin") for k in range(20)]
+    item = corpus(seed=9, n=48)[2][1].split()[50:65]
+    docs = frame(spark, rows + extra, extra=False).withColumn("lang", F.lit("l")).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(item)), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    toxic = {r.doc_id for r in toxicity(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))).where("predicted = 1").collect()}
+    assert len(toxic & {i for i, _ in extra}) > 15
+    left = [(i, t) for i, t in rows + extra if i not in toxic]
+    named = [(10**9 if i is None else i, t) for i, t in left]
+    left = [named[[k for k, _ in named].index(c)] for c in sorted({c for _, _, c in brute.near(named)})]
+    dirty = {r[0] for r in brute.decontaminate(left, [(1, " ".join(item)), (2, None)]) if r[-1]}
+    assert dirty
+    left = [(None if i == 10**9 else i, t) for i, t in left if i not in dirty]
+    want = sorted((str(r.doc_id), " ".join((r.text or "").split())) for r in mask_pii(frame(spark, left, extra=False)).collect())
+    got = cp.run(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got if r.n_tokens <= 4096 and r.piece == 0 and r.doc_id != 9003) == [w for w in want if w[0] != "9003"]
+    assert sum(r.n_tokens for r in got) == sum(len(w.split()) for _, w in want)
+    none = docs.limit(0)
+    for name, stage in cp.STAGES:
+        none = stage(spark, none, str(tmp_path))
+        assert none.count() == 0, name
