@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import cut, keyed
 
 MAX_TRAIN, MAX_TRAIN_BYTES = 3000, 50_000
+#: Words whose match a task remembers; a matter of speed only.
+MAX_KNOWN = 150_000
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[\"“”«»„]")
 QUOTES = frozenset("\"“”«»„")
 #: Words that report speech, and words of direct address.
@@ -75,24 +77,21 @@ class Automaton:
     """Intersection of the Levenshtein automaton of ``limit`` edits with the trie, made deterministic as it is used.
 
     A state is a set of (trie node, edits so far), where ((trie node, letter), edits) stands for the first half of a
-    swap that reaches the node with that letter; it is built once and its moves are remembered.  A state without members
-    is dead and ends the walk.
+    swap that reaches the node with that letter.  The first ``MAX_STATES`` states are kept with their moves under a
+    number; later ones are worked out where a word needs them.  A state without members is dead and ends the walk.
     """
 
-    MAX_STATES = 200_000
+    MAX_STATES = 20_000
 
     def __init__(self, trie: Trie, limit: int):
         self.trie, self.limit = trie, limit
-        self._reset()
-
-    def _reset(self) -> None:
         self.ids: dict[frozenset, int] = {}
         self.sets: list[dict] = []
         self.moves: list[dict[str, int]] = []
         self.found: list[float] = []
         self.first = self._state({0: 0} if self.trie.leads[0] else {})
 
-    def _state(self, nodes: dict) -> int:
+    def _state(self, nodes: dict) -> int | dict:
         t, todo = self.trie, [x for x in nodes.items() if type(x[0]) is int]
         while todo:  # letters of the term that the word leaves out
             node, e = todo.pop()
@@ -106,15 +105,21 @@ class Automaton:
         key = frozenset(nodes.items())
         got = self.ids.get(key)
         if got is None:
+            if len(self.sets) >= self.MAX_STATES:
+                return nodes
             got = self.ids[key] = len(self.sets)
             self.sets.append(nodes)
             self.moves.append({})
-            self.found.append(max((t.fuzzy[n] / (1 + e) for n, e in nodes.items() if type(n) is int and t.fuzzy[n]), default=0.0))
+            self.found.append(self._best(nodes))
         return got
 
-    def _step(self, state: int, ch: str) -> int:
+    def _best(self, nodes: dict) -> float:
+        fuzzy = self.trie.fuzzy
+        return max((fuzzy[n] / (1 + e) for n, e in nodes.items() if type(n) is int and fuzzy[n]), default=0.0)
+
+    def _step(self, nodes: dict, ch: str) -> int | dict:
         t, out = self.trie, {}
-        for node, e in self.sets[state].items():
+        for node, e in nodes.items():
             if type(node) is tuple:
                 if node[1] == ch and out.get(node[0], 9) > e:  # second half of a swap
                     out[node[0]] = e
@@ -135,17 +140,20 @@ class Automaton:
         return self._state(out)
 
     def weight(self, word: str) -> float:
-        if len(self.sets) > self.MAX_STATES:
-            self._reset()
         state = self.first
         for ch in word:
+            if type(state) is dict:
+                state = self._step(state, ch)
+                continue
             if state < 0:
                 return 0.0
             new = self.moves[state].get(ch)
             if new is None:
-                new = self.moves[state][ch] = self._step(state, ch)
+                new = self._step(self.sets[state], ch)
+                if type(new) is int:
+                    self.moves[state][ch] = new
             state = new
-        return self.found[state] if state >= 0 else 0.0
+        return self._best(state) if type(state) is dict else self.found[state] if state >= 0 else 0.0
 
 
 class Matcher:
@@ -159,9 +167,9 @@ class Matcher:
     def __call__(self, word: str) -> tuple[int, float]:
         got = self.known.get(word)
         if got is None:
-            if len(self.known) > 400_000:
-                self.known.clear()
-            got = self.known[word] = self._match(word)
+            got = self._match(word)
+            if len(self.known) < MAX_KNOWN:
+                self.known[word] = got
         return got
 
     def _match(self, word: str) -> tuple[int, float]:
