@@ -122,7 +122,7 @@ def soc_roots(a: DataFrame, p: DataFrame, theta: float = 0.01, max_rounds: int |
             roots = cut(roots)
         out = new.union(conflict.join(new, "i").select("k"))
         todo = cut(todo.join(out.distinct(), "i", "left_anti"))
-    return roots
+    return a.select("i").limit(0) if roots is None else roots
 
 
 def block_clip_strong(a: DataFrame, p: DataFrame, theta: float) -> DataFrame:
@@ -192,7 +192,9 @@ class Coupled(Aggregator):
         w = self.w or diag(a).select("i", F.lit(1.0).alias("v"))
         for _ in range(max(1, math.ceil(math.log2(max(self.size, 2))))):
             m = symmetrize(cur) if self.symmetric else cur
-            pt = cut(matching_prolongator(diag(cur), matching(edge_weights(m, w)), w))
+            # Weights that differ by rounding only are ties, so the same pairs come out on any partitioning.
+            weights = edge_weights(m, w).withColumn("v", F.round("v", 10))
+            pt = cut(matching_prolongator(diag(cur), matching(weights), w))
             prod = pt if prod is None else cut(spgemm(prod, pt))
             w = cut(spmv(pt, w, trans="T"))
             cur = cut(rap(cur, pt))

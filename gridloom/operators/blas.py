@@ -6,24 +6,10 @@ the shuffle; transposes are renamings.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder that ``spark.checkpoint.dir`` names and read back: short lineage, no lost blocks."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = os.path.join(where, f"step-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from gridloom.scratch import cut  # noqa: F401
 
 
 def assemble(entries: DataFrame) -> DataFrame:
@@ -127,6 +113,35 @@ def amax(x: DataFrame) -> float:
     return x.agg(F.max(F.abs("v"))).first()[0] or 0.0
 
 
+MAX_GATHER = 10_000_000
+
+
+def gather(x: DataFrame, start: int = 1):
+    """A vector of at most ``MAX_GATHER`` rows (checked) as a numpy array on the driver; missing entries are 0."""
+    import numpy as np
+
+    n, top = x.agg(F.count("*"), F.max("i")).first()
+    if n > MAX_GATHER or (top or 0) - start >= MAX_GATHER:
+        raise ValueError(f"a vector of {n} entries up to {top} is too large for the driver")
+    t = x.toArrow()
+    out = np.zeros((top or start - 1) - start + 1)
+    out[t.column("i").to_numpy() - start] = t.column("v").to_numpy()
+    return out
+
+
+def replicate(x: DataFrame, start: int = 1):
+    """``gather`` and a copy on every executor (a broadcast)."""
+    return x.sparkSession.sparkContext.broadcast(gather(x, start))
+
+
+def scatter(spark, values, p: DataFrame, start: int = 1) -> DataFrame:
+    """A vector on the driver by the blocks of ``p`` (i, blk): (i, v, blk)."""
+    import pyarrow as pa
+
+    rows = spark.createDataFrame(pa.table({"i": pa.array(range(start, start + len(values)), pa.int64()), "v": pa.array(values, pa.float64())}))
+    return rows.join(p, "i").select("i", "v", "blk")
+
+
 def residual(a: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
     return axpby(1.0, b, -1.0, spmv(a, x))
 

@@ -6,6 +6,7 @@ and a right-hand side (and the current guess, for sweeps).
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -41,12 +42,9 @@ def ilu(rows, fill: int = 0, modified: bool = False):
         w, lev, lost = dict(rows[r]), dict.fromkeys(rows[r], 0), 0.0
         w.setdefault(r, 0.0)
         lev.setdefault(r, 0)
-        done = set()
-        while True:
-            k = min((c for c in w if c < r and c not in done), default=None)
-            if k is None:
-                break
-            done.add(k)
+        todo = sorted(c for c in w if c < r)  # a heap: the columns to eliminate
+        while todo:
+            k = heapq.heappop(todo)
             w[k] *= piv[k]
             for c, x in up[k].items():
                 level = lev[k] + levels[k][c] + 1
@@ -55,6 +53,8 @@ def ilu(rows, fill: int = 0, modified: bool = False):
                     lev[c] = min(lev[c], level)
                 elif level <= fill:
                     w[c], lev[c] = -w[k] * x, level
+                    if c < r:
+                        heapq.heappush(todo, c)
                 else:
                     lost -= w[k] * x
         d = w[r] + (lost if modified else 0.0)
@@ -75,14 +75,16 @@ def ilut(rows, fill: int, tol: float):
         w.setdefault(r, 0.0)
         bar = tol * math.sqrt(sum(x * x for x in w.values()))
         n_low, n_up = sum(c < r for c in rows[r]), sum(c > r for c in rows[r])
-        done = set()
-        while (k := min((c for c in w if c < r and c not in done), default=None)) is not None:
-            done.add(k)
+        todo = sorted(c for c in w if c < r)
+        while todo:
+            k = heapq.heappop(todo)
             w[k] *= piv[k]
             if abs(w[k]) < bar:
                 del w[k]
                 continue
             for c, x in up[k].items():
+                if c < r and c not in w:
+                    heapq.heappush(todo, c)
                 w[c] = w.get(c, 0.0) - w[k] * x
         piv[r] = 1.0 / w[r] if w[r] else 1.0
         keep = lambda side, m: dict(sorted(sorted(side, key=lambda t: -abs(t[1]))[:m]))
@@ -213,9 +215,15 @@ def diagonal_update(f, shift):
 class Block:
     """A local solver by keyword: ``factor`` the entries, ``solve`` for a right-hand side from a guess."""
 
-    def __init__(self, kind: str, fill: int = 0, tol: float = 0.0, sweeps: int = 1, inv_fill: int = 0, variant: str = "LLK", method: str = "BICGSTAB", itmax: int = 40, eps: float = 1e-6):
+    def __init__(self, kind: str, fill: int = 0, tol: float = 0.0, sweeps: int = 1, inv_fill: int = 0, variant: str = "LLK", method: str = "BICGSTAB", itmax: int = 40, eps: float = 1e-6, istop: int = 2, irst: int = 30, sub_solve: str = "ILU", kprec: str = "BJAC", krm_fill: int = 1, trace: int = -1):
         self.kind, self.fill, self.tol, self.sweeps, self.inv_fill, self.variant = kind.upper(), fill, tol, sweeps, inv_fill, variant.upper()
-        self.method, self.itmax, self.eps = method, itmax, eps
+        self.method, self.itmax, self.eps, self.istop, self.irst = method, itmax, eps, istop, irst
+        self.krm_fill, self.sub_solve, self.kprec, self.trace = krm_fill, sub_solve.upper(), kprec.upper(), trace
+
+    def inner(self) -> "Block":
+        """What preconditions the inner Krylov method: a point method or, for block Jacobi, the solver of the block."""
+        kind = {"NONE": "NONE", "NOPREC": "NONE", "BJAC": self.sub_solve, "L1-BJAC": self.sub_solve, "AS": self.sub_solve, "ML": self.sub_solve, "JAC": "DIAG"}.get(self.kprec, self.kprec)
+        return Block("ILU" if kind == "KRM" else kind, fill=self.krm_fill, tol=self.tol, inv_fill=self.inv_fill)
 
     def factor(self, n, i, j, v):
         k = self.kind
@@ -243,7 +251,7 @@ class Block:
             m[zero, np.flatnonzero(zero)] = 1.0
             return np.linalg.inv(m)
         if k == "KRM":
-            return rows, ilu(rows, 1)
+            return rows, self.inner().factor(n, i, j, v)
         raise ValueError(f"unknown local solver {self.kind}")
 
     def solve(self, f, x, y=None, trans="N"):
@@ -259,10 +267,11 @@ class Block:
                 y = y + d * (x - times(rows, y, trans))
             return y
         if k in ("GS", "FGS", "FWGS", "BGS", "BWGS"):
-            if trans != "N":
-                raise ValueError("Gauss-Seidel has no transposed form")
+            # The transpose of a sweep goes over the transposed rows the other way round.
+            forward = (k in ("GS", "FGS", "FWGS")) == (trans == "N")
+            f = f if trans == "N" else transposed(f)
             y = np.zeros(len(x)) if y is None else np.array(y, float)
-            order = range(len(x)) if k in ("GS", "FGS", "FWGS") else range(len(x) - 1, -1, -1)
+            order = range(len(x)) if forward else range(len(x) - 1, -1, -1)
             for _ in range(self.sweeps):
                 for r in order:
                     row = f[r]
@@ -276,10 +285,20 @@ class Block:
             from gridloom.operators.krylov import NumpySpace, krylov
 
             rows, pre = f
-            return krylov(self.method, lambda u: times(rows, u, trans), x, prec=lambda u: lu_apply(pre, u, trans), space=NumpySpace, eps=self.eps, itmax=self.itmax).x
+            inner, other = self.inner(), "T" if trans == "N" else "N"
+            norm = max((sum(map(abs, row.values())) for row in rows), default=1.0)
+            return krylov(self.method, lambda u: times(rows, u, trans), x, prec=lambda u: inner.solve(pre, u, None, trans), space=NumpySpace, eps=self.eps, itmax=self.itmax, istop=self.istop, irst=self.irst, a_norm=norm, trace=self.trace, a_t=lambda u: times(rows, u, other), prec_t=lambda u: inner.solve(pre, u, None, other)).x
         return (f if trans == "N" else f.T) @ x
 
 
+def transposed(rows):
+    out = [{} for _ in rows]
+    for r, row in enumerate(rows):
+        for c, v in row.items():
+            out[c][r] = v
+    return out
+
+
 def times(rows, y, trans="N"):
     if trans == "N":
         return np.array([sum(v * y[c] for c, v in row.items()) for row in rows])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import blas
 from gridloom.operators.local import Block
+from gridloom.scratch import cut_by
 
 
 class Smoother(ABC):
@@ -98,7 +99,7 @@ class BlockJacobi(Smoother):
 
 
 def factor_blocks(inside: DataFrame, p: DataFrame, solver: Block) -> DataFrame:
-    """(blk, factor) with the node ids of the block and the pickled factor."""
+    """(blk, factor) with the node ids of the block and the pickled factor, in buckets of blk: sweeps leave them in place."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(pdf.i[pdf.i.notna()].astype("int64"))
@@ -107,7 +108,8 @@ def factor_blocks(inside: DataFrame, p: DataFrame, solver: Block) -> DataFrame:
         return pd.DataFrame({"blk": [pdf.blk.iloc[0]], "factor": [pickle.dumps((ids, f))]}).astype({"blk": "int32"})
 
     nodes = p.select("blk", "i", F.lit(None).cast("long").alias("j"), F.lit(0.0).alias("v"))
-    return blas.cut(inside.unionByName(nodes).groupBy("blk").applyInPandas(run, "blk int, factor binary"))
+    made = inside.unionByName(nodes).groupBy("blk").applyInPandas(run, "blk int, factor binary")
+    return cut_by(made, "blk", int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def solve_blocks(factors: DataFrame, p: DataFrame, x: DataFrame, y: DataFrame | None, solver: Block, trans: str = "N", keyed: bool = False) -> DataFrame:

@@ -95,6 +95,13 @@ OPTIONS = {
 }
 
 
+#: Keys that are taken for compatibility and change nothing here; setting one warns.  The direct solver is one dense
+#: factorisation, matching is always reproducible, the largest row sum is the only estimate, and traces are kept anyway.
+NO_EFFECT = ("AGGR_EIG", "SOLVER_EPS", "SMOOTHER_TRACE", "SMOOTHER_ITRACE", "BJAC_TRACE", "BJAC_ITRACE", "MUMPS_LOC_GLOB", "MUMPS_PRINT_ERR", "MUMPS_SYM", "MUMPS_IPAR_ENTRY", "MUMPS_RPAR_ENTRY", "PRMC_MATCH_ALG", "PRMC_W_SIZE", "PRMC_REPRODUCIBLE_MATCHING")
+#: Rows of a block where the number of blocks is not given.
+BLOCK_ROWS = 4000
+
+
 def legal(key: str, value):
     """The value if it is legal, else the default with a warning; keywords are folded to upper case."""
     default, rule = OPTIONS[key]
@@ -163,7 +170,7 @@ class Preconditioner:
 
     def set(self, what, value=None, ilev: int | None = None, ilmax: int | None = None, pos: str | None = None) -> "Preconditioner":
         """An option (keyword, value) for all levels or for levels ``ilev`` to ``ilmax`` (1 is the finest), for the
-        PRE or POST smoother; or an object: Smoother, Block or Aggregator.  Unknown keywords are ignored."""
+        PRE or POST smoother; or an object: Smoother, Block or Aggregator.  Unknown keywords and those without effect warn."""
         levels = [None] if ilev is None else range(ilev, (ilmax or ilev) + 1)
         if not isinstance(what, str):
             role = "aggregator" if isinstance(what, Aggregator) else "solver" if isinstance(what, Block) else "smoother"
@@ -172,7 +179,10 @@ class Preconditioner:
             return self
         key = what.upper()
         if key not in OPTIONS:
+            warnings.warn(f"unknown option {what!r} is ignored", stacklevel=2)
             return self
+        if key in NO_EFFECT:
+            warnings.warn(f"option {key} has no effect", stacklevel=2)
         for k in levels:
             target = self.parms if k is None else self.at.setdefault(k, {})
             if pos:
@@ -200,16 +210,17 @@ class Preconditioner:
 
     # Hierarchy
 
-    def build(self, a: DataFrame, p: DataFrame | None = None, n_blocks: int = 1) -> "Preconditioner":
+    def build(self, a: DataFrame, p: DataFrame | None = None, n_blocks: int | None = None) -> "Preconditioner":
+        """``n_blocks`` contiguous blocks where no partition is given: one for each ``BLOCK_ROWS`` rows unless it is set."""
         return self.hierarchy_build(a, p, n_blocks).smoothers_build()
 
-    def hierarchy_build(self, a: DataFrame, p: DataFrame | None = None, n_blocks: int = 1) -> "Preconditioner":
+    def hierarchy_build(self, a: DataFrame, p: DataFrame | None = None, n_blocks: int | None = None) -> "Preconditioner":
         a = blas.cut(blas.assemble(a))
         n, nnz = a.agg(F.countDistinct("i"), F.count("*")).first()
         if p is None:
             lo, hi = a.agg(F.min("i"), F.max("i")).first()
             spark = a.sparkSession
-            p = blas.cut(blocks((spark, (hi - lo + 1) if n else 1), n_blocks, lo or 1))
+            p = blas.cut(blocks((spark, (hi - lo + 1) if n else 1), n_blocks or -(-n // BLOCK_ROWS) or 1, lo or 1))
         self.levels = [Level(a, p, n, nnz, self.parms)]
         if self.kind != "ML":
             return self
@@ -298,13 +309,18 @@ class Preconditioner:
             return copy.copy(own)
         kind = self._smoother_kind(k, pos)
         opt = lambda key: self.option(key, k, pos)
-        more = {"fill": opt("SUB_FILLIN"), "tol": opt("SUB_ILUTHRS"), "sweeps": opt("SOLVER_SWEEPS"), "inv_fill": opt("INV_FILLIN"), "variant": opt("AINV_ALG")}
+        more = {"fill": opt("SUB_FILLIN"), "tol": opt("SUB_ILUTHRS"), "sweeps": opt("SOLVER_SWEEPS"), "inv_fill": opt("INV_FILLIN"), "variant": opt("AINV_ALG"), **self._inner_krylov(k)}
         s = make(kind, pos == "POST", opt("SUB_SOLVE"), overlap=opt("SUB_OVR"), restr=opt("SUB_RESTR"), prol=opt("SUB_PROL"), **more)
         solver = self._object("solver", k, pos)
         if solver is not None:
             s = BlockJacobi(solver)
         return Converged(s, opt("SMOOTHER_STOPTOL"), opt("SMOOTHER_RESIDUAL")) if opt("SMOOTHER_STOP") else s
 
+    def _inner_krylov(self, k) -> dict:
+        """Options of a local Krylov solver."""
+        names = {"method": "KRM_METHOD", "itmax": "KRM_ITMAX", "eps": "KRM_EPS", "istop": "KRM_ISTOPC", "irst": "KRM_IRST", "sub_solve": "KRM_SUB_SOLVE", "kprec": "KRM_KPREC", "krm_fill": "KRM_FILLIN", "trace": "KRM_ITRACE"}
+        return {n: self.option(key, k) for n, key in names.items()}
+
     def _coarse(self, k, lev) -> Smoother:
         kind = self.option("COARSE_SOLVE", k)
         one = blas.cut(lev.p.select("i", F.lit(0).alias("blk")))
@@ -312,12 +328,16 @@ class Preconditioner:
         if kind in DIRECT:
             if lev.n <= MAX_DENSE:
                 return BlockJacobi(Block("LU")).build(lev.a, one)
-            warnings.warn(f"the coarsest matrix has {lev.n} rows; block Jacobi with ILU is used", stacklevel=2)
-            kind = "BJAC"
+            # Too large for one dense factor: solved over all blocks, to a tolerance that stands for a direct solve.
+            return GlobalKrylov("BICGSTAB", 1000, 1e-12, 2, 30, 0).build(lev.a, lev.p)
         if kind == "KRM" and self.option("KRM_GLOBAL", k):
             s = GlobalKrylov(self.option("KRM_METHOD", k), self.option("KRM_ITMAX", k), self.option("KRM_EPS", k), self.option("KRM_ISTOPC", k), self.option("KRM_IRST", k), self.option("KRM_FILLIN", k))
             return s.build(lev.a, lev.p)
-        more = {"fill": self.option("COARSE_FILLIN", k), "tol": self.option("COARSE_ILUTHRS", k), "inv_fill": self.option("COARSE_INVFILL", k)}
+        more = {"fill": self.option("COARSE_FILLIN", k), "tol": self.option("COARSE_ILUTHRS", k), "inv_fill": self.option("COARSE_INVFILL", k), **self._inner_krylov(k)}
+        if self.option("COARSE_MAT", k) == "REPL" and kind not in ("JACOBI", "L1-JACOBI"):  # the whole matrix as one block
+            lev.extra["sweeps"] = 1
+            sub = self.option("COARSE_SUBSOLVE", k) if "BJAC" in kind else kind
+            return BlockJacobi(Block(sub, **more)).build(lev.a, one)
         lev.extra["sweeps"] = self.option("COARSE_SWEEPS", k)
         if kind in ("JACOBI", "L1-JACOBI"):
             return Jacobi(kind.startswith("L1")).build(lev.a, lev.p)
@@ -438,7 +458,11 @@ class Preconditioner:
         return out
 
     def clone(self) -> "Preconditioner":
-        return copy.copy(self)
+        """A copy with options and levels of its own; matrices and factors, which are never changed, are shared."""
+        out = copy.copy(self)
+        out.parms, out.at, out.objects = Parameters(self.parms), {k: dict(v) for k, v in self.at.items()}, dict(self.objects)
+        out.levels = [copy.copy(lev) for lev in self.levels]
+        return out
 
     def free(self) -> None:
         self.levels = []

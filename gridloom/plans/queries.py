@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from gridloom.functions.coefficients import SETS_2D
 from gridloom.operators import aggregate, blas, graph
 from gridloom.operators.local import Block
+from gridloom.operators.plugin import TriangularLU
 from gridloom.operators.smooth import BlockJacobi, Jacobi, Schwarz, make
 from gridloom.plans import sql as q
+from gridloom.plans import runs
+from gridloom.plans import sql_blocks as sb
 from gridloom.plans.preconditioner import Preconditioner, solve
 from gridloom.sources import generators, tables
 
@@ -256,7 +259,7 @@ _SMOOTHER = q.cte("sm", "SELECT f.i, f.j, (CASE WHEN f.i = f.j THEN 1 ELSE 0 END
 
 @query(q.with_(*q.LAP, *_FILTERED, _SMOOTHER) + q.matrix("sm", 9))
 def omega_smoother(spark, d):
-    a = A(spark, d)
+    a = blas.cut(A(spark, d))
     return rounded(graph.smoother_matrix(a, 0.5, graph.filtered(a, THETA)), 9)
 
 
@@ -282,12 +285,15 @@ def matching_first_round(spark, d):
     return graph.mutual_round(w.union(w.select("j", "i", "v")))
 
 
-@query()
+_PAIRS = q.with_(*q.LAP, *_EDGES[:-1], *sb.matched("eb", 60))
+
+
+@query(_PAIRS + "SELECT i, j FROM pairs UNION ALL SELECT i, j FROM left_over")
 def matching_full(spark, d):
-    return graph.matching(rounded(graph.edge_weights(A(spark, d)), 8))
+    return graph.matching(rounded(graph.edge_weights(blas.cut(A(spark, d))), 8))
 
 
-@query()
+@query(_PAIRS + "SELECT n AS nodes, k AS pairs, n - 2 * k AS unmatched FROM (SELECT (SELECT count(*) FROM d) AS n, (SELECT count(*) FROM pairs) AS k) WHERE NOT EXISTS (FROM left_over)")
 def matching_statistics(spark, d):
     a = blas.cut(A(spark, d))
     return graph.matching_statistics(a, graph.matching(rounded(graph.edge_weights(a), 8)))
@@ -296,38 +302,41 @@ def matching_statistics(spark, d):
 # Aggregation and transfer
 
 
-@query()
+def _aggregated(rest: str, **how) -> str:
+    return q.with_(*sb.aggregates([*q.LAP, q.cte("p", "SELECT DISTINCT i, i % 4 AS blk FROM a")], THETA, **how)) + rest
+
+
+@query(_aggregated("SELECT i, agg FROM agg"))
 def soc1_aggregates(spark, d):
     a = blas.cut(A(spark, d))
     return aggregate.soc_aggregates(a, parts4(a), THETA, "SOC1")
 
 
-@query()
+@query(_aggregated("SELECT i, agg FROM agg", by_degree=True))
 def soc1_aggregates_degree(spark, d):
     a = blas.cut(A(spark, d))
     return aggregate.soc_aggregates(a, parts4(a), THETA, "SOC1", "DEGREE")
 
 
-@query()
+@query(_aggregated("SELECT i, agg FROM agg", second=True))
 def soc2_aggregates(spark, d):
     a = blas.cut(A(spark, d))
     return aggregate.soc_aggregates(a, parts4(a), THETA, "SOC2")
 
 
-@query()
+@query(_aggregated("SELECT i FROM roots"))
 def soc1_roots(spark, d):
-    a, _ = generators.poisson(spark, 2, 16)
-    a = blas.cut(a)
-    return aggregate.soc_roots(a, generators.blocks((spark, 256), 4))
+    a = blas.cut(A(spark, d))
+    return aggregate.soc_roots(a, parts4(a), THETA)
 
 
-@query()
+@query(_aggregated("SELECT agg, count(*) AS size FROM agg GROUP BY agg"))
 def aggregate_sizes(spark, d):
     a = blas.cut(A(spark, d))
     return aggregate.soc_aggregates(a, parts4(a), THETA).groupBy("agg").agg(F.count("*").alias("size"))
 
 
-@query()
+@query(sb.coupled(12, "const", 2))
 def coupled_prolongator(spark, d):
     a, _ = generators.poisson(spark, 2, 12)
     return rounded(aggregate.Coupled(size=4).tentative(blas.cut(a), None, None), 9)
@@ -343,7 +352,7 @@ _SMOOTHED = (*_FILTERED, q.PT, _SMOOTHER, q.spgemm("pm", "sm", "pt"))
 
 @query(q.with_(*q.LAP, *_SMOOTHED) + "SELECT i, j, round(v, 8) AS v FROM pm WHERE abs(v) > 1e-7")
 def smoothed_prolongator(spark, d):
-    a = A(spark, d)
+    a = blas.cut(A(spark, d))
     return rounded(aggregate.smoothed(a, pairs4(a), THETA, True, 0.5), 8).where("abs(v) > 1e-7")
 
 
@@ -364,13 +373,13 @@ _RAP = (q.D, q.PT, q.spgemm("ap", "a", "pt"), q.spgemm("ac", "pt", "ap", True))
 
 @query(q.with_(*q.LAP, *_RAP) + q.matrix("ac", 4))
 def galerkin_product(spark, d):
-    a = A(spark, d)
+    a = blas.cut(A(spark, d))
     return rounded(aggregate.rap(a, pairs4(a)), 4)
 
 
 @query(q.with_(*q.LAP, *_RAP) + "SELECT round((SELECT count(*) FROM ac) / (SELECT count(*) FROM a)::DOUBLE + 1, 6) AS complexity, round((SELECT count(*) FROM d) / (SELECT count(DISTINCT j) FROM pt)::DOUBLE, 6) AS coarsening")
 def hierarchy_metrics(spark, d):
-    a = A(spark, d)
+    a = blas.cut(A(spark, d))
     pre = Preconditioner("ML").set_hierarchy(a, parts4(a), [(pairs4(a), None)])
     return spark.createDataFrame([(round(pre.operator_complexity(), 6), round(pre.average_coarsening(), 6))], "complexity double, coarsening double")
 
@@ -380,13 +389,13 @@ def hierarchy_metrics(spark, d):
 
 @query(q.with_(*q.LAP, q.D, q.DI, q.X, *q.jacobi("y", "a", "di", "x", 3)) + q.vector("y3", 6))
 def jacobi_3(spark, d):
-    a = A(spark, d)
+    a = blas.cut(A(spark, d))
     return rounded(Jacobi().build(a, None).apply(x_of(spark, d).join(a.select("i").distinct(), "i", "left_semi"), sweeps=3), 6)
 
 
 @query(q.with_(*q.LAP, q.X, q.cte("di", "SELECT i, 1 / sum(CASE WHEN i = j THEN v ELSE abs(v) END) AS v FROM a GROUP BY i"), *q.jacobi("y", "a", "di", "x", 3)) + q.vector("y3", 6))
 def l1_jacobi_3(spark, d):
-    a = A(spark, d)
+    a = blas.cut(A(spark, d))
     return rounded(Jacobi(l1=True).build(a, None).apply(x_of(spark, d).join(a.select("i").distinct(), "i", "left_semi"), sweeps=3), 6)
 
 
@@ -395,13 +404,13 @@ _N = q.cte("nn", "SELECT * FROM a WHERE i % 4 <> j % 4")
 
 @query(q.with_(*q.LAP, q.D, q.DI, q.X, _N, q.mlt("y1", "di", "x"), q.spmv("p", "nn", "y1"), q.lin("r", (1, "x"), (-1, "p")), q.mlt("y2", "di", "r")) + q.vector("y2", 6))
 def block_jacobi_diag(spark, d):
-    a = A(spark, d)
+    a = blas.cut(A(spark, d))
     x = x_of(spark, d).join(a.select("i").distinct(), "i", "left_semi")
     return rounded(BlockJacobi(Block("DIAG")).build(a, parts4(a)).apply(x, sweeps=2), 6)
 
 
 def _two_level(spark, d, cycle):
-    a = A(spark, d)
+    a = blas.cut(A(spark, d))
     pre = Preconditioner("ML").set("ML_CYCLE", cycle).set("SMOOTHER_TYPE", "JACOBI").set("COARSE_SOLVE", "JACOBI").set("COARSE_SWEEPS", 1)
     pre.set_hierarchy(a, parts4(a), [(pairs4(a), None)]).smoothers_build()
     return rounded(pre.apply(x_of(spark, d).join(a.select("i").distinct(), "i", "left_semi")), 6)
@@ -460,46 +469,97 @@ for _dim, _n in ((2, 20), (3, 8)):
 @query(q.with_(q.cte("e", "SELECT vec_id AS i, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0")) + "SELECT x.vec_id AS i, e.i AS j, round(list_dot_product(x.embedding::DOUBLE[], e.e), 5) AS v FROM embeddings x JOIN e ON x.vec_id <> e.i WHERE list_dot_product(x.embedding::DOUBLE[], e.e) > 0.25 * sqrt(list_dot_product(e.e, e.e) * list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[]))")
 def embedding_graph(spark, d):
     """Rows against the stated query set (ids divisible by 50): entries above a cosine of 0.25."""
-    e = tables.read(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "v"))
-    s = e.where("i % 50 = 0").select(F.col("i").alias("j"), "k", F.col("v").alias("w"))
-    norm = e.groupBy("i").agg(F.sum(F.col("v") * F.col("v")).alias("n"))
-    dots = e.join(s, "k").where("i <> j").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    both = dots.join(norm, "i").join(norm.select(F.col("i").alias("j"), F.col("n").alias("m")), "j")
-    return both.where(F.col("v") > 0.25 * F.sqrt(F.col("n") * F.col("m"))).select("i", "j", F.round("v", 5).alias("v"))
+    rows = tables.read(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("i"), F.col("embedding").cast("array<double>").alias("e")).where("i is not null and e is not null")
+    return rounded(tables.close_vectors(rows, rows.where("i % 50 = 0"), 0.25), 5)
 
 
-# Blocks, cycles and solvers without SQL
+# Blocks, cycles and solvers on generated problems
 
 _SUB = {"gs": "FWGS", "bwgs": "BWGS", "ilu0": "ILU", "milu": "MILU", "ilut": "ILUT", "invk": "INVK", "invt": "INVT", "ainv": "AINV", "lu": "LU", "krm": "KRM"}
+_TOL = 1e-3
 
 
 def _block_query(solver: str):
     def run(spark, d):
         a, b = generators.poisson(spark, 2, 12, "box")
-        more = {"tol": 1e-3} if solver in ("ILUT", "INVT", "AINV") else {}
+        more = {"tol": _TOL} if solver in ("ILUT", "INVT", "AINV") else {"eps": 1e-13} if solver == "KRM" else {}
         s = BlockJacobi(Block(solver, fill=2 if solver == "ILUT" else 0, **more)).build(blas.cut(a), generators.blocks((spark, 144), 4))
         return rounded(s.apply(b, sweeps=2), 8)
 
     return run
 
 
+def _lu(name, factors, rhs, guess):
+    return sb.lu_solve(name, factors, rhs)
+
+
+def _direct(name, blocks, rhs, guess):
+    return sb.direct(name, blocks, rhs)
+
+
+#: Solver, factors and whether the guess counts, by local solver.
+_STATEMENTS = {
+    "gs": (sb.gauss_seidel, None, True),
+    "bwgs": (lambda *names: sb.gauss_seidel(*names, backward=True), None, True),
+    "ilu0": (_lu, sb.ilu0, False),
+    "milu": (_lu, lambda *names: sb.ilu0(*names, modified=True), False),
+    "ilut": (_lu, lambda *names: sb.ilut(*names, 2, _TOL), False),
+    "invk": (lambda n, f, x, g: sb.inverse_first_order(n, f, x), sb.ilu0, False),
+    "invt": (lambda n, f, x, g: sb.inverse_by_threshold(n, f, x, _TOL), lambda *names: sb.ilut(*names, 0, _TOL), False),
+    "ainv": (lambda n, m, x, g: sb.biconjugation(n, m, x, _TOL), None, False),
+    "lu": (_direct, None, False),
+    "krm": (_direct, None, False),
+}
 for _name, _solver in _SUB.items():
     _QUERIES[f"block_{_name}"] = _block_query(_solver)
+    _SQL[f"block_{_name}"] = sb.block_sweeps(12, 4, "box", _STATEMENTS[_name][0], _STATEMENTS[_name][2], factors=_STATEMENTS[_name][1])
+
+
+@query(sb.block_sweeps(12, 4, "box", _lu, factors=sb.ilu0))
+def plugin_tlu(spark, d):
+    """A user's solver in the place of a built-in one."""
+    a, b = generators.poisson(spark, 2, 12, "box")
+    return rounded(BlockJacobi(TriangularLU()).build(blas.cut(a), generators.blocks((spark, 144), 4)).apply(b, sweeps=2), 8)
+
+
+_RUN = """% a run from a parameter file
+BICGSTAB        ! method
+2               ! dimension
+const           ! coefficients
+6               ! nodes along an axis
+2               ! stop test
+100             ! most iterations
+30              ! restart
+1.d-10          ! tolerance
+ML              ! preconditioner
+2               ! blocks
+ML_CYCLE VCYCLE
+SMOOTHER_TYPE FBGS
+MIN_COARSE_SIZE 8
+"""
 
 
-@query()
+@query(sb.solution(6, "const", 6))
+def parameter_file_run(spark, d):
+    got = runs.run(spark, _RUN)
+    if not got.converged:
+        raise RuntimeError(f"not converged: error {got.error}")
+    return rounded(got.x.select("i", "v"), 6)
+
+
+@query(sb.block_sweeps(12, 4, "const", sb.gauss_seidel, True, l1=True))
 def l1_block_gs(spark, d):
     a, b = generators.poisson(spark, 2, 12)
     return rounded(make("L1-GS").build(blas.cut(a), generators.blocks((spark, 144), 4)).apply(b, sweeps=2), 8)
 
 
-@query()
+@query(sb.schwarz(12, 4, "const", False))
 def schwarz_as(spark, d):
     a, b = generators.poisson(spark, 2, 12)
     return rounded(Schwarz(Block("ILU"), 1, "HALO", "SUM").build(blas.cut(a), generators.blocks((spark, 144), 4)).apply(b), 8)
 
 
-@query()
+@query(sb.schwarz(12, 4, "const", True))
 def schwarz_ras(spark, d):
     a, b = generators.poisson(spark, 2, 12)
     return rounded(Schwarz(Block("ILU"), 1, "HALO", "NONE").build(blas.cut(a), generators.blocks((spark, 144), 4)).apply(b), 8)
@@ -516,36 +576,44 @@ def _cycle_query(cycle: str):
 
 for _c in ("ADD", "VCYCLE", "WCYCLE", "KCYCLE", "KCYCLESYM"):
     _QUERIES[f"cycle_{_c.lower()}"] = _cycle_query(_c)
+    _SQL[f"cycle_{_c.lower()}"] = sb.cycle(16, "const", 2, 3, _c)  # 256, 48 and 8 rows
+
 
+def _solve_query(method: str, n: int):
+    """The solution of a generated problem, iterated to convergence."""
 
-def _solve_query(method: str):
     def run(spark, d):
-        a, b = generators.poisson(spark, 2, 12)
+        a, b = generators.poisson(spark, 2, n)
         a = blas.cut(a)
         pre = Preconditioner("L1-JACOBI").build(a, n_blocks=2)
-        got = solve(a, blas.cut(b), pre, method, eps=1e-3, itmax=6)
-        return spark.createDataFrame([(int(i), float(e)) for i, e in got.history], "iteration int, error double")
+        got = solve(a, blas.cut(b), pre, method, eps=1e-10, itmax=200)
+        if not got.converged:
+            raise RuntimeError(f"{method} has not converged: error {got.error}")
+        return rounded(got.x.select("i", "v"), 6)
 
     return run
 
 
-for _m in ("CG", "BICGSTAB"):
-    _QUERIES[f"solve_{_m.lower()}"] = _solve_query(_m)
+for _m, _n in (("CG", 8), ("BICGSTAB", 8), ("FCG", 5), ("CGS", 5), ("GCR", 5), ("BICG", 5), ("BICGSTABL", 5), ("RGMRES", 5)):
+    _QUERIES[f"solve_{_m.lower()}"] = _solve_query(_m, _n)
+    _SQL[f"solve_{_m.lower()}"] = sb.solution(_n, "const", 6)
 
 
-@query()
+@query(sb.solution(24, "const", 3))
 def solve_pcg_multigrid(spark, d):
     a, b = generators.poisson(spark, 2, 24)
     a = blas.cut(a)
     pre = Preconditioner("ML").set("MIN_COARSE_SIZE", 60).build(a, n_blocks=4)
     got = solve(a, blas.cut(b), pre, "CG", eps=1e-6, itmax=30)
-    return spark.createDataFrame([(int(i), float(e)) for i, e in got.history], "iteration int, error double")
+    if not got.converged:
+        raise RuntimeError(f"CG has not converged: error {got.error}")
+    return rounded(got.x.select("i", "v"), 3)
 
 
-@query()
+@query(sb.dumped(16, "const", 2, 3))
 def hierarchy_dump(spark, d):
     a, _ = generators.poisson(spark, 2, 16)
-    return Preconditioner("ML").set("MIN_COARSE_SIZE", 20).hierarchy_build(a, n_blocks=2).dump()
+    return rounded(Preconditioner("ML").set("MIN_COARSE_SIZE", 20).hierarchy_build(a, n_blocks=2).dump().where("abs(v) > 1e-7"), 8)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -18,10 +18,25 @@ def _lines(spark: SparkSession, path: str) -> tuple[DataFrame, str, int]:
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """Matrix Market coordinate file to (i, j, v), 1-based; symmetric storage is mirrored, duplicates are summed."""
-    data, banner, _ = _lines(spark, path)
+    """Matrix Market coordinate file to (i, j, v), 1-based; symmetric storage is mirrored, duplicates are summed.
+
+    Complex files give v as struct<re, im>; hermitian storage is mirrored with the conjugate.  A folder that
+    ``write_matrix_market`` has written is read by its header and entries.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/0-header")
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        data, banner = spark.read.text(f"{path}/1-entries").select(F.col("value").alias("line")), _lines(spark, f"{path}/0-header")[1]
+    else:
+        data, banner, _ = _lines(spark, path)
     kind = banner.lower().split()
     t = F.split(F.trim("line"), r"\s+")
+    if "complex" in kind:
+        v = F.struct(F.get(t, 2).cast("double").alias("re"), F.get(t, 3).cast("double").alias("im"))
+        m = data.select(F.get(t, 0).cast("long").alias("i"), F.get(t, 1).cast("long").alias("j"), v.alias("v"))
+        if not {"symmetric", "skew-symmetric", "hermitian"}.isdisjoint(kind):
+            re, im = (-1.0, -1.0) if "skew-symmetric" in kind else (1.0, -1.0 if "hermitian" in kind else 1.0)
+            m = m.union(m.where("i <> j").select("j", "i", F.struct((F.col("v.re") * re).alias("re"), (F.col("v.im") * im).alias("im")).alias("v")))
+        return m.groupBy("i", "j").agg(F.struct(F.sum("v.re").alias("re"), F.sum("v.im").alias("im")).alias("v"))
     v = F.lit(1.0) if "pattern" in kind else F.get(t, 2).cast("double")
     m = data.select(F.get(t, 0).cast("long").alias("i"), F.get(t, 1).cast("long").alias("j"), v.alias("v"))
     if "symmetric" in kind or "skew-symmetric" in kind:
@@ -73,8 +88,11 @@ def parse_harwell_boeing(text: str) -> dict:
     ptr, idx = take(counts[1], fmts[0], int), take(counts[2], fmts[1], int)
     val = take(counts[3], fmts[2], float) if kind[0] != "P" else [1.0] * nnz
     entries = [(idx[k], col + 1, val[k]) for col in range(n_cols) for k in range(ptr[col] - 1, ptr[col + 1] - 1)]
-    if kind[1] == "S":
-        entries += [(j, i, v) for i, j, v in entries if i != j]
+    if kind[0] == "C":
+        raise ValueError("complex Harwell-Boeing files are not read")
+    if kind[1] in "SHZ":  # hermitian is symmetric for real values, Z is skew
+        sign = -1.0 if kind[1] == "Z" else 1.0
+        entries += [(j, i, sign * v) for i, j, v in entries if i != j]
     out = {"entries": entries, "n": n_rows, "rhs": None, "guess": None, "solution": None}
     if counts[4]:
         dense = take(counts[4], fmts[3], float)

@@ -47,3 +47,42 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = names.select(F.col("event_type"), F.col("k").alias("i"))
     b = names.select(F.col("event_type").alias("n"), F.col("k").alias("j"))
     return pairs.join(a, "event_type").join(b, "n").select("i", "j", "v")
+
+
+def close_vectors(rows: DataFrame, queries: DataFrame, limit: float, block: int = 8192) -> DataFrame:
+    """Dot products (i, j, v) above ``limit`` times both norms, of all ``rows`` (i, e) with the ``queries`` (i, e).
+
+    The queries go to the tasks in blocks of about ``block`` vectors, one broadcast each; rows are never shuffled.  Vectors of another length than
+    the query have no entry.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = rows.sparkSession
+    parts = max(1, -(-queries.count() // block))
+    out = None
+    for p in range(parts):
+        some = queries.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == p).toArrow()  # ``block`` vectors, about
+        held: dict[int, tuple] = {}
+        for i, e in zip(some.column("i").to_pylist(), some.column("e").to_pylist()):
+            held.setdefault(len(e), ([], []))[0].append(i)
+            held[len(e)][1].append(e)
+        sent = spark.sparkContext.broadcast({n: (np.array(ids), np.array(vecs, float)) for n, (ids, vecs) in held.items()})
+
+        def run(batches, sent=sent):
+            for b in batches:
+                ids, vecs = b.column("i").to_numpy(), b.column("e").to_pylist()
+                found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+                for n, (names, q) in sent.value.items():
+                    at = np.array([k for k, v in enumerate(vecs) if len(v) == n], int)
+                    if not len(at):
+                        continue
+                    x = np.array([vecs[k] for k in at], float)
+                    dots = x @ q.T
+                    r, c = np.nonzero((dots > limit * np.sqrt((x * x).sum(1)[:, None] * (q * q).sum(1)[None, :])) & (ids[at][:, None] != names[None, :]))
+                    found.append((ids[at][r], names[c], dots[r, c]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["i", "j", "v"])
+
+        one = rows.select("i", "e").mapInArrow(run, "i long, j long, v double")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -11,7 +11,7 @@ from gridloom.operators import aggregate, blas, graph, local
 from gridloom.operators.krylov import METHODS, NumpySpace, krylov
 from gridloom.operators.local import Block
 from gridloom.operators.smooth import BlockJacobi, Converged, Jacobi, Schwarz, Smoother, make
-from gridloom.plans.preconditioner import OPTIONS, Preconditioner, solve
+from gridloom.plans.preconditioner import NO_EFFECT, OPTIONS, Preconditioner, solve
 from gridloom.sources import files, generators
 
 
@@ -276,7 +276,12 @@ def test_options_and_plug_ins(spark):
     a, b, part, m, x = grid(spark, 4, count=2)
     with pytest.warns(UserWarning):
         assert Preconditioner().set("AGGR_THRESH", 7.0).option("AGGR_THRESH", 1) == 0.01
-    pre = Preconditioner().set("no such key", 1).set("SMOOTHER_SWEEPS", 3, ilev=2, pos="PRE").set("aggr_prol", "unsmoothed")
+    with pytest.warns(UserWarning, match="unknown option"):
+        pre = Preconditioner().set("no such key", 1)
+    for key in NO_EFFECT:
+        with pytest.warns(UserWarning, match="no effect"):
+            Preconditioner().set(key, OPTIONS[key][0])
+    pre = pre.set("SMOOTHER_SWEEPS", 3, ilev=2, pos="PRE").set("aggr_prol", "unsmoothed")
     assert (pre.option("SMOOTHER_SWEEPS", 2, "PRE"), pre.option("SMOOTHER_SWEEPS", 2, "POST"), pre.option("AGGR_PROL", 1)) == (3, 1, "UNSMOOTHED")
     with pytest.raises(ValueError):
         Preconditioner("nothing")
@@ -315,6 +320,9 @@ def test_files(spark, tmp_path):
     assert files.read_parameters("%skip\nCG ! method\n 1.d-6 !eps\nT\n") == ["CG", "1.d-6", "T"] and files.parameter("1.d-6", float) == 1e-6 and files.parameter("T", bool)
     a = files.read_matrix(spark, str(tmp_path / "m.mtx"))
     files.write_matrix_market(a, str(tmp_path / "out"), 3, 3)
+    assert sorted(map(tuple, files.read_matrix(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, a.collect()))
+    (tmp_path / "c.mtx").write_text("%%MatrixMarket matrix coordinate complex hermitian\n2 2 2\n1 1 2.0 0.0\n2 1 1.0 -3.0\n")
+    assert sorted((r.i, r.j, r.v.re, r.v.im) for r in files.read_matrix(spark, str(tmp_path / "c.mtx")).collect()) == [(1, 1, 2.0, 0.0), (1, 2, 1.0, 3.0), (2, 1, 1.0, -3.0)]
     assert spark.read.text(str(tmp_path / "out/1-entries")).count() == 5
     x = generators.constant_vector(spark, 3, 1.0)
     files.write_solution(x, blas.residual(a, x, x), x, str(tmp_path / "sol"))
@@ -351,3 +359,52 @@ def test_user_hierarchy(spark):
     assert np.allclose(dense(pre.levels[1].a, 5), t.T @ m @ t)
     own = Preconditioner("ML").set(aggregate.UserMaps([pt])).set("AGGR_PROL", "UNSMOOTHED").set("MAX_LEVS", 2).set("MIN_COARSE_SIZE", 2).build(a, part)
     assert np.allclose(dense(own.levels[1].a, 5), t.T @ m @ t)
+
+
+def test_transposed_sweeps_are_the_transposes(spark):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(9, 9)) * (rng.random((9, 9)) < 0.5) + 8 * np.eye(9)
+    i, j = np.nonzero(m)
+    for kind in ("FWGS", "BWGS"):
+        for sweeps in (1, 3):
+            s = Block(kind, sweeps=sweeps)
+            f = s.factor(9, i.tolist(), j.tolist(), m[i, j].tolist())
+            one = np.stack([s.solve(f, e) for e in np.eye(9)], axis=1)
+            two = np.stack([s.solve(f, e, None, "T") for e in np.eye(9)], axis=1)
+            assert np.allclose(one.T, two)
+    a, b, part, m, x = grid(spark, 5, count=2)
+    pre = Preconditioner("ML").set("MIN_COARSE_SIZE", 6).build(a, part)
+    got = solve(a, b, pre, "BICG", eps=1e-8, itmax=40)
+    assert got.converged and np.allclose(m @ column(got.x, 25), x, atol=1e-5)
+
+
+def test_inner_krylov_options_and_replicated_coarse_matrix(spark):
+    a, b, part, m, x = grid(spark, 4, count=2)
+    loose = Preconditioner("ML").set("COARSE_SOLVE", "KRM").set("KRM_ITMAX", 1).set("KRM_METHOD", "CG").set("KRM_KPREC", "NONE").set("MIN_COARSE_SIZE", 6).build(a, part)
+    tight = Preconditioner("ML").set("COARSE_SOLVE", "KRM").set("KRM_EPS", 1e-12).set("KRM_SUB_SOLVE", "ILUT").set("COARSE_MAT", "REPL").set("MIN_COARSE_SIZE", 6).build(a, part)
+    exact = Preconditioner("ML").set("MIN_COARSE_SIZE", 6).build(a, part)
+    y, z, w = (column(p.apply(b), 16) for p in (loose, tight, exact))
+    assert np.allclose(z, w, atol=1e-8) and not np.allclose(y, w, atol=1e-8)
+    twin = exact.clone().set("OUTER_SWEEPS", 3)
+    assert exact.option("OUTER_SWEEPS", 1) == 1 and not np.allclose(column(twin.apply(b), 16), w)
+
+
+def test_large_coarse_matrices_are_solved_over_all_blocks(spark, monkeypatch):
+    from gridloom.plans import preconditioner
+
+    a, b, part, m, x = grid(spark, 5, count=2)
+    want = column(Preconditioner("ML").set("MIN_COARSE_SIZE", 6).build(a, part).apply(b), 25)
+    monkeypatch.setattr(preconditioner, "MAX_DENSE", 3)
+    got = column(Preconditioner("ML").set("MIN_COARSE_SIZE", 6).build(a, part).apply(b), 25)
+    assert np.allclose(got, want, atol=1e-7)
+
+
+def test_gather_scatter_and_empty_matrices(spark):
+    from gridloom.operators import aggregate
+
+    x = spark.createDataFrame([(1, 2.0), (4, -1.0)], "i long, v double")
+    assert blas.gather(x).tolist() == [2.0, 0.0, 0.0, -1.0] and blas.replicate(x).value.tolist() == [2.0, 0.0, 0.0, -1.0]
+    p = spark.createDataFrame([(k, k % 2) for k in range(1, 5)], "i long, blk int")
+    assert sorted(map(tuple, blas.scatter(spark, [1.0, 2.0, 3.0, 4.0], p).collect())) == [(1, 1.0, 1), (2, 2.0, 0), (3, 3.0, 1), (4, 4.0, 0)]
+    none = spark.createDataFrame([], "i long, j long, v double")
+    assert aggregate.soc_roots(none, p).count() == 0
