@@ -93,7 +93,7 @@ def license_statement() -> str:
     weights = ", ".join(f"({text(w)}, {x!r}::DOUBLE)" for w, x in idf.items())
     # The end of a holder is consumed and put back, where the engine looks ahead; sentence ends likewise.
     holder = ls.HOLDER.replace("(?=", "(")
-    return f"""
+    return rf"""
 WITH tpl(license, k, w, u) AS (VALUES {templates}), idfs(w, idf) AS (VALUES {weights}),
  f AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || coalesce((doc_id // 64)::VARCHAR || '/', '') AS dir,
    CASE WHEN coalesce(regexp_matches(regexp_extract(text, '^\s*([^\r\n]*)', 1), {text(ls.CUE)}), false) THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS name FROM documents),
