@@ -107,20 +107,16 @@ def test_matching_is_valid_and_maximal(spark):
 
 
 def test_rounds_go_on_to_the_end_or_fail(spark):
-    from gridloom.llm.common import components
-
     def path(n):
         return [(k, k + 1) for k in range(1, n)]
 
     w = spark.createDataFrame([(i, j, 1.0) for i, j in path(12)], "i long, j long, v double")
     assert sorted((r.i, r.j) for r in graph.matching(w).collect()) == [(k, k + 1) for k in range(1, 12, 2)]
-    links = spark.createDataFrame(path(200), "a long, b long")
-    assert {r.component for r in components(links).collect()} == {1}
     n = 310
     a = spark.createDataFrame([(k, k, 2.0) for k in range(1, n + 1)] + [(i, j, -1.0) for p, q in path(n) for i, j in ((p, q), (q, p))], "i long, j long, v double")
     p = spark.createDataFrame([(k, 1) for k in range(1, n + 1)], "i long, blk int")
     assert sorted(r.i for r in aggregate.soc_roots(a, p).collect()) == list(range(1, n + 1, 3))
-    for run in (lambda: graph.matching(w, max_rounds=2), lambda: components(links, rounds=2), lambda: aggregate.soc_roots(a, p, max_rounds=2)):
+    for run in (lambda: graph.matching(w, max_rounds=2), lambda: aggregate.soc_roots(a, p, max_rounds=2)):
         with pytest.raises(RuntimeError, match="after 2 rounds"):
             run()
 
