@@ -71,9 +71,9 @@ def _sig(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity of the number of elements in each of 64 or more cells (a power of two, four times the size of the set at least)."""
+    """Parity of the number of elements in each of 64 or more cells (a power of two, twice the size of the set at least)."""
     cells = 64
-    while cells < 4 * len(s):
+    while cells < 2 * len(s):
         cells *= 2
     return np.packbits((np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
 
@@ -485,15 +485,19 @@ class NearJoin:
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def _verified(self, candidates: DataFrame, reps: DataFrame, parts: int) -> DataFrame:
-        """The links among candidate pairs (a, b, q), by sketches and then by whole sets.
+    def _verified(self, candidates: DataFrame, reps: DataFrame, parts: int, sketched: bool) -> DataFrame:
+        """The links among candidate pairs (a, b, q), by sketches (unless these have been ``sketched``) and then by whole sets.
 
         A pair is verified in the part of its end ``q`` and, where ``q`` has many partners, of a share of them: no more
         than two sets travel for a pair, and no task gets all partners of one node.
         """
-        a = reps.select(F.col("sig").alias("a"), "n", F.col("sketch").alias("sx"))
-        b = reps.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("sy"))
-        pairs = candidates.join(a, "a").join(b, "b").select("a", "b", "q", "n", "m", "sx", "sy").mapInArrow(_similar, "a long, b long, q long")
+        pairs = candidates
+        if not sketched:
+            ends = small(cut(candidates.select(F.explode(F.array("a", "b")).alias("sig")).distinct()), 500_000)
+            some = cut(reps.select("sig", "n", "sketch").join(ends, "sig", "left_semi"))
+            a = some.select(F.col("sig").alias("a"), "n", F.col("sketch").alias("sx"))
+            b = some.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("sy"))
+            pairs = candidates.join(a, "a").join(b, "b").select("a", "b", "q", "n", "m", "sx", "sy").mapInArrow(_similar, "a long, b long, q long")
         other = F.pmod(F.xxhash64(F.when(F.col("q") == F.col("a"), F.col("b")).otherwise(F.col("a"))), F.lit(parts))
         pairs = cut(pairs.select("a", "b", F.pmod(F.xxhash64("q", other), F.lit(parts)).cast("int").alias("part")))
         needs = cut(pairs.select("part", F.explode(F.array("a", "b")).alias("sig")).distinct())
@@ -512,9 +516,9 @@ class NearJoin:
         size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
         shingles = (size[0] or 0) // 5 + size[1] + 1  # about: words are longer than four bytes with their blanks
         ranges = n_ranges(spark, shingles * 3, 8 << 20)
-        # The hash for counting has eight times as many values as there are shingles; a gap takes two bytes until
-        # batches of 1000 texts leave larger ones.
-        bits = min(max(32, shingles.bit_length() + 3), 60)
+        # The hash for counting has at least as many values as there are shingles, so few rare ones fall together; a gap
+        # takes two bytes until batches of 1000 texts leave larger ones.
+        bits = min(max(32, shingles.bit_length()), 60)
         kind = np.uint16 if (1 << bits) / 300_000 < 32768 else np.uint32
         seen = docs.mapInArrow(_profiles(ranges, bits, kind), "part int, doc_id long, n long, sig long, sketch binary, block binary")
         seen = cut(seen.groupBy("part").applyInArrow(_frequent(kind), "doc_id long, n long, sig long, sketch binary, h long, df long, df2 long"))
@@ -551,7 +555,7 @@ class NearJoin:
                 nodes = drawn.withColumn("other", F.lit(None).cast("long")).unionByName(known, allowMissingColumns=True)
                 pairs = lists.groupBy("home").cogroup(nodes.groupBy("home")).applyInArrow(_cross(FORESTS if salt == STAR_ROUNDS else None), "a long, b long, q long").distinct()
             pairs = cut(pairs)
-            found = self._verified(pairs, reps, spread)
+            found = self._verified(pairs, reps, spread, salt >= STAR_ROUNDS)
             links = found if links is None else links.union(found)
             tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
             comp = cut(components(links))
