@@ -24,6 +24,7 @@ repeated label rows count once; other columns are ignored.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -275,8 +276,8 @@ class ToxicityModel:
         return cls(terms, logistic(np.array(x), np.array(y, float)), n1 / len(rows))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, folds: int = 5) -> list[tuple[str, int]]:
-    """At most ``max_rows`` texts for each label outside the held-out fold, taken in the order of a hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, folds: int = 5) -> DataFrame:
+    """Rows (doc_id, y, text): at most ``max_rows`` for each label outside the held-out fold, by a hash of the id."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     y = y.where(~held_out(folds))
     picked = None
@@ -285,9 +286,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN,
         picked = one if picked is None else picked.union(one)
     picked = F.broadcast(picked)  # at most 2 * max_rows rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TRAIN_BYTES).join(picked, "doc_id")
-    rows = texts.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y")
-    t = rows.toArrow()
-    return list(zip(t.column("text").to_pylist(), t.column("y").to_pylist()))
+    return texts.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> ToxicityModel:
+    """The model of the training rows, fitted in one task (they are bounded); only terms and weights reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(b.column("h").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("y").to_pylist())]
+        model = ToxicityModel.fit([(t, y) for _, _, t, y in sorted(rows, key=lambda r: r[:2])])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.terms, model.weights, model.prior))], pa.binary())], names=["model"])
+
+    rows = training_rows(docs, labels, max_rows).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "y")
+    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return ToxicityModel(*pickle.loads(made[0])) if made else ToxicityModel.fit([])
 
 
 def held_out(folds: int = 5):
@@ -314,13 +326,13 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted) for every document."""
-    model = ToxicityModel.fit(training_rows(docs, labels, max_rows))
+    model = fitted(docs, labels, max_rows)
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that are predicted toxic, those without a doc_id included."""
-    model = ToxicityModel.fit(training_rows(docs, labels))
+    model = fitted(docs, labels)
     rows, key = keyed(docs)
     bad = cut(score(rows.select(F.col(key).alias("doc_id"), "text"), model).where("score >= 0.5").select(F.col("doc_id").alias(key)).distinct())
     return rows.join(bad, key, "left_anti").select(*docs.columns)
