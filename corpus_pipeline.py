@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.common import cut, table
 from gridloom.llm.decontaminate import drop_contaminated
 from gridloom.llm.near import keep_one
-from gridloom.llm.packing import pack_texts
+from gridloom.llm.packing import pack
 from gridloom.llm.pii import mask_pii
 from gridloom.llm.queries import BATCH_ROWS
 from gridloom.llm.toxicity import drop_toxic
@@ -45,8 +45,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their texts and the sequences that they are packed in; rows without words in bin -1."""
-    return pack_texts(docs)
+    """Pieces of documents and the sequences that they are packed in (``pack_texts`` gives their texts); rows without words in bin -1."""
+    return pack(docs)
 
 
 STAGES = [
