@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.byte_bpe import bpe_digest, vocabulary
 from gridloom.llm.chat import chat_digest, format_chats
 from gridloom.llm.common import table
 from gridloom.llm.decontaminate import find_contamination
+from gridloom.llm.fill_middle import middle_digest
 from gridloom.llm.license_scan import document_files, license_scan
 from gridloom.llm.masked_lm import lm_scores
 from gridloom.llm.near import jaccard_components
 from gridloom.llm.neardup_vectors import vector_components
 from gridloom.llm.packing import pack
+from gridloom.llm.periodic import looped, runs_digest
 from gridloom.llm.pii import pii_digest
 from gridloom.llm.repeats import remove_repeats
 from gridloom.llm.sql import ORACLES
@@ -73,8 +76,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_digest(looped(_documents(spark, sf_dir)))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """The vocabulary is that of the installed tokenizers unless ``path`` names another file."""
+    import public_tokenizers
+
+    path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe_digest(_documents(spark, sf_dir), vocabulary(spark, path, public_tokenizers.PATTERN))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_embedding_neardup, op2_license_scan, op3_masked_lm, op4_pii, op5_chat_format, op6_suffix_dedup, op7_ngram_jaccard, op8_toxicity, op9_decontaminate, op10_packing)
+    ops = (op1_embedding_neardup, op2_license_scan, op3_masked_lm, op4_pii, op5_chat_format, op6_suffix_dedup, op7_ngram_jaccard, op8_toxicity, op9_decontaminate, op10_packing, op11_period_runs, op12_byte_bpe, op13_fill_middle)
     return {f.__name__: f for f in ops}
 
 

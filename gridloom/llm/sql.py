@@ -83,6 +83,55 @@ FROM d LEFT JOIN gone ON gone.r = d.r LEFT JOIN kept ON kept.r = d.r
 """
 
 
+OP13 = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+ d AS (SELECT doc_id, t, length(t) AS n, list_transform(range(0, 4), lambda k: ('0x' || substr(h, 8 * k + 1, 8))::BIGINT) AS h FROM h),
+ c AS (SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+   CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+ p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def runs_statement(longest: int = 8192) -> str:
+    """Runs by another way than the engine's: in a run of period q, a window of k words (q <= k, and k no more than the
+    overlap) occurs again first after q words, so runs are stretches of places with one distance to the next occurrence.
+    Windows double from 16 words; periods up to ``longest`` are covered (texts of three times as many words)."""
+    ctes, k = [], 1
+    while k < longest:
+        ctes.append(f"h{2 * k} AS MATERIALIZED (SELECT r, i, CASE WHEN lead(h, {k}) OVER w IS NOT NULL THEN hash(h, lead(h, {k}) OVER w) END AS h FROM h{k} WINDOW w AS (PARTITION BY r ORDER BY i))")
+        k *= 2
+    ends, k = [], 16
+    while k <= longest:
+        least = 1 if k == 16 else k // 2 + 1
+        ends.append(f"SELECT r, i, {k} AS k, q FROM (SELECT r, i, lead(i) OVER (PARTITION BY r, h ORDER BY i) - i AS q FROM h{k} WHERE h IS NOT NULL) WHERE q BETWEEN {least} AND {k}")
+        k *= 2
+    byte = "list_concat([ascii(c)], [0, 0, 0, 0, 0, 0, 0])"
+    bits = f"flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: {byte}))"
+    crc = f"xor(list_reduce({bits}::BIGINT[], lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384), 4294967295::BIGINT), 4294967295::BIGINT)"
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {crc} AS c, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ g AS (SELECT *, (c // 10) % greatest(len(w), 1) AS a, (c // 10) % 8 AS m FROM d),
+ l AS MATERIALIZED (SELECT r, doc_id, CASE WHEN c % 10 = 0 AND len(w) > 0 THEN list_transform(range(0, len(w)), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (len(w) - a) // (3 + m)) + 1] END) ELSE w END AS w FROM g),
+ x AS MATERIALIZED (SELECT r, unnest(range(0, len(w))) AS i, unnest(w) AS w FROM l),
+ h1 AS MATERIALIZED (SELECT r, i, hash(w) AS h FROM x),
+ {", ".join(ctes)},
+ nx AS ({" UNION ALL ".join(ends)}),
+ isle AS (SELECT r, k, q, i, i - row_number() OVER (PARTITION BY r, k, q ORDER BY i) AS g FROM nx),
+ runs AS MATERIALIZED (SELECT r, min(i) AS s, max(i) - min(i) + k + q AS n, q FROM isle GROUP BY r, k, q, g HAVING max(i) - min(i) + k + q >= greatest(24, 3 * q)),
+ best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY n::DOUBLE / q DESC, s, q) = 1),
+ said AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY r),
+ gone AS (SELECT DISTINCT r, unnest(range(s + q, s + n)) AS i FROM runs),
+ kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS t FROM x ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT l.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.n::BIGINT AS length, best.q::BIGINT AS period, (1000 * best.n // best.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(said.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM l LEFT JOIN best ON best.r = l.r LEFT JOIN said ON said.r = l.r LEFT JOIN kept ON kept.r = l.r
+"""
+
+
 def license_statement() -> str:
     """The licence scan: the template weights are a table of values, all else is relational."""
     from gridloom.llm import license_scan as ls
@@ -115,4 +164,4 @@ SELECT doc_id, named.license AS own_license, score AS own_score, coalesce(named.
 """
 
 
-ORACLES = {"op1_embedding_neardup": OP1, "op2_license_scan": license_statement(), "op5_chat_format": OP5, "op6_suffix_dedup": OP6, "op7_ngram_jaccard": OP7, "op9_decontaminate": OP9}
+ORACLES = {"op1_embedding_neardup": OP1, "op2_license_scan": license_statement(), "op5_chat_format": OP5, "op6_suffix_dedup": OP6, "op7_ngram_jaccard": OP7, "op9_decontaminate": OP9, "op11_period_runs": runs_statement(), "op13_fill_middle": OP13}
