@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pieces whose encodings a worker keeps, twice, and the longest such piece.
-CACHE, CACHED_CHARS = 200_000, 40
+CACHE, CACHED_CHARS = 150_000, 40
 #: Pairs of tokens whose compatibility a worker keeps.
-PAIRS = 500_000
+PAIRS = 300_000
 MAX_VOCABULARY_BYTES = 64 << 20
 NEVER = 1 << 62
 
@@ -57,16 +57,17 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[list[bytes], list[tup
 
 @dataclass
 class Vocabulary:
-    """Tokens in the order of their ids, the pattern of pieces, and the edges of each token.
+    """Tokens by id, the pattern of pieces, and the edges of each token.
 
-    ``right[t]`` has the parts along the right edge of token t, from its last byte to itself, each with the rank at which
-    it is merged on; ``left[t]`` likewise from the first byte.  A token without edges is no result of merges.
+    ``right[t]`` has the ids of the parts along the right edge of token t, from its last byte to itself, so that each part
+    is merged on at the rank of the next; ``left[t]`` likewise from the first byte.  A token without edges is no result of
+    merges.
     """
 
     tokens: dict[int, bytes]
     pattern: str
-    right: dict[int, list[tuple[bytes, int]]]
-    left: dict[int, list[tuple[bytes, int]]]
+    right: dict[int, tuple[int, ...]]
+    left: dict[int, tuple[int, ...]]
     name: str
 
 
@@ -99,14 +100,14 @@ def edges_of(ranks: dict[bytes, int], pattern: str) -> Vocabulary:
         if len(parts) > 1 or any(a[0] > b[0] for a, b in zip(done, done[1:])):
             continue
         # Played once more: which merges touch the last or the first part.
-        parts, r, f = [token[k : k + 1] for k in range(len(token))], [], []
+        parts, r, f = [token[k : k + 1] for k in range(len(token))], [ranks[token[-1:]]], [ranks[token[:1]]]
         for rank, k in done:
             if k == len(parts) - 2:
-                r.append((parts[-1], rank))
+                r.append(rank)
             if k == 0:
-                f.append((parts[0], rank))
+                f.append(rank)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        right[number], left[number] = [*r, (token, NEVER)], [*f, (token, NEVER)]
+        right[number], left[number] = tuple(r), tuple(f)
     name = hashlib.sha256(pattern.encode() + b"".join(t + b"%d," % n for t, n in sorted(ranks.items()))).hexdigest()
     return Vocabulary({n: t for t, n in ranks.items()}, pattern, right, left, name)
 
@@ -133,10 +134,12 @@ class Encoder:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether merging the bytes of tokens a and b leaves both whole."""
-        left, right, i, j = self.v.right[a], self.v.left[b], 0, 0
+        ends, starts, i, j = self.v.right[a], self.v.left[b], 0, 0
+        tokens, rank = self.v.tokens, self.ranks.get
         while True:
-            (u, up), (w, down) = left[i], right[j]
-            across = self.ranks.get(u + w, NEVER)
+            up = ends[i + 1] if i + 1 < len(ends) else NEVER
+            down = starts[j + 1] if j + 1 < len(starts) else NEVER
+            across = rank(tokens[ends[i]] + tokens[starts[j]], NEVER)
             if across < up and across <= down and across != NEVER:
                 return False
             if up == NEVER and down == NEVER:
@@ -259,15 +262,19 @@ def _each(sent, name: str, work) -> Iterable:
     return run
 
 
-def encode_texts(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """(doc_id, ids): the encoding of each text, without special tokens; ids as little-endian unsigned 32-bit integers."""
+def encode_texts(docs: DataFrame, v: Vocabulary, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids): the encoding of each text, without special tokens; ids as little-endian unsigned 32-bit integers.
+
+    With ``decoded`` also ``bytes``, what the ids stand for (``decode_ids`` in the same pass).
+    """
     sent = docs.sparkSession.sparkContext.broadcast(v)
 
     def work(e: Encoder, b: pa.RecordBatch) -> pa.RecordBatch:
         ids = [e.encode(t) if t else b"" for t in b.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        back = {"bytes": pa.array([e.decode(x) for x in ids], pa.binary())} if decoded else {}
+        return pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "ids": pa.array(ids, pa.binary()), **back})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_each(sent, v.name, work), "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_each(sent, v.name, work), "doc_id long, ids binary" + (", bytes binary" if decoded else ""))
 
 
 def decode_ids(encoded: DataFrame, v: Vocabulary) -> DataFrame:
@@ -281,5 +288,5 @@ def decode_ids(encoded: DataFrame, v: Vocabulary) -> DataFrame:
 
 
 def bpe_digest(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    out = decode_ids(encode_texts(docs, v), v)
+    out = encode_texts(docs, v, decoded=True)
     return out.select("doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

@@ -130,7 +130,7 @@ def bpe_texts(ranks, seed=3, n=150):
 
 
 def test_bpe_equals_the_library(spark, coder):
-    from gridloom.llm.byte_bpe import bpe_digest
+    from gridloom.llm.byte_bpe import bpe_digest, decode_ids, encode_texts
 
     v, library, ranks = coder
     rows = [(k, t) for k, t in enumerate(bpe_texts(ranks))] + [(3, "again"), (3, "again"), (None, "no id")]
@@ -140,6 +140,8 @@ def test_bpe_equals_the_library(spark, coder):
         want.append((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(t or "")))
     assert sorted(map(tuple, bpe_digest(frame(spark, rows), v).collect()), key=str) == sorted(want, key=str)
     assert bpe_digest(frame(spark, []), v).count() == 0
+    back = decode_ids(encode_texts(frame(spark, rows), v), v)
+    assert sorted(bytes(r.bytes) for r in back.collect()) == sorted((t or "").encode() for _, t in rows)
 
 
 def test_bpe_prefixes_appends_and_edits(coder):
