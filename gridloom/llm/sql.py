@@ -140,27 +140,39 @@ def license_statement() -> str:
     text = lambda x: "'" + x.replace("'", "''") + "'"
     templates = ", ".join(f"({text(n)}, {k}, {text(w)}, {u!r}::DOUBLE)" for n, k, w, u in rows)
     weights = ", ".join(f"({text(w)}, {x!r}::DOUBLE)" for w, x in idf.items())
+    kinds = ", ".join(f"({text(n)}, {k}, {[*has]}::VARCHAR[], {text(f)})" for n, k, has, f in ls.variants())
     # The end of a holder is consumed and put back, where the engine looks ahead; sentence ends likewise.
     holder = ls.HOLDER.replace("(?=", "(")
+    sentences = lambda t, ends=".;!?": f"string_split(regexp_replace({t}, '([{ends}])[ \\t\\r\\n\\f\\v]+', '\\1' || chr(1), 'g'), chr(1))"
     return rf"""
-WITH tpl(license, k, w, u) AS (VALUES {templates}), idfs(w, idf) AS (VALUES {weights}),
+WITH tpl(license, k, w, u) AS (VALUES {templates}), idfs(w, idf) AS (VALUES {weights}), kinds(license, k, has, family) AS (VALUES {kinds}),
  f AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || coalesce((doc_id // 64)::VARCHAR || '/', '') AS dir,
    CASE WHEN coalesce(regexp_matches(regexp_extract(text, '^\s*([^\r\n]*)', 1), {text(ls.CUE)}), false) THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS name FROM documents),
  n AS MATERIALIZED (SELECT r, doc_id, text, string_split(dir || name, '/') AS parts FROM f),
- a AS (SELECT r, regexp_split_to_array(text, '[\r\n]+') AS a FROM f WHERE regexp_matches(text, {text(ls.CUE)})),
- c AS (SELECT r, a[i] AS t, concat_ws(' ', a[i], a[i + 1]) AS two FROM (SELECT r, a, unnest(range(1, len(a) + 1)) AS i FROM a) WHERE regexp_matches(a[i], {text(ls.CUE)})),
- p AS (SELECT DISTINCT r, t FROM (SELECT r, t FROM c UNION ALL SELECT r, two FROM c UNION ALL
-   SELECT r, s FROM (SELECT r, unnest(string_split(regexp_replace(t, '([.;!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM c) WHERE regexp_matches(s, {text(ls.CUE)}))),
- w AS (SELECT r, t, unnest(regexp_extract_all(replace(lower(regexp_replace(t, {text(holder)}, 'copyright \1', 'g')), 'licence', 'license'), {text(ls.WORD)})) AS w FROM p),
- x AS (SELECT r, t, w.w, count(*) * any_value(coalesce(idf, {rare!r})) AS x FROM w LEFT JOIN idfs ON idfs.w = w.w GROUP BY r, t, w.w),
- norm AS (SELECT r, t, sqrt(sum(x * x)) AS norm FROM x GROUP BY r, t),
- cos AS (SELECT d.r, d.license, round(d.dot / norm, 6) AS score FROM (SELECT r, t, license, k, sum(x * u) AS dot FROM x JOIN tpl ON tpl.w = x.w GROUP BY ALL) d JOIN norm ON norm.r = d.r AND norm.t = d.t),
- best AS (SELECT r, license, score FROM cos WHERE score >= {ls.MIN_SCORE} QUALIFY row_number() OVER (PARTITION BY r ORDER BY license = {text(ls.RESERVED)}, score DESC, license) = 1),
+ cl AS MATERIALIZED (SELECT r, regexp_replace(text, {text(ls.MARKS)}, '\1', 'g') AS t FROM f WHERE regexp_matches(text, {text(ls.CUE)})),
+ a AS (SELECT r, regexp_split_to_array(t, '[\r\n]+') AS a FROM cl),
+ c AS (SELECT r, a[i] AS t, concat_ws(' ', a[i], a[i + 1]) AS two, concat_ws(' ', CASE WHEN i > 1 THEN a[i - 1] END, a[i], a[i + 1]) AS near FROM (SELECT r, a, unnest(range(1, len(a) + 1)) AS i FROM a) WHERE regexp_matches(a[i], {text(ls.CUE)})),
+ pa AS (SELECT r, p FROM (SELECT r, trim(regexp_replace(unnest(regexp_split_to_array(t, {text(ls.PARAGRAPH)})), {text(ls.BLANKS)}, ' ', 'g'), ' ') AS p FROM cl) WHERE regexp_matches(p, {text(ls.CUE)})),
+ p AS (SELECT DISTINCT r, t, near FROM (SELECT r, t, near FROM c UNION ALL SELECT r, two, near FROM c UNION ALL SELECT r, p, p FROM pa UNION ALL
+   SELECT r, s, near FROM (SELECT r, near, unnest({sentences("t")}) AS s FROM c) WHERE regexp_matches(s, {text(ls.CUE)}) UNION ALL
+   SELECT r, s, s FROM (SELECT r, unnest({sentences("p", ".!?")}) AS s FROM pa) WHERE regexp_matches(s, {text(ls.CUE)}) UNION ALL
+   SELECT r, 'SPDX-License-Identifier: ' || s, s FROM (SELECT r, unnest(regexp_split_to_array(regexp_extract(t, {text(ls.SPDX)}, 1), {text(ls.EITHER)})) AS s FROM c) WHERE s <> '')),
+ q AS MATERIALIZED (SELECT row_number() OVER () AS line, r, near,
+   regexp_extract_all(replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, {text(ls.OWNER)}, 'owned \1', 'g'), {text(holder)}, 'copyright \1', 'g'), {text(ls.CLAUSES)}, 'clause\1', 'g'), {text(ls.FREE)}, 'noattribution', 'g')), 'licence', 'license'), {text(ls.WORD)}) AS said FROM p),
+ w AS (SELECT line, r, unnest(said) AS w FROM q),
+ x AS (SELECT line, r, w.w, count(*) * any_value(coalesce(idf, {rare!r})) AS x FROM w LEFT JOIN idfs ON idfs.w = w.w GROUP BY line, r, w.w),
+ norm AS (SELECT line, sqrt(sum(x * x)) AS norm FROM x GROUP BY line),
+ cos AS (SELECT d.line, d.r, d.license, d.k, round(d.dot / norm, 6) AS score FROM (SELECT line, r, license, k, sum(x * u) AS dot FROM x JOIN tpl ON tpl.w = x.w GROUP BY ALL) d JOIN norm ON norm.line = d.line),
+ ok AS (SELECT cos.r, cos.license, family, score FROM cos JOIN kinds ON kinds.license = cos.license AND kinds.k = cos.k JOIN q ON q.line = cos.line
+   WHERE score >= {ls.MIN_SCORE} AND len(list_filter(list_concat(list_intersect(said, {[*ls.VARIANTS]}), regexp_extract_all(lower(near), '\b(?:lesser|affero)\b')), lambda v: NOT list_contains(has, v))) = 0),
+ fam AS (SELECT r, license, score FROM ok QUALIFY row_number() OVER (PARTITION BY r, family ORDER BY license = {text(ls.RESERVED)}, score DESC, license) = 1),
+ best AS (SELECT r, license, score FROM fam QUALIFY row_number() OVER (PARTITION BY r ORDER BY license = {text(ls.RESERVED)}, score DESC, license) = 1),
+ every AS (SELECT fam.r, string_agg(fam.license, ',' ORDER BY fam.license) AS licenses FROM fam JOIN best USING (r) WHERE fam.license <> {text(ls.RESERVED)} OR best.license = {text(ls.RESERVED)} GROUP BY fam.r),
  named AS MATERIALIZED (SELECT n.r, doc_id, license, score, parts[-1] AS base, parts[:-2] AS dir FROM n LEFT JOIN best USING (r)),
  owned AS (SELECT dir, license FROM named WHERE license IS NOT NULL AND regexp_matches(base, {text(ls.LICENSE_FILE)}) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
  up AS (SELECT r, dir[:k] AS dir, k FROM (SELECT r, dir, unnest(range(0, len(dir) + 1)) AS k FROM named WHERE license IS NULL)),
  near AS (SELECT up.r, owned.license, array_to_string(up.dir, '/') AS inherited FROM up JOIN owned ON owned.dir = up.dir QUALIFY row_number() OVER (PARTITION BY up.r ORDER BY k DESC) = 1)
-SELECT doc_id, named.license AS own_license, score AS own_score, coalesce(named.license, near.license) AS license, inherited AS inherited_from FROM named LEFT JOIN near USING (r)
+SELECT doc_id, named.license AS own_license, licenses AS own_licenses, score AS own_score, coalesce(named.license, near.license) AS license, inherited AS inherited_from FROM named LEFT JOIN near USING (r) LEFT JOIN every USING (r)
 """
 
 
