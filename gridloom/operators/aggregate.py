@@ -17,8 +17,9 @@ from gridloom.operators.graph import FOLD, edge_weights, filtered, matching, ome
 UNSET = -1
 
 
-def soc_block(i, j, v, theta: float, kind: str = "SOC1", order: str = "NATURAL") -> dict[int, int]:
+def soc_block(i, j, v, theta: float, kind: str = "SOC1", order: str = "NATURAL", turn: dict[int, int] | None = None) -> dict[int, int]:
     """Aggregates of one block in three phases; the value is the number of the aggregate, missing nodes are excluded.
+    ``turn`` may give the order in which nodes are looked at.
 
     Roots are nodes whose strong neighbourhood is untouched; then nodes join their strongest aggregated neighbour as
     of the end of the first phase; then leftovers gather what is still free around them.
@@ -44,6 +45,7 @@ def soc_block(i, j, v, theta: float, kind: str = "SOC1", order: str = "NATURAL")
 
     near = {a: [(b, coupling(a, b, x)) for b, x in r if is_strong(a, b, x)] for a, r in rows.items()}
     todo = sorted(nodes, key=lambda a: (-len(rows[a]), a)) if order == "DEGREE" else nodes
+    todo = todo if turn is None else sorted(nodes, key=lambda a: (turn[a], a))
     agg = dict.fromkeys(nodes, UNSET)
     count, excluded = 0, set()
     for a in todo:
@@ -98,31 +100,118 @@ def number_blocks(m: DataFrame) -> DataFrame:
     return m.join(base, "blk").select("i", (F.col("k") + F.col("base") + 1).alias("agg"))
 
 
-def soc_roots(a: DataFrame, p: DataFrame, theta: float = 0.01, max_rounds: int | None = None) -> DataFrame:
-    """Phase-one roots as the lexicographically first independent set on "shares a strong neighbour", in rounds.
+#: A multiplier that spreads node numbers over 32 bits.
+SPREAD = 1540483477
+
+
+def hashed(i):
+    """Priorities that look random and are the same on every machine: SQL of a node number ``i``."""
+    h = f"({i} % 4294967296 * {SPREAD} % 4294967296)"
+    return f"(({h} ^ shiftright({h}, 15)) * {SPREAD} % 4294967296)"
+
+
+def first_set(near: DataFrame, turn: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, int]:
+    """(i): the nodes that taking nodes in turn picks, where a pick needs all its ``near`` (i, j) untouched and touches them.
+
+    In rounds, without pairs of nodes: every j learns the first open node that wants it, every node whether it is the
+    first for all it wants.  A round picks the first open node at least; with random turns there are O(log n) rounds.
+    ``turn`` is (i, turn), with different turns.  Also the number of rounds.
+    """
+    live, out = cut(near.join(turn, "i").select("i", "j", "turn")), None
+    for done in itertools.count():
+        if not live.limit(1).count():
+            return (turn.select("i").limit(0) if out is None else out), done
+        if done == max_rounds:
+            raise RuntimeError(f"first_set: nodes are undecided after {max_rounds} rounds")
+        least = live.groupBy("j").agg(F.min("turn").alias("least"))
+        seen = live.join(least, "j").groupBy("i").agg(F.max(F.col("turn") > F.col("least")).alias("later"))
+        new = cut(seen.where("not later").select("i"))
+        out = new if out is None else out.union(new)
+        if done % FOLD == FOLD - 1:
+            out = cut(out)
+        touched = live.join(new, "i", "left_semi").select("j").distinct()
+        gone = live.join(touched, "j", "left_semi").select("i").distinct()
+        live = cut(live.join(gone, "i", "left_anti"))
+    raise AssertionError
 
-    The same roots as the sequential rule, without a task for each block: a node is settled as root when it is least
-    in its undecided neighbourhood.  Each round settles the least undecided node, so the rounds end; with
-    ``max_rounds`` it is an error if some are undecided after them.
+
+def soc_rounds(a: DataFrame, p: DataFrame, theta: float = 0.01, kind: str = "SOC1", order: str = "HASHED", number: bool = True, max_rounds: int | None = None) -> DataFrame:
+    """(i, agg): the aggregates of ``soc_block`` by joins, without a task for a block.
+
+    Roots come in rounds (``first_set``); the others join their strongest neighbour of the first phase (the least of equal
+    ones); what is left opens aggregates in turn, again in rounds.  ``order`` is NATURAL, DEGREE or HASHED, the one with few
+    rounds.  Aggregates are numbered by (block, turn) as in ``soc_aggregates``, or named by their first node.
     """
-    s = with_self(block_clip_strong(a, p, theta))
-    conflict = cut(s.select("i", "j").join(s.select(F.col("i").alias("k"), "j"), "j").where("i <> k").select("i", "k").distinct())
-    todo = cut(a.select("i").where("i is not null").distinct())
-    roots = None
+    from pyspark.sql import Window
+
+    second = kind == "SOC2"
+    local = cut(block_of(a, p).where("bi = bj").select(F.col("bi").alias("blk"), "i", "j", "v"))
+    info = local.groupBy("blk", "i").agg(F.count("*").alias("deg"), F.sum(F.when(F.col("i") == F.col("j"), F.col("v")).otherwise(0.0)).alias("d"), F.max(F.col("i") != F.col("j")).alias("linked"))
+    key = {"NATURAL": [F.col("i")], "DEGREE": [F.desc("deg"), F.col("i")], "HASHED": [F.expr(hashed("i")), F.col("i")]}[order]
+    if number or order == "DEGREE":
+        turn = F.row_number().over(Window.partitionBy("blk").orderBy(*key)).cast("long")
+    else:
+        turn = F.expr(f"{hashed('i')} * 2147483648 + i % 2147483648") if order == "HASHED" else F.col("i")
+    info = cut(info.withColumn("turn", turn))
+    ends = local.join(info.select("i", F.col("d").alias("di")), "i").join(info.select(F.col("i").alias("j"), F.col("d").alias("dj")), "j")
+    scale = F.sqrt(F.abs(F.col("di") * F.col("dj")))
+    coupling = F.when(scale > 0, F.abs("v") / scale).otherwise(0.0) if second else F.abs("v")
+    is_strong = (scale > 0) & (F.abs("v") / scale >= theta) if second else F.abs("v") > scale * theta
+    ends = cut(ends.select("i", "j", coupling.alias("c"), is_strong.alias("strong")))
+    able = info.where("linked") if second else info
+    # Turns of different blocks may be equal: blocks do not meet.
+    near = ends.where("strong").select("i", "j").union(able.select("i", F.col("i").alias("j"))).distinct()
+    roots, _ = first_set(near, able.select("i", "turn"), max_rounds)
+    roots = cut(roots.join(info.select("i", "blk", "turn"), "i"))
+    first = cut(near.join(roots.select("i"), "i", "left_semi").select(F.col("j").alias("i"), F.col("i").alias("root")).distinct())
+    open_ = able if second else info.where("deg > 1")
+    free = open_.select("i").join(first, "i", "left_anti")
+    wanted = ends.where("strong and c > 0").join(free, "i", "left_semi").join(first.select(F.col("i").alias("j"), "root"), "j")
+    joined = cut(wanted.groupBy("i").agg(F.max_by("root", F.struct("c", -F.col("j"))).alias("root")))
+    rest = cut(info.select("i", "turn", "deg", "linked", "blk").join(first.select("i").union(joined.select("i")), "i", "left_anti").where("linked" if second else "true"))
+    takes = (ends if second else ends.where("strong")).where("i <> j").select("i", "j")
+    takes = takes.join(rest.select("i"), "i", "left_semi").join(rest.select(F.col("i").alias("j")), "j", "left_semi")
+    opener = rest if second else rest.where("deg > 1")
+    takes = cut(takes.join(opener.select("i"), "i", "left_semi"))
+    opened = cut(_openers(takes, opener.select("i", "turn"), max_rounds).join(info.select("i", "blk", "turn"), "i"))
+    taken = takes.join(opened.select("i", "turn"), "i").join(opened.select(F.col("i").alias("j")), "j", "left_anti").groupBy("j").agg(F.min_by("i", "turn").alias("root")).select(F.col("j").alias("i"), "root")
+    agg = first.select("i", "root").unionByName(joined).unionByName(opened.select("i", F.col("i").alias("root"))).unionByName(taken)
+    if not number:
+        return agg.select("i", F.col("root").alias("agg"))
+    heads = roots.withColumn("late", F.lit(0)).unionByName(opened.withColumn("late", F.lit(1)))
+    k = (F.row_number().over(Window.partitionBy("blk").orderBy("late", "turn")) - 1).cast("long")
+    heads = heads.select("blk", F.col("i").alias("root"), k.alias("k"))
+    return number_blocks(cut(agg.join(heads, "root").select("blk", "i", "k")))
+
+
+def _openers(takes: DataFrame, turn: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(i): nodes that open an aggregate when they come in turn, unless an earlier one that opens takes them (i takes j)."""
+    live, open_, out = cut(takes.join(turn, "i").select("i", "j", "turn")), cut(turn), None
     for done in itertools.count():
-        if not todo.limit(1).count():
-            break
+        if not open_.limit(1).count():
+            return turn.select("i").limit(0) if out is None else out
         if done == max_rounds:
-            raise RuntimeError(f"soc_roots: nodes are undecided after {max_rounds} rounds")
-        live = conflict.join(todo, "i", "left_semi").join(todo.select(F.col("i").alias("k")), "k", "left_semi")
-        low = live.groupBy("i").agg(F.min("k").alias("m"))
-        new = cut(todo.join(low, "i", "left").where("m is null or i < m").select("i"))
-        roots = new if roots is None else roots.union(new)
+            raise RuntimeError(f"soc_rounds: nodes are undecided after {max_rounds} rounds")
+        earlier = live.groupBy(F.col("j").alias("i")).agg(F.min("turn").alias("least"))
+        new = cut(open_.join(earlier, "i", "left").where("least is null or least > turn").select("i"))
+        out = new if out is None else out.union(new)
         if done % FOLD == FOLD - 1:
-            roots = cut(roots)
-        out = new.union(conflict.join(new, "i").select("k"))
-        todo = cut(todo.join(out.distinct(), "i", "left_anti"))
-    return a.select("i").limit(0) if roots is None else roots
+            out = cut(out)
+        gone = new.union(live.join(new, "i", "left_semi").select("j")).distinct()
+        open_ = cut(open_.join(gone, "i", "left_anti"))
+        live = cut(live.join(gone, "i", "left_anti").join(gone.select(F.col("i").alias("j")), "j", "left_anti"))
+    raise AssertionError
+
+
+def soc_roots(a: DataFrame, p: DataFrame, theta: float = 0.01, max_rounds: int | None = None) -> DataFrame:
+    """Phase-one roots in natural order, in rounds: the same as the sequential rule, without a task for each block.
+
+    A chain in natural order settles one root a round; ``soc_rounds`` has an order with few rounds.
+    """
+    near = with_self(block_clip_strong(a, p, theta))
+    nodes = a.select("i").where("i is not null").distinct()
+    near = near.union(nodes.select("i", F.col("i").alias("j"))).distinct()
+    return first_set(near, nodes.select("i", F.col("i").alias("turn")), max_rounds)[0]
 
 
 def block_clip_strong(a: DataFrame, p: DataFrame, theta: float) -> DataFrame:
@@ -178,7 +267,8 @@ class Decoupled(Aggregator):
 
     def tentative(self, a, p, parms):
         m = symmetrize(block_of(a, p).where("bi = bj").select("i", "j", "v")) if self.symmetric else a
-        return tentative(soc_aggregates(m, p, parms.aggr_thresh, parms.aggr_type, parms.aggr_ord))
+        how = soc_rounds if parms.aggr_ord == "HASHED" else soc_aggregates
+        return tentative(how(m, p, parms.aggr_thresh, parms.aggr_type, parms.aggr_ord))
 
 
 class Coupled(Aggregator):

@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 
+#: Rows of a block that is factored as one dense matrix; beyond, a direct solver works over all blocks (``direct.py``).
 MAX_DENSE = 6000
 
 

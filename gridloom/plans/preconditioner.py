@@ -14,7 +14,8 @@ from gridloom.operators import blas
 from gridloom.operators.aggregate import Aggregator, Coupled, Decoupled, rap, smoothed
 from gridloom.operators.graph import omega
 from gridloom.operators.krylov import FrameSpace, Result, krylov
-from gridloom.operators.local import MAX_DENSE, Block
+from gridloom.operators.direct import Multifrontal
+from gridloom.operators.local import Block
 from gridloom.operators.smooth import BlockJacobi, Converged, Jacobi, Smoother, make
 from gridloom.sources.generators import blocks
 
@@ -34,7 +35,7 @@ OPTIONS = {
     "MAX_LEVS": (20, lambda v: v >= 1),
     "PAR_AGGR_ALG": ("DEC", ("DEC", "SYMDEC", "COUPLED")),
     "AGGR_TYPE": ("SOC1", ("SOC1", "SOC2", "MATCHBOXP")),
-    "AGGR_ORD": ("NATURAL", ("NATURAL", "DEGREE")),
+    "AGGR_ORD": ("NATURAL", ("NATURAL", "DEGREE", "HASHED")),
     "AGGR_PROL": ("SMOOTHED", ("UNSMOOTHED", "SMOOTHED")),
     "AGGR_FILTER": ("NOFILTER", ("NOFILTER", "FILTER")),
     "AGGR_THRESH": (0.01, lambda v: 0 <= v <= 1),
@@ -98,8 +99,9 @@ OPTIONS = {
 #: Keys that are taken for compatibility and change nothing here; setting one warns.  The direct solver is one dense
 #: factorisation, matching is always reproducible, the largest row sum is the only estimate, and traces are kept anyway.
 NO_EFFECT = ("AGGR_EIG", "SOLVER_EPS", "SMOOTHER_TRACE", "SMOOTHER_ITRACE", "BJAC_TRACE", "BJAC_ITRACE", "MUMPS_LOC_GLOB", "MUMPS_PRINT_ERR", "MUMPS_SYM", "MUMPS_IPAR_ENTRY", "MUMPS_RPAR_ENTRY", "PRMC_MATCH_ALG", "PRMC_W_SIZE", "PRMC_REPRODUCIBLE_MATCHING")
-#: Rows of a block where the number of blocks is not given.
-BLOCK_ROWS = 4000
+#: Rows of a block where the number of blocks is not given, rows up to which a coarse matrix is one dense factor, and the
+#: most rows of a matrix that is replicated, which makes it one block of one task.
+BLOCK_ROWS, DENSE, MAX_REPLICATED = 4000, 1500, 50_000
 
 
 def legal(key: str, value):
@@ -157,7 +159,10 @@ class GlobalKrylov(Smoother):
 
     def apply(self, x, y=None, sweeps=1, trans="N"):
         method, itmax, eps, istop, irst = self.args
-        return krylov(method, lambda v: blas.spmv(self.a, v, trans=trans), x, y, lambda v: self.inner.apply(v, trans=trans), FrameSpace, eps, itmax, istop, irst).x
+        got = krylov(method, lambda v: blas.spmv(self.a, v, trans=trans), x, y, lambda v: self.inner.apply(v, trans=trans), FrameSpace, eps, itmax, istop, irst)
+        if not got.converged:
+            warnings.warn(f"inner {method} stopped after {got.iterations} steps with error {got.error:.1e} (tolerance {eps:.1e})", stacklevel=2)
+        return got.x
 
 
 class Preconditioner:
@@ -220,7 +225,7 @@ class Preconditioner:
         if p is None:
             lo, hi = a.agg(F.min("i"), F.max("i")).first()
             spark = a.sparkSession
-            p = blas.cut(blocks((spark, (hi - lo + 1) if n else 1), n_blocks or -(-n // BLOCK_ROWS) or 1, lo or 1))
+            p = blas.cut(blocks((spark, (hi - lo + 1) if n else 1), n_blocks or -(-n // BLOCK_ROWS) or 1, 1 if lo is None else lo))
         self.levels = [Level(a, p, n, nnz, self.parms)]
         if self.kind != "ML":
             return self
@@ -325,11 +330,12 @@ class Preconditioner:
         kind = self.option("COARSE_SOLVE", k)
         one = blas.cut(lev.p.select("i", F.lit(0).alias("blk")))
         lev.extra["sweeps"] = 1
+        replicated = kind in ("ILU", "ILUT", "MILU") or (self.option("COARSE_MAT", k) == "REPL" and kind not in (*DIRECT, "JACOBI", "L1-JACOBI"))
+        if replicated and lev.n > MAX_REPLICATED:
+            raise ValueError(f"a coarse matrix of {lev.n} rows is too large to be replicated; use more levels, or COARSE_MAT DIST with BJAC")
         if kind in DIRECT:
-            if lev.n <= MAX_DENSE:
-                return BlockJacobi(Block("LU")).build(lev.a, one)
-            # Too large for one dense factor: solved over all blocks, to a tolerance that stands for a direct solve.
-            return GlobalKrylov("BICGSTAB", 1000, 1e-12, 2, 30, 0).build(lev.a, lev.p)
+            # One dense block, or the same solution from fronts over all blocks.
+            return BlockJacobi(Block("LU")).build(lev.a, one) if lev.n <= DENSE else Multifrontal().build(lev.a, lev.p)
         if kind == "KRM" and self.option("KRM_GLOBAL", k):
             s = GlobalKrylov(self.option("KRM_METHOD", k), self.option("KRM_ITMAX", k), self.option("KRM_EPS", k), self.option("KRM_ISTOPC", k), self.option("KRM_IRST", k), self.option("KRM_FILLIN", k))
             return s.build(lev.a, lev.p)

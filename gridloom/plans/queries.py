@@ -10,20 +10,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.coefficients import SETS_2D
-from gridloom.operators import aggregate, blas, graph
+from gridloom.functions.coefficients import SETS_2D, SETS_3D
+from gridloom.operators import aggregate, blas, graph, partition
+from gridloom.operators.direct import Multifrontal
 from gridloom.operators.local import Block
 from gridloom.operators.plugin import TriangularLU
 from gridloom.operators.smooth import BlockJacobi, Jacobi, Schwarz, make
 from gridloom.plans import sql as q
 from gridloom.plans import runs
 from gridloom.plans import sql_blocks as sb
-from gridloom.plans.preconditioner import Preconditioner, solve
+from gridloom.plans.preconditioner import Parameters, Preconditioner, solve
 from gridloom.sources import generators, tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-THETA = 0.01
+THETA, _SKEW = 0.01, 0.25
 
 
 def query(statement: str | None = None):
@@ -324,6 +325,27 @@ def soc2_aggregates(spark, d):
     return aggregate.soc_aggregates(a, parts4(a), THETA, "SOC2")
 
 
+@query(_aggregated("SELECT i, agg FROM agg", by_hash=True))
+def soc1_aggregates_rounds(spark, d):
+    """By joins, in rounds: no task for a block."""
+    a = blas.cut(A(spark, d))
+    return aggregate.soc_rounds(a, parts4(a), THETA)
+
+
+@query(_aggregated("SELECT i, agg FROM agg", by_hash=True, second=True))
+def soc2_aggregates_rounds(spark, d):
+    a = blas.cut(A(spark, d))
+    return aggregate.soc_rounds(a, parts4(a), THETA, "SOC2")
+
+
+@query(q.with_(*sb.aggregates(q.shelf(), THETA)) + "SELECT i, agg FROM agg")
+def symmetrised_aggregates(spark, d):
+    """Aggregates of the blocks of A + A^T, of which the skewed shelves have the same as the plain ones."""
+    a, _ = tables.shelf(spark, d, _SKEW)
+    parms = Parameters({"AGGR_THRESH": THETA})
+    return aggregate.Decoupled(symmetric=True).tentative(blas.cut(a), tables.shelf_blocks(spark, d), parms).select("i", F.col("j").alias("agg"))
+
+
 @query(_aggregated("SELECT i FROM roots"))
 def soc1_roots(spark, d):
     a = blas.cut(A(spark, d))
@@ -336,9 +358,9 @@ def aggregate_sizes(spark, d):
     return aggregate.soc_aggregates(a, parts4(a), THETA).groupBy("agg").agg(F.count("*").alias("size"))
 
 
-@query(sb.coupled(12, "const", 2))
+@query(sb.coupled(2))
 def coupled_prolongator(spark, d):
-    a, _ = generators.poisson(spark, 2, 12)
+    a, _ = tables.shelf(spark, d)
     return rounded(aggregate.Coupled(size=4).tentative(blas.cut(a), None, None), 9)
 
 
@@ -458,11 +480,17 @@ _SQL["weighted_jacobi_history"] = _history_sql()
 
 # Generated problems
 
-for _dim, _n in ((2, 20), (3, 8)):
+def _grid_problem(spark, d, dim, kind):
+    """The generated problem with the parts as nodes: their sizes add to the reaction, their prices are the source."""
+    points, side = tables.part_nodes(spark, d, dim)
+    return generators.poisson(spark, dim, side, kind, c=f"{(SETS_2D if dim == 2 else SETS_3D)[kind]['c']} + size", f="price", points=points)
+
+
+for _dim in (2, 3):
     for _kind in SETS_2D:
-        _m, _r = q.stencil(_dim, _n, _kind)
-        _QUERIES[f"poisson{_dim}d_{_kind}"] = lambda spark, d, dim=_dim, n=_n, kind=_kind: rounded(generators.poisson(spark, dim, n, kind)[0], 6)
-        _QUERIES[f"rhs{_dim}d_{_kind}"] = lambda spark, d, dim=_dim, n=_n, kind=_kind: rounded(generators.poisson(spark, dim, n, kind)[1], 6)
+        _m, _r = q.stencil(_dim, _kind)
+        _QUERIES[f"poisson{_dim}d_{_kind}"] = lambda spark, d, dim=_dim, kind=_kind: rounded(_grid_problem(spark, d, dim, kind)[0], 6)
+        _QUERIES[f"rhs{_dim}d_{_kind}"] = lambda spark, d, dim=_dim, kind=_kind: rounded(_grid_problem(spark, d, dim, kind)[1], 6)
         _SQL[f"poisson{_dim}d_{_kind}"], _SQL[f"rhs{_dim}d_{_kind}"] = _m, _r
 
 
@@ -473,18 +501,21 @@ def embedding_graph(spark, d):
     return rounded(tables.close_vectors(rows, rows.where("i % 50 = 0"), 0.25), 5)
 
 
-# Blocks, cycles and solvers on generated problems
+# Blocks, cycles and solvers on the shelves of parts
 
 _SUB = {"gs": "FWGS", "bwgs": "BWGS", "ilu0": "ILU", "milu": "MILU", "ilut": "ILUT", "invk": "INVK", "invt": "INVT", "ainv": "AINV", "lu": "LU", "krm": "KRM"}
 _TOL = 1e-3
 
 
+def _swept(spark, d, smoother, skew: float = _SKEW, sweeps: int = 2):
+    a, b = tables.shelf(spark, d, skew)
+    return rounded(smoother.build(blas.cut(a), tables.shelf_blocks(spark, d)).apply(b, sweeps=sweeps), 6)
+
+
 def _block_query(solver: str):
     def run(spark, d):
-        a, b = generators.poisson(spark, 2, 12, "box")
         more = {"tol": _TOL} if solver in ("ILUT", "INVT", "AINV") else {"eps": 1e-13} if solver == "KRM" else {}
-        s = BlockJacobi(Block(solver, fill=2 if solver == "ILUT" else 0, **more)).build(blas.cut(a), generators.blocks((spark, 144), 4))
-        return rounded(s.apply(b, sweeps=2), 8)
+        return _swept(spark, d, BlockJacobi(Block(solver, fill=2 if solver == "ILUT" else 0, **more)))
 
     return run
 
@@ -512,108 +543,131 @@ _STATEMENTS = {
 }
 for _name, _solver in _SUB.items():
     _QUERIES[f"block_{_name}"] = _block_query(_solver)
-    _SQL[f"block_{_name}"] = sb.block_sweeps(12, 4, "box", _STATEMENTS[_name][0], _STATEMENTS[_name][2], factors=_STATEMENTS[_name][1])
+    _SQL[f"block_{_name}"] = sb.block_sweeps(_SKEW, _STATEMENTS[_name][0], _STATEMENTS[_name][2], factors=_STATEMENTS[_name][1])
 
 
-@query(sb.block_sweeps(12, 4, "box", _lu, factors=sb.ilu0))
+@query(sb.block_sweeps(_SKEW, _lu, factors=sb.ilu0))
 def plugin_tlu(spark, d):
     """A user's solver in the place of a built-in one."""
-    a, b = generators.poisson(spark, 2, 12, "box")
-    return rounded(BlockJacobi(TriangularLU()).build(blas.cut(a), generators.blocks((spark, 144), 4)).apply(b, sweeps=2), 8)
+    return _swept(spark, d, BlockJacobi(TriangularLU()))
 
 
 _RUN = """% a run from a parameter file
 BICGSTAB        ! method
 2               ! dimension
-const           ! coefficients
-6               ! nodes along an axis
+shelf           ! coefficients, here the name of a given system
+10              ! nodes along an axis
 2               ! stop test
 100             ! most iterations
 30              ! restart
-1.d-10          ! tolerance
-ML              ! preconditioner
-2               ! blocks
-ML_CYCLE VCYCLE
-SMOOTHER_TYPE FBGS
-MIN_COARSE_SIZE 8
+1.d-12          ! tolerance
+BJAC            ! preconditioner
+8               ! blocks
+SUB_SOLVE ILU
+SUB_FILLIN 1
 """
 
 
-@query(sb.solution(6, "const", 6))
+@query(sb.solution(_SKEW, 3))
 def parameter_file_run(spark, d):
-    got = runs.run(spark, _RUN)
+    got = runs.run(spark, _RUN, {"shelf": tables.shelf(spark, d, _SKEW)})
     if not got.converged:
         raise RuntimeError(f"not converged: error {got.error}")
-    return rounded(got.x.select("i", "v"), 6)
+    return rounded(got.x.select("i", "v"), 3)
 
 
-@query(sb.block_sweeps(12, 4, "const", sb.gauss_seidel, True, l1=True))
+@query(sb.block_sweeps(0.0, sb.gauss_seidel, True, l1=True))
 def l1_block_gs(spark, d):
-    a, b = generators.poisson(spark, 2, 12)
-    return rounded(make("L1-GS").build(blas.cut(a), generators.blocks((spark, 144), 4)).apply(b, sweeps=2), 8)
+    return _swept(spark, d, make("L1-GS"), 0.0)
+
 
+@query(sb.block_sweeps(0.0, _lu, l1=True, factors=sb.ilu0))
+def l1_block_ilu(spark, d):
+    return _swept(spark, d, make("L1-BJAC"), 0.0)
 
-@query(sb.schwarz(12, 4, "const", False))
+
+@query(sb.schwarz(False))
 def schwarz_as(spark, d):
-    a, b = generators.poisson(spark, 2, 12)
-    return rounded(Schwarz(Block("ILU"), 1, "HALO", "SUM").build(blas.cut(a), generators.blocks((spark, 144), 4)).apply(b), 8)
+    return _swept(spark, d, Schwarz(Block("ILU"), 1, "HALO", "SUM"), 0.0, 1)
 
 
-@query(sb.schwarz(12, 4, "const", True))
+@query(sb.schwarz(True))
 def schwarz_ras(spark, d):
-    a, b = generators.poisson(spark, 2, 12)
-    return rounded(Schwarz(Block("ILU"), 1, "HALO", "NONE").build(blas.cut(a), generators.blocks((spark, 144), 4)).apply(b), 8)
+    return _swept(spark, d, Schwarz(Block("ILU"), 1, "HALO", "NONE"), 0.0, 1)
+
+
+_LEVELS = 3
 
 
 def _cycle_query(cycle: str):
     def run(spark, d):
-        a, b = generators.poisson(spark, 2, 16)
-        pre = Preconditioner("ML").set("ML_CYCLE", cycle).set("SMOOTHER_TYPE", "L1-JACOBI").set("MIN_COARSE_SIZE", 8)
-        return rounded(pre.build(blas.cut(a), n_blocks=2).apply(b), 8)
+        a, b = tables.shelf(spark, d)
+        pre = Preconditioner("ML").set("ML_CYCLE", cycle).set("SMOOTHER_TYPE", "L1-JACOBI").set("MIN_COARSE_SIZE", 8).set("MAX_LEVS", _LEVELS)
+        return rounded(pre.build(blas.cut(a), tables.shelf_blocks(spark, d)).apply(b), 6)
 
     return run
 
 
 for _c in ("ADD", "VCYCLE", "WCYCLE", "KCYCLE", "KCYCLESYM"):
     _QUERIES[f"cycle_{_c.lower()}"] = _cycle_query(_c)
-    _SQL[f"cycle_{_c.lower()}"] = sb.cycle(16, "const", 2, 3, _c)  # 256, 48 and 8 rows
+    _SQL[f"cycle_{_c.lower()}"] = sb.cycle(_LEVELS, _c)
 
 
-def _solve_query(method: str, n: int):
-    """The solution of a generated problem, iterated to convergence."""
+def _solve_query(method: str, skew: float):
+    """The solution of the system on the shelves, iterated to convergence."""
 
     def run(spark, d):
-        a, b = generators.poisson(spark, 2, n)
+        a, b = tables.shelf(spark, d, skew)
         a = blas.cut(a)
-        pre = Preconditioner("L1-JACOBI").build(a, n_blocks=2)
-        got = solve(a, blas.cut(b), pre, method, eps=1e-10, itmax=200)
+        pre = Preconditioner("BJAC").build(a, tables.shelf_blocks(spark, d))
+        got = solve(a, blas.cut(b), pre, method, eps=1e-12, itmax=200)
         if not got.converged:
             raise RuntimeError(f"{method} has not converged: error {got.error}")
-        return rounded(got.x.select("i", "v"), 6)
+        return rounded(got.x.select("i", "v"), 3)
 
     return run
 
 
-for _m, _n in (("CG", 8), ("BICGSTAB", 8), ("FCG", 5), ("CGS", 5), ("GCR", 5), ("BICG", 5), ("BICGSTABL", 5), ("RGMRES", 5)):
-    _QUERIES[f"solve_{_m.lower()}"] = _solve_query(_m, _n)
-    _SQL[f"solve_{_m.lower()}"] = sb.solution(_n, "const", 6)
+for _m, _s in (("CG", 0.0), ("BICGSTAB", _SKEW), ("FCG", 0.0), ("CGS", _SKEW), ("GCR", _SKEW), ("BICG", _SKEW), ("BICGSTABL", _SKEW), ("RGMRES", _SKEW)):
+    _QUERIES[f"solve_{_m.lower()}"] = _solve_query(_m, _s)
+    _SQL[f"solve_{_m.lower()}"] = sb.solution(_s, 3)
 
 
-@query(sb.solution(24, "const", 3))
+@query(sb.solution(0.0, 3))
 def solve_pcg_multigrid(spark, d):
-    a, b = generators.poisson(spark, 2, 24)
+    a, b = tables.shelf(spark, d)
     a = blas.cut(a)
-    pre = Preconditioner("ML").set("MIN_COARSE_SIZE", 60).build(a, n_blocks=4)
-    got = solve(a, blas.cut(b), pre, "CG", eps=1e-6, itmax=30)
+    pre = Preconditioner("ML").build(a, tables.shelf_blocks(spark, d))
+    got = solve(a, blas.cut(b), pre, "CG", eps=1e-11, itmax=30)
     if not got.converged:
         raise RuntimeError(f"CG has not converged: error {got.error}")
     return rounded(got.x.select("i", "v"), 3)
 
 
-@query(sb.dumped(16, "const", 2, 3))
+@query(sb.solution(_SKEW, 6))
+def sparse_direct(spark, d):
+    """Nested dissection and fronts, one stage for each level of the tree."""
+    a, b = tables.shelf(spark, d, _SKEW)
+    return rounded(Multifrontal().build(blas.cut(a)).apply(b), 6)
+
+
+@query(q.with_(*q.shelf()) + "SELECT count(*) AS nodes, 8 AS parts, true AS balanced, true AS light, round((SELECT sum(w) FROM pw) , 4) AS weight FROM p")
+def graph_distribution(spark, d):
+    """Eight parts of the shelves' graph: balanced to 5 %, and their cut is below half of that of blocks in the order of a hash."""
+    a, _ = tables.shelf(spark, d)
+    a = blas.cut(a)
+    got = partition.cut_weight(a, partition.graph_partition(a, 8)).select("nodes", "parts", "largest", "cut", "all")
+    dealt = a.select("i").distinct().withColumn("blk", F.expr(f"cast({aggregate.hashed('i')} div 536870912 as int)"))
+    other = partition.cut_weight(a, dealt).select(F.col("cut").alias("dealt"))
+    both = got.crossJoin(other)  # one row each
+    return both.select("nodes", F.col("parts").cast("int").alias("parts"), (F.col("largest") <= 1.05 * F.col("nodes") / F.col("parts") + 1).alias("balanced"), (F.col("cut") < 0.5 * F.col("dealt")).alias("light"), F.round("all", 4).alias("weight"))
+
+
+@query(sb.dumped(_LEVELS))
 def hierarchy_dump(spark, d):
-    a, _ = generators.poisson(spark, 2, 16)
-    return rounded(Preconditioner("ML").set("MIN_COARSE_SIZE", 20).hierarchy_build(a, n_blocks=2).dump().where("abs(v) > 1e-7"), 8)
+    a, _ = tables.shelf(spark, d)
+    pre = Preconditioner("ML").set("MIN_COARSE_SIZE", 8).set("MAX_LEVS", _LEVELS)
+    return rounded(pre.hierarchy_build(a, tables.shelf_blocks(spark, d)).dump().where("abs(v) > 1e-7"), 8)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

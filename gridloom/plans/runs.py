@@ -43,13 +43,17 @@ def configure(lines: list[str], kind: str) -> Preconditioner:
     return pre
 
 
-def run(spark: SparkSession, text: str) -> Report:
-    """Builds and solves what the text of a parameter file describes."""
+def run(spark: SparkSession, text: str, systems: dict[str, tuple[DataFrame, DataFrame]] | None = None) -> Report:
+    """Builds and solves what the text of a parameter file describes.
+
+    ``systems`` may hold given systems (A, b) by name; a file names one in the place of its coefficients.
+    """
     values = read_parameters(text)
     p = {name: parameter(v, kind) for (name, kind), v in zip(FIELDS, values)}
     if len(p) < len(FIELDS):
         raise ValueError(f"a parameter file needs {len(FIELDS)} values before its options")
-    a, b = poisson(spark, p["dim"], p["idim"], p["kind"].lower())
+    name = p["kind"].lower()
+    a, b = systems[name] if systems and name in systems else poisson(spark, p["dim"], p["idim"], name)
     a, b = blas.cut(a), blas.cut(b)
     pre = configure(values[len(FIELDS) :], p["preconditioner"]).build(a, n_blocks=p["blocks"])
     got = solve(a, b, pre, p["method"], eps=p["eps"], itmax=p["itmax"], istop=p["istop"], irst=p["irst"])

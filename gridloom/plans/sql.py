@@ -69,20 +69,33 @@ def matrix(name: str, digits: int = 6) -> str:
     return f"SELECT i, j, round(v, {digits}) AS v FROM {name}"
 
 
-def stencil(dim: int, idim: int, kind: str) -> tuple[str, str]:
-    """Statements for the matrix and the right-hand side of a generated problem."""
+def stencil(dim: int, kind: str) -> tuple[str, str]:
+    """Statements for the matrix and the right-hand side of a generated problem with the parts as nodes."""
     s = (SETS_2D if dim == 2 else SETS_3D)[kind]
     fix = lambda e: e.replace("EPS", repr(s["eps"])).replace("0D", "0.0::DOUBLE").replace("1.414D", "1.414::DOUBLE").replace("1D", "1.0::DOUBLE").replace("2D", "2.0::DOUBLE").replace("3D", "3.0::DOUBLE")
-    a, b, c = fix(s["a"]), [fix(e) for e in s["b"]], fix(s["c"])
-    h, axes = repr(1.0 / (idim + 2)), "xyz"[:dim]
-    coords = ", ".join(f"((id - 1) // {idim ** (dim - 1 - n)}) % {idim} + 1 AS i{k}" for n, k in enumerate(axes))
-    places = ", ".join(f"(i{k} - 1) * {h} AS {k}" for k in axes)
-    nodes = f"SELECT *, {places} FROM (SELECT id AS i, {coords} FROM range(1, {idim**dim + 1}) r(id))"
-    parts = [f"SELECT i, i AS j, 2 * {dim} * {a} / ({h} * {h}) + {c} AS v, true AS inside, 0.0 AS g FROM n"]
+    a, b, c, axes = fix(s["a"]), [fix(e) for e in s["b"]], fix(s["c"]), "xyz"[:dim]
+    power = lambda k: "*".join(["m"] * k) or "1"
+    side = "sqrt" if dim == 2 else "cbrt"
+    size = cte("g", f"SELECT floor({side}(count(*)) + 1e-9)::BIGINT AS m FROM part")
+    coords = ", ".join(f"(p_partkey // ({power(dim - 1 - n)})) % m + 1 AS i{k}" for n, k in enumerate(axes))
+    places = ", ".join(f"(i{k} - 1) * h AS {k}" for k in axes)
+    nodes = f"SELECT *, {places} FROM (SELECT p_partkey + 1 AS i, p_size, p_retailprice, m, 1.0::DOUBLE / (m + 2) AS h, {coords} FROM part, g WHERE p_partkey < {power(dim)})"
+    parts = [f"SELECT i, i AS j, 2 * {dim} * {a} / (h * h) + {c} + p_size AS v, true AS inside, 0.0 AS g FROM n"]
     for n, k in enumerate(axes):
-        step = idim ** (dim - 1 - n)
-        for sign, edge, face in ((-1, 1, 0.0), (1, idim, 1.0)):
+        for sign, edge, face in ((-1, "1", 0.0), (1, "m", 1.0)):
             at = repr(face) if k == "x" else "x"
-            parts.append(f"SELECT i, i + {sign * step} AS j, -{a} / ({h} * {h}) {'-' if sign < 0 else '+'} {b[n]} / (2 * {h}) AS v, i{k} <> {edge} AS inside, CASE WHEN {at} = 0 OR {at} = 1 THEN 1.0 ELSE 0.0 END AS g FROM n")
-    base = with_(cte("n", nodes), cte("e", " UNION ALL ".join(parts)))
-    return base + "SELECT i, j, round(v, 6) AS v FROM e WHERE inside", base + "SELECT i, round(sum(CASE WHEN inside THEN 0 ELSE -v * g END), 6) AS v FROM e GROUP BY i"
+            parts.append(f"SELECT i, i + {sign} * ({power(dim - 1 - n)}) AS j, -{a} / (h * h) {'-' if sign < 0 else '+'} {b[n]} / (2 * h) AS v, i{k} <> {edge} AS inside, CASE WHEN {at} = 0 OR {at} = 1 THEN 1.0 ELSE 0.0 END AS g FROM n")
+    base = with_(size, cte("n", nodes), cte("e", " UNION ALL ".join(parts)))
+    return base + "SELECT i, j, round(v, 6) AS v FROM e WHERE inside", base + "SELECT e.i, round(any_value(n.p_retailprice) + sum(CASE WHEN inside THEN 0 ELSE -v * g END), 6) AS v FROM e JOIN n ON n.i = e.i GROUP BY e.i"
+
+
+def shelf(skew: float = 0.0) -> list[str]:
+    """CTEs ``a`` (i, j, v), ``b`` (i, v) and ``p`` (blk, i) of the parts on shelves of ten and blocks of five shelves."""
+    ends = "SELECT x.i, x.i + o.k AS j, x.c FROM pn x, (VALUES (-10), (-1), (1), (10)) o(k) WHERE NOT (o.k = 1 AND x.i % 10 = 0) AND NOT (o.k = -1 AND x.i % 10 = 1)"
+    return [
+        cte("pn", "SELECT p_partkey + 1 AS i, p_size AS size, p_retailprice AS price, 1 + coalesce(q, 0) / 100.0::DOUBLE AS c FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey"),
+        cte("pw", f"SELECT e.i, e.j, (e.c + y.c) / 2 AS w FROM ({ends}) e JOIN pn y ON y.i = e.j"),
+        cte("a", f"SELECT i, j, -w * CASE WHEN j > i THEN {1.0 + skew!r} ELSE {1.0 - skew!r} END::DOUBLE AS v FROM pw UNION ALL SELECT pn.i, pn.i, 1.5 * coalesce(s, 0) + size / 10.0::DOUBLE FROM pn LEFT JOIN (SELECT i, sum(w) AS s FROM pw GROUP BY i) t ON t.i = pn.i"),
+        cte("b", "SELECT i, price AS v FROM pn"),
+        cte("p", "SELECT i, (i - 1) // 50 AS blk FROM pn"),
+    ]

@@ -9,18 +9,6 @@ from __future__ import annotations
 from gridloom.plans import sql as q
 
 
-def grid(n: int, kind: str) -> list[str]:
-    """CTEs ``a`` (i, j, v) and ``b`` (i, v) of the generated 2D problem, not rounded."""
-    matrix, _ = q.stencil(2, n, kind)
-    base = matrix[len("WITH ") : matrix.rindex("SELECT i, j, round")].rstrip()
-    return [base, q.cte("a", "SELECT i, j, v FROM e WHERE inside"), q.cte("b", "SELECT i, sum(CASE WHEN inside THEN 0 ELSE -v * g END) AS v FROM e GROUP BY i")]
-
-
-def contiguous(n: int, count: int) -> str:
-    """CTE ``p`` (blk, i): contiguous blocks."""
-    return q.cte("p", f"SELECT i, (i - 1) // {-(-n // count)} AS blk FROM b")
-
-
 def matrices(name: str, members: str, entries: str) -> list[str]:
     """CTE ``name`` (blk, m, n, ids): dense rows of each block, led by their number from 1."""
     return [
@@ -137,9 +125,9 @@ def biconjugation(name: str, blocks: str, rhs: str, tol: float) -> str:
     return q.cte(name, f"SELECT blk, list_transform(range(1, n + 1), lambda c: list_sum(list_transform(st, lambda s, k: s[2 + c] * y[k]))) AS y FROM (SELECT blk, n, st, {y} AS y FROM ({inner}))")
 
 
-def block_sweeps(n: int, count: int, kind: str, solver, guessed: bool = False, l1: bool = False, factors=None) -> str:
-    """Two sweeps of block Jacobi on the generated problem; ``solver(name, blocks or factors, rhs, guess)`` is a CTE."""
-    out = [*grid(n, kind), contiguous(n * n, count), q.cte("ab", "SELECT a.i, a.j, a.v, x.blk, y.blk AS bj FROM a JOIN p x ON x.i = a.i JOIN p y ON y.i = a.j")]
+def block_sweeps(skew: float, solver, guessed: bool = False, l1: bool = False, factors=None) -> str:
+    """Two sweeps of block Jacobi on the shelves; ``solver(name, blocks or factors, rhs, guess)`` is a CTE."""
+    out = [*q.shelf(skew), q.cte("ab", "SELECT a.i, a.j, a.v, x.blk, y.blk AS bj FROM a JOIN p x ON x.i = a.i JOIN p y ON y.i = a.j")]
     moved = "SELECT blk, i, i AS j, sum(abs(v)) AS v FROM ab WHERE blk <> bj GROUP BY blk, i"
     inside, off = "SELECT blk, i, j, v FROM ab WHERE blk = bj", "SELECT i, j, v FROM ab WHERE blk <> bj"
     if l1:
@@ -153,20 +141,22 @@ def block_sweeps(n: int, count: int, kind: str, solver, guessed: bool = False, l
     if guessed:
         out.append(held("g1", "bm", "y1"))
     out += [solver("s2", base, "x2", guess), flat("y2", "s2", "bm")]
-    return q.with_(*out) + q.vector("y2", 8)
+    return q.with_(*out) + q.vector("y2", 6)
 
 
-def schwarz(n: int, count: int, kind: str, restricted: bool) -> str:
+def schwarz(restricted: bool) -> str:
     """One additive Schwarz step with incomplete LU on blocks with one layer of overlap."""
-    out = [*grid(n, kind), contiguous(n * n, count), q.cte("o", "SELECT DISTINCT p.blk, a.j AS i FROM p JOIN a ON a.i = p.i"), q.cte("ins", "SELECT o.blk, a.i, a.j, a.v FROM o JOIN a ON a.i = o.i")]
+    out = [*q.shelf(), q.cte("o", "SELECT DISTINCT p.blk, a.j AS i FROM p JOIN a ON a.i = p.i"), q.cte("ins", "SELECT o.blk, a.i, a.j, a.v FROM o JOIN a ON a.i = o.i")]
     out += [*matrices("bm", "o", "ins"), held("x1", "bm", "b"), ilu0("bf", "bm"), lu_solve("s1", "bf", "x1"), flat("y1", "s1", "bm")]
     out.append(q.cte("y", "SELECT y1.i, y1.v FROM y1 JOIN p ON p.i = y1.i AND p.blk = y1.blk" if restricted else "SELECT i, sum(v) AS v FROM y1 GROUP BY i"))
-    return q.with_(*out) + q.vector("y", 8)
+    return q.with_(*out) + q.vector("y", 6)
 
 
-def solution(n: int, kind: str, digits: int) -> str:
-    """The solution of the generated problem, as one block."""
-    return q.with_(*grid(n, kind), contiguous(n * n, 1), q.cte("ins", "SELECT 0 AS blk, * FROM a"), *matrices("bm", "p", "ins"), held("x1", "bm", "b"), direct("s1", "bm", "x1"), flat("y1", "s1", "bm")) + q.vector("y1", digits)
+def solution(skew: float, digits: int, sweeps: int = 400) -> str:
+    """The solution of the system on the shelves: Jacobi sweeps in a recursive statement, which halve the error or better in three."""
+    out = [*q.shelf(skew), q.D, q.cte("od", "SELECT a.i, a.j, a.v / d.v AS v FROM a JOIN d ON d.i = a.i WHERE a.i <> a.j"), q.cte("s", "SELECT b.i, b.v / d.v AS v FROM b JOIN d ON d.i = b.i")]
+    walk = f"y(k, i, v) AS (SELECT 0, i, v FROM s UNION ALL SELECT any_value(y.k) + 1, s.i, any_value(s.v) - sum(od.v * y.v) FROM y JOIN od ON od.j = y.i JOIN s ON s.i = od.i WHERE y.k < {sweeps} GROUP BY s.i)"
+    return q.with_(*out).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + walk + f"\nSELECT i, round(v, {digits}) AS v FROM y WHERE k = {sweeps}"
 
 
 def _first_set(name: str, nodes: str, before: str, rounds: int) -> list[str]:
@@ -182,7 +172,7 @@ def _first_set(name: str, nodes: str, before: str, rounds: int) -> list[str]:
     return [*out, q.cte(name, " UNION ALL ".join(f"SELECT i FROM {name}i{r}" for r in range(rounds)) + f" UNION ALL SELECT i FROM {live}")]
 
 
-def aggregates(prefix: list[str], theta: float, second: bool = False, by_degree: bool = False, rounds: int = 40) -> list[str]:
+def aggregates(prefix: list[str], theta: float, second: bool = False, by_degree: bool = False, by_hash: bool = False, rounds: int = 40) -> list[str]:
     """CTEs up to ``roots`` (i) and ``agg`` (i, agg): strength-based aggregation of ``a`` (i, j, v) on blocks ``p``.
 
     Phase one: roots are nodes whose strong neighbourhood no earlier root's meets.  Phase two: the others join their
@@ -190,7 +180,8 @@ def aggregates(prefix: list[str], theta: float, second: bool = False, by_degree:
     """
     strong = f"s > 0 AND abs(v) / s >= {theta}" if second else f"abs(v) > {theta} * s"
     coupling = "CASE WHEN s > 0 THEN abs(v) / s ELSE 0 END" if second else "abs(v)"
-    order = "deg DESC, i" if by_degree else "i"
+    spread = "(i % 4294967296 * 1540483477 % 4294967296)"
+    order = "deg DESC, i" if by_degree else f"xor({spread}, {spread} >> 15) * 1540483477 % 4294967296, i" if by_hash else "i"
     return [
         *prefix,
         q.cte("lo", "SELECT a.i, a.j, a.v, x.blk FROM a JOIN p x ON x.i = a.i JOIN p y ON y.i = a.j AND y.blk = x.blk"),
@@ -228,9 +219,9 @@ def matched(edges: str, rounds: int) -> list[str]:
     return [*out, q.cte("left_over", f"SELECT i, j FROM {live}")]
 
 
-def hierarchy(n: int, kind: str, count: int, levels: int, theta: float = 0.01) -> list[str]:
+def hierarchy(levels: int, theta: float = 0.01) -> list[str]:
     """CTEs ``a1``, ``t1``, ``pr1``, ``a2`` ... of a multilevel hierarchy: aggregates, smoothed prolongators, products."""
-    out = [*grid(n, kind), contiguous(n * n, count), q.cte("a1", "SELECT * FROM a"), q.cte("p1", "SELECT * FROM p")]
+    out = [*q.shelf(), q.cte("a1", "SELECT * FROM a"), q.cte("p1", "SELECT * FROM p")]
     for k in range(1, levels):
         inner = q.with_(*aggregates([q.cte("a", f"SELECT * FROM a{k}"), q.cte("p", f"SELECT * FROM p{k}")], theta, rounds=24))
         out += [
@@ -307,27 +298,27 @@ class _Cycle:
         return self.add(q.lin, (of(c0), d0), (of(c1), d1))
 
 
-def cycle(n: int, kind: str, count: int, levels: int, how: str) -> str:
-    """One cycle with l1-Jacobi smoothing and an exact coarsest solve for the right-hand side of the problem."""
+def cycle(levels: int, how: str) -> str:
+    """One cycle with l1-Jacobi smoothing and an exact coarsest solve for the right-hand side of the shelves."""
     c = _Cycle(how, levels)
     y = c.visit(1, "b")
-    return q.with_(*hierarchy(n, kind, count, levels), *c.out) + q.vector(y, 8)
+    return q.with_(*hierarchy(levels), *c.out) + q.vector(y, 6)
 
 
-def dumped(n: int, kind: str, count: int, levels: int) -> str:
+def dumped(levels: int) -> str:
     """The matrices of all levels as (lev, kind, i, j, v)."""
     parts = []
     for k in range(1, levels + 1):
         parts.append(f"SELECT {k}::INTEGER AS lev, 'ac' AS kind, i, j, v FROM a{k}")
         if k < levels:
             parts += [f"SELECT {k}, 'p', i, j, v FROM pr{k}", f"SELECT {k}, 'r', j, i, v FROM pr{k}", f"SELECT {k}, 'tprol', i, j, v FROM t{k}"]
-    return q.with_(*hierarchy(n, kind, count, levels)) + f"SELECT lev, kind, i, j, round(v, 8) AS v FROM ({' UNION ALL '.join(parts)}) WHERE abs(v) > 1e-7"
+    return q.with_(*hierarchy(levels)) + f"SELECT lev, kind, i, j, round(v, 8) AS v FROM ({' UNION ALL '.join(parts)}) WHERE abs(v) > 1e-7"
 
 
-def coupled(n: int, kind: str, sweeps: int) -> str:
+def coupled(sweeps: int) -> str:
     """The prolongator of ``sweeps`` of pairwise matching with the vector of ones, as entries (i, j, v)."""
     eps = "2.220446049250313e-16"
-    out = [*grid(n, kind), q.cte("a1", "SELECT * FROM a"), q.cte("w1", "SELECT i, 1.0::DOUBLE AS v FROM a GROUP BY i")]
+    out = [*q.shelf(), q.cte("a1", "SELECT * FROM a"), q.cte("w1", "SELECT i, 1.0::DOUBLE AS v FROM a GROUP BY i")]
     for k in range(1, sweeps + 1):
         den = "(x.v * u.v * u.v + y.v * w.v * w.v)"
         inner = q.with_(q.cte("both_", f"SELECT i, j, v FROM e{k} UNION ALL SELECT j, i, v FROM e{k}"), *matched("both_", 40))

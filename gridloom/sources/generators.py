@@ -23,10 +23,11 @@ def _stencil(dim: int, idim: int, a: str, b: tuple[str, ...], c: str) -> list[st
     return out
 
 
-def poisson(spark: SparkSession, dim: int, idim: int, kind: str = "const", a: str | None = None, b: tuple[str, ...] | None = None, c: str | None = None, f: str = "0D") -> tuple[DataFrame, DataFrame]:
+def poisson(spark: SparkSession, dim: int, idim: int, kind: str = "const", a: str | None = None, b: tuple[str, ...] | None = None, c: str | None = None, f: str = "0D", points: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(A, rhs) of the 5-point (dim 2) or 7-point (dim 3) problem on ``idim ** dim`` nodes numbered from 1.
 
     ``kind`` names a coefficient set; ``a``, ``b``, ``c``, ``f`` are SQL expressions of x, y, z that replace its parts.
+    ``points`` may give the nodes (i) with columns of their own, which the expressions may use too.
     """
     s = (SETS_2D if dim == 2 else SETS_3D)[kind]
     a = a or s["a"].replace("EPS", f"{s['eps']!r}D")
@@ -34,7 +35,8 @@ def poisson(spark: SparkSession, dim: int, idim: int, kind: str = "const", a: st
     axes = "xyz"[:dim]
     h = f"{1.0 / (idim + 2)!r}D"
     index = [f"CAST((i - 1) div {idim ** (dim - 1 - n)} % {idim} + 1 AS BIGINT) AS i{k}" for n, k in enumerate(axes)]
-    nodes = spark.range(1, idim**dim + 1).select(F.col("id").alias("i")).selectExpr("i", *index).selectExpr("*", *[f"(i{k} - 1)*{h} AS {k}" for k in axes])
+    nodes = spark.range(1, idim**dim + 1).select(F.col("id").alias("i")) if points is None else points
+    nodes = nodes.selectExpr("*", *index).selectExpr("*", *[f"(i{k} - 1)*{h} AS {k}" for k in axes])
     rows = nodes.selectExpr("i", f"{f} AS f", f"array({', '.join(_stencil(dim, idim, a, b, c))}) AS s")
     matrix = rows.select("i", F.explode("s").alias("e")).where("e.inside").selectExpr("i", "e.j AS j", "e.v AS v")
     total = F.aggregate("s", F.col("f"), lambda t, e: t + F.when(~e.inside, -e.v * e.g).otherwise(F.lit(0.0)))

@@ -32,6 +32,45 @@ def part_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.col("p_retailprice").alias("v"))
 
 
+#: Parts of a shelf, and of a block of five shelves.
+SHELF, SHELF_BLOCK = 10, 50
+#: Parts are numbered from 0, nodes of grids from 1.
+NODE = "p_partkey + 1 AS i"
+
+
+def shelf(spark: SparkSession, sf_dir: str, skew: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(A, rhs) of diffusion between parts that stand side by side, or one above the other, on shelves of ``SHELF`` parts.
+
+    The conductance of two neighbours is the mean of what was ordered of either (1 + quantity / 100); the diagonal is 1.5
+    times the sum of the conductances and a tenth of the part's size, the right-hand side its price.  With ``skew`` the
+    flow to higher numbers is stronger than back: the matrix is not symmetric.
+    """
+    sold = read(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") + 1).alias("i")).agg(F.sum("l_quantity").alias("q"))
+    part = read(spark, sf_dir, "part").selectExpr(NODE, "p_size AS size", "p_retailprice AS price")
+    nodes = part.join(sold, "i", "left").select("i", "size", "price", (1.0 + F.coalesce("q", F.lit(0.0)) / 100.0).alias("c"))
+    at, beside = F.col("i"), F.col("k")
+    ends = nodes.select("i", F.col("c").alias("ci"), F.explode(F.array(*[F.lit(k) for k in (-SHELF, -1, 1, SHELF)])).alias("k"))
+    ends = ends.where(~((beside == 1) & (at % SHELF == 0)) & ~((beside == -1) & (at % SHELF == 1))).select("i", (at + beside).alias("j"), "ci")
+    w = ends.join(nodes.select(F.col("i").alias("j"), F.col("c").alias("cj")), "j").select("i", "j", ((F.col("ci") + F.col("cj")) / 2).alias("w"))
+    off = w.select("i", "j", (-F.col("w") * F.when(F.col("j") > F.col("i"), 1.0 + skew).otherwise(1.0 - skew)).alias("v"))
+    on = nodes.join(w.groupBy("i").agg(F.sum("w").alias("s")), "i", "left").select("i", F.col("i").alias("j"), (1.5 * F.coalesce("s", F.lit(0.0)) + F.col("size") / 10.0).alias("v"))
+    return off.unionByName(on), nodes.select("i", F.col("price").alias("v"))
+
+
+def shelf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partition (i, blk) of the parts: five shelves a block."""
+    return read(spark, sf_dir, "part").selectExpr(NODE, f"cast(p_partkey div {SHELF_BLOCK} as int) AS blk")
+
+
+def part_nodes(spark: SparkSession, sf_dir: str, dim: int) -> tuple[DataFrame, int]:
+    """Parts as the nodes (i, size, price) of the largest grid of ``dim`` axes that they fill, and its nodes along an axis."""
+    part = read(spark, sf_dir, "part").selectExpr(NODE, "p_size AS size", "p_retailprice AS price")
+    n, side = part.count(), 0
+    while (side + 1) ** dim <= n:
+        side += 1
+    return part.where(F.col("i") <= side**dim), side
+
+
 def supplier_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j")).agg(F.count("*").cast("double").alias("v"))
 
