@@ -527,7 +527,15 @@ class NearJoin:
         sizes = {r[0]: r[1] for r in meta.where("n > 0").groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count("*")).collect()}
         total = meta.agg(F.sum("n")).first()[0] or 0
         df, df2 = seen.where("h < 0").agg(F.sum("df"), F.sum("df2")).first()
-        top = seen.where("h >= 0").orderBy(F.desc("df"), "h").limit(HOT).select("h", "df").toArrow()
+        # About the HOT most frequent: all above a frequency that the counts of frequencies give (one row for each size of
+        # frequency, in eighths of a power of two).
+        grade = F.floor(F.log2(F.col("df").cast("double")) * 8).cast("int")
+        held, floor_ = 0, None
+        for g, c in sorted(((r[0], r[1]) for r in seen.where("h >= 0 and df > 0").groupBy(grade.alias("g")).agg(F.count("*")).collect()), reverse=True):
+            if held + c > HOT:
+                break
+            held, floor_ = held + c, g
+        top = seen.where(F.lit(False) if floor_ is None else (F.col("h") >= 0) & (grade >= floor_)).select("h", "df").toArrow()
         h, d = top.column("h").to_numpy().astype(np.uint64), top.column("df").to_numpy()
         o = np.argsort(h)
         hot = spark.sparkContext.broadcast((h[o], d[o], np.uint64(64 - bits)) if len(h) else ())

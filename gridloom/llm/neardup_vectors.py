@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, cut, join_classes, mix, n_ranges
+from gridloom.llm.common import components, cut, join_classes, join_one, mix, n_ranges
 
 BLOCKS, LIST, LEAST, CHUNK = 4, 24, 16, 2048
 
@@ -183,8 +183,8 @@ def vector_components(vectors: DataFrame, min_cosine: float = 0.98) -> DataFrame
     per = reps.select("node", "weight", "least").join(counts, "node", "left").join(comp, reps.node == comp.id, "left").select("node", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "least", F.coalesce("component", "node").alias("comp"))
     per = cut(per)
     least = per.groupBy("comp").agg(F.min("least").alias("component"))
-    named = per.join(least, "comp").select("node", "n_links", "component")
-    out = rows.select("vec_id", "node").join(named, "node", "left")
+    named = cut(join_one(per, least, "comp").select("node", "n_links", "component"))
+    out = join_one(rows.select("vec_id", "node"), named, "node")
     cid = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), F.coalesce(F.col("vec_id") == cid, F.lit(False)).alias("kept"))
 

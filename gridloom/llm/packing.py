@@ -14,7 +14,7 @@ then find their bins by rank within their length; ranks are made by salted parti
 of all rows have is no hot spot.
 
 Edge cases: null, empty and wordless texts have no tokens and get bin -1; ties between equal lengths follow a hash
-of the row; repeated rows are items of their own; an empty table gives an empty result; other columns are ignored.
+of the row, on any partitioning; repeated rows are items of their own; a text of any length is counted whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -133,9 +133,12 @@ def pack(docs: DataFrame, tokens: str | None = None, capacities=CAPACITIES, over
     rows = docs.select(F.col(key or "doc_id").cast("long").alias("doc_id"), n.cast("long").alias("n"), F.xxhash64("doc_id", "text" if tokens is None else tokens).alias("h"))
     last = F.greatest(F.ceil(F.col("n") / top) - 1, F.lit(0))
     rows = cut(rows.withColumn("last", last.cast("long")).withColumn("rest", F.col("n") - F.col("last") * top))
-    # Repeated rows have one hash; they are spread by the number that their task gives them.
+    # Rows of one id and hash are alike: they are counted and numbered anew, so that salts do not hang on partitions.
     salts = max(64, -(-rows.count() // SALT_ROWS))
-    rows = cut(rows.withColumn("salt", F.pmod(F.xxhash64("h", F.monotonically_increasing_id()), F.lit(salts)).cast("int")))
+    alike = rows.groupBy("doc_id", "n", "h", "last", "rest").agg(F.count("*").alias("c"))
+    many = alike.select("*", F.explode(F.expr(f"sequence(0L, (c - 1) div {SALT_ROWS})")).alias("m"))
+    rows = many.select("*", F.explode(F.expr(f"sequence(m * {SALT_ROWS}, least((m + 1) * {SALT_ROWS}, c) - 1)")).alias("k")).drop("c", "m")
+    rows = cut(rows.withColumn("salt", F.pmod(F.xxhash64("h", "k"), F.lit(salts)).cast("int")))
     cells = rows.groupBy("rest", "salt").agg(F.count("*").alias("c"))
     # Bounded: one row for each length up to the largest and each salt.
     before = cells.withColumn("before", F.sum("c").over(Window.partitionBy("rest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
@@ -144,7 +147,7 @@ def pack(docs: DataFrame, tokens: str | None = None, capacities=CAPACITIES, over
     spark = docs.sparkSession
     where = spark.createDataFrame(steps or [(0, 0, 0, 0, 1, 0, 0)], "rest long, a long, b long, first long, per long, off long, capacity long")
     where = F.broadcast(where) if len(steps) <= MAX_BROADCAST else where
-    within = F.row_number().over(Window.partitionBy("rest", "salt").orderBy("h", "doc_id")) - 1
+    within = F.row_number().over(Window.partitionBy("rest", "salt").orderBy("h", "doc_id", "k")) - 1
     ranked = rows.where("rest > 0").withColumn("w", within).join(before.select("rest", "salt", F.coalesce("before", F.lit(0)).alias("before")), ["rest", "salt"]).withColumn("rank", F.col("w") + F.col("before"))
     packed = ranked.join(where, "rest").where("rank >= a and rank < b")
     packed = packed.select("doc_id", F.col("last").alias("piece"), F.col("rest").alias("n_tokens"), F.expr("first + (rank - a) div per").alias("bin"), F.expr("off + (rank - a) % per * rest").alias("bin_offset"), "capacity")
@@ -153,7 +156,7 @@ def pack(docs: DataFrame, tokens: str | None = None, capacities=CAPACITIES, over
     full = rows.where("last > 0")
     # One row for each salt.
     starts = full.groupBy("salt").agg(F.sum("last").alias("c")).select("salt", (F.sum("c").over(Window.orderBy("salt")) - F.col("c") + base).alias("start"))
-    run = F.coalesce(F.sum("last").over(Window.partitionBy("salt").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    run = F.coalesce(F.sum("last").over(Window.partitionBy("salt").orderBy("h", "doc_id", "k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = full.withColumn("run", run).join(F.broadcast(starts), "salt").withColumn("bin0", F.col("start") + F.col("run")).select("doc_id", "bin0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") - 1)).alias("piece"))
     whole = whole.select("doc_id", "piece", F.lit(top).cast("long").alias("n_tokens"), (F.col("bin0") + F.col("piece")).alias("bin"), F.lit(0).cast("long").alias("bin_offset"), F.lit(top).cast("long").alias("capacity"))
     return packed.unionByName(whole).unionByName(none)

@@ -9,16 +9,19 @@ deterministic as texts need them, so a word costs one move a letter.  Words of t
 edit, longer ones by two, the first letter included; a swap of two neighbours is one edit.  All words of the lexicon
 of four letters or more may be misspelled (stems match their continuations only).
 
-*Context.*  A match is quoted when quotation marks or reporting cues stand within a window of words around it, and
-repeated abuse raises the score.  The features of a document (exact, stem, fuzzy and quoted matches, their density,
-distinct terms, address words near matches) enter a logistic regression fitted in numpy on the training rows.
+*Context.*  A match is quoted when quotation marks stand on both sides of it, or a reporting cue near it, within a
+window of words; a quoted match adds to no other feature than the number of quoted ones.  The features of a document (exact,
+stem, fuzzy and quoted matches; density, weight and distinct terms of those that are not quoted; address words near
+these) enter a logistic regression fitted in numpy on the training rows.  Signs are fixed: no match may lower a score, and
+no quoted one may raise it (a weight of the wrong sign is left out and the rest fitted again).
 
 The fit takes at most ``MAX_TRAIN`` labelled rows for each label (the bound is this parameter; rows are taken in the
-order of a hash of their id) and of these the texts of ``MAX_TRAIN_BYTES`` at most; scores cover every whole text.
+order of a hash of their id) and of a text of more than ``MAX_TRAIN_BYTES`` so many bytes in ``PASSAGES`` passages spread
+over it; scores cover every whole text.
 
 Edge cases: null and empty texts get the score of a document without any match; null labels are not used; without
 labels of both kinds every score is the prior (0 without any label); null doc_id is scored and not held out;
-repeated label rows count once; other columns are ignored.
+repeated label rows count once; a text of any length is scored in work linear in it; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import cut, keyed
 
-MAX_TRAIN, MAX_TRAIN_BYTES = 3000, 50_000
+MAX_TRAIN, MAX_TRAIN_BYTES, PASSAGES = 3000, 50_000, 8
 #: Words whose match a task remembers; a matter of speed only.
 MAX_KNOWN = 150_000
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[\"“”«»„]")
@@ -226,16 +229,31 @@ def features(match: Matcher, text: str | None) -> list[float]:
     addressed = 0
     for i, w, (kind, weight) in got:
         around = words[max(0, i - WINDOW) : i + WINDOW + 1]
-        q = (any(x in QUOTES for x in words[max(0, i - WINDOW) : i]) and any(x in QUOTES for x in words[i + 1 : i + WINDOW + 1])) or any(x in CUES for x in around)
-        addressed += any(x in ADDRESS for x in around)
-        if q:
+        if (any(x in QUOTES for x in words[max(0, i - WINDOW) : i]) and any(x in QUOTES for x in words[i + 1 : i + WINDOW + 1])) or any(x in CUES for x in around):
             quoted += 1
-        else:
-            kinds[kind] += 1
-            terms.add(w)
-            total += weight
+            continue
+        kinds[kind] += 1
+        terms.add(w)
+        total += weight
+        addressed += any(x in ADDRESS for x in around)
     n = max(len(words), 1)
-    return [1.0, *(math.log1p(x) for x in kinds[1:]), math.log1p(quoted), math.log1p(len(terms)), math.log1p(total), math.log1p(1000 * len(got) / n), math.log1p(addressed)]
+    return [1.0, *(math.log1p(x) for x in kinds[1:]), math.log1p(quoted), math.log1p(len(terms)), math.log1p(total), math.log1p(1000 * sum(kinds) / n), math.log1p(addressed)]
+
+
+#: The sign that the weight of each feature may have (0: any).
+SIGNS = np.array([0, 1, 1, 1, -1, 1, 1, 1, 1])
+
+
+def signed_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``logistic`` with the signs of ``SIGNS``: the weight that is most against its sign is left out, until none is."""
+    use = np.ones(len(SIGNS), bool)
+    while True:
+        w = np.zeros(len(SIGNS))
+        w[use] = logistic(x[:, use], y)
+        against = w * SIGNS
+        if against.min() >= 0:
+            return w
+        use[int(against.argmin())] = False
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 0.05) -> np.ndarray:
@@ -273,7 +291,7 @@ class ToxicityModel:
         if not x:
             match = Matcher(terms)
             x, y = [features(match, t) for t, _ in rows], [v for _, v in rows]
-        return cls(terms, logistic(np.array(x), np.array(y, float)), n1 / len(rows))
+        return cls(terms, signed_logistic(np.array(x), np.array(y, float)), n1 / len(rows))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, folds: int = 5) -> DataFrame:
@@ -285,7 +303,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN,
         one = y.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         picked = one if picked is None else picked.union(one)
     picked = F.broadcast(picked)  # at most 2 * max_rows rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TRAIN_BYTES).join(picked, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id")
+    size = MAX_TRAIN_BYTES // PASSAGES // 4  # characters, of up to four bytes
+    step = F.floor((F.length("text") - size) / (PASSAGES - 1)).cast("int")
+    some = F.array_join(F.transform(F.array(*map(F.lit, range(PASSAGES))), lambda k: F.substring("text", k * step + 1, F.lit(size))), "\n")
+    texts = texts.withColumn("text", F.when(F.octet_length("text") > MAX_TRAIN_BYTES, some).otherwise(F.col("text")))
     return texts.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
 
 
