@@ -6,7 +6,7 @@ the shuffle; transposes are renamings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.scratch import cut  # noqa: F401
@@ -188,6 +188,45 @@ def overlap(a: DataFrame, p: DataFrame, rounds: int) -> DataFrame:
     return own
 
 
+def spmv_local(a: DataFrame, p: DataFrame, x: DataFrame, trans: str = "N") -> DataFrame:
+    """A x by entries inside the blocks of ``p`` only: what a block knows without its neighbours."""
+    return spmv(block_clip(a, p), x, trans=trans)
+
+
+def halo_rows(a: DataFrame, p: DataFrame) -> DataFrame:
+    """(blk, i, j, v): the rows of the matrix that a block needs from others."""
+    return halo(a, p).join(a, "i").select("blk", "i", "j", "v")
+
+
+def overlap_reduce(y: DataFrame, how: str = "SUM") -> DataFrame:
+    """(i, v) of copies (blk, i, v): their sum or, with AVG, their mean."""
+    return y.groupBy("i").agg((F.avg("v") if how.upper() == "AVG" else F.sum("v")).alias("v"))
+
+
+def merged_blocks(a: DataFrame, p: DataFrame, target: int) -> DataFrame:
+    """(i, blk): blocks are paired by the weight of the entries between them until there are at most ``target``.
+
+    Blocks without a partner are paired in the order of their numbers.  A block is named by its least member.  The graph
+    of the blocks has a node a block; its matching runs in rounds.
+    """
+    from gridloom.operators.graph import matching
+
+    between = cut(block_of(a, p).where("bi <> bj").groupBy(F.least("bi", "bj").alias("i"), F.greatest("bi", "bj").alias("j")).agg(F.sum(F.abs("v")).alias("v")))
+    names = cut(p.select("blk").distinct().select("blk", F.col("blk").alias("to")))  # where each first block is now
+    n = names.count()
+    while n > target:
+        now = names.select(F.col("to").alias("i")).distinct()
+        step = cut(now.join(matching(between).select(F.col("j").alias("i"), F.col("i").alias("less")), "i", "left").select("i", F.coalesce("less", "i").alias("to")))
+        if step.where("i <> to").limit(1).count() == 0:  # no two touch: neighbours in number
+            pair = now.withColumn("pair", F.floor((F.row_number().over(Window.orderBy("i")) - 1) / 2))  # one row a block
+            step = cut(pair.select("i", F.min("i").over(Window.partitionBy("pair")).alias("to")))
+        names = cut(names.join(step.select(F.col("i").alias("to"), F.col("to").alias("next")), "to").select("blk", F.col("next").alias("to")))
+        ends = between.join(step.select("i", F.col("to").alias("ti")), "i").join(step.select(F.col("i").alias("j"), F.col("to").alias("tj")), "j").where("ti <> tj")
+        between = cut(ends.groupBy(F.least("ti", "tj").alias("i"), F.greatest("ti", "tj").alias("j")).agg(F.sum("v").alias("v")))
+        n = names.select("to").distinct().count()
+    return p.join(names, "blk").select("i", F.col("to").alias("blk"))
+
+
 # Complex values: v is struct<re, im>.
 
 

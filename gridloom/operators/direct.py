@@ -149,3 +149,6 @@ class Multifrontal(Smoother):
 
     def dump(self):
         return {f"fronts{k}": f for k, f in enumerate(self.fronts)}
+
+    def size_bytes(self):
+        return sum(f.agg(F.sum(F.length("inv") + F.length("f12") + F.length("f21"))).first()[0] or 0 for f in self.fronts)

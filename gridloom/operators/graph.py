@@ -114,6 +114,6 @@ def matching(weights: DataFrame, max_rounds: int | None = None) -> DataFrame:
 
 
 def matching_statistics(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row: nodes, pairs, unmatched nodes."""
-    n = nodes.select("i").distinct().agg(F.count("*").alias("nodes"))
+    """One row: nodes, pairs, nodes without a partner, and of these the singletons, which have no neighbour at all."""
+    n = nodes.groupBy("i").agg(F.max(F.col("i") != F.col("j")).alias("linked")).agg(F.count("*").alias("nodes"), F.count(F.when(~F.col("linked"), 1)).alias("singletons"))
     return n.crossJoin(pairs.agg(F.count("*").alias("pairs"))).withColumn("unmatched", F.col("nodes") - 2 * F.col("pairs"))  # one row each

@@ -31,6 +31,10 @@ class Smoother(ABC):
     def dump(self) -> dict[str, DataFrame]:
         return {}
 
+    def size_bytes(self) -> int:
+        """Bytes of the numbers that ``build`` made: 24 for an entry (i, j, v), 16 for an element (i, v)."""
+        return sum((24 if "j" in d.columns else 16) * d.count() for d in self.dump().values())
+
 
 class Identity(Smoother):
     def apply(self, x, y=None, sweeps=1, trans="N"):
@@ -83,9 +87,20 @@ class BlockJacobi(Smoother):
         self.off = blas.cut(off)
         self.coupled = self.off.limit(1).count() > 0
         self.factors = factor_blocks(inside, p, self.solver)
+        # Approximate inverses are matrices: they are applied by products, without Python.
+        self.inverse = None
+        if self.solver.kind in ("INVK", "INVT", "AINV"):
+            e = blas.cut(factor_entries(self.factors, self.solver))
+            self.inverse = [e.where(F.col("kind") == k).select("i", "j", "v") for k in "zdw"]
         return self
 
     def apply(self, x, y=None, sweeps=1, trans="N"):
+        if self.inverse:
+            z, d, w = self.inverse if trans == "N" else (blas.transpose(m) for m in reversed(self.inverse))
+            for _ in range(sweeps):
+                rhs = x if y is None or not self.coupled else blas.axpby(1.0, x, -1.0, blas.spmv(self.off, y, trans=trans))
+                y = blas.cut(blas.spmv(z, blas.spmv(d, blas.spmv(w, rhs))))
+            return y
         for _ in range(sweeps):
             rhs = x if y is None or not self.coupled else blas.axpby(1.0, x, -1.0, blas.spmv(self.off, y, trans=trans))
             y = blas.cut(solve_blocks(self.factors, self.p, rhs, y, self.solver, trans))
@@ -95,7 +110,7 @@ class BlockJacobi(Smoother):
         return f"{'l1-' if self.l1 else ''}block Jacobi with {self.solver.kind}"
 
     def dump(self):
-        return {"factors": self.factors, "off": self.off}
+        return {"factors": factor_entries(self.factors, self.solver), "off": self.off}
 
 
 def factor_blocks(inside: DataFrame, p: DataFrame, solver: Block) -> DataFrame:
@@ -112,6 +127,19 @@ def factor_blocks(inside: DataFrame, p: DataFrame, solver: Block) -> DataFrame:
     return cut_by(made, "blk", int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def factor_entries(factors: DataFrame, solver: Block) -> DataFrame:
+    """(blk, kind, i, j, v): the factors of all blocks as entries between nodes (``Block.entries``)."""
+
+    def run(it):
+        for pdf in it:
+            for blk, raw in zip(pdf.blk, pdf.factor):
+                ids, f = pickle.loads(raw)
+                kind, i, j, v = solver.entries(f)
+                yield pd.DataFrame({"blk": np.full(len(v), blk, "int32"), "kind": kind, "i": ids[i], "j": ids[j], "v": v})
+
+    return factors.mapInPandas(run, "blk int, kind string, i long, j long, v double")
+
+
 def solve_blocks(factors: DataFrame, p: DataFrame, x: DataFrame, y: DataFrame | None, solver: Block, trans: str = "N", keyed: bool = False) -> DataFrame:
     """(i, v) of the block solves; with ``keyed`` x has its own blk and the result keeps it."""
     xs = x if keyed else x.join(p, "i").select("blk", "i", "v")
@@ -158,7 +186,7 @@ class Schwarz(Smoother):
             if prol == "NONE":
                 z = z.join(self.p, ["blk", "i"]).select("i", "v")
             else:
-                z = z.groupBy("i").agg((F.avg("v") if prol == "AVG" else F.sum("v")).alias("v"))
+                z = blas.overlap_reduce(z, prol)
             y = blas.cut(z if y is None else blas.axpby(1.0, y, 1.0, z))
         return y
 
@@ -166,7 +194,7 @@ class Schwarz(Smoother):
         return f"additive Schwarz (overlap {self.overlap}, {self.restr}, {self.prol}) with {self.solver.kind}"
 
     def dump(self):
-        return {"factors": self.factors}
+        return {"factors": factor_entries(self.factors, self.solver)}
 
 
 class Converged(Smoother):

@@ -49,6 +49,8 @@ OPTIONS = {
     "SUB_FILLIN": (0, lambda v: v >= 0),
     "SUB_ILUTHRS": (0.0, lambda v: v >= 0),
     "INV_FILLIN": (0, lambda v: v >= 0),
+    "INV_THRESH": (-1.0, lambda v: True),
+    "REMAP_ROWS": (0, lambda v: v >= 0),
     "SOLVER_SWEEPS": (1, lambda v: v >= 1),
     "SOLVER_EPS": (0.0, lambda v: v >= 0),
     "AINV_ALG": ("LLK", ("LLK", "STAB-LLK", "SYM-LLK", "MLK")),
@@ -251,7 +253,10 @@ class Preconditioner:
             coarse = blas.cut(self._clean(k, rap(top.a, prol)))
             top.prol, top.restr, top.tprol = prol, blas.transpose(prol), tprol
             place = blas.cut(tprol.join(top.p, "i").groupBy(F.col("j").alias("i2")).agg(F.min("blk").alias("blk")).withColumnRenamed("i2", "i"))
-            self.levels.append(Level(coarse, place, coarse.select("i").distinct().count(), coarse.count(), self.parms, ratio=ratio))
+            n = coarse.select("i").distinct().count()
+            if (rows := self.option("REMAP_ROWS", k)) > 0:  # fewer blocks where they have become small
+                place = blas.cut(blas.merged_blocks(coarse, place, max(1, -(-n // rows))))
+            self.levels.append(Level(coarse, place, n, coarse.count(), self.parms, ratio=ratio))
             vector = agg.next_vector()
         return self
 
@@ -314,7 +319,7 @@ class Preconditioner:
             return copy.copy(own)
         kind = self._smoother_kind(k, pos)
         opt = lambda key: self.option(key, k, pos)
-        more = {"fill": opt("SUB_FILLIN"), "tol": opt("SUB_ILUTHRS"), "sweeps": opt("SOLVER_SWEEPS"), "inv_fill": opt("INV_FILLIN"), "variant": opt("AINV_ALG"), **self._inner_krylov(k)}
+        more = {"fill": opt("SUB_FILLIN"), "tol": opt("SUB_ILUTHRS"), "sweeps": opt("SOLVER_SWEEPS"), "inv_fill": opt("INV_FILLIN"), "inv_tol": opt("INV_THRESH") if opt("INV_THRESH") >= 0 else None, "variant": opt("AINV_ALG"), **self._inner_krylov(k)}
         s = make(kind, pos == "POST", opt("SUB_SOLVE"), overlap=opt("SUB_OVR"), restr=opt("SUB_RESTR"), prol=opt("SUB_PROL"), **more)
         solver = self._object("solver", k, pos)
         if solver is not None:
@@ -439,7 +444,10 @@ class Preconditioner:
         return sum(lev.nnz for lev in self.levels)
 
     def size_bytes(self) -> int:
-        return 24 * self.n_entries()
+        """Bytes of matrices, transfer operators and what the smoothers made."""
+        moved = sum(24 * m.count() for lev in self.levels for m in (lev.prol, lev.tprol) if m is not None)
+        made = {id(s): s for lev in self.levels for s in (lev.pre, lev.post) if s is not None}
+        return 24 * self.n_entries() + moved + sum(s.size_bytes() for s in made.values())
 
     def smoother(self, level: int = 1) -> Smoother:
         return self.levels[level - 1].pre

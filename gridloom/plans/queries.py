@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.coefficients import SETS_2D, SETS_3D
-from gridloom.operators import aggregate, blas, graph, partition
+from gridloom.operators import aggregate, blas, complexes, graph, partition
 from gridloom.operators.direct import Multifrontal
 from gridloom.operators.local import Block
 from gridloom.operators.plugin import TriangularLU
@@ -294,7 +294,7 @@ def matching_full(spark, d):
     return graph.matching(rounded(graph.edge_weights(blas.cut(A(spark, d))), 8))
 
 
-@query(_PAIRS + "SELECT n AS nodes, k AS pairs, n - 2 * k AS unmatched FROM (SELECT (SELECT count(*) FROM d) AS n, (SELECT count(*) FROM pairs) AS k) WHERE NOT EXISTS (FROM left_over)")
+@query(_PAIRS + "SELECT n AS nodes, n - s AS singletons, k AS pairs, n - 2 * k AS unmatched FROM (SELECT (SELECT count(*) FROM d) AS n, (SELECT count(DISTINCT i) FROM a WHERE i <> j) AS s, (SELECT count(*) FROM pairs) AS k) WHERE NOT EXISTS (FROM left_over)")
 def matching_statistics(spark, d):
     a = blas.cut(A(spark, d))
     return graph.matching_statistics(a, graph.matching(rounded(graph.edge_weights(a), 8)))
@@ -596,6 +596,54 @@ def schwarz_ras(spark, d):
     return _swept(spark, d, Schwarz(Block("ILU"), 1, "HALO", "NONE"), 0.0, 1)
 
 
+@query(sb.schwarz(False, "avg"))
+def schwarz_average(spark, d):
+    return _swept(spark, d, Schwarz(Block("ILU"), 1, "HALO", "AVG"), 0.0, 1)
+
+
+@query(sb.factor_entries(_SKEW))
+def factor_dump(spark, d):
+    """L, pivots and U of the blocks' incomplete factors as entries between nodes."""
+    a, _ = tables.shelf(spark, d, _SKEW)
+    made = BlockJacobi(Block("ILU")).build(blas.cut(a), tables.shelf_blocks(spark, d)).dump()["factors"]
+    return rounded(made.where("v <> 0"), 8)
+
+
+@query(q.with_(*q.LAP, q.X) + "SELECT m.i, round(sum(m.v * x.v), 4) AS v FROM a m JOIN x ON x.i = m.j WHERE m.i % 4 = m.j % 4 GROUP BY m.i")
+def spmv_local(spark, d):
+    a = A(spark, d)
+    return rounded(blas.spmv_local(a, parts4(a), x_of(spark, d)), 4)
+
+
+@query(q.with_(*q.shelf(), q.cte("h", "SELECT DISTINCT x.blk, a.j AS i FROM a JOIN p x ON x.i = a.i JOIN p y ON y.i = a.j WHERE x.blk <> y.blk")) + "SELECT h.blk::INTEGER AS blk, a.i, a.j, round(a.v, 6) AS v FROM h JOIN a ON a.i = h.i")
+def matrix_halo(spark, d):
+    a, _ = tables.shelf(spark, d)
+    return rounded(blas.halo_rows(blas.cut(a), tables.shelf_blocks(spark, d)), 6)
+
+
+@query(sb.remapped(0.0))
+def remapped_blocks(spark, d):
+    """One round of merging blocks by what they share."""
+    a, _ = tables.shelf(spark, d)
+    p = tables.shelf_blocks(spark, d)
+    n = p.select("blk").distinct().count()
+    return blas.merged_blocks(blas.cut(a), p, n - 1).select("i", F.col("blk").cast("int").alias("blk"))
+
+
+@query(sb.complex_solution(3))
+def solve_complex(spark, d):
+    """The shelves with an imaginary diagonal (a fifth of the sizes) and a complex right-hand side."""
+    a, b = tables.shelf(spark, d)
+    size = tables.part_nodes(spark, d, 1)[0].select("i", (F.col("size") / 5.0).alias("s"))
+    im = F.when(F.col("i") == F.col("j"), F.col("s")).otherwise(0.0)
+    z = a.join(size, "i").select("i", "j", F.struct(F.col("v").alias("re"), im.alias("im")).alias("v"))
+    rhs = b.select("i", F.struct(F.col("v").alias("re"), (F.col("v") * 0.5).alias("im")).alias("v"))
+    got = complexes.solve_complex(z, rhs, Preconditioner("BJAC"), tables.shelf_blocks(spark, d), "BICGSTAB", eps=1e-12, itmax=100)
+    if not got.converged:
+        raise RuntimeError(f"not converged: error {got.error}")
+    return got.x.select("i", F.round("v.re", 3).alias("re"), F.round("v.im", 3).alias("im"))
+
+
 _LEVELS = 3
 
 

@@ -144,14 +144,38 @@ def block_sweeps(skew: float, solver, guessed: bool = False, l1: bool = False, f
     return q.with_(*out) + q.vector("y2", 6)
 
 
-def schwarz(restricted: bool) -> str:
+def schwarz(restricted: bool, how: str = "sum") -> str:
     """One additive Schwarz step with incomplete LU on blocks with one layer of overlap."""
     out = [*q.shelf(), q.cte("o", "SELECT DISTINCT p.blk, a.j AS i FROM p JOIN a ON a.i = p.i"), q.cte("ins", "SELECT o.blk, a.i, a.j, a.v FROM o JOIN a ON a.i = o.i")]
     out += [*matrices("bm", "o", "ins"), held("x1", "bm", "b"), ilu0("bf", "bm"), lu_solve("s1", "bf", "x1"), flat("y1", "s1", "bm")]
-    out.append(q.cte("y", "SELECT y1.i, y1.v FROM y1 JOIN p ON p.i = y1.i AND p.blk = y1.blk" if restricted else "SELECT i, sum(v) AS v FROM y1 GROUP BY i"))
+    out.append(q.cte("y", "SELECT y1.i, y1.v FROM y1 JOIN p ON p.i = y1.i AND p.blk = y1.blk" if restricted else f"SELECT i, {how}(v) AS v FROM y1 GROUP BY i"))
     return q.with_(*out) + q.vector("y", 6)
 
 
+def factor_entries(skew: float) -> str:
+    """L, pivots and U of the blocks as entries."""
+    out = [*q.shelf(skew), q.cte("ins", "SELECT x.blk, a.i, a.j, a.v FROM a JOIN p x ON x.i = a.i JOIN p y ON y.i = a.j AND y.blk = x.blk"), *matrices("bm", "p", "ins"), ilu0("bf", "bm")]
+    out.append(q.cte("fr", "SELECT blk, ids, unnest(f) AS w FROM bf JOIN bm USING (blk)"))
+    out.append(q.cte("fe", "SELECT blk, ids[w[1]::BIGINT] AS i, unnest(ids) AS j, unnest(w[2:]) AS v FROM fr"))
+    return q.with_(*out) + "SELECT blk::INTEGER AS blk, CASE WHEN j < i THEN 'l' WHEN j = i THEN 'd' ELSE 'u' END AS kind, i, j, round(v, 8) AS v FROM fe WHERE v <> 0"
+
+
+def remapped(skew: float) -> str:
+    """Blocks after one round of pairing by the weight between them."""
+    out = [*q.shelf(skew), q.cte("be", "SELECT least(x.blk, y.blk) AS i, greatest(x.blk, y.blk) AS j, sum(abs(a.v)) AS v FROM a JOIN p x ON x.i = a.i JOIN p y ON y.i = a.j WHERE x.blk <> y.blk GROUP BY ALL"), q.cte("bb", "SELECT i, j, v FROM be UNION ALL SELECT j, i, v FROM be")]
+    out += matched("bb", 20)
+    return q.with_(*out) + "SELECT p.i, coalesce(pairs.i, p.blk)::INTEGER AS blk FROM p LEFT JOIN pairs ON pairs.j = p.blk"
+
+
+def complex_solution(digits: int, sweeps: int = 400) -> str:
+    """The solution of the shelves with an imaginary diagonal: Jacobi sweeps on real and imaginary parts."""
+    out = [*q.shelf(), q.cte("im", "SELECT i, size / 5.0::DOUBLE AS s FROM pn"), q.D,
+           q.cte("dd", "SELECT d.i, d.v / (d.v * d.v + s * s) AS re, -s / (d.v * d.v + s * s) AS im FROM d JOIN im ON im.i = d.i"), q.cte("od", "SELECT i, j, v FROM a WHERE i <> j"), q.cte("bc", "SELECT b.i, b.v AS re, b.v * 0.5 AS im FROM b")]
+    r, m = "(any_value(bc.re) - sum(od.v * y.re))", "(any_value(bc.im) - sum(od.v * y.im))"
+    walk = f"y(k, i, re, im) AS (SELECT 0, i, 0.0::DOUBLE, 0.0::DOUBLE FROM bc UNION ALL SELECT any_value(y.k) + 1, bc.i, {r} * any_value(dd.re) - {m} * any_value(dd.im), {r} * any_value(dd.im) + {m} * any_value(dd.re) FROM y JOIN od ON od.j = y.i JOIN bc ON bc.i = od.i JOIN dd ON dd.i = od.i WHERE y.k < {sweeps} GROUP BY bc.i)"
+    return q.with_(*out).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + walk + f"\nSELECT i, round(re, {digits}) AS re, round(im, {digits}) AS im FROM y WHERE k = {sweeps}"
+
+
 def solution(skew: float, digits: int, sweeps: int = 400) -> str:
     """The solution of the system on the shelves: Jacobi sweeps in a recursive statement, which halve the error or better in three."""
     out = [*q.shelf(skew), q.D, q.cte("od", "SELECT a.i, a.j, a.v / d.v AS v FROM a JOIN d ON d.i = a.i WHERE a.i <> a.j"), q.cte("s", "SELECT b.i, b.v / d.v AS v FROM b JOIN d ON d.i = b.i")]

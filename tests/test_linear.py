@@ -184,7 +184,7 @@ def test_incomplete_factors_and_updates():
     hi = np.diag(1 / piv) + sum((np.eye(10)[:, [r]] @ np.eye(10)[[c]] * v for r, row in enumerate(up) for c, v in row.items()), np.zeros((10, 10)))
     assert np.allclose((lo @ hi)[m != 0], m[m != 0])  # exact on the pattern
     low, piv, up = local.ilu(local.rows_of(10, i, j, m[i, j]), 0, modified=True)
-    assert np.allclose(local.lu_apply((low, piv, up), m.sum(1)), 1)  # row sums are kept
+    assert np.allclose(local.lu_apply(local.factored(low, piv, up), m.sum(1)), 1)  # row sums are kept
     d = np.diag(np.arange(1.0, 6.0))
     f = local.ainv(local.rows_of(5, range(5), range(5), d.diagonal()), 0.0)
     assert np.allclose(local.inverse_apply(local.diagonal_update(f, np.ones(5)), np.ones(5)), 1 / (np.arange(1.0, 6.0) + 1))
@@ -390,7 +390,7 @@ def test_large_coarse_matrices_are_solved_over_all_blocks(spark, monkeypatch):
 
     a, b, part, m, x = grid(spark, 5, count=2)
     want = column(Preconditioner("ML").set("MIN_COARSE_SIZE", 6).build(a, part).apply(b), 25)
-    monkeypatch.setattr(preconditioner, "MAX_DENSE", 3)
+    monkeypatch.setattr(preconditioner, "DENSE", 3)
     got = column(Preconditioner("ML").set("MIN_COARSE_SIZE", 6).build(a, part).apply(b), 25)
     assert np.allclose(got, want, atol=1e-7)
 
@@ -404,3 +404,219 @@ def test_gather_scatter_and_empty_matrices(spark):
     assert sorted(map(tuple, blas.scatter(spark, [1.0, 2.0, 3.0, 4.0], p).collect())) == [(1, 1.0, 1), (2, 2.0, 0), (3, 3.0, 1), (4, 4.0, 0)]
     none = spark.createDataFrame([], "i long, j long, v double")
     assert aggregate.soc_roots(none, p).count() == 0
+
+
+# Triangles by levels, direct solution, partitions, aggregation in rounds, complex systems
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_triangles_by_levels(seed):
+    from gridloom.operators.csr import Csr, Triangle
+
+    rng = np.random.default_rng(seed)
+    n = 40
+    m = np.where(rng.random((n, n)) < 0.1, rng.normal(size=(n, n)), 0)
+    i, j = np.nonzero(m)
+    c, x, d = Csr(n, np.tile(i, 2), np.tile(j, 2), np.tile(m[i, j] / 2, 2)), rng.normal(size=n), rng.random(n) + 1
+    assert np.allclose(c.times(x), m @ x) and np.allclose(c.times(x, "T"), m.T @ x) and np.allclose(c.diagonal(), m.diagonal())
+    for part, t in ((c.lower(), np.tril(m, -1)), (c.upper(), np.triu(m, 1))):
+        tri = Triangle(part)
+        assert np.allclose(tri.solve(x), np.linalg.solve(t + np.eye(n), x))
+        assert np.allclose(tri.solve(x, d), np.linalg.solve(t + np.diag(1 / d), x))
+        assert np.allclose(tri.transposed().solve(x), np.linalg.solve(t.T + np.eye(n), x))
+    assert [sorted(r.items()) for r in c.rows()] == [[(k, v) for k, v in enumerate(row) if v] for row in m.tolist()]
+    empty = Csr(0, [], [], [])
+    assert len(Triangle(empty).levels) == 0 and len(empty.times(np.zeros(0))) == 0
+
+
+def test_sweeps_of_a_large_block_take_no_python_step_an_entry():
+    import time
+
+    side = 300
+    i = np.arange(side * side)
+    e = [(i, i, np.full(len(i), 4.0))]
+    for k, ok in ((1, i % side < side - 1), (side, i < side * (side - 1))):
+        e += [(i[ok], i[ok] + k, np.full(ok.sum(), -1.0)), (i[ok] + k, i[ok], np.full(ok.sum(), -1.0))]
+    b = Block("GS")
+    f = b.factor(side * side, *(np.concatenate(x) for x in zip(*e)))
+    began = time.time()
+    b.solve(f, np.ones(side * side), np.ones(side * side))
+    assert time.time() - began < 1
+
+
+@pytest.mark.parametrize("variant", ["LLK", "STAB-LLK", "SYM-LLK"])
+def test_biconjugation_visits_what_meets(variant):
+    rng = np.random.default_rng(4)
+    m = np.where(rng.random((20, 20)) < 0.15, rng.random((20, 20)), 0)
+    m = m + m.T + np.eye(20) * 8 if variant != "LLK" else m + np.eye(20) * 8
+    i, j = np.nonzero(m)
+    b = Block("AINV", variant=variant)
+    assert np.allclose(b.solve(b.factor(20, i, j, m[i, j]), np.arange(20.0)), np.linalg.solve(m, np.arange(20.0)))
+    few = Block("AINV", variant=variant, inv_fill=1).factor(20, i, j, m[i, j])
+    below = [sum(m[r, c] != 0 for c in range(r)) for r in range(20)]
+    assert all(len(row) <= below[r] + 2 for r, row in enumerate(few[0].rows()))
+
+
+def test_inverse_thresholds_and_fill_act():
+    rng = np.random.default_rng(5)
+    m = np.where(rng.random((30, 30)) < 0.2, rng.random((30, 30)), 0) + np.eye(30) * 6
+    i, j = np.nonzero(m)
+    sizes = [len(Block("INVT", fill=30, tol=1e-9, **more).factor(30, i, j, m[i, j])[0].val) for more in ({}, {"inv_tol": 1e-2}, {"inv_fill": 1}, {"inv_tol": 1e-1})]
+    assert sizes[0] > sizes[1] > sizes[3] and sizes[0] > sizes[2]
+
+
+def test_approximate_inverses_are_applied_by_products(spark):
+    a, b, part, m, x = grid(spark, 6, "box")
+    for kind in ("INVK", "INVT", "AINV"):
+        s = BlockJacobi(Block(kind)).build(a, part)
+        plan = s.factors.sparkSession._jvm.PythonSQLUtils.explainString(blas.spmv(s.inverse[0], blas.spmv(s.inverse[1], blas.spmv(s.inverse[2], b)))._jdf.queryExecution(), "simple")
+        assert "Python" not in plan and "InPandas" not in plan
+        got, back = column(s.apply(b), 36), column(s.apply(b, trans="T"), 36)
+        dump = {k: dense(s.dump()["factors"].where(F.col("kind") == k), 36) for k in "zdw"}
+        inverse = dump["z"] @ dump["d"] @ dump["w"]
+        assert np.allclose(got, inverse @ x) and np.allclose(back, inverse.T @ x)
+
+
+def test_direct_solver_equals_dense(spark):
+    from gridloom.operators.direct import Multifrontal
+
+    a, b, part, m, x = grid(spark, 9, "box")
+    s = Multifrontal(leaf=8).build(a)
+    assert s.depth == 4 and s.size_bytes() > 0
+    assert np.allclose(column(s.apply(b), 81), np.linalg.solve(m, x)) and np.allclose(column(s.apply(b, trans="T"), 81), np.linalg.solve(m.T, x))
+    # Two components, a node that nothing touches, an empty row, node numbers with gaps.
+    two = np.zeros((14, 14))
+    two[:6, :6], two[6:12, 6:12] = rand(6, 3), rand(6, 4)
+    two[12, 12] = 2.0
+    e = mat(spark, two).withColumn("i", F.col("i") * 10).withColumn("j", F.col("j") * 10)
+    e = e.union(spark.createDataFrame([(140, 140, 0.0)], "i long, j long, v double"))
+    rhs = np.arange(1.0, 15)
+    got = {r.i: r.v for r in Multifrontal(leaf=3).build(blas.cut(e)).apply(vec(spark, rhs).withColumn("i", F.col("i") * 10)).collect()}
+    two[13, 13] = 1.0  # an empty row stands for itself
+    assert np.allclose([got[10 * (k + 1)] for k in range(14)], np.linalg.solve(two, rhs))
+
+
+def test_fronts_above_the_limit_are_an_error(spark, monkeypatch):
+    import pandas as pd
+
+    from gridloom.operators import direct
+
+    monkeypatch.setattr(direct, "MAX_FRONT", 2)
+    own = pd.DataFrame({"node": [1] * 3, "i": [1, 2, 3], "j": [None] * 3, "v": [0.0] * 3})
+    with pytest.raises(ValueError, match="front of 3"):
+        direct.eliminated(own, pd.DataFrame({"node": [], "bnd": [], "s": []}))
+
+
+def test_graph_partition(spark, monkeypatch):
+    from gridloom.operators import partition
+
+    a, _, _, _, _ = grid(spark, 16)
+    got = partition.cut_weight(a, partition.graph_partition(a, 4)).first()
+    rows = partition.cut_weight(a, generators.blocks((spark, 256), 4)).first()
+    assert (got.nodes, got.parts) == (256, 4) and got.largest <= 1.05 * 64 and got.cut <= 1.15 * rows.cut
+    monkeypatch.setattr(partition, "COARSE", 40)  # several levels
+    got = partition.cut_weight(a, partition.graph_partition(a, 4)).first()
+    assert got.largest <= 1.05 * 64 and got.cut <= 1.3 * rows.cut
+    star = spark.createDataFrame([(1, k, 1.0) for k in range(2, 200)] + [(k, k, 1.0) for k in range(1, 200)] + [(500, 500, 1.0)], "i long, j long, v double")
+    sizes = [r["count"] for r in partition.graph_partition(star, 4).groupBy("blk").count().collect()]
+    assert sum(sizes) == 200 and max(sizes) <= 1.05 * 50 + 1
+    assert partition.graph_partition(star.limit(0), 4).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["SOC1", "SOC2"])
+@pytest.mark.parametrize("order", ["HASHED", "NATURAL", "DEGREE"])
+def test_aggregates_in_rounds_equal_the_sequential_rule(spark, kind, order):
+    rng = np.random.default_rng(7)
+    n = 60
+    m = np.where(rng.random((n, n)) < 0.06, -rng.random((n, n)), 0)
+    m = m + m.T + np.eye(n) * 1.5
+    m[5, :] = m[:, 5] = 0
+    m[5, 5] = 1.0
+    a = blas.cut(mat(spark, m))
+    p = spark.range(1, n + 1).select(F.col("id").alias("i"), (F.col("id") % 3).cast("int").alias("blk"))
+    turns = {r.i: r.t for r in spark.range(1, n + 1).select(F.col("id").alias("i"), F.expr(aggregate.hashed("id")).alias("t")).collect()}
+    got = {r.i: r.agg for r in aggregate.soc_rounds(a, p, 0.05, kind, order).collect()}
+    want, base = {}, 0
+    for blk in range(3):
+        ids = [k for k in range(1, n + 1) if k % 3 == blk]
+        e = [(i, j, m[i - 1, j - 1]) for i in ids for j in ids if m[i - 1, j - 1]]
+        one = aggregate.soc_block(*zip(*e), 0.05, kind, order if order != "HASHED" else "NATURAL", turns if order == "HASHED" else None)
+        want |= {i: base + k + 1 for i, k in one.items()}
+        base += max(one.values()) + 1
+    assert got == want
+
+
+def test_a_long_path_is_aggregated_in_few_rounds(spark):
+    n = 1000
+    a = blas.cut(spark.createDataFrame([(k, k, 2.0) for k in range(n)] + [(i, j, -1.0) for k in range(n - 1) for i, j in ((k, k + 1), (k + 1, k))], "i long, j long, v double"))
+    p = spark.range(n).select(F.col("id").alias("i"), F.lit(0).alias("blk"))
+    got = aggregate.soc_rounds(a, p, 0.01, number=False, max_rounds=20)
+    assert got.count() == n and 250 <= got.select("agg").distinct().count() <= 500
+
+
+def test_blocks_are_merged_where_they_become_small(spark):
+    a, b, _, m, x = grid(spark, 16)
+    merged = Preconditioner("ML").set("MIN_COARSE_SIZE", 80).set("SMOOTHER_TYPE", "L1-JACOBI").set("REMAP_ROWS", 8)
+    merged.build(a, generators.blocks((spark, 256), 64))
+    blocks = [lev.p.select("blk").distinct().count() for lev in merged.levels]
+    assert blocks[0] == 64 and blocks[-1] <= 16
+    got = solve(a, b, merged, "CG", eps=1e-4, itmax=30)
+    assert got.converged and np.allclose(column(got.x, 256), np.linalg.solve(m, x), atol=1e-2)
+    alone = spark.createDataFrame([(k, k, 1.0) for k in range(8)], "i long, j long, v double")
+    assert blas.merged_blocks(alone, spark.range(8).select(F.col("id").alias("i"), F.col("id").cast("int").alias("blk")), 3).select("blk").distinct().count() == 2
+
+
+def test_complex_systems(spark):
+    from gridloom.operators import complexes
+
+    rng = np.random.default_rng(2)
+    n = 12
+    m = rand(n, 6, 0.3) + 1j * rand(n, 7, 0.3)
+    i, j = np.nonzero(m)
+    a = spark.createDataFrame([(int(p), int(q), (float(m[p, q].real), float(m[p, q].imag))) for p, q in zip(i, j)], "i long, j long, v struct<re:double,im:double>")
+    x = rng.normal(size=n) + 1j * rng.normal(size=n)
+    b = spark.createDataFrame([(k, (float(v.real), float(v.imag))) for k, v in enumerate(m @ x)], "i long, v struct<re:double,im:double>")
+    p = spark.range(n).select(F.col("id").alias("i"), (F.col("id") % 2).cast("int").alias("blk"))
+    got = complexes.solve_complex(a, b, Preconditioner("BJAC"), p, "BICGSTAB", eps=1e-10, itmax=60)
+    assert got.converged and np.allclose([complex(r.v.re, r.v.im) for r in got.x.orderBy("i").collect()], x, atol=1e-7)
+    h = complexes.hermitian(a)
+    want = m.conj().T @ (m @ x)
+    assert np.allclose([complex(r.v.re, r.v.im) for r in blas.complex_spmv(h, b).orderBy("i").collect()], want)
+
+
+def test_partitions_of_numbers_from_zero_cover_all_nodes(spark):
+    a = spark.createDataFrame([(k, k, 2.0) for k in range(9)], "i long, j long, v double")
+    pre = Preconditioner("BJAC").build(a, n_blocks=3)
+    assert sorted(r.i for r in pre.levels[0].p.collect()) == list(range(9)) and pre.size_bytes() > 24 * 9
+
+
+def test_replicated_coarse_matrices_have_a_limit(spark, monkeypatch):
+    from gridloom.plans import preconditioner
+
+    a, b, part, m, x = grid(spark, 5, count=2)
+    monkeypatch.setattr(preconditioner, "MAX_REPLICATED", 3)
+    with pytest.raises(ValueError, match="too large to be replicated"):
+        Preconditioner("ML").set("MIN_COARSE_SIZE", 6).set("COARSE_SOLVE", "ILU").build(a, part)
+
+
+#: Norms of the published right-hand side and solution (2-norm; largest value).
+GOLDEN_RHS, GOLDEN_X = 45068.0961497, (31.9096588607, 0.973136546)
+
+
+def test_published_problem_of_4096_unknowns(spark):
+    """The 64 x 64 problem with g = exp(-y^2) at x = 0 and 1 at x = 1: norms of its published solution."""
+    from gridloom.operators.csr import Csr
+
+    side, h = 64, 1 / 66
+    a, _ = generators.poisson(spark, 2, side, a="1D", b=("0D", "0D"), c="0D")
+    e = a.toPandas()
+    m = Csr(side * side, e.i - 1, e.j - 1, e.v)
+    b = np.zeros((side, side))
+    b[0] += np.exp(-((np.arange(side) * h) ** 2))
+    b[-1] += 1.0
+    b[0, 0] += 1.0  # the corners lie on x = 0 too
+    b[0, -1] += np.exp(-1.0)
+    got = krylov("CG", m.times, b.ravel() / h**2, space=NumpySpace, eps=1e-10, itmax=1000)
+    assert got.converged and m.val.max() == pytest.approx(4 * 66**2)
+    assert np.linalg.norm(b / h**2) == pytest.approx(GOLDEN_RHS, rel=1e-6)
+    assert np.linalg.norm(got.x) == pytest.approx(GOLDEN_X[0], rel=1e-5) and np.abs(got.x).max() == pytest.approx(GOLDEN_X[1], rel=1e-5)
