@@ -620,3 +620,20 @@ def test_published_problem_of_4096_unknowns(spark):
     assert got.converged and m.val.max() == pytest.approx(4 * 66**2)
     assert np.linalg.norm(b / h**2) == pytest.approx(GOLDEN_RHS, rel=1e-6)
     assert np.linalg.norm(got.x) == pytest.approx(GOLDEN_X[0], rel=1e-5) and np.abs(got.x).max() == pytest.approx(GOLDEN_X[1], rel=1e-5)
+
+
+def test_layout_of_the_sample_programs(spark):
+    from gridloom.plans import runs
+
+    smoother = ["FBGS", "2", "0", "HALO", "NONE", "ILU", "3", "LLK", "1", "0", "1.d-3"]
+    text = "\n".join(["% a run", "CSR", "0003", "CONST ! coefficients", "CG", "2", "00080", "1", "30", "1.d-7", "a name of mine", "ML", *smoother, "NONE", *smoother[1:], "WCYCLE", "1", "-3", "4", "SMOOTHED", "DEC", "SOC1", "8", "DEGREE", "-1.5", "FILTER", "-0.01d0", "2", "0.05 0.025", "BJAC", "ILU", "DIST", "0", "1.d-4", "3", "F", "1"])
+    general, pre = runs.read_layout(text)
+    assert (general["idim"], general["name"], general["rest"]) == ("0003", "a name of mine", ["F", "1"])
+    want = {"ML_CYCLE": "WCYCLE", "MAX_LEVS": 20, "MIN_COARSE_SIZE_PER_PROCESS": 4, "AGGR_ORD": "DEGREE", "MIN_CR_RATIO": 1.5, "AGGR_FILTER": "FILTER", "SMOOTHER_SWEEPS": 2, "SUB_FILLIN": 1, "SUB_ILUTHRS": 1e-3, "COARSE_SWEEPS": 3}
+    assert {k: pre.option(k, 3) for k in want} == want and [pre.option("AGGR_THRESH", k) for k in (1, 2, 3)] == [0.05, 0.025, 0.01]
+    two = text.replace("\nNONE\n2\n0", "\nJACOBI\n4\n0")
+    assert runs.read_layout(two)[1].option("SMOOTHER_SWEEPS", 1, "POST") == 4 and runs.read_layout(two)[1].option("SMOOTHER_SWEEPS", 1, "PRE") == 2
+    with pytest.raises(ValueError, match="values"):
+        runs.read_layout("CSR\n")
+    got = runs.run_layout(spark, text.replace("\nML\n", "\nL1-JACOBI\n"), blocks=2)
+    assert got.converged and got.residual_2 < 1e-5
