@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import blas
 from gridloom.operators.aggregate import Aggregator, Coupled, Decoupled, rap, smoothed
-from gridloom.operators.graph import omega
+from gridloom.operators.graph import FOLD, omega
 from gridloom.operators.krylov import FrameSpace, Result, krylov
 from gridloom.operators.direct import Multifrontal
 from gridloom.operators.local import Block
@@ -295,6 +295,30 @@ class Preconditioner:
             low.a = blas.cut(rap(top.a, top.prol, top.restr))
         return self
 
+    def hierarchy_update(self, entries: DataFrame) -> "Preconditioner":
+        """New values (i, j, v) of some entries of the finest matrix; on every level only what they change is written.
+
+        A coarse matrix changes by R D P, where D is the change above it.  A level is its table and the changes since, which
+        are summed when it is read, and written anew after ``FOLD`` of them.
+        """
+        top = self.levels[0]
+        new = entries.groupBy("i", "j").agg(F.max("v").alias("new"))
+        change = blas.cut(new.join(top.a, ["i", "j"], "left").select("i", "j", (F.col("new") - F.coalesce("v", F.lit(0.0))).alias("v")).where("v <> 0"))
+        for k, lev in enumerate(self.levels):
+            base, changes = lev.extra.get("changes", (lev.a, []))
+            changes = [*changes, change]
+            whole = base
+            for c in changes:
+                whole = whole.unionByName(c)
+            lev.a = blas.assemble(whole)
+            if len(changes) >= FOLD:
+                lev.a = base = blas.cut(self._clean(k + 1, lev.a))
+                changes = []
+            lev.extra["changes"] = (base, changes)
+            if k + 1 < len(self.levels):
+                change = blas.cut(rap(change, lev.prol, lev.restr))
+        return self
+
     def smoothers_build(self) -> "Preconditioner":
         if not self.levels:
             raise RuntimeError("build the hierarchy first")

@@ -596,6 +596,18 @@ def schwarz_ras(spark, d):
     return _swept(spark, d, Schwarz(Block("ILU"), 1, "HALO", "NONE"), 0.0, 1)
 
 
+_CHANGED = (*q.shelf(), q.cte("an", "SELECT i, j, CASE WHEN i = j AND i % 100 = 1 THEN 2 * v ELSE v END AS v FROM a"), q.cte("pt", "SELECT i, i // 4 + 1 AS j, 1.0::DOUBLE AS v FROM b"), q.spgemm("ap", "an", "pt"), q.spgemm("ac", "pt", "ap", True))
+
+
+@query(q.with_(*_CHANGED) + "SELECT 1 AS lev, i, j, round(v, 6) AS v FROM an UNION ALL SELECT 2, i, j, round(v, 6) FROM ac")
+def galerkin_update(spark, d):
+    """Some diagonal entries are doubled; the coarse matrix follows by what has changed."""
+    a = blas.cut(tables.shelf(spark, d)[0])
+    pre = Preconditioner("ML").set_hierarchy(a, tables.shelf_blocks(spark, d), [(pairs4(a), None)])
+    pre.hierarchy_update(a.where("i = j and i % 100 = 1").select("i", "j", (F.col("v") * 2).alias("v")))
+    return rounded(pre.dump().where("kind = 'ac'").select("lev", "i", "j", "v"), 6)
+
+
 @query(sb.schwarz(False, "avg"))
 def schwarz_average(spark, d):
     return _swept(spark, d, Schwarz(Block("ILU"), 1, "HALO", "AVG"), 0.0, 1)

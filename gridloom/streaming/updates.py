@@ -18,11 +18,11 @@ def replace_entries(a: DataFrame, update: DataFrame) -> DataFrame:
 
 
 def rebuild_on(stream: DataFrame, prec: Preconditioner, then: Callable[[Preconditioner, int], None] | None = None):
-    """A stream writer whose batches update the finest matrix and the coarse ones below it."""
+    """A stream writer whose batches update the finest matrix and, by what they change, the coarse ones below it."""
 
     def batch(df: DataFrame, number: int) -> None:
         if df.limit(1).count():
-            prec.hierarchy_rebuild(blas.cut(replace_entries(prec.levels[0].a, df.select("i", "j", "v")))).smoothers_build()
+            prec.hierarchy_update(blas.cut(df.select("i", "j", "v"))).smoothers_build()
         if then:
             then(prec, number)
 

@@ -637,3 +637,19 @@ def test_layout_of_the_sample_programs(spark):
         runs.read_layout("CSR\n")
     got = runs.run_layout(spark, text.replace("\nML\n", "\nL1-JACOBI\n"), blocks=2)
     assert got.converged and got.residual_2 < 1e-5
+
+
+def test_updates_write_what_changes(spark):
+    a, b, part, m, x = grid(spark, 8, count=2)
+    make = lambda: Preconditioner("ML").set("MIN_COARSE_SIZE", 6).hierarchy_build(a, part)
+    some, whole = make(), make()
+    new = m.copy()
+    for step in range(3):
+        new[step, step], new[step + 8, step] = 9000.0 + step, -7.0
+        e = spark.createDataFrame([(step + 1, step + 1, 9000.0 + step), (step + 9, step + 1, -7.0)], "i long, j long, v double")
+        some.hierarchy_update(e)
+    whole.hierarchy_rebuild(mat(spark, new))
+    for one, other in zip(some.levels, whole.levels):
+        assert np.allclose(dense(one.a, 64), dense(other.a, 64))
+    written = [c.count() for c in some.levels[0].extra["changes"][1]]
+    assert written == [2, 2, 2] and all(c.count() <= 60 for c in some.levels[1].extra["changes"][1])
