@@ -65,7 +65,8 @@ def read_array(spark: SparkSession, path: str | None) -> DataFrame | None:
 
 
 def parse_harwell_boeing(text: str) -> dict:
-    """Matrix entries and optional right-hand side, guess and solution from the text of one file (fixed columns)."""
+    """Matrix entries and optional right-hand side, guess and solution from the text of one file (fixed columns); complex
+    files give complex numbers."""
     lines = text.splitlines()
     counts = [int(lines[1][14 * k : 14 * k + 14].strip() or 0) for k in range(5)]
     kind = lines[2][:3].upper()
@@ -85,28 +86,43 @@ def parse_harwell_boeing(text: str) -> dict:
         at += n_lines
         return out
 
+    def numbers(n_lines: int, fmt: str):
+        x = take(n_lines, fmt, float)
+        return [complex(re_, im) for re_, im in zip(x[::2], x[1::2])] if kind[0] == "C" else x
+
     ptr, idx = take(counts[1], fmts[0], int), take(counts[2], fmts[1], int)
-    val = take(counts[3], fmts[2], float) if kind[0] != "P" else [1.0] * nnz
+    val = numbers(counts[3], fmts[2]) if kind[0] != "P" else [1.0] * nnz
     entries = [(idx[k], col + 1, val[k]) for col in range(n_cols) for k in range(ptr[col] - 1, ptr[col + 1] - 1)]
-    if kind[0] == "C":
-        raise ValueError("complex Harwell-Boeing files are not read")
-    if kind[1] in "SHZ":  # hermitian is symmetric for real values, Z is skew
-        sign = -1.0 if kind[1] == "Z" else 1.0
-        entries += [(j, i, sign * v) for i, j, v in entries if i != j]
+    if kind[1] in "SHZ":  # symmetric, hermitian (symmetric for real values), skew
+        turned = {"S": lambda v: v, "H": lambda v: v.conjugate(), "Z": lambda v: -v}[kind[1]]
+        entries += [(j, i, turned(v)) for i, j, v in entries if i != j]
     out = {"entries": entries, "n": n_rows, "rhs": None, "guess": None, "solution": None}
     if counts[4]:
-        dense = take(counts[4], fmts[3], float)
+        dense = numbers(counts[4], fmts[3])
         names = ["rhs"] + (["guess"] if "G" in rhs_kind[1:] else []) + (["solution"] if "X" in rhs_kind[1:] else [])
         for k, name in enumerate(names):
             out[name] = dense[k * n_rows : (k + 1) * n_rows]
     return out
 
 
+#: The largest sequential file that the driver reads.
+MAX_FILE_BYTES = 256 << 20
+
+
 def read_harwell_boeing(spark: SparkSession, path: str) -> dict:
-    """The parts of a Harwell-Boeing file as DataFrames; the format is one sequential file of bounded size."""
+    """The parts of a Harwell-Boeing file as DataFrames; the format is one sequential file, whose size is checked.
+
+    Values of a complex file are struct<re, im>.
+    """
+    size = spark.read.text(path).agg(F.sum(F.length("value") + 1)).first()[0] or 0
+    if size > MAX_FILE_BYTES:
+        raise ValueError(f"a Harwell-Boeing file of {size} bytes is too large for the driver")
     p = parse_harwell_boeing(spark.read.text(path, wholetext=True).first()[0])
-    vec = lambda x: None if x is None else spark.createDataFrame(list(enumerate(x, 1)), "i long, v double")
-    return {"matrix": spark.createDataFrame(p["entries"], "i long, j long, v double"), "rhs": vec(p["rhs"]), "guess": vec(p["guess"]), "solution": vec(p["solution"])}
+    is_complex = any(isinstance(e[2], complex) for e in p["entries"][:1])
+    kind, plain = ("struct<re:double,im:double>", lambda v: (v.real, v.imag)) if is_complex else ("double", lambda v: v)
+    vec = lambda x: None if x is None else spark.createDataFrame([(k, plain(v)) for k, v in enumerate(x, 1)], f"i long, v {kind}")
+    matrix = spark.createDataFrame([(i, j, plain(v)) for i, j, v in p["entries"]], f"i long, j long, v {kind}")
+    return {"matrix": matrix, "rhs": vec(p["rhs"]), "guess": vec(p["guess"]), "solution": vec(p["solution"])}
 
 
 def read_parameters(text: str) -> list[str]:

@@ -653,3 +653,26 @@ def test_updates_write_what_changes(spark):
         assert np.allclose(dense(one.a, 64), dense(other.a, 64))
     written = [c.count() for c in some.levels[0].extra["changes"][1]]
     assert written == [2, 2, 2] and all(c.count() <= 60 for c in some.levels[1].extra["changes"][1])
+
+
+def test_complex_harwell_boeing_files(spark, tmp_path, monkeypatch):
+    lines = [f"{'a complex matrix':72}key", f"{5:14}{1:14}{1:14}{2:14}{1:14}", f"{'CHA':14}{2:14}{2:14}{3:14}{0:14}", f"{'(3I4)':16}{'(3I4)':16}{'(4F8.2)':20}{'(4F8.2)':20}", f"{'F':14}{1:14}{0:14}"]
+    lines += [f"{1:4}{3:4}{4:4}", f"{1:4}{2:4}{2:4}", f"{2:8.2f}{0:8.2f}{1:8.2f}{0.5:8.2f}", f"{3:8.2f}{0:8.2f}", f"{1:8.2f}{-1:8.2f}{0:8.2f}{2:8.2f}"]
+    path = tmp_path / "c.hb"
+    path.write_text("\n".join(lines) + "\n")
+    got = files.read_harwell_boeing(spark, str(path))
+    assert {(r.i, r.j): complex(r.v.re, r.v.im) for r in got["matrix"].collect()} == {(1, 1): 2, (2, 1): 1 + 0.5j, (1, 2): 1 - 0.5j, (2, 2): 3}
+    assert [complex(r.v.re, r.v.im) for r in got["rhs"].orderBy("i").collect()] == [1 - 1j, 2j] and got["guess"] is None
+    monkeypatch.setattr(files, "MAX_FILE_BYTES", 10)
+    with pytest.raises(ValueError, match="too large"):
+        files.read_harwell_boeing(spark, str(path))
+
+
+def test_traces_keep_every_step(caplog):
+    import logging
+
+    m = rand(8, 3)
+    with caplog.at_level(logging.INFO):
+        got = krylov("BICGSTAB", lambda v: m @ v, np.ones(8), space=NumpySpace, eps=1e-10, itmax=60, trace=2)
+    assert [k for k, _ in got.history] == list(range(got.iterations + 1)) and got.history[-1][1] == got.error <= 1e-10
+    assert len([r for r in caplog.records if "iteration" in r.message]) == got.iterations // 2 + 1
