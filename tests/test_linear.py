@@ -676,3 +676,14 @@ def test_traces_keep_every_step(caplog):
         got = krylov("BICGSTAB", lambda v: m @ v, np.ones(8), space=NumpySpace, eps=1e-10, itmax=60, trace=2)
     assert [k for k, _ in got.history] == list(range(got.iterations + 1)) and got.history[-1][1] == got.error <= 1e-10
     assert len([r for r in caplog.records if "iteration" in r.message]) == got.iterations // 2 + 1
+
+
+def test_many_parts_are_made_in_stages(spark, monkeypatch):
+    from gridloom.operators import partition
+
+    monkeypatch.setattr(partition, "COARSE", 16)
+    monkeypatch.setattr(partition, "COARSEST", 60)
+    monkeypatch.setattr(partition, "STAGE", 4, raising=False)
+    a = generators.poisson(spark, 2, 16)[0]  # the coarsest graph of 16 parts at once has up to 128 nodes
+    got = partition.cut_weight(a, partition.graph_partition(a, 16, 0.25)).first()
+    assert got.nodes == 256 and got.parts == 16 and got.largest <= 1.25 * 16 + 2
