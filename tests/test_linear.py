@@ -687,3 +687,12 @@ def test_many_parts_are_made_in_stages(spark, monkeypatch):
     a = generators.poisson(spark, 2, 16)[0]  # the coarsest graph of 16 parts at once has up to 128 nodes
     got = partition.cut_weight(a, partition.graph_partition(a, 16, 0.25)).first()
     assert got.nodes == 256 and got.parts == 16 and got.largest <= 1.25 * 16 + 2
+
+
+def test_close_vectors_hold_few_products(spark, monkeypatch):
+    from gridloom.sources import tables
+
+    rows = spark.createDataFrame([(k, [float(k % 3), 1.0]) for k in range(30)], "i long, e array<double>")
+    whole = sorted(map(tuple, tables.close_vectors(rows, rows.where("i % 5 = 0"), 0.9).collect()))
+    monkeypatch.setattr(tables, "CELLS", 7)
+    assert sorted(map(tuple, tables.close_vectors(rows, rows.where("i % 5 = 0"), 0.9).collect())) == whole and whole
