@@ -696,3 +696,15 @@ def test_close_vectors_hold_few_products(spark, monkeypatch):
     whole = sorted(map(tuple, tables.close_vectors(rows, rows.where("i % 5 = 0"), 0.9).collect()))
     monkeypatch.setattr(tables, "CELLS", 7)
     assert sorted(map(tuple, tables.close_vectors(rows, rows.where("i % 5 = 0"), 0.9).collect())) == whole and whole
+
+
+def test_diagonal_block_solves_gather_no_block(spark, monkeypatch):
+    from gridloom.operators import smooth
+
+    monkeypatch.setattr(smooth, "factor_blocks", None)
+    m = np.array([[4.0, 1.0, 2.0], [1.0, 0.0, 3.0], [0.5, 1.0, 5.0]])
+    a, p = mat(spark, m), spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "i long, blk int")
+    d, x = np.array([0.25, 1.0, 0.2]), np.array([1.0, 2.0, 3.0])
+    off = np.array([[0, 0, 2.0], [0, 0, 3.0], [0.5, 1.0, 0]])
+    got = column(BlockJacobi(Block("DIAG")).build(a, p).apply(vec(spark, x), sweeps=2), 3)
+    assert np.allclose(got, d * (x - off @ (d * x)))
