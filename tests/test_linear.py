@@ -708,3 +708,13 @@ def test_diagonal_block_solves_gather_no_block(spark, monkeypatch):
     off = np.array([[0, 0, 2.0], [0, 0, 3.0], [0.5, 1.0, 0]])
     got = column(BlockJacobi(Block("DIAG")).build(a, p).apply(vec(spark, x), sweeps=2), 3)
     assert np.allclose(got, d * (x - off @ (d * x)))
+
+
+@pytest.mark.parametrize("order", ["NATURAL", "DEGREE"])
+def test_large_blocks_are_aggregated_in_rounds(spark, monkeypatch, order):
+    a = grid(spark, 6)[0]
+    p = a.select("i").distinct().selectExpr("i", "cast(i % 2 as int) AS blk")
+    small = sorted(map(tuple, aggregate.soc_aggregates(a, p, 0.05, "SOC2", order).collect()))
+    monkeypatch.setattr(aggregate, "MAX_BLOCK", 3)
+    monkeypatch.setattr(aggregate, "soc_block", None)  # no task for a block
+    assert sorted(map(tuple, aggregate.soc_aggregates(a, p, 0.05, "SOC2", order).collect())) == small
