@@ -718,3 +718,18 @@ def test_large_blocks_are_aggregated_in_rounds(spark, monkeypatch, order):
     monkeypatch.setattr(aggregate, "MAX_BLOCK", 3)
     monkeypatch.setattr(aggregate, "soc_block", None)  # no task for a block
     assert sorted(map(tuple, aggregate.soc_aggregates(a, p, 0.05, "SOC2", order).collect())) == small
+
+
+def test_products_leave_the_matrix_in_place(spark, tmp_path):
+    from gridloom.scratch import cut_by
+    from gridloom.sources import tables
+
+    lines = [(1, 1), (1, 2), (1, 2), (1, 3), (2, 1), (2, 2), (3, 4), (None, 5), (None, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    a = cut_by(tables.laplacian(spark, str(tmp_path)), "j", dealt=True)
+    want = {(1, 1): 4.0, (2, 2): 4.0, (3, 3): 3.0, (4, 4): 1.0, (5, 5): 1.0, (1, 2): -2.0, (2, 1): -2.0, (1, 3): -1.0, (3, 1): -1.0, (2, 3): -1.0, (3, 2): -1.0}
+    assert {(r.i, r.j): r.v for r in a.collect()} == want
+    y = blas.spmv(a, spark.range(1, 6).select(F.col("id").alias("i"), F.lit(1.0).alias("v")))
+    plan = y._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2, plan  # the vector and the sums
+    assert {r.v for r in y.collect()} == {1.0}
