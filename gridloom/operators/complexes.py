@@ -44,9 +44,10 @@ def solve_complex(a: DataFrame, b: DataFrame, prec, p: DataFrame | None = None,
     The result is that of ``solve`` with x as (i, v), v struct<re, im>.
     """
     from gridloom.operators.blas import cut
+    from gridloom.scratch import cut_by
     from gridloom.plans.preconditioner import solve
 
-    m, rhs = cut(real_matrix(a)), cut(real_vector(b))
+    m, rhs = cut_by(real_matrix(a), "j"), cut(real_vector(b))
     built = prec.build(m, real_partition(p) if p is not None else None) if prec is not None else None
     got = solve(m, rhs, built, method, **options)
     got.x = complex_vector(got.x)

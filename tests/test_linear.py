@@ -689,13 +689,14 @@ def test_many_parts_are_made_in_stages(spark, monkeypatch):
     assert got.nodes == 256 and got.parts == 16 and got.largest <= 1.25 * 16 + 2
 
 
-def test_close_vectors_hold_few_products(spark, monkeypatch):
-    from gridloom.sources import tables
-
-    rows = spark.createDataFrame([(k, [float(k % 3), 1.0]) for k in range(30)], "i long, e array<double>")
-    whole = sorted(map(tuple, tables.close_vectors(rows, rows.where("i % 5 = 0"), 0.9).collect()))
-    monkeypatch.setattr(tables, "CELLS", 7)
-    assert sorted(map(tuple, tables.close_vectors(rows, rows.where("i % 5 = 0"), 0.9).collect())) == whole and whole
+@pytest.mark.parametrize("order", ["NATURAL", "DEGREE"])
+def test_large_blocks_are_aggregated_in_rounds(spark, monkeypatch, order):
+    a = grid(spark, 6)[0]
+    p = a.select("i").distinct().selectExpr("i", "cast(i % 2 as int) AS blk")
+    small = sorted(map(tuple, aggregate.soc_aggregates(a, p, 0.05, "SOC2", order).collect()))
+    monkeypatch.setattr(aggregate, "MAX_BLOCK", 3)
+    monkeypatch.setattr(aggregate, "soc_block", None)  # no task for a block
+    assert sorted(map(tuple, aggregate.soc_aggregates(a, p, 0.05, "SOC2", order).collect())) == small
 
 
 def test_diagonal_block_solves_gather_no_block(spark, monkeypatch):
@@ -710,14 +711,13 @@ def test_diagonal_block_solves_gather_no_block(spark, monkeypatch):
     assert np.allclose(got, d * (x - off @ (d * x)))
 
 
-@pytest.mark.parametrize("order", ["NATURAL", "DEGREE"])
-def test_large_blocks_are_aggregated_in_rounds(spark, monkeypatch, order):
-    a = grid(spark, 6)[0]
-    p = a.select("i").distinct().selectExpr("i", "cast(i % 2 as int) AS blk")
-    small = sorted(map(tuple, aggregate.soc_aggregates(a, p, 0.05, "SOC2", order).collect()))
-    monkeypatch.setattr(aggregate, "MAX_BLOCK", 3)
-    monkeypatch.setattr(aggregate, "soc_block", None)  # no task for a block
-    assert sorted(map(tuple, aggregate.soc_aggregates(a, p, 0.05, "SOC2", order).collect())) == small
+def test_close_vectors_hold_few_products(spark, monkeypatch):
+    from gridloom.sources import tables
+
+    rows = spark.createDataFrame([(k, [float(k % 3), 1.0]) for k in range(30)], "i long, e array<double>")
+    whole = sorted(map(tuple, tables.close_vectors(rows, rows.where("i % 5 = 0"), 0.9).collect()))
+    monkeypatch.setattr(tables, "CELLS", 7)
+    assert sorted(map(tuple, tables.close_vectors(rows, rows.where("i % 5 = 0"), 0.9).collect())) == whole and whole
 
 
 def test_products_leave_the_matrix_in_place(spark, tmp_path):
@@ -733,3 +733,21 @@ def test_products_leave_the_matrix_in_place(spark, tmp_path):
     plan = y._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2, plan  # the vector and the sums
     assert {r.v for r in y.collect()} == {1.0}
+
+
+def test_small_blocks_are_solved_in_packs(spark):
+    from gridloom.operators import smooth
+
+    a = grid(spark, 6)[0]
+    p = a.select("i").distinct().selectExpr("i", "cast((i - 1) div 4 as int) AS blk")
+    s = BlockJacobi(Block("ILU")).build(blas.cut(a), p)
+    x = a.select("i").distinct().withColumn("v", F.col("i") * 1.0)
+    one = BlockJacobi(Block("ILU"))
+    one.a, one.p, one.packs, one.diagonal, one.inverse, one.off, one.coupled = a, p, 1, None, None, s.off, True
+    e = blas.block_of(a, p).where("bi = bj").select(F.col("bi").alias("blk"), "i", "j", "v")
+    one.factors = smooth.factor_blocks(e, p, one.solver)
+    assert s.factors.count() == 1 and one.factors.count() == 9
+    for trans in "NT":
+        assert np.allclose(column(s.apply(x, sweeps=2, trans=trans), 36), column(one.apply(x, sweeps=2, trans=trans), 36), rtol=1e-12)
+    rows = lambda b: sorted((r.blk, r.kind, r.i, r.j, r.v) for r in b.dump()["factors"].collect())
+    assert rows(s) == rows(one)
