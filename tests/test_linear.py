@@ -751,3 +751,55 @@ def test_small_blocks_are_solved_in_packs(spark):
         assert np.allclose(column(s.apply(x, sweeps=2, trans=trans), 36), column(one.apply(x, sweeps=2, trans=trans), 36), rtol=1e-12)
     rows = lambda b: sorted((r.blk, r.kind, r.i, r.j, r.v) for r in b.dump()["factors"].collect())
     assert rows(s) == rows(one)
+
+
+def test_filtered_smoothing_moves_an_entry_once(spark):
+    from gridloom.scratch import cut_by
+
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(12, 12)) * (rng.random((12, 12)) < 0.5)
+    m[np.arange(12), np.arange(12)] = rng.normal(size=12) * 4
+    m[3, 3] = m[7, 7] = 0.0  # rows without a diagonal entry
+    m[5] = 0.0
+    m[5, 5] = 2.0
+    p = np.zeros((12, 4))
+    p[np.arange(12), np.arange(12) // 3] = 1.0
+    p[4, 3], p[9] = -0.5, 0.0  # a row with two entries, and one with none
+    a, pt = mat(spark, m), mat(spark, p)
+    theta, w = 0.3, 0.5
+    d = np.abs(m.diagonal())
+    weak = ~np.eye(12, dtype=bool) & (np.abs(m) < theta * np.sqrt(np.outer(d, d)))
+    f = np.where(weak, 0, m)
+    f[np.arange(12), np.arange(12)] -= np.where(weak, m, 0).sum(1)
+    r = np.where(f.diagonal() == 0, 1.0, 1.0 / np.where(f.diagonal() == 0, 1.0, f.diagonal()))
+    want = (np.eye(12) - w * r[:, None] * f) @ p
+    for one in (a, cut_by(a, "j")):
+        assert np.allclose(dense(aggregate.smoothed(one, pt, theta, True, w), 12, 4), want)
+    got = aggregate.smoothed(cut_by(mat(spark, m + np.diag(m.diagonal() == 0)), "j"), pt, theta, True, w)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(i#") <= 2 and plan.count("Exchange hashpartitioning(c#") == 0, plan
+    assert "Exchange hashpartitioning(k#" not in plan
+
+
+def test_written_tables_are_not_written_again(spark):
+    from gridloom.scratch import cut_by
+
+    a, _, p, m, _ = grid(spark, 4, count=2)
+    byj = cut_by(a, "j")
+    assert blas.cut(a) is a and blas.cut(byj) is byj and blas.cut(a.where("i > 0")) is not a
+    pt = blas.cut(aggregate.tentative(p.select("i", F.expr("i div 4 + 1").alias("agg"))))
+    pre = Preconditioner("ML").set("SMOOTHER_TYPE", "JACOBI").set_hierarchy(byj, p, [(pt, None)])
+    assert pre.levels[0].a is byj
+    q = dense(pt, 16, 5)
+    assert np.allclose(dense(pre.levels[1].a, 5), q.T @ m @ q)
+
+
+def test_jacobi_takes_its_rows_from_the_partition(spark):
+    m = rand(6, 8)
+    m[2, 2] = 0.0  # no diagonal: 1
+    a, p = mat(spark, m), generators.blocks((spark, 6), 2)
+    x = np.arange(1.0, 7.0)
+    want = x / np.where(m.diagonal() == 0, 1.0, m.diagonal())
+    for part in (p, None):
+        s = Jacobi().build(a, part)
+        assert np.allclose(column(s.apply(vec(spark, x)), 6), want)
