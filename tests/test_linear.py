@@ -803,3 +803,21 @@ def test_jacobi_takes_its_rows_from_the_partition(spark):
     for part in (p, None):
         s = Jacobi().build(a, part)
         assert np.allclose(column(s.apply(vec(spark, x)), 6), want)
+
+
+def test_blocks_keep_their_rows_in_place(spark):
+    a, _, p, _, _ = grid(spark, 5, count=2)
+    local = aggregate._inside(a, p)
+    rows = local.groupBy("blk", "i").agg(F.count("*").alias("n"), F.max(F.col("di") == 0).alias("none"))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 25 and not rows.where("none").count()
+    assert local.where("abs(di - dj) > 1e-12").count() == 0  # constant coefficients
+
+
+def test_nothing_a_node_is_broadcast_by_the_partition(spark):
+    from gridloom.operators import partition
+
+    a, _, p, _, _ = grid(spark, 5, count=2)
+    both = blas.cut(a.where("i <> j").select("i", "j", F.abs("v").alias("v")))
+    for df in (graph.mutual_round(both), partition.cut_weight(a, p)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
