@@ -689,6 +689,41 @@ def test_many_parts_are_made_in_stages(spark, monkeypatch):
     assert got.nodes == 256 and got.parts == 16 and got.largest <= 1.25 * 16 + 2
 
 
+def test_parts_that_fit_a_task_are_divided_without_coarsening(spark, monkeypatch):
+    from gridloom.operators import partition
+
+    clusters, tops = partition._clusters, []
+
+    def counted(nodes, edges, largest):
+        tops.append(nodes.select("top").distinct().count())
+        return clusters(nodes, edges, largest)
+
+    monkeypatch.setattr(partition, "COARSE", 60)
+    monkeypatch.setattr(partition, "STAGE", 8)
+    monkeypatch.setattr(partition, "_clusters", counted)
+    a = generators.poisson(spark, 2, 20)[0]
+    got = partition.cut_weight(a, partition.graph_partition(a, 16, 0.25)).first()
+    assert got.nodes == 400 and got.parts == 16 and got.largest <= 1.25 * 25 + 2
+    assert tops and set(tops) == {1}  # the eight parts of the first stage have 50 nodes each
+
+
+def test_second_eigenvector_of_a_large_graph(monkeypatch):
+    from gridloom.operators import partition
+
+    n, w = 150, np.zeros((150, 150))
+    for k in range(n):
+        for m in (k + 1, k + 5):
+            if m < n and not (m == k + 1 and m % 5 == 0):
+                w[k, m] = w[m, k] = 1.0 + k % 3
+    lap = np.diag(w.sum(1)) - w
+    want = np.linalg.eigh(lap)[1][:, 1]
+    monkeypatch.setattr(partition, "WHOLE", 10)
+    assert abs(abs(want @ partition._second(lap)) - 1) < 1e-6
+    assert np.isfinite(partition._second(np.zeros((12, 12)))).all()
+    parts = partition.halves(w, np.ones(n), 4)
+    assert np.bincount(parts).min() >= 33 and (w * (parts[:, None] != parts)).sum() < 0.2 * w.sum()
+
+
 @pytest.mark.parametrize("order", ["NATURAL", "DEGREE"])
 def test_large_blocks_are_aggregated_in_rounds(spark, monkeypatch, order):
     a = grid(spark, 6)[0]
