@@ -520,6 +520,44 @@ def test_language_model_does_not_depend_on_partitions(spark, monkeypatch):
     assert some[0] == some[1] == some[2]
 
 
+def test_language_model_tells_words_of_a_class_apart(spark):
+    import math
+    import zlib
+
+    import numpy as np
+
+    from gridloom.llm import masked_lm as lm
+
+    rng = random.Random(4)
+    common = [f"c{k}" for k in range(lm.VOCAB - 4)] + ["la", "ra", "lb", "rb"]
+    kind = lambda w: zlib.crc32(w.encode()) % lm.BUCKETS
+    a = "a0"
+    b = next(f"b{k}" for k in range(10_000) if kind(f"b{k}") == kind(a))
+    texts = [" ".join(rng.choice(common) for _ in range(300)) for _ in range(150)] + [f"la {a} ra lb {b} rb"] * 60
+    voc, model = lm.train(frame(spark, list(enumerate(texts))))
+    assert a.encode() not in voc[: lm.VOCAB] and a.encode() in voc and b.encode() in voc
+    code = lm.Coder(voc)
+    rare = [code(lm.words_of(t)) for t in (f"la {a} ra", f"lb {b} rb")]
+    assert rare[0][1] % lm.SIZE == rare[1][1] % lm.SIZE and rare[0][1] != rare[1][1]
+    for _ in range(100):
+        lm.inner_step(model, np.array([x[1] for x in rare]), np.concatenate([lm.contexts(x)[1:2] for x in rare]), 0.1)
+    of = lambda t: lm.log_prob(model, code(lm.words_of(t)))
+    assert of(f"la {a} ra") > of(f"la {b} ra") + 0.01 and of(f"lb {b} rb") > of(f"lb {a} rb") + 0.01
+    wide = model["I"].shape[1]  # all words and the rest of every class have probability 1
+    every = [np.array([k]) for k in range(lm.VOCAB)] + [np.array([place * lm.SIZE + k]) for k in range(lm.VOCAB, lm.SIZE) for place in range(wide)]
+    assert abs(sum(map(math.exp, lm.log_probs(model, every))) - 1) < 1e-4
+
+
+def test_language_model_vocabulary_grows(spark):
+    import math
+
+    from gridloom.llm import masked_lm as lm
+
+    rows = [(k, " ".join(f"w{k}x{m}" for m in range(100))) for k in range(20)]
+    voc, c, inner = lm.classes(lm.count_words(frame(spark, rows)))
+    assert len(voc) == lm.VOCAB + math.ceil(lm.GROWTH * math.sqrt(2000)) and c.sum() == 2000 and inner.sum() == 2000 - lm.VOCAB
+
+
 def test_license_scan_and_inheritance(spark):
     from gridloom.llm.license_scan import license_scan
 
